@@ -1,10 +1,14 @@
 """The queries of this subpackage by name, and the SQL for those that SQL can express."""
 
-from . import bpe, media, secrets
+from . import bpe, decontaminate, language, media, quality, secrets, urls
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op6_language_id": language.op6_language_id,
+    "op7_quality": quality.op7_quality,
     "op8_telephony_audio": media.op8_telephony_audio,
+    "op9_url_filter": urls.op9_url_filter,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.OP3_SQL, "op9_url_filter": urls.OP9_SQL}
