@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -121,7 +122,7 @@ class Encoder:
                     self.pairs[left << 32 | right] = rank
         self.bytes = [self.ranks[bytes([i])] for i in range(256)]
         self.queue = RankQueue(max(self.tokens) + 1)
-        self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.known: dict[bytes, tuple[int, bytes, bytes, bytes]] = {}
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each pre-token, all of them in one linked list and one queue.
@@ -189,8 +190,8 @@ class Encoder:
             out.append(found)
         return out
 
-    def entries(self, pieces: list[bytes]) -> list[tuple[int, bytes, bytes]]:
-        """Of each pre-token the number of ids, their decimal form with a blank after each, and the bytes they decode to."""
+    def entries(self, pieces: list[bytes]) -> list[tuple[int, bytes, bytes, bytes]]:
+        """Of each pre-token the number of ids, their decimal form with a blank after each, the bytes they decode to, and the ids as 32-bit numbers."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
@@ -200,7 +201,7 @@ class Encoder:
         found = {}
         for piece, ids in zip(whole + other, [[self.ranks[x]] for x in whole] + (self.encode(other) if other else [])):
             back = b"".join([self.tokens[i] for i in ids])
-            found[piece] = len(ids), (" ".join(map(str, ids)) + " ").encode(), piece if back == piece else back
+            found[piece] = len(ids), (" ".join(map(str, ids)) + " ").encode(), piece if back == piece else back, struct.pack(f"<{len(ids)}i", *ids)
         out = [known.get(x) or found[x] for x in pieces]
         known.update((k, v) for k, v in found.items() if len(k) <= 256)
         return out
@@ -253,17 +254,15 @@ def encoded(part: pa.RecordBatch, enc: Encoder, keep: bool) -> pa.RecordBatch:
     per_doc = np.searchsorted(cuts[:-1], off)  # the documents' offsets in pre-tokens
     total = np.concatenate([[0], np.cumsum(counts[pieces.indices.to_numpy()])]) if len(first) else np.zeros(1, np.int64)
     n_tokens = total[per_doc[1:]] - total[per_doc[:-1]]
-    texts = []
-    for k in (1, 2):
-        data, ends = text_bytes(pc.take(pa.array([e[k] for e in entries], pa.large_binary()), pieces.indices))
-        ends = ends[per_doc]
-        texts.append([data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])])
+    flat = [text_bytes(pc.take(pa.array([e[k] for e in entries], pa.large_binary()), pieces.indices)) for k in range(1, 3 + keep)]
+    bounds = [ends[per_doc] for _, ends in flat]
+    texts = [[data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])] for (data, _), ends in zip(flat[:2], bounds)]
     ids = [x[:-1] for x in texts[0]]
     sha = lambda x: hashlib.sha256(x).hexdigest()
     columns = [part.column("doc_id"), pa.array(n_tokens), pa.array([sha(x) for x in ids]), pa.array([sha(x) for x in texts[1]])]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     if keep:
-        columns += [pa.array([list(map(int, x.split())) for x in ids], pa.list_(pa.int32())), pa.array([x.decode("utf-8", "replace") for x in texts[1]])]
+        columns += [pa.ListArray.from_arrays(pa.array(bounds[2] // 4, pa.int32()), pa.array(np.frombuffer(flat[2][0].tobytes(), np.int32))), pa.array([x.decode("utf-8", "replace") for x in texts[1]])]
         names += ["ids", "decoded"]
     return pa.RecordBatch.from_arrays(columns, names)
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step inside a task works on; a longer document is a step of its own.
@@ -45,7 +45,17 @@ def shared_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_column() -> F.Column:
+#: Rows of keys that are broadcast to drop or keep rows (some 30 bytes each); more of them are joined by a shuffle.
+MOST_BROADCAST = 500_000
+
+
+def without(docs: DataFrame, keys: DataFrame, condition: Column, work: str) -> DataFrame:
+    """The rows of docs for which no row of keys fulfils the condition. keys is written first, so its size is known."""
+    keys = shared_table(keys, f"{work}/without")
+    return docs.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, condition, "left_anti")
+
+
+def text_column() -> Column:
     return F.coalesce(F.col("text"), F.lit("")).alias("text")
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shared_table, table
+from .common import shared_dir, shared_table, table, without
 from .urls import LOWER, UPPER
 
 SIZE = 10
@@ -96,7 +96,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The documents (all columns) without those that contain a window."""
     bad = occurrences(docs, benchmark, size).filter(F.col("length").isNotNull()).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_key")), "left_anti")
+    return without(docs, bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_key")), shared_dir(docs.sparkSession))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """The queries of this subpackage by name, and the SQL for those that SQL can express."""
 
-from . import bpe, decontaminate, language, media, quality, rlz, secrets, suffixes, urls
+from . import bpe, decontaminate, language, media, near, quality, rlz, secrets, suffixes, urls
 
 QUERIES = {
     "op1_rlz_dedup": rlz.op1_rlz_dedup,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_near_duplicates": near.op5_near_duplicates,
     "op6_language_id": language.op6_language_id,
     "op7_quality": quality.op7_quality,
     "op8_telephony_audio": media.op8_telephony_audio,
