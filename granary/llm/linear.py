@@ -100,17 +100,17 @@ class Model:
 
     def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
         """FTRL-Proximal, one row at a time, with an elastic-net penalty; every fifth row only serves to set the temperature."""
-        x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
         held = np.arange(len(x)) % 5 == 4
         k = len(self.classes)
-        z, n = np.zeros((x.shape[1], k)), np.zeros((x.shape[1], k))
+        width = x.shape[1]  # one more place for the bias
+        z, n = np.zeros((width + 1, k)), np.zeros((width + 1, k))
         rows = np.flatnonzero(~held) if (~held).any() else np.arange(len(x))
         rng = np.random.default_rng(seed)
         one = np.eye(k)
         for _ in range(self.epochs):
             for i in rng.permutation(rows):
-                at = np.flatnonzero(x[i])
-                v = x[i, at]
+                at = np.append(np.flatnonzero(x[i]), width)
+                v = np.append(x[i, at[:-1]], 1.0).astype(np.float64)
                 w = self._weights(z[at], n[at])
                 error = softmax((v @ w)[None])[0] - one[y[i]]
                 g = v[:, None] * error
@@ -120,7 +120,7 @@ class Model:
         w = self._weights(z, n)
         self.weights, self.bias = w[:-1].astype(np.float32), w[-1].astype(np.float32)
         check = np.flatnonzero(held) if held.any() else rows
-        logits = x[check, :-1] @ self.weights + self.bias
+        logits = (x[check] @ self.weights + self.bias).astype(np.float64)
         grid = np.exp(np.linspace(np.log(0.3), np.log(20), 121))
         loss = [-np.log(softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in grid]
         self.temperature = float(grid[int(np.argmin(loss))])

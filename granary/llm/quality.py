@@ -20,8 +20,8 @@ from .common import BYTE_VALUES, Fingerprints, shared_dir, shared_table, table,
 from .language import held_out
 from .linear import WIDTH, Model, document_frequencies, features, gram_counts, groups, idf, sample
 
-#: Labelled rows of each class that the classifiers learn from, at most.
-SAMPLE = 1500
+#: Labelled rows of each class that the quality and the toxicity classifier learn from, at most.
+SAMPLE, TOXIC_SAMPLE = 600, 1500
 #: Words that the toxicity classifier looks for, at most, and the toxic rows that must have such a word.
 VOCABULARY, LEAST_SEEN = 200, 4
 #: Bounds of the prior strengths, in documents, and of single probabilities.
@@ -69,7 +69,7 @@ class Classifiers:
         if len(set(few.column("quality").to_pylist())) == 2:
             x = np.vstack([features(counts(part), self.idf) for part in groups(few)])
             self.quality = Model([0, 1]).fit(x, np.array(few.column("quality").to_pylist()))
-        chosen = sample(known.filter(F.col("toxic").isin(0, 1)), "toxic", SAMPLE)
+        chosen = sample(known.filter(F.col("toxic").isin(0, 1)), "toxic", TOXIC_SAMPLE)
         self.words = telling_words(chosen)
         if self.words:
             few = self._rows(chosen.select("toxic", self.said(F.col("text")).alias("said"), "text"), "toxic")
