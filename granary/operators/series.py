@@ -76,7 +76,10 @@ def with_features(series: DataFrame) -> DataFrame:
     out = series.withColumn("place", place)
     for k in LAGS:
         out = out.withColumn(f"lag_{k}", F.lag("price", k).over(w))
-    out = out.withColumn("mean_7", full(7, F.avg("price"))).withColumn("mean_14", full(14, F.avg("price"))).withColumn("std_7", full(7, F.stddev_pop("price"))).withColumn("slope_7", full(7, F.regr_slope(F.col("price"), F.col("place").cast("double"))))
+    out = out.withColumn("mean_7", full(7, F.avg("price"))).withColumn("mean_14", full(14, F.avg("price"))).withColumn("std_7", full(7, F.stddev_pop("price")))
+    # The least-squares slope of 7 evenly spaced points is a fixed combination of them.
+    back = lambda k: F.lag("price", k).over(w)
+    out = out.withColumn("slope_7", (3 * (back(1) - back(7)) + 2 * (back(2) - back(6)) + (back(3) - back(5))) / 28)
     base = F.lag("price", 8).over(w)
     out = out.withColumn("change_7", F.when(base != 0, (F.col("lag_1") - base) / base)).withColumn("deviation", F.col("lag_1") - F.col("mean_14"))
     earlier = F.last("arrivals", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -2))

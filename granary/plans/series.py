@@ -30,7 +30,7 @@ base AS (
     {" UNION ALL ".join(f"SELECT mandi_id, commodity, reported_date, part, {h} AS horizon, a{h} AS actual, last_value, mean_7 FROM ahead" for h in s.HORIZONS)})
   WHERE actual IS NOT NULL AND last_value IS NOT NULL AND mean_7 IS NOT NULL)"""
 MEAN = lambda x: f"(sum(CAST(floor({x} * 1e6 + 0.5) AS BIGINT)) / count({x}) / 1e6)"
-R = lambda x, n: f"floor({x} * {float(10**n)} + 0.5) / {float(10**n)}"
+R = lambda x, n: f"floor(({x}) * {float(10**n)} + 0.5) / {float(10**n)}"
 
 
 def metrics_sql(p: str) -> str:
@@ -110,8 +110,8 @@ def rolling_features(spark, d):
     return out.select(*s.DAY, *[rounded(F.col(c), n).alias(c) for c, n in (("mean_7", 3), ("mean_14", 3), ("std_7", 3), ("change_7", 4), ("deviation", 3))])
 
 
-@query(f"""WITH {DAILY}, n AS (SELECT *, CAST(row_number() OVER ({W}) AS DOUBLE) AS place FROM series), f AS (SELECT mandi_id, commodity, reported_date, {rolling("regr_slope(price, place)", 7)} AS slope FROM n)
-SELECT mandi_id, commodity, reported_date, {R("slope", 3)} AS slope_7 FROM f""")
+@query(f"""WITH {DAILY}, n AS (SELECT mandi_id, commodity, reported_date, {", ".join(f"lag(price, {k}) OVER ({W}) AS l{k}" for k in range(1, 8))} FROM series)
+SELECT mandi_id, commodity, reported_date, {R("(3 * (l1 - l7) + 2 * (l2 - l6) + (l3 - l5)) / 28", 3)} AS slope_7 FROM n""")
 def slope_feature(spark, d):
     return s.with_features(daily(spark, d)).select(*s.DAY, rounded(F.col("slope_7"), 3).alias("slope_7"))
 
