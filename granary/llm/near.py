@@ -156,8 +156,9 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     out = np.zeros((n, n), np.float32)
-    width = max(64, (16 << 20) // (4 * n))
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = min(columns, max(64, (16 << 20) // (4 * n)))
+    for lo in range(0, columns, max(width, 1)):
         a, b = np.searchsorted(column, [lo, lo + width])
         m = np.zeros((n, width), np.float32)
         m[owner[a:b], column[a:b] - lo] = 1
