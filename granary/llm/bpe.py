@@ -28,7 +28,7 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 #: Pre-tokens that an encoder remembers before it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 600_000
 
 
 def classes() -> np.ndarray:
@@ -122,7 +122,10 @@ class Encoder:
                     self.pairs[left << 32 | right] = rank
         self.bytes = [self.ranks[bytes([i])] for i in range(256)]
         self.queue = RankQueue(max(self.tokens) + 1)
-        self.known: dict[bytes, tuple[int, bytes, bytes, bytes]] = {}
+        self.known: dict[bytes, bytes] = {}
+        every = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
+        self.decoded = pa.array(every, pa.large_binary())
+        self.written = pa.array([b"%d " % i for i in range(len(every))], pa.large_binary())
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each pre-token, all of them in one linked list and one queue.
@@ -190,18 +193,17 @@ class Encoder:
             out.append(found)
         return out
 
-    def entries(self, pieces: list[bytes]) -> list[tuple[int, bytes, bytes, bytes]]:
-        """Of each pre-token the number of ids, their decimal form with a blank after each, the bytes they decode to, and the ids as 32-bit numbers."""
+    def entries(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token as 32-bit numbers."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         new = [x for x in pieces if x not in known]
         whole = [x for x in new if x in self.ranks]
         other = [x for x in new if x not in self.ranks]
-        found = {}
-        for piece, ids in zip(whole + other, [[self.ranks[x]] for x in whole] + (self.encode(other) if other else [])):
-            back = b"".join([self.tokens[i] for i in ids])
-            found[piece] = len(ids), (" ".join(map(str, ids)) + " ").encode(), piece if back == piece else back, struct.pack(f"<{len(ids)}i", *ids)
+        found = {x: struct.pack("<i", self.ranks[x]) for x in whole}
+        if other:
+            found.update((x, struct.pack(f"<{len(ids)}i", *ids)) for x, ids in zip(other, self.encode(other)))
         out = [known.get(x) or found[x] for x in pieces]
         known.update((k, v) for k, v in found.items() if len(k) <= 256)
         return out
@@ -249,20 +251,20 @@ def encoded(part: pa.RecordBatch, enc: Encoder, keep: bool) -> pa.RecordBatch:
     first = np.flatnonzero(pretoken_starts(points, docs))
     cuts = np.append(at[first], len(raw)).astype(np.int32)
     pieces = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).dictionary_encode()
-    entries = enc.entries(pieces.dictionary.to_pylist())
-    counts = np.array([e[0] for e in entries], np.int64)
     per_doc = np.searchsorted(cuts[:-1], off)  # the documents' offsets in pre-tokens
-    total = np.concatenate([[0], np.cumsum(counts[pieces.indices.to_numpy()])]) if len(first) else np.zeros(1, np.int64)
-    n_tokens = total[per_doc[1:]] - total[per_doc[:-1]]
-    flat = [text_bytes(pc.take(pa.array([e[k] for e in entries], pa.large_binary()), pieces.indices)) for k in range(1, 3 + keep)]
-    bounds = [ends[per_doc] for _, ends in flat]
-    texts = [[data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])] for (data, _), ends in zip(flat[:2], bounds)]
+    data, ends = text_bytes(pc.take(pa.array(enc.entries(pieces.dictionary.to_pylist()), pa.large_binary()), pieces.indices))
+    flat, per_doc = pa.array(data.view("<i4")), ends[per_doc] // 4  # all ids, and the documents' offsets in them
+    texts = []
+    for table_ in (enc.written, enc.decoded):
+        data, ends = text_bytes(table_.take(flat))
+        ends = ends[per_doc]
+        texts.append([data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])])
     ids = [x[:-1] for x in texts[0]]
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    columns = [part.column("doc_id"), pa.array(n_tokens), pa.array([sha(x) for x in ids]), pa.array([sha(x) for x in texts[1]])]
+    columns = [part.column("doc_id"), pa.array(np.diff(per_doc)), pa.array([sha(x) for x in ids]), pa.array([sha(x) for x in texts[1]])]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     if keep:
-        columns += [pa.ListArray.from_arrays(pa.array(bounds[2] // 4, pa.int32()), pa.array(np.frombuffer(flat[2][0].tobytes(), np.int32))), pa.array([x.decode("utf-8", "replace") for x in texts[1]])]
+        columns += [pa.ListArray.from_arrays(pa.array(per_doc, pa.int32()), flat), pa.array([x.decode("utf-8", "replace") for x in texts[1]])]
         names += ["ids", "decoded"]
     return pa.RecordBatch.from_arrays(columns, names)
 
