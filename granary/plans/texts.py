@@ -1 +1,103 @@
-"""To come."""
+"""Queries over questions: turns of conversations, each with a question from a fixed list put after its text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from granary.functions import texts as t
+from granary.operators import talks
+from granary.plans.registry import query
+from granary.sources import prices as p
+
+QUESTIONS = (
+    "onion price", "what about Nashik", "will it go up tomorrow", "कांद्याचा भाव काय आहे", "is it risky to sell tomato", "which mandi is best for sweet potatoes", "thanks", "my onion leaves are turning yellow and I do not know why",
+    "should i sell now or wait 3 days", "how reliable is the forecast", "wheat trend last month in Pune", "what is msp", "hello", "आलू का भाव ₹1,400 - ₹1,600", "potato?", "बाजार १४०० रुपये", "day after tomorrow", "corn 1,250.5 and 7 days",
+)
+
+
+def turns(spark, d):
+    k = (F.col("conv_id") * 7 + F.col("turn")) % len(QUESTIONS)
+    return p.table(spark, d, "conversations").select("conv_id", "turn", F.element_at(F.array(*map(F.lit, QUESTIONS)), (k + 1).cast("int")).alias("text"), F.col("text").alias("original"))
+
+
+def plain(words, stems=()) -> str:
+    """The pattern without lookaround: a neighbour that is no letter or mark, or the text's edge."""
+    parts = [f"(^|[^\\p{{L}}\\p{{M}}])(?:{'|'.join(words)})($|[^\\p{{L}}\\p{{M}}])"] if words else []
+    return ("(?i)" + "|".join(parts + ([f"(^|[^\\p{{L}}\\p{{M}}])(?:{'|'.join(stems)})"] if stems else []))).replace("'", "''")
+
+
+def says(c: str, what) -> str:
+    return f"regexp_matches({c}, '{plain(*what)}')"
+
+
+def first(c: str, named) -> str:
+    return "CASE " + " ".join(f"WHEN {says(c, (w, s))} THEN '{n}'" for n, w, s in named) + " END"
+
+
+EDGE = "($|[^\\p{L}\\p{M}])"
+_DAYS = f"regexp_extract(text, '(?i)(?:^|[^\\p{{L}}\\p{{M}}])([1-7])\\s*(?:-\\s*)?(?:days?|दिन|दिवस)(?:$|[^\\p{{L}}\\p{{M}}])', 1)"
+TURNS = f"""
+turns AS (SELECT conv_id, turn, [{", ".join(f"'{x}'" for x in QUESTIONS)}][CAST((conv_id * 7 + turn) % {len(QUESTIONS)} + 1 AS INTEGER)] AS text FROM conversations),
+own AS (SELECT *, {first("text", t.CROPS)} AS crop_here, {first("text", t.PLACES)} AS place_here FROM turns),
+heard AS (SELECT *, last_value(crop_here IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS crop, last_value(place_here IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place FROM own),
+understood AS (
+  SELECT conv_id, turn, crop, place, CASE WHEN {says("text", t.DAY_AFTER)} THEN 2 WHEN {_DAYS} <> '' THEN CAST({_DAYS} AS INTEGER) WHEN {says("text", t.TOMORROW)} THEN 1 END AS horizon,
+    CASE WHEN regexp_matches(text, '(?i){t.EDUCATION}') THEN 'MARKET_EDUCATION' WHEN {says("text", t.RECOMMEND)} THEN 'RECOMMENDATION_EXPLANATION' WHEN {says("text", t.UNCERTAINTY)} AND ({says("text", t.FORECAST)} OR regexp_matches(text, '(?i)interval|अंदाज|खात्री')) THEN 'FORECAST_UNCERTAINTY'
+         WHEN {says("text", t.SELL)} THEN 'SELL_TIMING' WHEN {says("text", t.RISK)} THEN 'RISK_EXPLANATION' WHEN {says("text", t.FORECAST)} THEN 'FORECAST' WHEN {says("text", t.HISTORY)} THEN 'PRICE_HISTORY' WHEN {says("text", t.PRICE)} THEN 'LATEST_PRICE'
+         WHEN (len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) <= 4 AND (crop_here IS NOT NULL OR place_here IS NOT NULL)) OR (regexp_matches(text, '(?i){t.FOLLOW_UP}{EDGE}') AND (crop IS NOT NULL OR place IS NOT NULL)) THEN 'LATEST_PRICE'
+         WHEN regexp_matches(text, '(?i){t.GREETING}{EDGE}') OR {says("text", t.SMALL_TALK)} THEN 'GENERAL_GREETING' ELSE 'CLARIFICATION' END AS intent FROM heard)"""
+
+
+@query(f"WITH {TURNS} SELECT * FROM understood", obs=False)
+def entity_carry_forward(spark, d):
+    return talks.understood(turns(spark, d))
+
+
+@query(f"WITH {TURNS} SELECT intent, count(*) AS turns, count(DISTINCT conv_id) AS conversations FROM understood GROUP BY intent", obs=False)
+def intent_counts(spark, d):
+    return talks.understood(turns(spark, d)).groupBy("intent").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"))
+
+
+@query(f"WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents) SELECT crop, count(*) AS documents FROM (SELECT {first('text', t.CROPS)} AS crop FROM docs) GROUP BY crop", obs=False)
+def crop_detection(spark, d):
+    return p.table(spark, d, "documents").select(t.crop(F.coalesce("text", F.lit(""))).alias("crop")).groupBy("crop").agg(F.count("*").alias("documents"))
+
+
+@query("""WITH n AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(translate(text, '०१२३४५६७८९', '0123456789'), '(\\d),(\\d{2,3})', '\\1\\2', 'g'), '\\d+(?:\\.\\d+)?') AS n FROM (SELECT conv_id, turn, text FROM turns))
+SELECT conv_id, turn, len(n) AS numbers, list_sum(list_transform(n, lambda x: CAST(x AS DOUBLE))) AS total FROM n WHERE len(n) > 0""".replace("WITH n", f"WITH {TURNS.split('own AS')[0].rstrip().rstrip(',')}, n"), obs=False)
+def number_extraction(spark, d):
+    found = turns(spark, d).select("conv_id", "turn", t.numbers(F.col("text")).alias("n")).filter(F.size("n") > 0)
+    return found.select("conv_id", "turn", F.size("n").alias("numbers"), F.aggregate("n", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+def answer_grounding(spark, d):
+    """The newest price of each series told rightly, rounded, and wrongly: what the check finds."""
+    from granary.operators import market as m
+
+    latest = m.latest(p.observations(spark, d)).select("observation_id", "modal_price")
+    k = F.conv(F.substring("observation_id", 1, 4), 16, 10).cast("long") % 3
+    said = F.when(k == 0, F.col("modal_price")).when(k == 1, F.floor(F.col("modal_price")).cast("double")).otherwise(F.col("modal_price") * 1.5 + 100)
+    answer = F.concat(F.lit("In 2 markets the price is ₹"), F.format_number(said, 1), F.lit(" per quintal."))
+    return latest.select("observation_id", (F.size(t.ungrounded(answer, F.array("modal_price"))) == 0).alias("grounded"))
+
+
+query("SELECT observation_id, CAST(('0x' || substr(observation_id, 1, 4)) AS BIGINT) % 3 <> 2 AS grounded FROM (SELECT *, row_number() OVER (PARTITION BY mandi_id, commodity, variety ORDER BY reported_date DESC, observation_id DESC) AS place FROM obs) WHERE place = 1")(answer_grounding)
+
+
+@query()
+def speech_text(spark, d):
+    return turns(spark, d).select("conv_id", "turn", t.speech(F.col("text")).alias("spoken"))
+
+
+@query("""WITH runs AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x5e\\x60\\x7b-\\x7f]+') AS w FROM (SELECT conv_id * 1000 + turn AS doc_id, 'prices in ' || CASE WHEN turn % 3 = 0 THEN 'NATION_' || CAST(conv_id % 30 AS VARCHAR) WHEN turn % 3 = 1 THEN 'Asia now' ELSE 'nowhere' END AS text FROM conversations)),
+said AS (SELECT DISTINCT doc_id, unnest(w) AS alias FROM runs)
+SELECT doc_id AS text_id, alias, CASE WHEN alias <> 'asia' THEN n_name END AS market, r_name AS district FROM said JOIN nation ON lower(n_name) = alias JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT doc_id, alias, NULL, r_name FROM said JOIN region ON lower(r_name) = alias""", obs=False)
+def place_detection(spark, d):
+    """Aliases are the markets' names, and the regions' for all their markets."""
+    k = F.col("turn") % 3
+    text = F.concat(F.lit("prices in "), F.when(k == 0, F.concat(F.lit("NATION_"), (F.col("conv_id") % 30).cast("string"))).when(k == 1, "Asia now").otherwise("nowhere"))
+    asked = p.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), text.alias("text"))
+    places = p.table(spark, d, "nation").join(p.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    aliases = places.select(F.col("n_name").alias("alias"), F.col("n_name").alias("market"), F.col("r_name").alias("district")).unionByName(places.select(F.col("r_name").alias("alias"), F.col("n_name").alias("market"), F.col("r_name").alias("district")))
+    return talks.named_places(asked, aliases)
