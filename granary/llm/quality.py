@@ -13,12 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, Fingerprints, shared_dir, shared_table, table, text_bytes, words_of
+from .common import BYTE_VALUES, MOST_BROADCAST, Fingerprints, shared_dir, shared_table, table, text_bytes, words_of
 from .language import held_out
-from .linear import WIDTH, Model, document_frequencies, features, gram_counts, groups, idf, sample
+from .linear import WIDTH, Model, document_frequencies, features, gram_counts, groups, idf
 
 #: Labelled rows of each class that the quality and the toxicity classifier learn from, at most.
 SAMPLE, TOXIC_SAMPLE = 600, 1500
@@ -61,20 +61,28 @@ class Classifiers:
     """A quality and a toxicity classifier; quality is None, or words empty, if the labelled rows don't have both values."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
-        known = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(labels.select("doc_id", "quality", "toxic"), "doc_id")
-        known = known.filter(~held_out())
-        df, total = document_frequencies(known, counts, WIDTH + 1)
+        docs = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
+        labels = labels.select("doc_id", "quality", "toxic").filter(~held_out())
+        ids = labels.select("doc_id").distinct()
+        df, total = document_frequencies(docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi"), counts, WIDTH + 1)
         self.idf, self.quality, self.toxic = idf(df, total), None, None
-        few = self._rows(sample(known.filter(F.col("quality").isin(0, 1)), "quality", SAMPLE), "quality")
+        few = self._rows(self._sample(docs, labels, "quality", SAMPLE), "quality")
         if len(set(few.column("quality").to_pylist())) == 2:
             x = np.vstack([features(counts(part), self.idf) for part in groups(few)])
             self.quality = Model([0, 1]).fit(x, np.array(few.column("quality").to_pylist()))
-        chosen = sample(known.filter(F.col("toxic").isin(0, 1)), "toxic", TOXIC_SAMPLE)
+        chosen = self._sample(docs, labels, "toxic", TOXIC_SAMPLE)
         self.words = telling_words(chosen)
         if self.words:
             few = self._rows(chosen.select("toxic", self.said(F.col("text")).alias("said"), "text"), "toxic")
             self.toxic = Model([0, 1], l1=0.5).fit(self.presence(few.column("said")), np.array(few.column("toxic").to_pylist()))
 
+    @staticmethod
+    def _sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+        """The texts of up to so many labelled ids of each value, by a hash of the id. The ids are chosen first, so no text is shuffled."""
+        order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = labels.filter(F.col(label).isin(0, 1)).select("doc_id", label).distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+        return docs.join(F.broadcast(ids.drop("place")), "doc_id").select("text", label)
+
     @staticmethod
     def _rows(few: DataFrame, label: str) -> pa.RecordBatch:
         """The bounded sample in an order that depends on its rows alone."""
