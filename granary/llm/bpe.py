@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import code_points, slices, table, text_bytes, text_column
+from .common import code_points, in_small_batches, slices, table, text_bytes, text_column
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
@@ -242,7 +242,7 @@ def byte_bpe(docs: DataFrame, ranks: str | None = None, keep: bool = False) -> D
             for part in slices(batch):
                 yield encoded(part, enc, keep)
 
-    return docs.select("doc_id", text_column()).mapInArrow(run, schema)
+    return in_small_batches(docs).select("doc_id", text_column()).mapInArrow(run, schema)
 
 
 def encoded(part: pa.RecordBatch, enc: Encoder, keep: bool) -> pa.RecordBatch:

@@ -55,6 +55,18 @@ def without(docs: DataFrame, keys: DataFrame, condition: Column, work: str) -> D
     return docs.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, condition, "left_anti")
 
 
+#: Rows of an Arrow batch on its way to Python; texts are long, and a batch is held on both sides.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering its session's limit of rows in an Arrow batch to BATCH_ROWS, unless it is lower."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def text_column() -> Column:
     return F.coalesce(F.col("text"), F.lit("")).alias("text")
 

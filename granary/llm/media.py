@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table, text_bytes, text_column
+from .common import in_small_batches, slices, table, text_bytes, text_column
 
 RATE, BLOCK = 8000, 64
 FORMATS = {"mulaw": 7, "alaw": 6}
@@ -116,7 +116,7 @@ def telephony(docs: DataFrame, codec: str = "mulaw", keep: bool = False) -> Data
             for part in slices(batch):
                 yield convert(part, codec, keep)
 
-    return docs.select("doc_id", text_column()).mapInArrow(run, schema)
+    return in_small_batches(docs).select("doc_id", text_column()).mapInArrow(run, schema)
 
 
 def convert(part: pa.RecordBatch, codec: str, keep: bool) -> pa.RecordBatch:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, MOST_BROADCAST, Fingerprints, mix, shared_dir, shared_table, slices, table, text_bytes, without, words_of
+from .common import BYTE_VALUES, MOST_BROADCAST, Fingerprints, in_small_batches, mix, shared_dir, shared_table, slices, table, text_bytes, without, words_of
 
 TREES, ROWS, DEPTH = 24, 4, 3
 #: Neighbours in each direction of a tree's order, and the share of minima that a candidate pair must agree in: for pairs at the
@@ -90,7 +90,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 signature = pa.array([x.tobytes() for x in s.signatures()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s.sizes), pa.array(s.keys(), mask=none), signature], ["doc_id", "n_shingles", "class", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SKETCH)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SKETCH)
 
 
 def forest(classes: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_bytes, text_column
+from .common import in_small_batches, slices, table, text_bytes, text_column
 
 # The base patterns, as bytes (each class is ASCII only).
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -155,7 +155,7 @@ def thresholds(docs: DataFrame) -> dict[int, int]:
                     seen[s, p_class(p)] = seen.get((s, p_class(p)), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["stratum", "p_class", "n"])
 
-    rows = docs.select(text_column()).mapInArrow(count, "stratum int, p_class int, n long").groupBy("stratum", "p_class").agg(F.sum("n").alias("n")).collect()
+    rows = in_small_batches(docs).select(text_column()).mapInArrow(count, "stratum int, p_class int, n long").groupBy("stratum", "p_class").agg(F.sum("n").alias("n")).collect()
     out: dict[int, int] = {}
     for s in {r.stratum for r in rows}:
         of = np.zeros(CLASSES, np.int64)
