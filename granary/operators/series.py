@@ -132,7 +132,7 @@ MICRO = 1e6
 
 def exact_mean(x: Column) -> Column:
     """A mean over whole millionths, which adds up to the same in any order."""
-    return F.sum(F.floor(x * MICRO + 0.5)) / F.count(x) / MICRO
+    return F.sum(F.floor(x * MICRO + 0.5).cast("decimal(28,0)")).cast("double") / F.count(x) / MICRO
 
 
 def metrics(rows: DataFrame, predicted: str, keys: tuple[str, ...] = ("horizon",)) -> DataFrame:
