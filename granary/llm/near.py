@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 from .common import BYTE_VALUES, MOST_BROADCAST, Fingerprints, in_small_batches, mix, shared_dir, shared_table, slices, table, text_bytes, without, words_of
 
 TREES, ROWS, DEPTH = 24, 4, 3
-#: Neighbours in each direction of a tree's order, and the share of minima that a candidate pair must agree in: for pairs at the
-#: threshold the share is below that by chance once in 10**9.
-NEIGHBOURS, LEAST_AGREEMENT = 2, 0.55
+#: The share of minima that a candidate pair must agree in: for pairs at the threshold it is below that by chance once in 10**9.
+LEAST_AGREEMENT = 0.55
 #: A tile has at most so many classes and shingles.
 TILE_CLASSES, TILE_SHINGLES = 2048, 1_500_000
 GROUP_BYTES = 6 << 20
@@ -110,10 +109,15 @@ def forest(classes: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame, work: str) -> DataFrame:
-    """Pairs of classes (a < b) that are neighbours in some tree and agree in enough minima."""
+    """Pairs of classes (a < b) that are neighbours in some tree and agree in enough minima.
+
+    Neighbours that agree in more than DEPTH minima are a close match, and the order's chain goes on from them. Where the one before
+    agrees in no more than that, something else may have come in between, so the one before it is a candidate as well.
+    """
     order = Window.partitionBy("tree", "key").orderBy("deeper", "class")
-    near = forest(classes).select("class", *[F.lag("class", k).over(order).alias(f"n{k}") for k in range(1, NEIGHBOURS + 1)])
-    pairs = near.select("class", F.explode(F.array(*[f"n{k}" for k in range(1, NEIGHBOURS + 1)])).alias("other")).filter("other is not null")
+    shallow = F.shiftright("deeper", 48) != F.shiftright(F.lag("deeper").over(order), 48)
+    near = forest(classes).select("class", F.lag("class", 1).over(order).alias("n1"), F.when(shallow, F.lag("class", 2).over(order)).alias("n2"))
+    pairs = near.filter("n1 is not null").select("class", F.explode(F.array_compact(F.array("n1", "n2"))).alias("other"))
     pairs = shared_table(pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct(), f"{work}/pairs")
     signature = lambda n: classes.select(F.col("class").alias(n), F.col("signature").alias(f"s{n}"))
 
