@@ -7,10 +7,11 @@ bounded training sample comes to the driver, which fits the weights.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import code_points, in_small_batches, slices, text_bytes
@@ -134,13 +135,14 @@ class Model:
 
 
 def sample(docs: DataFrame, label: str, most: int) -> DataFrame:
-    """Up to so many rows of each label (columns text and label), by a hash of the text; ties by the text itself.
+    """Up to so many different texts of each label (columns text and label), those of the least hashes.
 
-    Partial top lists keep the shuffle at that size for each task and label.
+    The hashes are ranked by themselves and the driver gets one bound for each label, so only chosen texts are shuffled, copies of a text as
+    one. The number of labels must be bounded.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(label).orderBy("h", "text")
-    return docs.select("text", label, F.xxhash64("text").alias("h")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("text", label)
-
-
+    hashed = docs.select("text", label, F.xxhash64("text").alias("h"))
+    order = Window.partitionBy(label).orderBy("h")
+    ranked = hashed.select(label, "h").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    bounds = {r[label]: r.h for r in ranked.groupBy(label).agg(F.max("h").alias("h")).collect()}
+    chosen = reduce(lambda a, b: a | b, [(F.col(label) == k) & (F.col("h") <= h) for k, h in bounds.items()], F.lit(False))
+    return hashed.filter(chosen).groupBy(label, "h").agg(F.min("text").alias("text")).select("text", label)
