@@ -34,10 +34,13 @@ def lookup(values: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
 
 
+#: White space around, or a word for "missing" alone.
+_MISSING = r"(?i)^\s*(?:" + "|".join(x.replace("/", "\\/") for x in MISSING if x) + r")?\s*$"
+
+
 def clean(text: Column) -> Column:
     """White space collapsed; null for what stands for missing."""
-    out = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(~F.lower(out).isin(*MISSING), out)
+    return F.when(~text.rlike(_MISSING), F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
 def name_key(text: Column) -> Column:

@@ -16,9 +16,8 @@ NOW = "2001-09-01"
 
 def raw(spark, d) -> DataFrame:
     """Observations as text: two date forms, three price units and three arrival units, and every so often a fault."""
-    obs = p.observations(spark, d)
-    k = F.conv(F.substring("observation_id", 1, 6), 16, 10).cast("long")
-    fault = k % 97
+    obs = p.observations(spark, d).withColumn("k", F.conv(F.substring("observation_id", 1, 6), 16, 10).cast("long")).withColumn("fault", F.col("k") % 97)
+    k, fault = F.col("k"), F.col("fault")
     unit = F.element_at(F.array(*map(F.lit, ("Rs / Quintal", "INR/kg", "₹/tonne"))), (k % 3 + 1).cast("int"))
     scale = F.element_at(F.array(*map(F.lit, (1.0, 0.01, 10.0))), (k % 3 + 1).cast("int"))
     price = lambda c: F.format_string("%.4f", F.col(c) * scale)
