@@ -219,3 +219,49 @@ def rows_per_source_of_day(spark, d):
 @query(f"WITH {LATEST} SELECT mandi, count(*) AS series, max(reported_date) AS last_date FROM latest GROUP BY mandi")
 def current_series_per_market(spark, d):
     return m.latest(p.observations(spark, d)).groupBy("mandi").agg(F.count("*").alias("series"), F.max("reported_date").alias("last_date"))
+
+
+@query("SELECT DISTINCT mandi_id, commodity FROM obs WHERE source = 'CEDA' UNION SELECT DISTINCT mandi_id, commodity FROM obs WHERE source = 'DATA_GOV_IN' AND reported_date >= DATE '2001-01-01'")
+def series_union(spark, d):
+    obs = p.observations(spark, d)
+    side = lambda **asked: m.where(obs, **asked).select(*m.SERIES)
+    return side(source="CEDA").unionByName(side(source="DATA_GOV_IN", start="2001-01-01")).distinct()
+
+
+@query("SELECT DISTINCT mandi_id, commodity, variety FROM obs EXCEPT SELECT mandi_id, commodity, variety FROM obs WHERE source = 'CEDA'")
+def series_difference(spark, d):
+    obs = p.observations(spark, d)
+    keys = (*m.SERIES, "variety")
+    return obs.select(*keys).distinct().join(m.where(obs, source="CEDA").select(*keys).distinct(), [*keys], "left_anti")
+
+
+@query("SELECT mandi, min(reported_date) AS first_date, max(reported_date) AS last_date, count(*) AS records, string_agg(DISTINCT commodity, ',' ORDER BY commodity) AS commodities FROM obs WHERE NOT is_sample GROUP BY mandi")
+def market_registry(spark, d):
+    names = F.array_join(F.array_sort(F.collect_set("commodity")), ",")
+    return m.genuine(p.observations(spark, d)).groupBy("mandi").agg(F.min("reported_date").alias("first_date"), F.max("reported_date").alias("last_date"), F.count("*").alias("records"), names.alias("commodities"))
+
+
+@query("SELECT DISTINCT state, district, mandi FROM obs WHERE lower(state) = 'europe'")
+def location_cascade(spark, d):
+    return m.where(p.observations(spark, d), state="Europe").select("state", "district", "mandi").distinct()
+
+
+@query("SELECT lower(variety) AS key, min(variety) AS variety FROM obs GROUP BY lower(variety)")
+def varieties(spark, d):
+    return p.observations(spark, d).groupBy(F.lower("variety").alias("key")).agg(F.min("variety").alias("variety"))
+
+
+@query("WITH k AS (SELECT *, row_number() OVER (PARTITION BY mandi_id, commodity ORDER BY reported_date DESC, observation_id DESC) AS k FROM obs) SELECT observation_id, mandi_id, commodity, reported_date FROM k WHERE k <= 3")
+def bounded_history(spark, d):
+    """The last three reports of every series, in one plan."""
+    return m.latest(p.observations(spark, d), m.SERIES, n=3).select("observation_id", "mandi_id", "commodity", "reported_date")
+
+
+@query(f"WITH {SYNC_SQL} SELECT run_id, source, status, synced_on, records_fetched FROM runs ORDER BY synced_on DESC, run_id DESC LIMIT 10", obs=False)
+def pipeline_runs(spark, d):
+    return p.sync_log(spark, d).orderBy(F.desc("synced_on"), F.desc("run_id")).limit(10).select("run_id", "source", "status", "synced_on", "records_fetched")
+
+
+@query("SELECT source, quality_status, count(*) AS records FROM obs GROUP BY source, quality_status UNION ALL SELECT source, NULL, count(*) FROM obs GROUP BY source UNION ALL SELECT NULL, NULL, count(*) FROM obs")
+def status_rollup(spark, d):
+    return p.observations(spark, d).rollup("source", "quality_status").agg(F.count("*").alias("records"))
