@@ -14,4 +14,4 @@ QUERIES = {
     "op9_url_filter": urls.op9_url_filter,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
-ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.OP3_SQL, "op9_url_filter": urls.OP9_SQL}
+ORACLE: dict[str, str] = {"op1_rlz_dedup": rlz.OP1_SQL, "op5_near_duplicates": near.OP5_SQL, "op3_decontaminate": decontaminate.OP3_SQL, "op9_url_filter": urls.OP9_SQL}

@@ -106,3 +106,15 @@ def result(group: pa.Table, p: Parsed, gone: np.ndarray, keep: bool) -> pa.Table
 
 def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factored(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, pos, array_to_string(list_slice(w, pos, pos + {WORDS - 1}), ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {WORDS - 1})) AS pos FROM d WHERE len(w) >= {WORDS})),
+f AS (SELECT s, min(doc_id) AS first_id FROM g GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + {WORDS - 1})) AS pos FROM g JOIN f ON f.s = g.s WHERE first_id < doc_id),
+kept AS (
+  SELECT w.doc_id AS doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY w.pos) AS text FROM (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos FROM d) w
+  LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.pos = w.pos WHERE gone.pos IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id AS doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
