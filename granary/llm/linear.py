@@ -18,8 +18,8 @@ from .common import code_points, in_small_batches, slices, text_bytes
 
 #: log2 of the number of hashed features.
 WIDTH = 13
-#: Texts are counted in groups of about so many bytes: a count matrix has a row for each document.
-GROUP_BYTES = 1 << 20
+#: Texts are counted in groups of about so many bytes and at most so many rows: a count matrix has a row for each document.
+GROUP_BYTES, GROUP_ROWS = 1 << 20, 64
 
 
 def gram_counts(part: pa.RecordBatch, orders: tuple[int, ...] = (1, 2, 3), width: int = WIDTH, lower: bool = True) -> np.ndarray:
@@ -48,8 +48,8 @@ def gram_counts(part: pa.RecordBatch, orders: tuple[int, ...] = (1, 2, 3), width
 
 def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for part in slices(batch, budget=GROUP_BYTES):
-        for a in range(0, part.num_rows, 512):
-            yield part.slice(a, min(512, part.num_rows - a))
+        for a in range(0, part.num_rows, GROUP_ROWS):
+            yield part.slice(a, min(GROUP_ROWS, part.num_rows - a))
 
 
 def document_frequencies(docs: DataFrame, counts=gram_counts, width: int = WIDTH) -> tuple[np.ndarray, int]:

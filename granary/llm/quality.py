@@ -41,13 +41,13 @@ def counts(part: pa.RecordBatch) -> np.ndarray:
 
 
 def plain_words(text: Column) -> Column:
-    """The distinct lower-case words of a text."""
-    return F.array_distinct(F.split(F.lower(text), "[^\\p{L}]+"))
+    """The lower-case words of a text."""
+    return F.split(F.lower(text), "[^\\p{L}]+")
 
 
 def telling_words(few: DataFrame) -> list[str]:
     """Up to VOCABULARY words that are far more frequent in toxic rows (columns text and toxic) than in others."""
-    said = few.select("toxic", F.explode(plain_words(F.col("text"))).alias("word")).filter("word != ''")
+    said = few.select("toxic", F.explode(F.array_distinct(plain_words(F.col("text")))).alias("word")).filter("word != ''")
     seen = said.groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count("*").alias("n"))
     size = few.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
     if not size.bad or size.bad == size.n:
