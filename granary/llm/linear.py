@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import code_points, in_small_batches, slices, text_bytes
@@ -134,6 +134,17 @@ class Model:
         return softmax((x @ self.weights + self.bias).astype(np.float64) / self.temperature)
 
 
+def least(df: DataFrame, label: str, most: int, *order: Column) -> DataFrame:
+    """Up to so many rows of each label, the first in an order without ties.
+
+    They are ranked in shares first, as many as a shuffle has partitions, so that no task ranks all rows of a label.
+    """
+    share = F.pmod(F.xxhash64(*order), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    for keys in ((F.col(label), share), (F.col(label),)):
+        df = df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= most)
+    return df.drop("place")
+
+
 def sample(docs: DataFrame, label: str, most: int) -> DataFrame:
     """Up to so many different texts of each label (columns text and label), those of the least hashes.
 
@@ -141,8 +152,6 @@ def sample(docs: DataFrame, label: str, most: int) -> DataFrame:
     one. The number of labels must be bounded.
     """
     hashed = docs.select("text", label, F.xxhash64("text").alias("h"))
-    order = Window.partitionBy(label).orderBy("h")
-    ranked = hashed.select(label, "h").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-    bounds = {r[label]: r.h for r in ranked.groupBy(label).agg(F.max("h").alias("h")).collect()}
+    bounds = {r[label]: r.h for r in least(hashed.select(label, "h").distinct(), label, most, F.col("h")).groupBy(label).agg(F.max("h").alias("h")).collect()}
     chosen = reduce(lambda a, b: a | b, [(F.col(label) == k) & (F.col("h") <= h) for k, h in bounds.items()], F.lit(False))
     return hashed.filter(chosen).groupBy(label, "h").agg(F.min("text").alias("text")).select("text", label)

@@ -13,12 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BYTE_VALUES, MOST_BROADCAST, Fingerprints, shared_dir, shared_table, table, text_bytes, words_of
 from .language import held_out
-from .linear import WIDTH, Model, document_frequencies, features, gram_counts, groups, idf
+from .linear import WIDTH, Model, document_frequencies, features, gram_counts, groups, idf, least
 
 #: Labelled rows of each class that the quality and the toxicity classifier learn from, at most.
 SAMPLE, TOXIC_SAMPLE = 600, 1500
@@ -79,9 +79,8 @@ class Classifiers:
     @staticmethod
     def _sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
         """The texts of up to so many labelled ids of each value, by a hash of the id. The ids are chosen first, so no text is shuffled."""
-        order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-        ids = labels.filter(F.col(label).isin(0, 1)).select("doc_id", label).distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-        return docs.join(F.broadcast(ids.drop("place")), "doc_id").select("text", label)
+        ids = least(labels.filter(F.col(label).isin(0, 1)).select("doc_id", label).distinct(), label, most, F.xxhash64("doc_id"), F.col("doc_id"))
+        return docs.join(F.broadcast(ids), "doc_id").select("text", label)
 
     @staticmethod
     def _rows(few: DataFrame, label: str) -> pa.RecordBatch:

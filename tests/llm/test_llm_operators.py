@@ -6,7 +6,7 @@ import pytest
 from brute import components, contamination, lowered, repeats, rlz, secrets, sha
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, common, decontaminate, grams, language, media, near, quality, suffixes, urls
+from granary.llm import bpe, common, decontaminate, grams, language, linear, media, near, quality, suffixes, urls
 from granary.llm import secrets as scans
 from granary.llm.queries import QUERIES
 from granary.llm.rlz import factored
@@ -170,6 +170,15 @@ def test_language_odd(spark):
     assert rows(language.in_known_language(df), "doc_id") == rows(df.filter("text rlike '[a-z]'"), "doc_id")
 
 
+def test_least_rows_of_each_label(spark):
+    df = spark.range(500).select(F.when(F.col("id") % 50 == 0, "rare").otherwise("hot").alias("label"), ((F.col("id") * 37) % 500).alias("h"))
+    every = sorted((r.label, r.h) for r in df.collect())
+    for most in (1, 30, 1000):
+        expected = [x for k in ("hot", "rare") for x in [y for y in every if y[0] == k][:most]]
+        assert rows(linear.least(df, "label", most, F.col("h"))) == sorted(expected, key=str)
+    assert linear.least(df.limit(0), "label", 3, F.col("h")).collect() == []
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.01"
     labels = common.table(spark, d, "labels")
