@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, Fingerprints, shared_dir, shared_table, table, text_bytes
+from .common import BYTE_VALUES, Fingerprints, shared_dir, shared_table, shuffles_removed, table, text_bytes
 from .grams import SENT, answered, as_batch, blocks, bucket_count, exchange, flags_of, sent
 from .rlz import covered
 
@@ -94,7 +94,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = False) -
     work = shared_dir(docs.sparkSession)
     sample_buckets = bucket_count(volume * len(COVER) // PERIOD)
     suffix_buckets = bucket_count(volume // 3)
-    ranks = shared_table(exchange(rows, lambda group: Sampled(group, length).samples, "repeated", sample_buckets), f"{work}/ranks")
+    with shuffles_removed(docs.sparkSession):
+        ranks = shared_table(exchange(rows, lambda group: Sampled(group, length).samples, "repeated", sample_buckets), f"{work}/ranks")
 
     def live(group: pa.Table, ranks: pa.Table) -> tuple[Sampled, np.ndarray, np.ndarray]:
         s = Sampled(group, length)
