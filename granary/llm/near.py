@@ -2,11 +2,10 @@
 
 1. Sketch. Each document's set of distinct word shingles gives its size, a fingerprint of the whole set and a signature of
    TREES * ROWS minima. Documents with equal sets are one class from here on.
-2. Forest. Each tree sorts the classes by its own stretch of the signature (the stretch goes on into the next tree's, so an
-   order can be deeper than ROWS). A region is what agrees in the first DEPTH minima; a class's candidates are its neighbours
-   in the order, those with the longest common prefix. In a crowded region the neighbours agree to a greater depth,
-   in a sparse one DEPTH is enough. Pairs whose signatures agree too little are dropped; what
-   candidates connect is a cluster.
+2. Forest. Each tree groups the classes by its own DEPTH minima of the signature. All pairs of a region (what agrees in a tree's
+   minima) whose signatures agree enough are candidates; what candidates connect is a cluster. A sparse region gives its pairs; of a
+   crowded one, what its pairs connect is found by comparing signatures in it, tile by tile, so that near copies cost no pairs. Which
+   other classes are in a region makes no difference to a pair.
 3. Exact links. Each cluster's full sets are compared by counting common shingles (a matrix product over tiles of a bounded
    size; a large cluster is dealt out by pairs of tiles), so no link inside it is lost, whether its ends were neighbours or not.
    The links' connected components are the result.
@@ -27,6 +26,8 @@ from .common import BYTE_VALUES, MOST_BROADCAST, Fingerprints, in_small_batches,
 TREES, ROWS, DEPTH = 24, 4, 3
 #: The share of minima that a candidate pair must agree in: for pairs at the threshold it is below that by chance once in 10**9.
 LEAST_AGREEMENT = 0.55
+#: A region of more classes is crowded; it is compared in pairs of tiles of about so many.
+CROWD, REGION_TILE = 16, 16384
 #: A tile has at most so many classes and shingles.
 TILE_CLASSES, TILE_SHINGLES = 2048, 1_500_000
 GROUP_BYTES = 6 << 20
@@ -93,32 +94,54 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """tree, key (the first DEPTH minima), deeper (the next four) and class, for each class and tree."""
+    """tree, key (its DEPTH minima) and class, for each class and tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, _ = text_bytes(batch.column("signature"))
             s = raw.view(np.uint16).reshape(-1, TREES * ROWS).astype(np.int64)
             for t in range(TREES):
-                part = [s[:, (t * ROWS + k) % (TREES * ROWS)] for k in range(DEPTH + 4)]
-                key = sum(x << (16 * k) for k, x in enumerate(part[:DEPTH]))
-                deeper = sum(x << (16 * (3 - k)) for k, x in enumerate(part[DEPTH:]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), t, np.int32)), pa.array(key), pa.array(deeper), batch.column("class")], ["tree", "key", "deeper", "class"])
+                key = sum(s[:, t * ROWS + k] << (16 * k) for k in range(DEPTH))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), t, np.int32)), pa.array(key), batch.column("class")], ["tree", "key", "class"])
 
-    return classes.select("class", "signature").mapInArrow(run, "tree int, key long, deeper long, class long")
+    return classes.select("class", "signature").mapInArrow(run, "tree int, key long, class long")
 
 
-def candidates(classes: DataFrame, work: str) -> DataFrame:
-    """Pairs of classes (a < b) that are neighbours in some tree and agree in enough minima.
+def agreements(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many minima each of many signatures agrees with one."""
+    eights = (many == one).view(np.uint64)
+    return (eights.sum(axis=1) * np.uint64(0x0101010101010101)) >> np.uint64(56)  # sums of bytes, none above 96
+
+
+def reached(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, each agreeing enough, that connect all rows that such pairs connect.
 
-    Neighbours that agree in more than DEPTH minima are a close match, and the order's chain goes on from them. Where the one before
-    agrees in no more than that, something else may have come in between, so the one before it is a candidate as well.
+    A row that has been reached is never compared with another one that has, so near copies of each other take one comparison each.
     """
-    order = Window.partitionBy("tree", "key").orderBy("deeper", "class")
-    shallow = F.shiftright("deeper", 48) != F.shiftright(F.lag("deeper").over(order), 48)
-    near = forest(classes).select("class", F.lag("class", 1).over(order).alias("n1"), F.when(shallow, F.lag("class", 2).over(order)).alias("n2"))
-    pairs = near.filter("n1 is not null").select("class", F.explode(F.array_compact(F.array("n1", "n2"))).alias("other"))
-    pairs = shared_table(pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct(), f"{work}/pairs")
+    left, rest = np.arange(1, len(signatures)), signatures[1:]
+    a, b, todo = [], [], [0]
+    while len(left):
+        if not todo:
+            todo, left, rest = [int(left[0])], left[1:], rest[1:]
+        i = todo.pop()
+        hit = agreements(rest, signatures[i]) >= LEAST_AGREEMENT * signatures.shape[1]
+        if hit.any():
+            new = left[hit]
+            a.append(np.full(len(new), i))
+            b.append(new)
+            todo.extend(new.tolist())
+            left, rest = left[~hit], rest[~hit]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def candidates(classes: DataFrame, work: str) -> DataFrame:
+    """Pairs of classes (a < b) with a common region and enough equal minima, that connect all classes that such pairs connect."""
+    region = Window.partitionBy("tree", "key")
+    regions = shared_table(forest(classes).withColumn("n", F.count("*").over(region)).filter("n > 1"), f"{work}/regions")
+    sparse = regions.filter(F.col("n") <= CROWD).groupBy("tree", "key").agg(F.sort_array(F.collect_list("class")).alias("c"))
+    pairs = sparse.select(F.explode(F.expr("flatten(transform(c, (x, i) -> transform(slice(c, i + 2, size(c)), y -> struct(x as a, y as b))))")).alias("p"))
+    pairs = shared_table(pairs.select("p.*").distinct(), f"{work}/pairs")
     signature = lambda n: classes.select(F.col("class").alias(n), F.col("signature").alias(f"s{n}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +149,17 @@ def candidates(classes: DataFrame, work: str) -> DataFrame:
             x, y = (text_bytes(batch.column(k))[0].view(np.uint16).reshape(-1, TREES * ROWS) for k in ("sa", "sb"))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT))
 
-    return pairs.join(signature("a"), "a").join(signature("b"), "b").mapInArrow(run, "a long, b long")
+    def connect(group: pa.Table) -> pa.Table:
+        keys = group.column("class").to_numpy()
+        x, y = reached(text_bytes(group.column("signature"))[0].view(np.uint16).reshape(-1, TREES * ROWS))
+        return pa.table({"a": np.minimum(keys[x], keys[y]), "b": np.maximum(keys[x], keys[y])})
+
+    tiles = F.ceil(F.col("n") / REGION_TILE)
+    crowded = regions.filter(F.col("n") > CROWD).join(classes.select("class", "signature"), "class")
+    crowded = crowded.withColumn("tile", F.pmod(F.xxhash64("class"), tiles)).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+    crowded = crowded.select("tree", "key", "class", "signature", F.least("tile", "mate").alias("x"), F.greatest("tile", "mate").alias("y"))
+    dense = crowded.groupBy("tree", "key", "x", "y").applyInArrow(connect, "a long, b long")
+    return pairs.join(signature("a"), "a").join(signature("b"), "b").mapInArrow(run, "a long, b long").unionByName(dense)
 
 
 def components(edges: DataFrame, work: str) -> DataFrame:

@@ -145,6 +145,43 @@ def test_near_duplicates_odd_ids(spark):
     assert rows(kept, "doc_id") == [(1,), (3,), (4,), (5,)] and kept.columns == [x.split()[0] for x in SCHEMA.split(", ")]
 
 
+@pytest.mark.parametrize("tile", [None, 10])
+def test_near_duplicates_far_apart_in_each_order(spark, monkeypatch, tmp_path, tile):
+    if tile:
+        monkeypatch.setattr(near, "REGION_TILE", tile)
+    g = np.random.default_rng(7)
+    a = g.integers(0, 1 << 16, 96, np.uint16)
+    b = np.where(g.random(96) < 0.82, a, a + 1).astype(np.uint16)
+    first, second = -(1 << 39), 1 << 39
+    classes = [(first, a), (second, b)]
+    for t in range(24):  # in each order, others that agree with a or b in just as many minima as an order is deep
+        for whose in (a, b):
+            for _ in range(30):
+                x = g.integers(0, 1 << 16, 96, np.uint16)
+                at = (np.arange(7) + 4 * t) % 96
+                x[at] = whose[at]
+                classes.append((int(g.choice([-1, 1]) * g.integers(2, 1 << 40)), x))
+    df = spark.createDataFrame([(c, bytearray(x.tobytes())) for c, x in classes], "class long, signature binary")
+    assert {(r.a, r.b) for r in near.candidates(df, f"file://{tmp_path}").collect()} == {(first, second)}
+
+
+def test_near_duplicates_of_much_quoted_texts(spark):
+    r, docs, twins = random.Random(17), [], []
+    word = lambda: f"x{r.randrange(10**6)}"
+    for k in range(2):
+        base = [word() for _ in range(150)]
+        for d in range(2):
+            at = [20, 50] if d else [10, 40]
+            docs.append((k * 10_000 + d, " ".join(word() if i in at else x for i, x in enumerate(base))))
+        for d in range(2, 1500):
+            lo = r.randrange(45, 60)
+            docs.append((k * 10_000 + d, " ".join([*(word() for _ in range(lo)), *base[lo:]])))
+        twins.append(components([x for x in docs if x[0] in (k * 10_000, k * 10_000 + 1)])[1])
+    assert all(c == d - 1 for d, _, c in twins)
+    got = {d: c for d, _, c in near_rows(near.near_duplicates(frame(spark, docs), 4))}
+    assert [got[d] for d, *_ in twins] == [c for *_, c in twins]
+
+
 def test_languages(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     out = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
