@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, MOST_BROADCAST, Fingerprints, in_small_batches, mix, shared_dir, shared_table, slices, table, text_bytes, without, words_of
+from .common import BYTE_VALUES, MOST_BROADCAST, Fingerprints, in_small_batches, mix, shared_dir, shared_table, slices, table, text_bytes, text_column, without, words_of
 
 TREES, ROWS, DEPTH = 24, 4, 3
 #: The share of minima that a candidate pair must agree in: for pairs at the threshold it is below that by chance once in 10**9.
@@ -78,7 +78,12 @@ class Shingles:
         return out
 
 
-SKETCH = "doc_id long, n_shingles long, class long, signature binary"
+SKETCH = "doc_id long, print long, n_shingles long, class long, signature binary"
+
+
+def print_of() -> Column:
+    """A fingerprint of a row's text."""
+    return F.xxhash64(text_column())
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -88,9 +93,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 s = Shingles(part.column("text"), size)
                 none = s.sizes == 0
                 signature = pa.array([x.tobytes() for x in s.signatures()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s.sizes), pa.array(s.keys(), mask=none), signature], ["doc_id", "n_shingles", "class", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("print"), pa.array(s.sizes), pa.array(s.keys(), mask=none), signature], ["doc_id", "print", "n_shingles", "class", "signature"])
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SKETCH)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), text_column(), print_of().alias("print")).mapInArrow(run, SKETCH)
 
 
 def forest(classes: DataFrame) -> DataFrame:
@@ -241,15 +246,8 @@ def links(members: DataFrame, size: int, percent: int) -> DataFrame:
     return members.groupBy("part", "x", "y").applyInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept, for every row.
-
-    Two documents link if their sets of shingles (size consecutive words, a shorter text's whole sequence) have a similarity
-    of percent or more. A null or wordless text has no set and links with nothing. A document with a null id links only with its
-    exact copies and never names a component; alone it has a null component and is kept. Repeated rows and rows of one
-    id are documents of their own with that id. Runs its jobs when called.
-    """
-    work = shared_dir(docs.sparkSession)
+def linked(docs: DataFrame, size: int, percent: int, work: str) -> tuple[DataFrame, DataFrame]:
+    """The rows' sketches; and for each class the label of its component and the least doc_id in it."""
     sketch = shared_table(sketches(docs, size), f"{work}/sketch")
     classes = shared_table(sketch.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), f"{work}/classes")
     clusters = components(candidates(classes, work), f"{work}/clusters")
@@ -269,17 +267,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     found = components(links(dealt, size, percent), f"{work}/components")
     named = classes.select("class", "first_id").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = shared_table(named.join(least, "label").select("class", "component_id"), f"{work}/named")
+    return sketch, shared_table(named.join(least, "label").select("class", "label", "component_id"), f"{work}/named")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept, for every row.
+
+    Two documents link if their sets of shingles (size consecutive words, a shorter text's whole sequence) have a similarity
+    of percent or more. A null or wordless text has no set and links with nothing. A document with a null id links only with its
+    exact copies and never names a component; alone it has a null component and is kept. Repeated rows and rows of one
+    id are documents of their own with that id. Runs its jobs when called.
+    """
+    sketch, named = linked(docs, size, percent, shared_dir(docs.sparkSession))
     out = sketch.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows (all columns) that near_duplicates keeps: one id of each component."""
-    found = near_duplicates(docs, size, percent)
-    dropped = found.groupBy(F.col("doc_id").alias("dropped_id")).agg(F.max("kept").alias("kept")).filter("not kept").select("dropped_id")
-    return without(docs, dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("dropped_id")), shared_dir(docs.sparkSession))
+    """One row (all columns) of each component of near_duplicates, one of the least id; each row counts as a document.
+
+    Rows without a set of shingles link with nothing and all stay. Which of several rows with the representative's id and text stays is left
+    open.
+    """
+    work = shared_dir(docs.sparkSession)
+    sketch, named = linked(docs, size, percent, work)
+    texts = sketch.filter("class is not null").groupBy("doc_id", "print", "class").agg(F.count("*").alias("n"))
+    texts = shared_table(texts.join(named.select("class", "label"), "class"), f"{work}/texts")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "class", "print")  # rows without an id come last
+    best = texts.groupBy("label").agg(F.min(place).alias("best"))
+    texts = texts.join(best, "label").select(F.col("doc_id").alias("its_id"), F.col("print").alias("its_print"), "n", (place == F.col("best")).alias("stays"))
+    texts = shared_table(texts.filter("not stays or n > 1"), f"{work}/decided")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (print_of() == F.col("its_print"))
+    out = without(docs, texts.select("its_id", "its_print"), same, work)
+    repeated = texts.filter("stays").select("its_id", "its_print")
+    n = repeated.count()
+    if not n:
+        return out
+    # aggregated before the shuffle, so that of a much-repeated row each task sends one
+    some = docs.join(F.broadcast(repeated) if n <= MOST_BROADCAST else repeated, same)
+    one = some.groupBy("its_id", "its_print").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return out.unionByName(one.select("row.*"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

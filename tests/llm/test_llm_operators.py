@@ -182,6 +182,16 @@ def test_near_duplicates_of_much_quoted_texts(spark):
     assert [got[d] for d, *_ in twins] == [c for *_, c in twins]
 
 
+def test_rows_kept_by_deduplication(spark):
+    a, b = prose(21, 200), prose(22, 60)
+    near_a = " ".join(["other", *a.split()[1:]])
+    docs = [(1, a), (1, a), (1, a), (2, near_a), (1, near_a), (3, b), (3, prose(23, 60)), (None, "no id"), (None, "no id"), (None, b), (4, None)]
+    assert rows(near.deduplicated(frame(spark, docs)), "doc_id", "text").count((None, "no id")) == 1
+    kept = rows(near.deduplicated(frame(spark, docs)), "doc_id", "text")
+    assert [x for x in kept if x[0] != 1] == sorted([(3, b), (3, prose(23, 60)), (None, "no id"), (4, None)], key=str)
+    assert len([x for x in kept if x[0] == 1]) == 1
+
+
 def test_languages(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     out = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
