@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_small_batches, slices, table, text_bytes, text_column
@@ -30,8 +30,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 LEAST = 20
 ENCODINGS = (("hex", b"0123456789abcdef"), ("HEX", b"0123456789ABCDEF"), ("base32", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base36", b"0123456789abcdefghijklmnopqrstuvwxyz"), ("BASE36", b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("base64", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"))
-#: False-discovery rate of the rejections, and the number of equal classes of p-values on which they are decided.
-RATE, CLASSES = 0.05, 1000
+#: False-discovery rate of the rejections, and the classes of p-values on which they are decided: so many for each factor of 10, down to the least double.
+RATE, TENTHS, DECADES = 0.05, 40, 324
 
 
 def member(chars: bytes) -> np.ndarray:
@@ -136,36 +136,32 @@ def candidates(raw: bytes, data: np.ndarray, off: np.ndarray, known: list[tuple[
 
 
 def p_class(p: float) -> int:
-    return min(CLASSES - 1, int(p * CLASSES))
+    return max(0, int(TENTHS * (math.log10(p) + DECADES))) if p > 0 else 0
 
 
 def thresholds(docs: DataFrame) -> dict[int, int]:
-    """For each stratum the p-value class up to which candidates are rejected, from the counts of all documents.
+    """For each stratum with rejections the p-value class up to which candidates are rejected, from the counts of all documents.
 
-    The driver gets at most one row for each encoding, length class and p-value class, whatever the input's size.
+    A class is rejected if the step holds for its largest p-value, so the last one rejected is at most 6 % below that of the step on all
+    p-values. The driver gets at most one row for each encoding and length class, whatever the input's size.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple[int, int], int] = {}
+            seen: dict[tuple[int, int], tuple[int, float]] = {}
             for part in slices(batch):
                 data, off = text_bytes(part.column("text"))
                 raw = data.tobytes()
                 for *_, s, p in candidates(raw, data, off, base_spans(raw, data, off)):
-                    seen[s, p_class(p)] = seen.get((s, p_class(p)), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["stratum", "p_class", "n"])
-
-    rows = in_small_batches(docs).select(text_column()).mapInArrow(count, "stratum int, p_class int, n long").groupBy("stratum", "p_class").agg(F.sum("n").alias("n")).collect()
-    out: dict[int, int] = {}
-    for s in {r.stratum for r in rows}:
-        of = np.zeros(CLASSES, np.int64)
-        for r in rows:
-            if r.stratum == s:
-                of[r.p_class] = r.n
-        upto = np.cumsum(of)
-        passed = np.flatnonzero((upto > 0) & ((np.arange(CLASSES) + 1) / CLASSES <= RATE * upto / upto[-1]))
-        out[s] = int(passed[-1]) if len(passed) else -1
-    return out
+                    n, most = seen.get((s, p_class(p)), (0, 0.0))
+                    seen[s, p_class(p)] = n + 1, max(p, most)
+            columns = [pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array([n for n, _ in seen.values()], pa.int64()), pa.array([p for _, p in seen.values()], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["stratum", "p_class", "n", "p"])
+
+    counts = in_small_batches(docs).select(text_column()).mapInArrow(count, "stratum int, p_class int, n long, p double").groupBy("stratum", "p_class").agg(F.sum("n").alias("n"), F.max("p").alias("p"))
+    whole = Window.partitionBy("stratum")
+    upto = counts.select("stratum", "p_class", "p", F.sum("n").over(whole.orderBy("p_class")).alias("upto"), F.sum("n").over(whole).alias("total"))
+    return {r.stratum: r.last for r in upto.filter(F.col("p") <= RATE * F.col("upto") / F.col("total")).groupBy("stratum").agg(F.max("p_class").alias("last")).collect()}
 
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"

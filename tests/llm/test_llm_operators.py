@@ -107,6 +107,14 @@ def test_secret_randomness(spark):
     assert {x.doc_id: x.spans for x in found} == {0: "random:2:46", 1: "", 2: "", 3: "", 9: ""}
 
 
+def test_secret_randomness_among_many_keys(spark):
+    r = random.Random(6)
+    keys = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(39)) + "7z" for _ in range(1000)]
+    plain = [f"{'abc'[i % 3] * 25}{'defgh'[i % 5] * 15}7" for i in range(15)]
+    found = {x.doc_id: x.n_random for x in scans.scan(frame(spark, list(enumerate(keys + plain)))).collect()}
+    assert [found[i] for i in range(1000, 1015)] == [0] * 15 and sum(found[i] for i in range(1000)) >= 990
+
+
 def test_redaction(spark):
     out = {x.doc_id: x for x in scans.redact(frame(spark, ODD)).collect()}
     assert out[12].text == "token: secret: abcdefghijk [secret] é [secret]" and out[12].spans == 1 and out[15].text is None
