@@ -1,10 +1,8 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by looking up windows of words, in place of relative Lempel-Ziv parsing.
 
-Every block of documents is a reference, indexed by the fingerprints of all its windows of WORDS words. A document is
-parsed from left to right against all references of documents with a smaller id: where a window is found, a factor
-begins and grows word by word for as long as the next window is found too, so factors that meet in the middle of a passage are
-joined by the windows that lie across their boundary, and a window that is found nowhere ends a factor even if the words on both
-sides of it are copies. Factors of WORDS words or more are the duplicate spans.
+Every block of documents sends the fingerprints of all its windows of WORDS words to an exchange, which tells for each whether a
+document with a smaller id has it. The windows found are merged: their words are the duplicate spans. No document is factored; a
+window that is found nowhere ends a span even if the words on both sides of it are copies, unless other windows cover them.
 """
 
 from __future__ import annotations
