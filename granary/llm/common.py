@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,9 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; removed when the driver ends.
 
-    Where the setting is absent (tests on one machine) the driver's temporary folder is used.
+    Where the setting is absent the driver's temporary folder is used, if the session runs on one machine; on a cluster that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/granary-shared"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        root = f"file://{tempfile.gettempdir()}/granary-shared"
     path = f"{root.rstrip('/')}/granary-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     return path
@@ -125,6 +131,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Longer tables of powers, for the longest texts, are not remembered.
+MOST_POWERS = 1 << 23
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -134,12 +142,14 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 16)
-        both = []
+        both: list[np.ndarray] = []
         for b in (base, pow(base, -1, 1 << 64)):
             x = np.full(size, b, np.uint64)
             x[0] = 1
             both.append(np.multiply.accumulate(x))
-        have = _POWERS[base] = tuple(both)
+        have = tuple(both)
+        if size <= MOST_POWERS:
+            _POWERS[base] = have
     return have[0][:n], have[1][:n]
 
 

@@ -1,69 +1,62 @@
-"""Which fixed-size windows of a corpus occur elsewhere: packed exchanges of sorted fingerprints.
+"""Which windows of a corpus occur elsewhere, and where first: an exchange of packed fingerprints.
 
-Documents are gathered in blocks. A block sends, for each bucket of the fingerprint space, its distinct sorted
-fingerprints as one packed array (so whatever repeats inside the block is sent once). A bucket is sorted by itself, in one task,
-and answers each block with one bit for each fingerprint that it sent. The block makes its fingerprints again and reads
-the bits off. Nothing grows with the number of copies of a passage but the number of blocks that have it.
+Documents are gathered in blocks of about equally many bytes. A block sends its fingerprints to buckets of the fingerprint space, each
+bucket's as one row of packed arrays, so it sends as many rows as it has fingerprints at most, and its work is in proportion to its text.
+A bucket is sorted by itself, in one task, and answers each block by the places of its fingerprints there. The block makes its
+fingerprints again and reads the answers. What repeats inside a block is sent once.
+
+Beside the 64 bits that are sorted, a fingerprint has as many check bytes as the corpus needs for an expected number of
+false matches below FALSE_MATCHES in all of it, at any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_column
 
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Fingerprints in a bucket, about.
 BUCKET_SIZE = 2_000_000
+FALSE_MATCHES = 1e-3
+
+Items = dict[str, np.ndarray]
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit numbers as differences of as few bytes as the largest one needs."""
-    if not len(x):
-        return b""
-    d = np.diff(x, prepend=np.uint64(0))
-    d[0] = 0
-    size = max(1, (int(d.max()).bit_length() + 7) // 8)
-    return bytes([size]) + x[:1].astype("<u8").tobytes() + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+    """Whole numbers as compressed byte planes of their differences."""
+    d = np.diff(np.ascontiguousarray(x, "<i8").view("<u8"), prepend=np.uint64(0))
+    return len(d).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    if not data:
-        return np.zeros(0, np.uint64)
-    size = data[0]
-    body = np.frombuffer(data, np.uint8, offset=9).reshape(-1, size)
-    d = np.zeros((len(body), 8), np.uint8)
-    d[:, :size] = body
-    d = d.view("<u8")[:, 0]
-    d[0] = np.frombuffer(data, "<u8", 1, 1)[0]
-    return np.cumsum(d, dtype=np.uint64)
-
-
-def bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags).tobytes()
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0], dtype=np.uint64).view(np.int64)
 
 
-def unbits(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+def blocks(docs: DataFrame, block_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """doc_id, text (null as empty) and block; and the corpus's bytes of text.
 
+    A row's block is a hash of its id, text and input partition: blocks are even whatever the ids are, and equal rows meet in one block
+    only if one task reads them.
+    """
+    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first().size or 0
+    count = max(1, -(-size // (block_bytes or BLOCK_BYTES)))
+    rows = docs.select(F.col("doc_id").cast("long"), text_column(), F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(count)).alias("block"))
+    return rows, size
 
-def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, text (null as empty) and block; and the corpus's bytes of text. Blocks are ranges of doc_id in equal steps, so a lower block has lower ids.
 
-    Documents without an id come last, in blocks by their text.
-    """
-    row = docs.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    size, low, high = row.size or 0, row.low or 0, row.high or 0
-    count = max(1, -(-size // BLOCK_BYTES))
-    step = max(1, -(-(high - low + 1) // count))
-    block = F.coalesce(F.floor((F.col("doc_id") - low) / step), F.lit(count) + F.pmod(F.xxhash64("text"), F.lit(count)))
-    return docs.select(F.col("doc_id").cast("long"), text_column(), block.cast("long").alias("block")), size
+def in_order(group: pa.Table) -> pa.Table:
+    """A block's rows in an order that no shuffle changes."""
+    return group.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
 def bucket_count(fingerprints: int) -> int:
@@ -71,79 +64,74 @@ def bucket_count(fingerprints: int) -> int:
     return 1 << max(0, (max(1, fingerprints) // BUCKET_SIZE).bit_length())
 
 
-def cut(x: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted fingerprints, and the end."""
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
-    edges = np.arange(1, buckets, dtype=np.uint64) << shift if buckets > 1 else np.zeros(0, np.uint64)
-    return np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]).astype(np.int64)
+def check_bytes(fingerprints: int) -> int:
+    """How many bytes beside 64 bits keep n**2 / 2 expected false matches below FALSE_MATCHES."""
+    return max(0, ceil((2 * log2(max(2, fingerprints)) - 65 - log2(FALSE_MATCHES)) / 8))
 
 
-SENT = "bucket int, block long, fingerprints binary, twice binary"
+def distinct(prints: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each different fingerprint, in their order, and for each fingerprint its number among them."""
+    order = np.argsort(prints, kind="stable") if check is None else np.lexsort((check, prints))
+    p, c = prints[order], None if check is None else check[order]
+    new = np.ones(len(p), bool)
+    new[1:] = p[1:] != p[:-1]
+    if c is not None:
+        new[1:] |= c[1:] != c[:-1]
+    number = np.empty(len(p), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
-def sent(block: int, fingerprints: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """What a block sends: distinct fingerprints by bucket, and which of them it has more than once."""
-    x = np.sort(fingerprints)
-    if not len(x):
-        return
-    first = np.append(True, x[1:] != x[:-1])
-    at = np.flatnonzero(first)
-    x, twice = x[at], np.diff(np.append(at, len(x))) > 1
-    ends = cut(x, buckets)
-    for b in range(buckets):
-        lo, hi = ends[b], ends[b + 1]
-        if hi > lo:
-            yield b, block, pack(x[lo:hi]), bits(twice[lo:hi])
+def dealt(prints: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints by bucket: their order, the buckets that have some, and where each of these begins (and the end)."""
+    which = (prints >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64) if buckets > 1 else np.zeros(len(prints), np.int64)
+    order = np.argsort(which, kind="stable")
+    which = which[order]
+    first = np.flatnonzero(np.diff(which, prepend=-1))
+    return order, which[first], np.append(first, len(which))
 
 
-def as_batch(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int64()), "fingerprints": pa.array([r[2] for r in rows], pa.binary()), "twice": pa.array([r[3] for r in rows], pa.binary())})
+def exchange(sends: DataFrame, columns: list[str], settle: Callable[[Items, np.ndarray], tuple[np.ndarray, Items]], answers: list[str]) -> DataFrame:
+    """For each row sent: block, bucket, the places (hits) in it that settle() marks, and settle()'s values for these.
 
+    settle gets a bucket's items and the number of the row that each came in.
+    """
 
-def answered(sends: DataFrame, rule: str) -> DataFrame:
-    """block, bucket and a bit for each fingerprint that the block sent.
+    def answer(rows: pa.Table) -> pa.Table:
+        parts = {k: [unpack(x) for x in rows.column(k).to_pylist()] for k in columns}
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in parts[columns[0]]])])
+        items = {k: np.concatenate(v) for k, v in parts.items()}
+        del parts
+        hit, values = settle(items, np.repeat(np.arange(rows.num_rows), np.diff(ends)))
+        at = np.flatnonzero(hit)
+        cuts = np.searchsorted(at, ends)
+        every = {"hits": at - np.repeat(ends[:-1], np.diff(cuts)), **{k: values[k][at] for k in answers}}
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), **{k: pa.array([pack(v[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for k, v in every.items()}})
+
+    return sends.groupBy("bucket").applyInArrow(answer, "block long, bucket int" + "".join(f", {k} binary" for k in ["hits", *answers]))
+
+
+def sent(block: int, items: Items, columns: list[str], buckets: int) -> pa.Table:
+    """What a block sends: a row for each bucket with some of its items, in the items' order."""
+    order, which, ends = dealt(items["prints"], buckets)
+    packed = {k: pa.array([pack(items[k][order[a:b]].view(np.int64)) for a, b in zip(ends[:-1], ends[1:])], pa.binary()) for k in columns}
+    return pa.table({"bucket": pa.array(which, pa.int32()), "block": pa.array(np.full(len(which), block), pa.int64()), **packed})
+
+
+def sending(columns: list[str]) -> str:
+    return "bucket int, block long" + "".join(f", {k} binary" for k in columns)
+
+
+def heard(prints: np.ndarray, answers: pa.Table, names: list[str], buckets: int) -> tuple[np.ndarray, Items]:
+    """Which of the fingerprints that a block sent are answered, and the values of the answers."""
+    order, which, ends = dealt(prints, buckets)
+    begins = dict(zip(which.tolist(), ends.tolist()))
+    none = [np.zeros(0, np.int64)]
+    at = [order[begins[b] + unpack(h)] for b, h in zip(answers.column("bucket").to_pylist(), answers.column("hits").to_pylist())]
+    return np.concatenate(none + at), {k: np.concatenate(none + [unpack(x) for x in answers.column(k).to_pylist()]) for k in names}
 
-    rule "earlier": a lower block sent it too; "repeated": another block did, or the block has it more than once.
-    """
 
-    def settle(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("block")
-        parts = [unpack(x) for x in rows.column("fingerprints").to_pylist()]
-        sizes = np.array([len(p) for p in parts])
-        x = np.concatenate(parts)
-        order = np.argsort(x, kind="stable")  # equal ones stay in the order of their blocks
-        y = x[order]
-        first = np.append(True, y[1:] != y[:-1])
-        if rule == "earlier":
-            flag = ~first
-        else:
-            twice = np.concatenate([unbits(t, n) for t, n in zip(rows.column("twice").to_pylist(), sizes)])
-            single = first & np.append(first[1:], True)
-            flag = ~single | twice[order]
-        out = np.empty(len(x), bool)
-        out[order] = flag
-        ends = np.cumsum(sizes)
-        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "flags": pa.array([bits(out[b - n : b]) for n, b in zip(sizes, ends)], pa.binary())})
-
-    return sends.groupBy("bucket").applyInArrow(settle, "block long, bucket int, flags binary")
-
-
-def flags_of(fingerprints: np.ndarray, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint of a block, in its order: the answer, and the number of its class among the block's sorted distinct ones."""
-    if not len(fingerprints):
-        return np.zeros(0, bool), np.zeros(0, np.int64)
-    x, inverse = np.unique(fingerprints, return_inverse=True)
-    flag = np.zeros(len(x), bool)
-    ends = cut(x, buckets)
-    for b, data in zip(answers.column("bucket").to_pylist(), answers.column("flags").to_pylist()):
-        flag[ends[b] : ends[b + 1]] = unbits(data, ends[b + 1] - ends[b])
-    return flag[inverse], inverse
-
-
-def exchange(rows: DataFrame, make: Callable[[pa.Table], np.ndarray], rule: str, buckets: int) -> DataFrame:
-    """Answers for the fingerprints that make() gives for each block's rows."""
-
-    def send(group: pa.Table) -> pa.Table:
-        return as_batch(list(sent(group.column("block")[0].as_py(), make(group), buckets)))
-
-    return answered(rows.groupBy("block").applyInArrow(send, SENT), rule)
+def shared(items: Items, row: np.ndarray) -> tuple[np.ndarray, Items]:
+    """Settles which fingerprints another block sent too, or the same block has more than once (column twice)."""
+    _, number = distinct(items["prints"].view(np.uint64), items.get("check"))
+    return (np.bincount(number)[number] > 1) | (items["twice"] > 0), {}

@@ -1,8 +1,13 @@
-"""Substring deduplication by looking up windows of words, in place of relative Lempel-Ziv parsing.
-
-Every block of documents sends the fingerprints of all its windows of WORDS words to an exchange, which tells for each whether a
-document with a smaller id has it. The windows found are merged: their words are the duplicate spans. No document is factored; a
-window that is found nowhere ends a span even if the words on both sides of it are copies, unless other windows cover them.
+"""Substring deduplication by relative Lempel-Ziv parsing against all blocks of documents with smaller ids.
+
+1. Seeds. Each window of WORDS words has a seed, the least of the fingerprints of the runs of SEED words in it, so equal
+   windows have equal seeds. An exchange of seeds tells which of them several documents have; windows of other seeds are literals.
+2. Index. The remaining windows are looked up in the index of all reference blocks (dealt by fingerprint): the answer is the
+   reference, the first place of the window in the document of the least id that has it.
+3. Parsing. A document is read from left to right. Where a window has a reference in a document with a smaller id, a factor begins; it grows as
+   long as the next window's reference is the next place of the same document. Windows across the boundary of two factors have been
+   looked up like all others and begin a factor of their own, so no duplicate window is lost there. A factor has WORDS words at least; factors are
+   the duplicate spans, all else is literal and stays.
 """
 
 from __future__ import annotations
@@ -13,72 +18,144 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BYTE_VALUES, Fingerprints, table, text_bytes, words_of
-from .grams import blocks, bucket_count, exchange, flags_of
+from .common import BYTE_VALUES, Fingerprints, shared_dir, shared_table, shuffles_removed, table, text_bytes, words_of
+from .grams import Items, blocks, bucket_count, check_bytes, distinct, exchange, heard, in_order, sending, sent, shared
 
-WORDS = 13
+WORDS, SEED = 13, 7
 
 
 class Parsed:
-    """The words of a block's documents, and its windows: fingerprint, first word and document."""
+    """The words of a block's documents, and its windows: first word, document and seed."""
 
     def __init__(self, group: pa.Table, size: int):
+        group = in_order(group)
+        self.id_column = group.column("doc_id")
         self.raw, self.off = text_bytes(group.column("text"))
         self.starts, self.ends, self.doc = words_of(self.raw, self.off)
-        words = Fingerprints(BYTE_VALUES[self.raw]).of(self.starts, self.ends)
-        every = Fingerprints(words, 0x2545F4914F6CDD1D).windows(size)
-        self.at = np.flatnonzero(self.doc[: len(every)] == self.doc[size - 1 :]) if len(every) else np.zeros(0, np.int64)
-        self.windows = every[self.at]
+        self.words = Fingerprints(BYTE_VALUES[self.raw]).of(self.starts, self.ends)
+        self.size, n = size, len(self.words) - size + 1
+        self.at = np.flatnonzero(self.doc[:n] == self.doc[size - 1 :]) if n > 0 else np.zeros(0, np.int64)
+        self.known = self.id_column.is_valid().to_numpy()[self.doc[self.at]]
+        self.ids = self.id_column.fill_null(0).to_numpy()
+        self.first = np.searchsorted(self.doc, np.arange(len(self.off) - 1))
+
+    def seeds(self) -> np.ndarray:
+        """Of all windows."""
+        short = min(SEED, self.size)
+        runs = Fingerprints(self.words, 0x2545F4914F6CDD1D).windows(short)
+        out = runs[self.at]
+        for k in range(1, self.size - short + 1):
+            np.minimum(out, runs[self.at + k], out=out)
+        return out
+
+    def distinct_seeds(self) -> Items:
+        """Those of documents with an id, and whether several documents of the block have them."""
+        prints, doc = self.seeds()[self.known], self.doc[self.at[self.known]]
+        order = np.argsort(prints, kind="stable")  # documents stay in order
+        x, d = prints[order], doc[order]
+        new = np.append(True, x[1:] != x[:-1])[: len(x)]
+        last = np.append(new[1:], True)[: len(x)]
+        return {"prints": x[new], "twice": (d[last] != d[new]).astype(np.int64)}
+
+    def prints(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """Fingerprints of the windows that begin at some words, with so many check bytes."""
+        prints = Fingerprints(self.words, 0x9E6C63D0876A9A95).of(at, at + self.size)
+        if not width:
+            return prints, None
+        words = Fingerprints(BYTE_VALUES[self.raw], 0xD1342543DE82EF95).of(self.starts, self.ends)
+        return prints, Fingerprints(words, 0xAEF17502108EF2D9).of(at, at + self.size) >> np.uint64(64 - 8 * width)
 
 
 def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     """Which of n places lie in a span of that size from one of the starts."""
     step = np.zeros(n + 1, np.int32)
-    step[starts] += 1
-    step[starts + size] -= 1
-    return np.cumsum(step[:n]) > 0
+    np.add.at(step, starts, 1)
+    np.add.at(step, starts + size, -1)
+    return np.cumsum(step[:n], dtype=np.int32) > 0
+
+
+def first_places(items: Items, row: np.ndarray) -> tuple[np.ndarray, Items]:
+    """Settles where each window is first: of each, the least id and the least place in it, for the blocks that have it later."""
+    _, number = distinct(items["prints"].view(np.uint64), items.get("check"))
+    order = np.lexsort((items["place"], items["id"], number))
+    begins = np.append(True, np.diff(number[order]) > 0)[: len(order)]
+    first = order[begins][number] if len(order) else order
+    ref, at = items["id"][first], items["place"][first]
+    return (ref < items["id"]) | ((ref == items["id"]) & (at < items["place"])), {"id": ref, "place": at}
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+FACTORS = "array<struct<at:long,words:long,reference:long,reference_at:long>>"
 
 
 def factored(docs: DataFrame, size: int = WORDS, keep: bool = False) -> DataFrame:
-    """Each document without the words of factors found in documents with a smaller id; keep adds the text that is left.
+    """Each document without the words of factors found in documents with a smaller id.
 
+    keep adds the text that is left and the factors: place and number of words, the id of the reference and the place there.
     Windows are judged on the input. A null or wordless text has no words. Documents of the same id are not each other's
-    references. A document with a null id is no reference, and nothing is removed from it. Repeated rows give repeated
-    rows.
+    references. A document with a null id is no reference, and nothing is removed from it. Of references that tie, the least
+    place counts. Repeated rows give repeated rows, an empty table none, and other columns are not read. Runs the exchange of seeds when called.
     """
     rows, volume = blocks(docs)
-    buckets = bucket_count(volume // 5)
-    schema = SCHEMA + (", kept string" if keep else "")
+    work, n = shared_dir(docs.sparkSession), volume // 6
+    seed_buckets, buckets, width = bucket_count(n // 4), bucket_count(n // 3), check_bytes(n)
+    columns = ["prints", "id", "place", *(["check"] if width else [])]
+
+    def send_seeds(group: pa.Table) -> pa.Table:
+        return sent(group.column("block")[0].as_py(), Parsed(group, size).distinct_seeds(), ["prints", "twice"], seed_buckets)
+
+    def indexed(p: Parsed, seeds: pa.Table) -> tuple[np.ndarray, np.ndarray, Items]:
+        """The windows with a shared seed; the number of each among the different ones; and of these what is sent, by their first places."""
+        own = p.distinct_seeds()["prints"]
+        at, _ = heard(own, seeds, [], seed_buckets)
+        live = p.at[np.isin(p.seeds(), own[at]) & p.known]
+        prints, check = p.prints(live, width)
+        first, number = distinct(prints, check)
+        in_text = np.argsort(first)  # sent as they stand in the texts, where ids and places pack well
+        place = np.empty(len(first), np.int64)
+        place[in_text] = np.arange(len(first))
+        first = first[in_text]
+        word = live[first]
+        items = {"prints": prints[first], "id": p.ids[p.doc[word]], "place": word - p.first[p.doc[word]]}
+        return live, place[number], items | ({"check": check[first]} if width else {})
+
+    def send(group: pa.Table, seeds: pa.Table) -> pa.Table:
+        return sent(group.column("block")[0].as_py(), indexed(Parsed(group, size), seeds)[2], columns, buckets) if group.num_rows else sent(0, {k: np.zeros(0, np.uint64) for k in columns}, columns, buckets)
+
+    def finish(group: pa.Table, seeds: pa.Table, answers: pa.Table) -> pa.Table:
+        p = Parsed(group, size)
+        live, number, items = indexed(p, seeds)
+        ref, at = items["id"].copy(), items["place"].copy()
+        told, values = heard(items["prints"], answers, ["id", "place"], buckets)
+        ref[told], at[told] = values["id"], values["place"]
+        ref, at = ref[number], at[number]
+        found = ref < p.ids[p.doc[live]]
+        return result(p, live[found], ref[found], at[found], keep)
 
-    def make(group: pa.Table) -> np.ndarray:
-        named = group.filter(group.column("doc_id").is_valid())
-        return Parsed(named, size).windows
+    with shuffles_removed(docs.sparkSession):
+        known = shared_table(exchange(rows.groupBy("block").applyInArrow(send_seeds, sending(["prints", "twice"])), ["prints", "twice"], shared, []), f"{work}/seeds")
+    sends = rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, sending(columns))
+    answers = exchange(sends, columns, first_places, ["id", "place"])
+    return both(rows, known, answers, ["id", "place"], finish, SCHEMA + (f", kept string, factors {FACTORS}" if keep else ""))
 
-    def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-        if not group.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in zip([x.split()[0] for x in schema.split(", ")], [pa.int64()] * 3 + [pa.string()] * 2)})
-        ids = group.column("doc_id").to_pylist()
-        p = Parsed(group, size)
-        if None in ids:
-            found = np.zeros(len(p.windows), bool)
-        else:
-            found, own = flags_of(p.windows, answers, buckets)
-            ids_ = np.array(ids, np.int64)[p.doc[p.at]]
-            least = np.full(int(own.max()) + 1 if len(own) else 0, np.iinfo(np.int64).max)
-            np.minimum.at(least, own, ids_)
-            found |= least[own] < ids_
-        gone = covered(p.at[found], size, len(p.starts))
-        return result(group, p, gone, keep)
-
-    answers = exchange(rows, make, "earlier", buckets)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
-
-
-def result(group: pa.Table, p: Parsed, gone: np.ndarray, keep: bool) -> pa.Table:
+
+def both(rows: DataFrame, early: DataFrame, late: DataFrame, values: list[str], finish, schema: str) -> DataFrame:
+    """finish(rows, early answers, late answers) of each block."""
+    from pyspark.sql import functions as F
+
+    early = early.select("block", "bucket", "hits", *(F.lit(None).cast("binary").alias(k) for k in values), F.lit(False).alias("late"))
+    every = early.unionByName(late.withColumn("late", F.lit(True)))
+
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        late = answers.column("late").to_numpy()
+        return finish(group, answers.filter(pa.array(~late)), answers.filter(pa.array(late)))
+
+    return rows.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(run, schema)
+
+
+def result(p: Parsed, at: np.ndarray, ref: np.ndarray, ref_at: np.ndarray, keep: bool) -> pa.Table:
     """Counts and the kept words, joined by one space: bytes of kept words and of one byte after each but a document's last."""
+    gone = covered(at, p.size, len(p.starts))
     kept = np.flatnonzero(~gone)
     last = np.append(p.doc[kept][1:] != p.doc[kept][:-1], True) if len(kept) else np.zeros(0, bool)
     data = np.append(p.raw, np.uint8(0x20))
@@ -88,20 +165,36 @@ def result(group: pa.Table, p: Parsed, gone: np.ndarray, keep: bool) -> pa.Table
     step = np.zeros(len(data) + 1, np.int32)
     step[p.starts[kept]] += 1
     step[stop] -= 1
-    inside = np.cumsum(step[: len(data)]) > 0
+    inside = np.cumsum(step[: len(data)], dtype=np.int32) > 0
     out = data[inside].tobytes()
     sizes = np.concatenate([[0], np.cumsum(inside)])[p.off]
     n = len(p.off) - 1
     texts = [out[a:b] for a, b in zip(sizes[:-1], sizes[1:])]
     columns = {
-        "doc_id": group.column("doc_id"), "n_words": pa.array(np.bincount(p.doc, minlength=n).astype(np.int64)), "n_removed": pa.array(np.bincount(p.doc[gone], minlength=n).astype(np.int64)),
+        "doc_id": p.id_column, "n_words": pa.array(np.bincount(p.doc, minlength=n).astype(np.int64)), "n_removed": pa.array(np.bincount(p.doc[gone], minlength=n).astype(np.int64)),
         "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
     }
     if keep:
         columns["kept"] = pa.array([t.decode() for t in texts], pa.string())
+        columns["factors"] = factors(p, at, ref, ref_at)
     return pa.table(columns)
 
 
+def factors(p: Parsed, at: np.ndarray, ref: np.ndarray, ref_at: np.ndarray) -> pa.Array:
+    """Each document's factors from its windows with a reference. What a factor shares with the one before is cut off its beginning."""
+    doc = p.doc[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (np.diff(ref_at) != 1) | (np.diff(ref) != 0) | (np.diff(doc) != 0)
+    begin = np.flatnonzero(new)
+    stop = at[np.append(begin[1:], len(at))[: len(begin)] - 1] + p.size
+    start, doc = at[begin], doc[begin]
+    cut = np.zeros(len(begin), np.int64)
+    cut[1:] = np.where(doc[1:] == doc[:-1], np.maximum(stop[:-1] - start[1:], 0), 0)
+    fields = {"at": start + cut - p.first[doc], "words": stop - start - cut, "reference": ref[begin], "reference_at": ref_at[begin] + cut}
+    each = pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in fields.values()], list(fields))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(p.off))), pa.int32()), each)
+
+
 def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factored(table(spark, sf_dir, "documents"))
 

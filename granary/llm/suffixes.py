@@ -10,8 +10,8 @@ take many times the text, so the work is cut by a difference cover and by bucket
 2. Suffix buckets. A suffix without a shared rank among the samples of its first PERIOD places ties with nothing and is left out.
    The others are sorted one bucket at a time by their first LENGTH bytes; those that share a place in the order are ties.
 
-Suffixes are bucketed and sorted by 64-bit fingerprints of these bytes, not by the bytes: equality is all that matters here, the
-buckets are even for any text, and a bucket holds a bounded number of packed numbers.
+Suffixes are bucketed and sorted by fingerprints of these bytes (64 bits and the check bytes that the corpus needs), not by the bytes: equality
+is all that matters here, the buckets are even for any text, and a bucket holds a bounded number of packed numbers.
 """
 
 from __future__ import annotations
@@ -20,15 +20,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import BYTE_VALUES, Fingerprints, shared_dir, shared_table, shuffles_removed, table, text_bytes
-from .grams import SENT, answered, as_batch, blocks, bucket_count, exchange, flags_of, sent
-from .rlz import covered
+from .grams import Items, blocks, bucket_count, check_bytes, distinct, exchange, heard, in_order, sending, sent, shared
+from .rlz import both, covered
 
 LENGTH = 200
+#: Bytes of text in a block, about; a task needs some 40 bytes for each.
+BLOCK_BYTES = 3 << 20
 
 
 def difference_cover(q: int = 11) -> tuple[int, list[int]]:
@@ -57,27 +57,42 @@ PERIOD, COVER = difference_cover()
 
 
 class Sampled:
-    """A block's bytes, and the sampled places with fingerprints of what follows."""
+    """A block's bytes, and the sampled places; at is a place in the block, all arrays are of 32 bits where they are as long as the text."""
 
     def __init__(self, group: pa.Table, length: int):
+        group = in_order(group)
+        self.id_column, self.length = group.column("doc_id"), length
         self.raw, self.off = text_bytes(group.column("text"))
-        self.all = Fingerprints(BYTE_VALUES[self.raw])
+        n = len(self.raw)
         sizes = np.diff(self.off)
-        self.inside = np.arange(len(self.raw)) - np.repeat(self.off[:-1], sizes)  # place in the document
-        self.left = np.repeat(self.off[1:], sizes) - np.arange(len(self.raw))  # bytes up to its end
-        tie = length - PERIOD + 1
+        narrow = np.int32 if n < 1 << 31 else np.int64
+        place = np.arange(n, dtype=narrow)
+        place -= np.repeat(self.off[:-1].astype(narrow), sizes)
+        self.begins = self.off[:-1][sizes > 0]  # where documents begin
+        self.left = np.repeat(sizes.astype(narrow), sizes)  # bytes up to the document's end
+        self.left -= place
+        place %= PERIOD
         chosen = np.zeros(PERIOD, bool)
         chosen[COVER] = True
-        self.places = np.flatnonzero(chosen[self.inside % PERIOD] & (self.left >= tie))
-        self.samples = self.all.of(self.places, self.places + tie)
-
-    def live(self, shared: np.ndarray, length: int) -> np.ndarray:
-        """The suffixes with a shared rank among the samples of their first PERIOD places, and LENGTH bytes."""
-        seen = np.zeros(len(self.raw) + PERIOD + 1, np.int32)
-        seen[self.places[shared] + 1] = 1
-        seen = np.cumsum(seen)
+        self.places = np.flatnonzero(chosen[place] & (self.left >= length - PERIOD + 1))
+
+    def prints(self, at: np.ndarray, size: int, base: int = Fingerprints.BASE) -> np.ndarray:
+        return Fingerprints(BYTE_VALUES[self.raw], base).of(at, at + size)
+
+    def samples(self) -> np.ndarray:
+        return self.prints(self.places, self.length - PERIOD + 1)
+
+    def live(self, shared: np.ndarray) -> np.ndarray:
+        """The suffixes with a shared rank among the samples of their first PERIOD places, and as many bytes as a tie has."""
         n = len(self.raw)
-        return np.flatnonzero((seen[PERIOD : n + PERIOD] > seen[:n]) & (self.left >= length))
+        return np.flatnonzero(covered(np.maximum(self.places[shared] - PERIOD + 1, 0), PERIOD, n + PERIOD)[:n] & (self.left >= self.length)) if n else np.zeros(0, np.int64)
+
+
+def once(prints: np.ndarray, check: np.ndarray | None = None) -> tuple[Items, np.ndarray]:
+    """What a block sends: its different fingerprints in order and which of them it has more than once; and the number of each."""
+    first, number = distinct(prints, check)
+    items = {"prints": prints[first], "twice": (np.bincount(number, minlength=len(first)) > 1).astype(np.int64)}
+    return items | ({"check": check[first]} if check is not None else {}), number
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -87,49 +102,54 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = False) -
     """Each document without the bytes of strings of that length that also start elsewhere, its own text included.
 
     A null text is empty. Strings are judged on the input and overlap; n_spans counts the maximal removed runs. Repeated rows, and
-    rows with a null or equal doc_id, are documents of their own. keep adds the bytes that are left. Runs the jobs of the
-    cover sample when called; their answers (a bit for each sample) are written to the shared folder.
+    rows with a null or equal doc_id, are documents of their own; an empty table gives no rows, and other columns are not read. keep adds the
+    bytes that are left. Runs the jobs of the cover sample when called; their answers are written to the shared folder.
     """
-    rows, volume = blocks(docs)
+    rows, volume = blocks(docs, BLOCK_BYTES)
     work = shared_dir(docs.sparkSession)
-    sample_buckets = bucket_count(volume * len(COVER) // PERIOD)
-    suffix_buckets = bucket_count(volume // 3)
-    with shuffles_removed(docs.sparkSession):
-        ranks = shared_table(exchange(rows, lambda group: Sampled(group, length).samples, "repeated", sample_buckets), f"{work}/ranks")
+    sample_buckets, buckets, width = bucket_count(volume * len(COVER) // PERIOD), bucket_count(volume // 3), check_bytes(volume)
+    columns = ["prints", "twice", *(["check"] if width else [])]
 
-    def live(group: pa.Table, ranks: pa.Table) -> tuple[Sampled, np.ndarray, np.ndarray]:
-        s = Sampled(group, length)
-        shared, _ = flags_of(s.samples, ranks, sample_buckets)
-        at = s.live(shared, length)
-        return s, at, s.all.of(at, at + length)
+    def send_samples(group: pa.Table) -> pa.Table:
+        return sent(group.column("block")[0].as_py(), once(Sampled(group, length).samples())[0], ["prints", "twice"], sample_buckets)
 
-    def send(group: pa.Table, ranks: pa.Table) -> pa.Table:
-        return as_batch(list(sent(group.column("block")[0].as_py(), live(group, ranks)[2], suffix_buckets)))
+    def suffixes(s: Sampled, ranks: pa.Table) -> tuple[np.ndarray, Items, np.ndarray]:
+        own, number = once(s.samples())
+        shared_ = np.zeros(len(own["prints"]), bool)
+        shared_[heard(own["prints"], ranks, [], sample_buckets)[0]] = True
+        at = s.live(shared_[number])
+        check = s.prints(at, length, 0xD1342543DE82EF95) >> np.uint64(64 - 8 * width) if width else None
+        return at, *once(s.prints(at, length), check)
 
-    ties = answered(rows.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(send, SENT), "repeated")
-    both = ranks.withColumn("ties", F.lit(False)).unionByName(ties.withColumn("ties", F.lit(True)))
-    schema = SCHEMA + (", kept binary" if keep else "")
+    def send(group: pa.Table, ranks: pa.Table) -> pa.Table:
+        return sent(group.column("block")[0].as_py(), suffixes(Sampled(group, length), ranks)[1], columns, buckets) if group.num_rows else sent(0, {k: np.zeros(0, np.uint64) for k in columns}, columns, buckets)
 
-    def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-        late = answers.column("ties")
-        s, at, prints = live(group, answers.filter(pc.invert(late)))
-        tied, _ = flags_of(prints, answers.filter(late), suffix_buckets)
-        gone = covered(at[tied], length, len(s.raw))
+    def finish(group: pa.Table, ranks: pa.Table, ties: pa.Table) -> pa.Table:
+        s = Sampled(group, length)
+        at, items, number = suffixes(s, ranks)
+        tied = np.zeros(len(items["prints"]), bool)
+        tied[heard(items["prints"], ties, [], buckets)[0]] = True
+        gone = covered(at[tied[number]], length, len(s.raw))
         total = np.concatenate([[0], np.cumsum(gone)])[s.off]
-        first = gone & (np.append(True, ~gone[:-1]) | (s.inside == 0)) if len(gone) else gone
+        first = gone.copy()
+        first[1:] &= ~gone[:-1]
+        first[s.begins] = gone[s.begins]
         spans = np.concatenate([[0], np.cumsum(first)])[s.off]
         left = s.raw[~gone].tobytes()
         ends = s.off - total
         texts = [left[a:b] for a, b in zip(ends[:-1], ends[1:])]
         columns = {
-            "doc_id": group.column("doc_id"), "n_bytes": pa.array(np.diff(s.off)), "n_removed": pa.array(np.diff(total).astype(np.int64)), "n_spans": pa.array(np.diff(spans).astype(np.int64)),
+            "doc_id": s.id_column, "n_bytes": pa.array(np.diff(s.off)), "n_removed": pa.array(np.diff(total).astype(np.int64)), "n_spans": pa.array(np.diff(spans).astype(np.int64)),
             "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
         }
         if keep:
             columns["kept"] = pa.array(texts, pa.binary())
         return pa.table(columns)
 
-    return rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, schema)
+    with shuffles_removed(docs.sparkSession):
+        ranks = shared_table(exchange(rows.groupBy("block").applyInArrow(send_samples, sending(["prints", "twice"])), ["prints", "twice"], shared, []), f"{work}/ranks")
+    sends = rows.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(send, sending(columns))
+    return both(rows, ranks, exchange(sends, columns, shared, []), [], finish, SCHEMA + (", kept binary" if keep else ""))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

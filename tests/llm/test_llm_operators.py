@@ -7,6 +7,7 @@ from brute import components, contamination, lowered, repeats, rlz, secrets, sha
 from pyspark.sql import functions as F
 
 from granary.llm import bpe, common, decontaminate, grams, language, linear, media, near, quality, suffixes, urls
+from granary.llm import rlz as rlz_module
 from granary.llm import secrets as scans
 from granary.llm.queries import QUERIES
 from granary.llm.rlz import factored
@@ -44,6 +45,7 @@ def small(spark):
 def blocked(request, monkeypatch):
     if request.param:
         monkeypatch.setattr(grams, "BLOCK_BYTES", 60_000)
+        monkeypatch.setattr(suffixes, "BLOCK_BYTES", 60_000)
         monkeypatch.setattr(grams, "BUCKET_SIZE", 10_000)
 
 
@@ -69,10 +71,54 @@ def test_difference_cover():
 
 def test_packing():
     for n in (1, 2, 1000):
-        x = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        x = np.random.default_rng(n).integers(-(1 << 63), (1 << 63) - 1, n)
         assert (grams.unpack(grams.pack(x)) == x).all()
-    top = np.array([0, 2**64 - 1], np.uint64)
-    assert (grams.unpack(grams.pack(top)) == top).all() and len(grams.unpack(grams.pack(top[:0]))) == 0
+    assert len(grams.unpack(grams.pack(x[:0]))) == 0
+
+
+def test_width_of_fingerprints():
+    for n in (1, 10**6, 10**9, 10**12, 10**14):
+        bits = 64 + 8 * grams.check_bytes(n)
+        assert n * n / 2 / 2**bits < grams.FALSE_MATCHES and (bits == 64 or n * n / 2 / 2 ** (bits - 8) >= grams.FALSE_MATCHES)
+
+
+@pytest.mark.parametrize("f, brute", [(factored, rlz), (suffixes.without_repeats, repeats)])
+def test_check_bytes_tell_equal_fingerprints_apart(spark, monkeypatch, f, brute):
+    real = common.Fingerprints.of
+    for module in (grams, suffixes, rlz_module):
+        monkeypatch.setattr(module, "check_bytes", lambda n: 7)
+    monkeypatch.setattr(common.Fingerprints, "of", lambda self, a, b: real(self, a, b) & np.uint64(0xFFFFFFFFFFFFFFF0) if len(a) and (b - a).max() < 13 else real(self, a, b) & np.uint64(0xFFFFFFFFFFF00003))
+    assert rows(f(frame(spark, ODD))) == sorted(brute(ODD), key=str)
+
+
+@pytest.mark.parametrize("f, brute", [(factored, rlz), (suffixes.without_repeats, repeats)])
+def test_blocks_of_any_ids(spark, monkeypatch, f, brute):
+    monkeypatch.setattr(grams, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 3000)
+    base = prose(31, 80)
+    docs = [(i, f"{base} {prose(i, 30)}") for i in range(30)] + [(10**15, base), (-(2**63), base + " x"), (2**63 - 1, base)] + [(5, f"{prose(7, 40)} {i}") for i in range(20)] + [(5, base)] * 10
+    assert rows(f(frame(spark, docs))) == sorted(brute(docs), key=str)
+    sizes = [r["count"] for r in grams.blocks(frame(spark, docs))[0].groupBy("block").count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 25
+
+
+def test_rows_sent_are_no_more_than_fingerprints():
+    x = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)
+    for buckets in (1, 64, 1 << 30):
+        t = grams.sent(7, {"prints": x}, ["prints"], buckets)
+        assert t.num_rows <= min(len(x), buckets) and sum(len(grams.unpack(b)) for b in t.column("prints").to_pylist()) == len(x)
+
+
+def test_factors_are_words_of_their_references(spark):
+    docs = [(1, prose(41, 90)), (2, prose(42, 60)), (4, " ".join([prose(43, 9), *prose(41, 90).split()[10:50], *prose(42, 60).split()[20:50], "end", *prose(41, 90).split()[:14]])), (9, prose(41, 90) + " x"), (3, None)]
+    texts = {d: (t or "").split() for d, t in docs}
+    out = {r.doc_id: r for r in factored(frame(spark, docs), keep=True).collect()}
+    for d, r in out.items():
+        gone = [i for f in r.factors for i in range(f.at, f.at + f.words)]
+        assert gone == sorted(set(gone)) and len(gone) == r.n_removed and r.kept.split() == [w for i, w in enumerate(texts[d]) if i not in set(gone)]
+        for f in r.factors:
+            assert f.reference < d and texts[f.reference][f.reference_at : f.reference_at + f.words] == texts[d][f.at : f.at + f.words]
+    assert [(f.at, f.words, f.reference, f.reference_at) for f in out[4].factors] == [(9, 40, 1, 10), (49, 30, 2, 20), (80, 14, 1, 0)] and len(out[9].factors) == 1
 
 
 def test_contamination(spark):
