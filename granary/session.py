@@ -2,6 +2,7 @@
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -23,8 +24,12 @@ def session(name: str = "granary", **settings: str) -> SparkSession:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; below the temporary folder where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/granary-work"
+    """A new folder below spark.checkpoint.dir, which all executors share; below the temporary folder where that is unset and all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/granary-work"
     path = f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
