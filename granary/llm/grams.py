@@ -5,7 +5,7 @@ bucket's as one row of packed arrays, so it sends as many rows as it has fingerp
 A bucket is sorted by itself, in one task, and answers each block by the places of its fingerprints there. The block makes its
 fingerprints again and reads the answers. What repeats inside a block is sent once.
 
-Beside the 64 bits that are sorted, a fingerprint has as many check bytes as the corpus needs for an expected number of
+Beside the 64 bits that are sorted, a fingerprint has as many check bits as the corpus needs for an expected number of
 false matches below FALSE_MATCHES in all of it, at any size.
 """
 
@@ -25,21 +25,25 @@ from .common import text_column
 BLOCK_BYTES = 4 << 20
 #: Fingerprints in a bucket, about.
 BUCKET_SIZE = 2_000_000
-FALSE_MATCHES = 1e-3
+FALSE_MATCHES = 0.01
 
 Items = dict[str, np.ndarray]
+#: Columns of items that are packed as they are.
+PLAIN = ("check", "twice")
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Whole numbers as compressed byte planes of their differences."""
-    d = np.diff(np.ascontiguousarray(x, "<i8").view("<u8"), prepend=np.uint64(0))
-    return len(d).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
+def pack(x: np.ndarray, differences: bool = True) -> bytes:
+    """Whole numbers as compressed byte planes, of their differences or (for small numbers in no order) of themselves."""
+    d = np.ascontiguousarray(x, "<i8").view("<u8")
+    d = np.diff(d, prepend=np.uint64(0)) if differences else d
+    return bytes([differences]) + len(d).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0], dtype=np.uint64).view(np.int64)
+    n = int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    x = np.ascontiguousarray(planes.T).view("<u8")[:, 0]
+    return (np.cumsum(x, dtype=np.uint64) if data[0] else x).view(np.int64)
 
 
 def blocks(docs: DataFrame, block_bytes: int | None = None) -> tuple[DataFrame, int]:
@@ -64,9 +68,9 @@ def bucket_count(fingerprints: int) -> int:
     return 1 << max(0, (max(1, fingerprints) // BUCKET_SIZE).bit_length())
 
 
-def check_bytes(fingerprints: int) -> int:
-    """How many bytes beside 64 bits keep n**2 / 2 expected false matches below FALSE_MATCHES."""
-    return max(0, ceil((2 * log2(max(2, fingerprints)) - 65 - log2(FALSE_MATCHES)) / 8))
+def check_bits(fingerprints: int) -> int:
+    """How many bits beside 64 keep the expected false matches, one for 2**bits of the n**2 / 2 pairs, below FALSE_MATCHES."""
+    return max(0, ceil(2 * log2(max(2, fingerprints)) - 65 - log2(FALSE_MATCHES)))
 
 
 def distinct(prints: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +118,7 @@ def exchange(sends: DataFrame, columns: list[str], settle: Callable[[Items, np.n
 def sent(block: int, items: Items, columns: list[str], buckets: int) -> pa.Table:
     """What a block sends: a row for each bucket with some of its items, in the items' order."""
     order, which, ends = dealt(items["prints"], buckets)
-    packed = {k: pa.array([pack(items[k][order[a:b]].view(np.int64)) for a, b in zip(ends[:-1], ends[1:])], pa.binary()) for k in columns}
+    packed = {k: pa.array([pack(items[k][order[a:b]].view(np.int64), k not in PLAIN) for a, b in zip(ends[:-1], ends[1:])], pa.binary()) for k in columns}
     return pa.table({"bucket": pa.array(which, pa.int32()), "block": pa.array(np.full(len(which), block), pa.int64()), **packed})
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import BYTE_VALUES, Fingerprints, shared_dir, shared_table, shuffles_removed, table, text_bytes, words_of
-from .grams import Items, blocks, bucket_count, check_bytes, distinct, exchange, heard, in_order, sending, sent, shared
+from .grams import Items, blocks, bucket_count, check_bits, distinct, exchange, heard, in_order, sending, sent, shared
 
 WORDS, SEED = 13, 7
 
@@ -58,12 +58,12 @@ class Parsed:
         return {"prints": x[new], "twice": (d[last] != d[new]).astype(np.int64)}
 
     def prints(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray | None]:
-        """Fingerprints of the windows that begin at some words, with so many check bytes."""
+        """Fingerprints of the windows that begin at some words, with so many check bits."""
         prints = Fingerprints(self.words, 0x9E6C63D0876A9A95).of(at, at + self.size)
         if not width:
             return prints, None
         words = Fingerprints(BYTE_VALUES[self.raw], 0xD1342543DE82EF95).of(self.starts, self.ends)
-        return prints, Fingerprints(words, 0xAEF17502108EF2D9).of(at, at + self.size) >> np.uint64(64 - 8 * width)
+        return prints, Fingerprints(words, 0xAEF17502108EF2D9).of(at, at + self.size) >> np.uint64(64 - width)
 
 
 def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
@@ -98,7 +98,7 @@ def factored(docs: DataFrame, size: int = WORDS, keep: bool = False) -> DataFram
     """
     rows, volume = blocks(docs)
     work, n = shared_dir(docs.sparkSession), volume // 6
-    seed_buckets, buckets, width = bucket_count(n // 4), bucket_count(n // 3), check_bytes(n)
+    seed_buckets, buckets, width = bucket_count(n // 4), bucket_count(n // 3), check_bits(n)
     columns = ["prints", "id", "place", *(["check"] if width else [])]
 
     def send_seeds(group: pa.Table) -> pa.Table:

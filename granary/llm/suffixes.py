@@ -10,7 +10,7 @@ take many times the text, so the work is cut by a difference cover and by bucket
 2. Suffix buckets. A suffix without a shared rank among the samples of its first PERIOD places ties with nothing and is left out.
    The others are sorted one bucket at a time by their first LENGTH bytes; those that share a place in the order are ties.
 
-Suffixes are bucketed and sorted by fingerprints of these bytes (64 bits and the check bytes that the corpus needs), not by the bytes: equality
+Suffixes are bucketed and sorted by fingerprints of these bytes (64 bits and the check bits that the corpus needs), not by the bytes: equality
 is all that matters here, the buckets are even for any text, and a bucket holds a bounded number of packed numbers.
 """
 
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import BYTE_VALUES, Fingerprints, shared_dir, shared_table, shuffles_removed, table, text_bytes
-from .grams import Items, blocks, bucket_count, check_bytes, distinct, exchange, heard, in_order, sending, sent, shared
+from .grams import Items, blocks, bucket_count, check_bits, distinct, exchange, heard, in_order, sending, sent, shared
 from .rlz import both, covered
 
 LENGTH = 200
 #: Bytes of text in a block, about; a task needs some 40 bytes for each.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def difference_cover(q: int = 11) -> tuple[int, list[int]]:
@@ -107,7 +107,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = False) -
     """
     rows, volume = blocks(docs, BLOCK_BYTES)
     work = shared_dir(docs.sparkSession)
-    sample_buckets, buckets, width = bucket_count(volume * len(COVER) // PERIOD), bucket_count(volume // 3), check_bytes(volume)
+    sample_buckets, buckets, width = bucket_count(volume * len(COVER) // PERIOD), bucket_count(volume // 5), check_bits(volume)
     columns = ["prints", "twice", *(["check"] if width else [])]
 
     def send_samples(group: pa.Table) -> pa.Table:
@@ -118,7 +118,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = False) -
         shared_ = np.zeros(len(own["prints"]), bool)
         shared_[heard(own["prints"], ranks, [], sample_buckets)[0]] = True
         at = s.live(shared_[number])
-        check = s.prints(at, length, 0xD1342543DE82EF95) >> np.uint64(64 - 8 * width) if width else None
+        check = s.prints(at, length, 0xD1342543DE82EF95) >> np.uint64(64 - width) if width else None
         return at, *once(s.prints(at, length), check)
 
     def send(group: pa.Table, ranks: pa.Table) -> pa.Table:

@@ -78,15 +78,15 @@ def test_packing():
 
 def test_width_of_fingerprints():
     for n in (1, 10**6, 10**9, 10**12, 10**14):
-        bits = 64 + 8 * grams.check_bytes(n)
-        assert n * n / 2 / 2**bits < grams.FALSE_MATCHES and (bits == 64 or n * n / 2 / 2 ** (bits - 8) >= grams.FALSE_MATCHES)
+        bits = 64 + grams.check_bits(n)
+        assert n * n / 2 / 2**bits < grams.FALSE_MATCHES and (bits == 64 or n * n / 2 / 2 ** (bits - 1) >= grams.FALSE_MATCHES)
 
 
 @pytest.mark.parametrize("f, brute", [(factored, rlz), (suffixes.without_repeats, repeats)])
-def test_check_bytes_tell_equal_fingerprints_apart(spark, monkeypatch, f, brute):
+def test_check_bits_tell_equal_fingerprints_apart(spark, monkeypatch, f, brute):
     real = common.Fingerprints.of
     for module in (grams, suffixes, rlz_module):
-        monkeypatch.setattr(module, "check_bytes", lambda n: 7)
+        monkeypatch.setattr(module, "check_bits", lambda n: 56)
     monkeypatch.setattr(common.Fingerprints, "of", lambda self, a, b: real(self, a, b) & np.uint64(0xFFFFFFFFFFFFFFF0) if len(a) and (b - a).max() < 13 else real(self, a, b) & np.uint64(0xFFFFFFFFFFF00003))
     assert rows(f(frame(spark, ODD))) == sorted(brute(ODD), key=str)
 
