@@ -28,7 +28,7 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 #: Pre-tokens that an encoder remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 def classes() -> np.ndarray:
@@ -44,16 +44,25 @@ def classes() -> np.ndarray:
 _CLASSES: list[np.ndarray] = []
 
 
+def known_classes() -> np.ndarray:
+    if not _CLASSES:
+        _CLASSES.append(classes())
+    return _CLASSES[0]
+
+
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return known_classes() == LETTER
+
+
 def pretoken_starts(points: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each code point, whether a match of the split pattern starts there; docs has the documents' offsets.
 
     The pattern: contractions, then letters, numbers or other signs with one blank before them, then white space
     without its last character where something follows it.
     """
-    if not _CLASSES:
-        _CLASSES.append(classes())
     n = len(points)
-    kind = _CLASSES[0][points]
+    kind = known_classes()[points]
     cut = np.zeros(n + 1, bool)
     cut[docs] = True
     start = cut[:n].copy()

@@ -74,6 +74,18 @@ def without(docs: DataFrame, keys: DataFrame, condition: Column, work: str) -> D
     return docs.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, condition, "left_anti")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as keep them apart from df's columns."""
+    have = {c.lower() for c in df.columns}
+    while any(n.lower() in have for n in names):
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
+def every_column(df: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 #: Rows of an Arrow batch on its way to Python; texts are long, and a batch is held on both sides.
 BATCH_ROWS = 1000
 

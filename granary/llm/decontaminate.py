@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shared_table, table, without
+from .common import fresh, shared_dir, shared_table, table, without
 from .urls import LOWER, UPPER
 
 SIZE = 10
@@ -80,7 +80,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
     """doc_id, n_words, n_hit (words inside occurrences), n_items, items_sha256 and contaminated, for every row.
 
     A null or wordless text has no words and hits nothing; a null item_id counts as an empty string; equal rows
-    give equal results as often as they are repeated. An empty benchmark leaves every document clean.
+    give equal results as often as they are repeated. An empty benchmark leaves every document clean, and an empty table gives no rows. Of
+    words that are equally rare the least is the prefix, which changes no row. Other columns are not read.
     """
     rows = occurrences(docs, benchmark, size)
     end = F.col("start") + F.col("length")
@@ -94,9 +95,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """The documents (all columns) without those that contain a window."""
-    bad = occurrences(docs, benchmark, size).filter(F.col("length").isNotNull()).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
-    return without(docs, bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_key")), shared_dir(docs.sparkSession))
+    """The documents (all columns, whatever their names) without those that contain a window.
+
+    A null or wordless text stays, and so does everything where the benchmark is empty; repeated rows and rows with equal id and text have the
+    same fate, those of one id with different texts each their own; a null id is an id like others. An empty table stays empty.
+    """
+    bad_id, bad_key = fresh(docs, "bad_id", "bad_key")
+    bad = occurrences(docs, benchmark, size).filter(F.col("length").isNotNull()).select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct()
+    return without(docs, bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_key)), shared_dir(docs.sparkSession))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Language identification: TF-IDF character n-grams (1 to 3), FTRL multinomial logistic regression, calibrated by temperature.
 
-Document frequencies come from all training rows; the weights from up to SAMPLE of them for each language. The language, source
+Document frequencies come from all training rows; the weights from about SAMPLE of them for each language, or fewer where more than
+ROWS rows of all languages would come together. Every language of the training rows is a class. The language, source
 and id of a document are never inputs of its prediction.
 """
 
@@ -14,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .linear import Model, document_frequencies, features, gram_counts, groups, idf, sample
+from .linear import Model, document_frequencies, features, gram_counts, groups, idf, sample, sparse
 
-#: Training rows for each language, at most; and languages, at most (the most frequent).
-SAMPLE, LANGUAGES = 400, 200
+#: Training rows for each language, about; and of all languages together, but LEAST_SAMPLE of each.
+SAMPLE, ROWS, LEAST_SAMPLE = 400, 20_000, 20
 UNKNOWN = "und"
 #: In filtering, documents whose best language is less certain than this are rejected.
 LEAST_SCORE = 0.5
@@ -34,18 +35,18 @@ class Languages:
     def __init__(self, train: DataFrame):
         """train: text and lang; rows with a null in either are left out."""
         train = train.select("text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-        rows = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-        self.classes = sorted(r.lang for r in rows)
+        self.classes = sorted(r.lang for r in train.select("lang").distinct().collect())
         if not self.classes:
             return
         df, total = document_frequencies(train)
         self.idf = idf(df, total)
-        few = sample(train.filter(F.col("lang").isin(self.classes)), "lang", SAMPLE).toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
+        most = min(SAMPLE, max(LEAST_SAMPLE, ROWS // len(self.classes)))
+        few = sample(train, "lang", most).toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
         order = np.random.default_rng(3).permutation(few.num_rows)
         few = few.take(pa.array(order)).combine_chunks().to_batches()[0]
-        x = np.vstack([features(gram_counts(part), self.idf) for part in groups(few)])
+        x = [row for part in groups(few) for row in sparse(features(gram_counts(part), self.idf))]
         number = {c: k for k, c in enumerate(self.classes)}
-        self.model = Model(self.classes).fit(x, np.array([number[v] for v in few.column("lang").to_pylist()]))
+        self.model = Model(self.classes).fit(x, np.array([number[v] for v in few.column("lang").to_pylist()]), len(self.idf))
 
     def predict(self, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
         """The language and its probability for each row of a column text without nulls."""
@@ -67,8 +68,9 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 def identify(docs: DataFrame) -> DataFrame:
     """lang_pred and score of every row, by a model of the rows that aren't held out.
 
-    A null or letterless text is "und" with score 0, as is every text if no language could be learned. Repeated rows
-    give repeated rows. Learns when called.
+    A null or letterless text is "und" with score 0, as is every text if no language could be learned. Of languages that tie, the
+    first in their order is predicted. Repeated rows give repeated rows and are learned from once, an empty table gives none, and other columns
+    are not read. Learns when called.
     """
     model = Languages(docs.filter(~held_out()))
 
@@ -81,16 +83,20 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows (all columns) whose text has a letter and a language of at least that score."""
+    """The rows (all columns) whose text has a letter and a language of at least that score.
+
+    A null or empty text goes; so do all rows where no language could be learned. Repeated rows have the same fate, and an empty table
+    stays empty. Only texts are sent to Python, whatever other columns there are. Learns when called.
+    """
     model = Languages(docs.filter(~held_out()))
-    place = docs.schema.names.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = model.predict(pa.RecordBatch.from_arrays([batch.column(place).fill_null("")], ["text"]))
-            yield batch.filter(pa.array((np.array(names, object) != UNKNOWN) & (scores >= least), pa.bool_()))
+    @F.arrow_udf("boolean")
+    def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            names, scores = model.predict(pa.RecordBatch.from_arrays([column.fill_null("")], ["text"]))
+            yield pa.array((np.array(names, object) != UNKNOWN) & (scores >= least), pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(known(F.col("text")))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

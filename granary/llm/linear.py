@@ -7,11 +7,10 @@ bounded training sample comes to the driver, which fits the weights.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import code_points, in_small_batches, slices, text_bytes
@@ -87,6 +86,14 @@ def features(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-12)
 
 
+#: A row of features: the places of those that aren't 0, and their values.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def sparse(x: np.ndarray) -> list[Sparse]:
+    return [(at := np.flatnonzero(row), row[at]) for row in x]
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -99,19 +106,17 @@ class Model:
         self.classes, self.alpha, self.beta, self.l1, self.l2, self.epochs = classes, alpha, beta, l1, l2, epochs
         self.temperature = 1.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
+    def fit(self, x: list[Sparse], y: np.ndarray, width: int, seed: int = 7) -> Model:
         """FTRL-Proximal, one row at a time, with an elastic-net penalty; every fifth row only serves to set the temperature."""
         held = np.arange(len(x)) % 5 == 4
         k = len(self.classes)
-        width = x.shape[1]  # one more place for the bias
-        z, n = np.zeros((width + 1, k)), np.zeros((width + 1, k))
+        z, n = np.zeros((width + 1, k)), np.zeros((width + 1, k))  # one more place for the bias
         rows = np.flatnonzero(~held) if (~held).any() else np.arange(len(x))
         rng = np.random.default_rng(seed)
         one = np.eye(k)
         for _ in range(self.epochs):
             for i in rng.permutation(rows):
-                at = np.append(np.flatnonzero(x[i]), width)
-                v = np.append(x[i, at[:-1]], 1.0).astype(np.float64)
+                at, v = np.append(x[i][0], width), np.append(x[i][1], 1.0).astype(np.float64)
                 w = self._weights(z[at], n[at])
                 error = softmax((v @ w)[None])[0] - one[y[i]]
                 g = v[:, None] * error
@@ -121,7 +126,7 @@ class Model:
         w = self._weights(z, n)
         self.weights, self.bias = w[:-1].astype(np.float32), w[-1].astype(np.float32)
         check = np.flatnonzero(held) if held.any() else rows
-        logits = (x[check] @ self.weights + self.bias).astype(np.float64)
+        logits = np.array([x[i][1] @ self.weights[x[i][0]] + self.bias for i in check], np.float64)
         grid = np.exp(np.linspace(np.log(0.3), np.log(20), 121))
         loss = [-np.log(softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in grid]
         self.temperature = float(grid[int(np.argmin(loss))])
@@ -134,24 +139,28 @@ class Model:
         return softmax((x @ self.weights + self.bias).astype(np.float64) / self.temperature)
 
 
-def least(df: DataFrame, label: str, most: int, *order: Column) -> DataFrame:
-    """Up to so many rows of each label, the first in an order without ties.
+def share_of(h: Column) -> Column:
+    """A 64-bit hash as a number from 0 up to 1."""
+    return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
+
+
+def least(df: DataFrame, label: str, most: int, h: Column) -> DataFrame:
+    """About so many rows of each label, those of the least hashes h; all rows of a label that has no more.
 
-    They are ranked in shares first, as many as a shuffle has partitions, so that no task ranks all rows of a label.
+    df's rows are different. Only the rows of each label are counted, which tasks do for themselves first; no task ranks or holds a label's rows.
+    The share of hashes that is chosen follows from the count, so the number of rows varies by its square root.
     """
-    share = F.pmod(F.xxhash64(*order), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    for keys in ((F.col(label), share), (F.col(label),)):
-        df = df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= most)
-    return df.drop("place")
+    shares = {r[label]: min(1.0, most / r.n) for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    limit = F.element_at(F.create_map(*(x for k, v in shares.items() for x in (F.lit(k), F.lit(v)))), F.col(label)) if shares else F.lit(0.0)
+    return df.filter(share_of(h) < limit)
 
 
 def sample(docs: DataFrame, label: str, most: int) -> DataFrame:
-    """Up to so many different texts of each label (columns text and label), those of the least hashes.
+    """About so many different texts of each label (columns text and label), by a hash of the text.
 
-    The hashes are ranked by themselves and the driver gets one bound for each label, so only chosen texts are shuffled, copies of a text as
-    one. The number of labels must be bounded.
+    Different hashes are counted by label first, so only chosen texts are shuffled, copies of a text as one.
     """
     hashed = docs.select("text", label, F.xxhash64("text").alias("h"))
-    bounds = {r[label]: r.h for r in least(hashed.select(label, "h").distinct(), label, most, F.col("h")).groupBy(label).agg(F.max("h").alias("h")).collect()}
-    chosen = reduce(lambda a, b: a | b, [(F.col(label) == k) & (F.col("h") <= h) for k, h in bounds.items()], F.lit(False))
-    return hashed.filter(chosen).groupBy(label, "h").agg(F.min("text").alias("text")).select("text", label)
+    chosen = least(hashed.select(label, "h").distinct(), label, most, F.col("h"))
+    few = hashed.join(F.broadcast(chosen), [label, "h"], "left_semi")
+    return few.groupBy(label, "h").agg(F.min("text").alias("text")).select("text", label)

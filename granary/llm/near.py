@@ -2,12 +2,14 @@
 
 1. Sketch. Each document's set of distinct word shingles gives its size, a fingerprint of the whole set and a signature of
    TREES * ROWS minima. Documents with equal sets are one class from here on.
-2. Forest. Each tree groups the classes by its own DEPTH minima of the signature. All pairs of a region (what agrees in a tree's
-   minima) whose signatures agree enough are candidates; what candidates connect is a cluster. A sparse region gives its pairs; of a
-   crowded one, what its pairs connect is found by comparing signatures in it, tile by tile, so that near copies cost no pairs. Which
-   other classes are in a region makes no difference to a pair.
+2. Forest. Each tree sorts the classes by its own minima of the signature; a region is what agrees in the first DEPTH of them. All
+   pairs of a region whose signatures agree enough are candidates; what candidates connect is a cluster. The depth adapts to the region:
+   in a crowded one, neighbours with the longest common prefix are joined first, and only rows that no deeper prefix has joined are compared
+   with the others, tile by tile, so that near copies cost no pairs. Which other classes are in a region makes no difference to a pair.
+   A region gives one edge for each class, to the least class that it is connected with there.
 3. Exact links. Each cluster's full sets are compared by counting common shingles (a matrix product over tiles of a bounded
-   size; a large cluster is dealt out by pairs of tiles), so no link inside it is lost, whether its ends were neighbours or not.
+   size), so no link inside it is lost, whether its ends were neighbours or not. Of a cluster with several tiles, each tile is
+   compared with itself and with the first; what is not in the cluster's largest component by then is compared with the whole cluster.
    The links' connected components are the result.
 """
 
@@ -18,18 +20,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, MOST_BROADCAST, Fingerprints, in_small_batches, mix, shared_dir, shared_table, slices, table, text_bytes, text_column, without, words_of
+from .common import BYTE_VALUES, MOST_BROADCAST, Fingerprints, every_column, fresh, in_small_batches, mix, shared_dir, shared_table, slices, table, text_bytes, text_column, without, words_of
 
 TREES, ROWS, DEPTH = 24, 4, 3
 #: The share of minima that a candidate pair must agree in: for pairs at the threshold it is below that by chance once in 10**9.
 LEAST_AGREEMENT = 0.55
-#: A region of more classes is crowded; it is compared in pairs of tiles of about so many.
-CROWD, REGION_TILE = 16, 16384
-#: A tile has at most so many classes and shingles.
-TILE_CLASSES, TILE_SHINGLES = 2048, 1_500_000
+#: A region of more classes is compared in pairs of tiles of about so many.
+REGION_TILE = 16384
+#: A tile has about so many classes and shingles; rows of a matrix that are compared at once.
+TILE_CLASSES, TILE_SHINGLES, STRIP = 1024, 1_000_000, 256
 GROUP_BYTES = 6 << 20
 
 SEEDS = mix(np.arange(1, TREES * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -118,53 +120,73 @@ def agreements(many: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (eights.sum(axis=1) * np.uint64(0x0101010101010101)) >> np.uint64(56)  # sums of bytes, none above 96
 
 
-def reached(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows, each agreeing enough, that connect all rows that such pairs connect.
+def reached(signatures: np.ndarray) -> np.ndarray:
+    """For each row the first row of those that pairs, each agreeing enough, connect it with.
 
     A row that has been reached is never compared with another one that has, so near copies of each other take one comparison each.
     """
-    left, rest = np.arange(1, len(signatures)), signatures[1:]
-    a, b, todo = [], [], [0]
+    n = len(signatures)
+    out = np.arange(n)
+    if n == 2:
+        if agreements(signatures[1:], signatures[0])[0] >= LEAST_AGREEMENT * signatures.shape[1]:
+            out[1] = 0
+        return out
+    left, rest = np.arange(1, n), signatures[1:]
+    todo, root = [0], 0
     while len(left):
         if not todo:
-            todo, left, rest = [int(left[0])], left[1:], rest[1:]
-        i = todo.pop()
-        hit = agreements(rest, signatures[i]) >= LEAST_AGREEMENT * signatures.shape[1]
+            root, left, rest = int(left[0]), left[1:], rest[1:]
+            todo = [root]
+        hit = agreements(rest, signatures[todo.pop()]) >= LEAST_AGREEMENT * signatures.shape[1]
         if hit.any():
-            new = left[hit]
-            a.append(np.full(len(new), i))
-            b.append(new)
-            todo.extend(new.tolist())
+            out[left[hit]] = root
+            todo.extend(left[hit].tolist())
             left, rest = left[~hit], rest[~hit]
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+    return out
 
 
-def candidates(classes: DataFrame, work: str) -> DataFrame:
-    """Pairs of classes (a < b) with a common region and enough equal minima, that connect all classes that such pairs connect."""
-    region = Window.partitionBy("tree", "key")
-    regions = shared_table(forest(classes).withColumn("n", F.count("*").over(region)).filter("n > 1"), f"{work}/regions")
-    sparse = regions.filter(F.col("n") <= CROWD).groupBy("tree", "key").agg(F.sort_array(F.collect_list("class")).alias("c"))
-    pairs = sparse.select(F.explode(F.expr("flatten(transform(c, (x, i) -> transform(slice(c, i + 2, size(c)), y -> struct(x as a, y as b))))")).alias("p"))
-    pairs = shared_table(pairs.select("p.*").distinct(), f"{work}/pairs")
-    signature = lambda n: classes.select(F.col("class").alias(n), F.col("signature").alias(f"s{n}"))
+def connected(signatures: np.ndarray) -> np.ndarray:
+    """reached(), after rows with equal signatures, the deepest prefix of all, have been joined."""
+    if len(signatures) <= 2:
+        return reached(signatures)
+    _, first, number = np.unique(signatures.view([("", signatures.dtype)] * signatures.shape[1])[:, 0], return_index=True, return_inverse=True)
+    order = np.argsort(first)  # the different signatures as they first come
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    kept = first[order]
+    return kept[reached(np.ascontiguousarray(signatures[kept]))][place[number]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (text_bytes(batch.column(k))[0].view(np.uint16).reshape(-1, TREES * ROWS) for k in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT))
+
+def candidates(classes: DataFrame, work: str) -> DataFrame:
+    """Edges (a, b) that connect all classes that pairs with a common region and enough equal minima connect."""
+    sizes = shared_table(forest(classes).groupBy("tree", "key").agg(F.count("*").alias("n")).filter("n > 1"), f"{work}/sizes")
+    regions = shared_table(forest(classes).join(F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes, ["tree", "key"]), f"{work}/regions")
 
     def connect(group: pa.Table) -> pa.Table:
-        keys = group.column("class").to_numpy()
-        x, y = reached(text_bytes(group.column("signature"))[0].view(np.uint16).reshape(-1, TREES * ROWS))
-        return pa.table({"a": np.minimum(keys[x], keys[y]), "b": np.maximum(keys[x], keys[y])})
+        group = group.sort_by([("tree", "ascending"), ("key", "ascending"), ("class", "ascending")]).combine_chunks()
+        tree, key, cls = (group.column(k).to_numpy() for k in ("tree", "key", "class"))
+        s = np.ascontiguousarray(text_bytes(group.column("signature"))[0].view(np.uint16).reshape(-1, TREES * ROWS))
+        ends = np.append(np.flatnonzero(np.append(True, (tree[1:] != tree[:-1]) | (key[1:] != key[:-1]))), len(cls)).tolist()
+        root = np.concatenate([lo + connected(s[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:])])
+        moved = root != np.arange(len(root))
+        return pa.table({"a": cls[moved], "b": cls[root[moved]]})
 
     tiles = F.ceil(F.col("n") / REGION_TILE)
-    crowded = regions.filter(F.col("n") > CROWD).join(classes.select("class", "signature"), "class")
-    crowded = crowded.withColumn("tile", F.pmod(F.xxhash64("class"), tiles)).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-    crowded = crowded.select("tree", "key", "class", "signature", F.least("tile", "mate").alias("x"), F.greatest("tile", "mate").alias("y"))
-    dense = crowded.groupBy("tree", "key", "x", "y").applyInArrow(connect, "a long, b long")
-    return pairs.join(signature("a"), "a").join(signature("b"), "b").mapInArrow(run, "a long, b long").unionByName(dense)
+    parts = max(1, -(-regions.count() * 250 // GROUP_BYTES))
+    whole = F.col("n") <= REGION_TILE
+    dealt = regions.join(classes.select("class", "signature"), "class").withColumn("tile", F.pmod(F.xxhash64("class"), tiles)).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+    part = F.when(whole, F.pmod(F.xxhash64("tree", "key"), F.lit(parts))).otherwise(F.xxhash64("tree", "key"))
+    x, y = (F.when(whole, -1).otherwise(f("tile", "mate")) for f in (F.least, F.greatest))
+    return contracted(dealt.select("tree", "key", "class", "signature", part.alias("part"), x.alias("x"), y.alias("y")).groupBy("part", "x", "y").applyInArrow(connect, "a long, b long"))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same nodes: each node with the least of its b, and once each pair of such a least and another b.
+
+    A node has a b for each tree and pair of tiles at most; of nodes with the same b there remains one edge each.
+    """
+    least = edges.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("bs")).select(F.explode(F.array_append(F.slice("bs", 2, 1 << 30), F.col("a"))).alias("a"), F.col("bs")[0].alias("b"))
+    return least.filter("a != b").distinct()
 
 
 def components(edges: DataFrame, work: str) -> DataFrame:
@@ -205,20 +227,29 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
         m = np.zeros((n, width), np.float32)
         m[owner[a:b], column[a:b] - lo] = 1
         out += m @ m.T
-    return out.astype(np.int64)
+    return out
+
+
+def linked_pairs(both: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets of sizes n link, by the sizes of their intersections; strip by strip."""
+    out = np.empty(both.shape, bool)
+    for lo in range(0, len(n), STRIP):
+        part = both[lo : lo + STRIP].astype(np.int64)
+        out[lo : lo + STRIP] = (100 + percent) * part >= percent * (n[lo : lo + STRIP, None] + n[None, :])
+    return out
 
 
 def spanning(keys: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each row to the least key of its component."""
-    label = keys.copy()
+    """Edges from each row to the least key of its component; keys ascend."""
+    label = np.arange(len(keys), dtype=np.int32)
     while True:
-        least = np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1)
-        new = np.minimum(label, least)
+        new = np.concatenate([np.where(linked[lo : lo + STRIP], label[None, :], len(keys)).min(axis=1) for lo in range(0, len(keys), STRIP)])
+        new = np.minimum(label, new.astype(np.int32))
         if (new == label).all():
             break
         label = new
-    moved = label != keys
-    return keys[moved], label[moved]
+    moved = label != np.arange(len(keys))
+    return keys[moved], keys[label[moved]]
 
 
 def links(members: DataFrame, size: int, percent: int) -> DataFrame:
@@ -238,12 +269,45 @@ def links(members: DataFrame, size: int, percent: int) -> DataFrame:
                 continue
             both = common_counts(sets)
             n = np.array([len(x) for x in sets])
-            child, root = spanning(wanted[lo:hi][ok], 100 * both >= percent * (n[:, None] + n[None, :] - both))
+            child, root = spanning(wanted[lo:hi][ok], linked_pairs(both, n, percent))
             a.append(child)
             b.append(root)
         return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
 
-    return members.groupBy("part", "x", "y").applyInArrow(verify, "a long, b long")
+    return contracted(members.groupBy("part", "x", "y").applyInArrow(verify, "a long, b long"))
+
+
+def exact_edges(docs: DataFrame, inside: DataFrame, size: int, percent: int, work: str) -> DataFrame:
+    """Edges that span the links of each cluster. inside: class, first_id (a document that has it), cluster, tiles and n_shingles."""
+    total = inside.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.max("tiles").alias("tiles")).first()
+    parts = max(1, -(-6 * (total.s or 0) // GROUP_BYTES))
+    text = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text")
+    tile, whole, zero = F.pmod(F.xxhash64("class"), F.col("tiles")), F.col("tiles") == 1, F.lit(0).cast("long")
+
+    def told(members: DataFrame, name: str) -> DataFrame:
+        """members: class, first_id, cluster, part, and the pairs (x, y) of tiles that each takes part in."""
+        keys = shared_table(members, f"{work}/{name}-members")
+        joined = text.join(F.broadcast(keys) if total.n <= MOST_BROADCAST else keys.hint("shuffle_hash"), "first_id")
+        dealt = joined.select("class", "cluster", "part", "text", F.explode("pairs").alias("pair")).select("class", "cluster", "part", "text", "pair.x", "pair.y")
+        return shared_table(links(dealt, size, percent), f"{work}/{name}")
+
+    pair = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
+    every = lambda n: F.sequence(zero, n - 1)
+    first = F.when(whole, F.array(pair(F.lit(-1), F.lit(-1)))).when(tile == 0, F.transform(every(F.col("tiles")), lambda t: pair(zero, t))).otherwise(F.array(pair(zero, tile), pair(tile, tile)))
+    edges = told(inside.select("class", "first_id", "cluster", F.when(whole, F.pmod(F.xxhash64("cluster"), F.lit(parts))).otherwise(F.col("cluster")).alias("part"), first.alias("pairs")), "first")
+    if not total.n or total.tiles == 1:
+        return edges
+    label = components(edges, f"{work}/first-components").withColumnRenamed("node", "class")
+    large = inside.filter("tiles > 1").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    counts = large.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    rest = counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.ceil((F.sum("n") - F.max("n")) / TILE_CLASSES).alias("rests")).filter("rests > 0")
+    large = shared_table(large.join(rest, "cluster"), f"{work}/second-large")
+    if large.isEmpty():
+        return edges
+    own = F.transform(every(F.col("rests")), lambda r: pair(r, tile))
+    others = F.transform(every(F.col("tiles")), lambda t: pair(F.pmod(F.xxhash64("class", F.lit(1)), F.col("rests")), t))
+    pairs = F.when(F.col("label") == F.col("most"), own).otherwise(F.array_union(own, others))
+    return edges.unionByName(told(large.select("class", "first_id", "cluster", F.col("cluster").alias("part"), pairs.alias("pairs")), "second"))
 
 
 def linked(docs: DataFrame, size: int, percent: int, work: str) -> tuple[DataFrame, DataFrame]:
@@ -254,17 +318,7 @@ def linked(docs: DataFrame, size: int, percent: int, work: str) -> tuple[DataFra
     inside = classes.select("class", "first_id", "n_shingles").join(clusters.withColumnRenamed("node", "class"), "class").filter("first_id is not null")
     sizes = inside.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE_CLASSES), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).alias("tiles"))
     inside = shared_table(inside.join(sizes, "label").select("class", "first_id", F.col("label").alias("cluster"), "tiles", "n_shingles"), f"{work}/members")
-    total = inside.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).first()
-    parts = max(1, -(-6 * (total.s or 0) // GROUP_BYTES))
-    own = inside.select("class", "first_id", "cluster", "tiles")
-    text = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text")
-    joined = text.join(F.broadcast(own) if total.n <= MOST_BROADCAST else own.hint("shuffle_hash"), "first_id")
-    tile = F.pmod(F.xxhash64("class"), F.col("tiles"))
-    mate = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    dealt = joined.withColumn("tile", tile).withColumn("mate", mate)
-    whole = F.col("tiles") == 1
-    dealt = dealt.select("class", "cluster", "text", F.when(whole, F.pmod(F.xxhash64("cluster"), F.lit(parts))).otherwise(F.col("cluster")).alias("part"), F.when(whole, -1).otherwise(F.least("tile", "mate")).alias("x"), F.when(whole, -1).otherwise(F.greatest("tile", "mate")).alias("y"))
-    found = components(links(dealt, size, percent), f"{work}/components")
+    found = components(exact_edges(docs, inside, size, percent, work), f"{work}/components")
     named = classes.select("class", "first_id").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     return sketch, shared_table(named.join(least, "label").select("class", "label", "component_id"), f"{work}/named")
@@ -285,29 +339,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row (all columns) of each component of near_duplicates, one of the least id; each row counts as a document.
+    """One row (all columns, whatever their names) of each component of near_duplicates, one of the least id; each row counts as a document.
 
-    Rows without a set of shingles link with nothing and all stay. Which of several rows with the representative's id and text stays is left
-    open.
+    Rows without a set of shingles (a null or wordless text) link with nothing and all stay; a null id comes after all others. Which of several
+    rows with the representative's id and text stays is left open. An empty table stays empty. Runs its jobs when called.
     """
     work = shared_dir(docs.sparkSession)
+    its_id, its_print, its_row = fresh(docs, "its_id", "its_print", "its_row")
     sketch, named = linked(docs, size, percent, work)
     texts = sketch.filter("class is not null").groupBy("doc_id", "print", "class").agg(F.count("*").alias("n"))
     texts = shared_table(texts.join(named.select("class", "label"), "class"), f"{work}/texts")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "class", "print")  # rows without an id come last
     best = texts.groupBy("label").agg(F.min(place).alias("best"))
-    texts = texts.join(best, "label").select(F.col("doc_id").alias("its_id"), F.col("print").alias("its_print"), "n", (place == F.col("best")).alias("stays"))
+    texts = texts.join(best, "label").select(F.col("doc_id").alias(its_id), F.col("print").alias(its_print), "n", (place == F.col("best")).alias("stays"))
     texts = shared_table(texts.filter("not stays or n > 1"), f"{work}/decided")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (print_of() == F.col("its_print"))
-    out = without(docs, texts.select("its_id", "its_print"), same, work)
-    repeated = texts.filter("stays").select("its_id", "its_print")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(its_id)) & (print_of() == F.col(its_print))
+    out = without(docs, texts.select(its_id, its_print), same, work)
+    repeated = texts.filter("stays").select(its_id, its_print)
     n = repeated.count()
     if not n:
         return out
     # aggregated before the shuffle, so that of a much-repeated row each task sends one
     some = docs.join(F.broadcast(repeated) if n <= MOST_BROADCAST else repeated, same)
-    one = some.groupBy("its_id", "its_print").agg(F.first(F.struct(*docs.columns)).alias("row"))
-    return out.unionByName(one.select("row.*"))
+    one = some.groupBy(its_id, its_print).agg(F.first(F.struct(*every_column(docs))).alias(its_row))
+    return out.unionByName(one.select(f"{its_row}.*"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 A linear classifier (linear.Model over character and word features) gives each document's probability of good
 quality. Sums of them by host and by path below it give posterior means: a path's mean shrinks to its host's, a host's to the
 global mean, by prior strengths that moments of the groups' rates give. The document's log odds then shift by what its
-path's mean differs from the global one, without the document's own share in it. A second classifier, over the
-presence of words that toxic rows have far more often, marks toxic documents.
+path's mean differs from the global one, without the document's own share in it. A second linear classifier, over the presence of
+those (hashed) words that toxic rows have significantly more often, counted over all labelled rows, marks toxic documents.
 """
 
 from __future__ import annotations
@@ -13,17 +13,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, MOST_BROADCAST, Fingerprints, shared_dir, shared_table, table, text_bytes, words_of
+from .bpe import letters
+from .common import BYTE_VALUES, MOST_BROADCAST, Fingerprints, code_points, in_small_batches, mix, shared_dir, shared_table, table, text_bytes, words_of
 from .language import held_out
-from .linear import WIDTH, Model, document_frequencies, features, gram_counts, groups, idf, least
+from .linear import WIDTH, Model, Sparse, document_frequencies, features, gram_counts, groups, idf, least, softmax, sparse
 
-#: Labelled rows of each class that the quality and the toxicity classifier learn from, at most.
+#: Labelled rows of each class that the quality and the toxicity classifier learn from, about.
 SAMPLE, TOXIC_SAMPLE = 600, 1500
-#: Words that the toxicity classifier looks for, at most, and the toxic rows that must have such a word.
-VOCABULARY, LEAST_SEEN = 200, 4
+#: log2 of the number of hashed words of the toxicity classifier, and its L1 penalty.
+WORDS, TOXIC_L1 = 20, 0.5
+#: A word tells if toxic rows have it more often by so many standard deviations, and by this log of a factor.
+DEVIATIONS, LIFT = 5.0, 1.5
+#: Sums of probabilities are sums of whole numbers of this unit, so that the order of tasks changes no digit.
+UNIT = 1e-9
 #: Bounds of the prior strengths, in documents, and of single probabilities.
 WEAKEST, STRONGEST, EDGE = 2.0, 1000.0, 1e-4
 
@@ -40,25 +46,52 @@ def counts(part: pa.RecordBatch) -> np.ndarray:
     return np.hstack([gram_counts(part, lower=False), word_counts(part)])
 
 
-def plain_words(text: Column) -> Column:
-    """The lower-case words of a text."""
-    return F.split(F.lower(text), "[^\\p{L}]+")
-
-
-def telling_words(few: DataFrame) -> list[str]:
-    """Up to VOCABULARY words that are far more frequent in toxic rows (columns text and toxic) than in others."""
-    said = few.select("toxic", F.explode(F.array_distinct(plain_words(F.col("text")))).alias("word")).filter("word != ''")
-    seen = said.groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count("*").alias("n"))
-    size = few.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
-    if not size.bad or size.bad == size.n:
-        return []
-    lift = F.log((F.col("bad") + 0.5) / (size.bad + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / (size.n - size.bad + 1.0))
-    rows = seen.filter(F.col("bad") >= LEAST_SEEN).select("word", lift.alias("lift"), "bad").filter("lift > 1.5").orderBy(F.desc(F.col("lift") * F.col("bad")), "word").limit(VOCABULARY).collect()
-    return sorted(r.word for r in rows)
+def presence(part: pa.RecordBatch) -> list[Sparse]:
+    """For each document which hashed words (runs of letters, in lower case) it has."""
+    raw, off = text_bytes(pc.utf8_lower(part.column("text")))
+    points, ends, _ = code_points(raw, off)
+    letter = letters()[points]
+    first, last = letter.copy(), letter.copy()
+    first[1:] &= ~letter[:-1]
+    last[:-1] &= ~letter[1:]
+    cuts = ends[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(points))]
+    first[cuts], last[cuts - 1] = letter[cuts], letter[cuts - 1]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    words = (Fingerprints(mix(points.astype(np.uint64) + np.uint64(1))).of(starts, stops) >> np.uint64(64 - WORDS)).astype(np.int64)
+    bounds = np.searchsorted(starts, ends)
+    found = [np.unique(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    return [(at, np.ones(len(at), np.float32)) for at in found]
+
+
+def telling(rows: DataFrame) -> np.ndarray:
+    """Whether each hashed word tells toxic rows (columns text and toxic, 0 or 1) from others. Tasks send sums, one for each hashed word at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, (1 << WORDS) + 1), np.int64)
+        for batch in batches:
+            for part in groups(batch):
+                for toxic, (at, _) in zip(part.column("toxic").to_pylist(), presence(part)):
+                    seen[toxic, at] += 1
+                    seen[toxic, -1] += 1  # rows
+        at = np.flatnonzero(seen.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], ["word", "good", "bad"])
+
+    counts_ = in_small_batches(rows).select("text", F.col("toxic").cast("int")).mapInArrow(count, "word long, good long, bad long").groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    whole = counts_.filter(F.col("word") == 1 << WORDS).first()
+    out = np.zeros(1 << WORDS, bool)
+    if not whole or not whole.good or not whole.bad:
+        return out
+    rate = whole.bad / (whole.good + whole.bad)
+    expected = (F.col("good") + F.col("bad")) * rate
+    lift = F.log((F.col("bad") + 0.5) / (whole.bad + 1.0)) - F.log((F.col("good") + 0.5) / (whole.good + 1.0))
+    tells = (F.col("bad") - expected > DEVIATIONS * F.sqrt(expected * (1 - rate))) & (lift > LIFT)
+    out[[r.word for r in counts_.filter((F.col("word") < 1 << WORDS) & tells).select("word").collect()]] = True
+    return out
 
 
 class Classifiers:
-    """A quality and a toxicity classifier; quality is None, or words empty, if the labelled rows don't have both values."""
+    """A quality and a toxicity classifier; either is None if the labelled rows don't have both values."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
         docs = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
@@ -68,18 +101,18 @@ class Classifiers:
         self.idf, self.quality, self.toxic = idf(df, total), None, None
         few = self._rows(self._sample(docs, labels, "quality", SAMPLE), "quality")
         if len(set(few.column("quality").to_pylist())) == 2:
-            x = np.vstack([features(counts(part), self.idf) for part in groups(few)])
-            self.quality = Model([0, 1]).fit(x, np.array(few.column("quality").to_pylist()))
-        chosen = self._sample(docs, labels, "toxic", TOXIC_SAMPLE)
-        self.words = telling_words(chosen)
-        if self.words:
-            few = self._rows(chosen.select("toxic", self.said(F.col("text")).alias("said"), "text"), "toxic")
-            self.toxic = Model([0, 1], l1=0.5).fit(self.presence(few.column("said")), np.array(few.column("toxic").to_pylist()))
+            x = [row for part in groups(few) for row in sparse(features(counts(part), self.idf))]
+            self.quality = Model([0, 1]).fit(x, np.array(few.column("quality").to_pylist()), len(self.idf))
+        few = self._rows(self._sample(docs, labels, "toxic", TOXIC_SAMPLE), "toxic")
+        if len(set(few.column("toxic").to_pylist())) == 2:
+            self.words = telling(docs.join(labels.filter("toxic in (0, 1)").select("doc_id", "toxic").distinct(), "doc_id"))
+            x = [self._telling(at) for part in groups(few) for at, _ in presence(part)]
+            self.toxic = Model([0, 1], l1=TOXIC_L1).fit(x, np.array(few.column("toxic").to_pylist()), 1 << WORDS)
 
     @staticmethod
     def _sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-        """The texts of up to so many labelled ids of each value, by a hash of the id. The ids are chosen first, so no text is shuffled."""
-        ids = least(labels.filter(F.col(label).isin(0, 1)).select("doc_id", label).distinct(), label, most, F.xxhash64("doc_id"), F.col("doc_id"))
+        """The texts of about so many labelled ids of each value, by a hash of the id. The ids are chosen first, so no text is shuffled."""
+        ids = least(labels.filter(F.col(label).isin(0, 1)).select("doc_id", label).distinct(), label, most, F.xxhash64("doc_id"))
         return docs.join(F.broadcast(ids), "doc_id").select("text", label)
 
     @staticmethod
@@ -89,24 +122,19 @@ class Classifiers:
         t = t.take(pa.array(np.random.default_rng(5).permutation(t.num_rows))).combine_chunks()
         return t.to_batches()[0] if t.num_rows else pa.RecordBatch.from_pylist([], schema=t.schema)
 
-    def said(self, text: Column) -> Column:
-        return F.array_intersect(plain_words(text), F.array(*map(F.lit, self.words)).cast("array<string>"))
-
-    def presence(self, said: pa.Array) -> np.ndarray:
-        at = {w: k for k, w in enumerate(self.words)}
-        out = np.zeros((len(said), len(at)), np.float32)
-        for i, found in enumerate(said.to_pylist()):
-            for w in found:
-                out[i, at[w]] = 1
-        return out
+    def _telling(self, at: np.ndarray) -> Sparse:
+        at = at[self.words[at]]
+        return at, np.ones(len(at), np.float32)
 
     def probabilities(self, batch: pa.RecordBatch) -> list[np.ndarray]:
-        """Of good quality and of toxicity, for rows with text and said."""
+        """Of good quality and of toxicity, for rows with text."""
         p, toxic = np.full(batch.num_rows, 0.5), np.zeros(batch.num_rows)
         if self.quality and batch.num_rows:
             p = np.concatenate([self.quality.probabilities(features(counts(part), self.idf))[:, 1] for part in groups(batch)])
         if self.toxic and batch.num_rows:
-            toxic = self.toxic.probabilities(self.presence(batch.column("said")))[:, 1]
+            w, b, t = self.toxic.weights, self.toxic.bias, self.toxic.temperature
+            logits = np.array([w[at[self.words[at]]].sum(axis=0) + b for part in groups(batch) for at, _ in presence(part)], np.float64)
+            toxic = softmax(logits / t)[:, 1]
         return [p, toxic]
 
 
@@ -134,8 +162,8 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
     """doc_id, p_doc, p_host, p_path, score, p_toxic, toxic and kept (score of 0.5 or more and not toxic) of every row.
 
     host is the column source and path the section lang of it, unless given; a null in either is a group of its own. A
-    null text counts as empty. Without labels of both values the document's own evidence is 0.5. Repeated rows give
-    repeated rows. Learns when called.
+    null text counts as empty. Without labels of both values the document's own evidence is 0.5, and nothing is toxic. Repeated rows give
+    repeated rows, an empty table none. Learns when called.
     """
     models = Classifiers(docs, labels)
     work = shared_dir(docs.sparkSession)
@@ -148,8 +176,8 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     keys = [F.coalesce(x.cast("string"), F.lit("")).alias(n) for x, n in ((host, "host"), (path, "path"))]
-    own = shared_table(docs.select("doc_id", *keys, F.coalesce("text", F.lit("")).alias("text"), models.said(F.coalesce("text", F.lit(""))).alias("said")).mapInArrow(run, SCHEMA), f"{work}/own")
-    by_path = shared_table(own.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s")), f"{work}/paths")
+    own = shared_table(in_small_batches(docs).select("doc_id", *keys, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA), f"{work}/own")
+    by_path = shared_table(own.groupBy("host", "path").agg(F.count("*").alias("n"), (F.sum(F.round(F.col("p_doc") / UNIT).cast("long")) * UNIT).alias("s")), f"{work}/paths")
     whole = by_path.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     centre = whole.s / whole.n if whole.n else 0.5
     by_host = by_path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
