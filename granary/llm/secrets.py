@@ -4,9 +4,10 @@ A candidate is a run of at least LEAST characters from [A-Za-z0-9+/_-] with a le
 hex, base 32, base 36 of either case, or base 64) gives its alphabet. Three tests ask whether its symbols are
 uniform and independent: chi-squared over classes of the alphabet (as many as the length supports), runs above and below the middle of
 the alphabet, and serial correlation at lag 1. The least of the three p-values times three is the candidate's p-value.
-Ordinary long words fail these tests. Which failures to believe is decided by the Benjamini-Hochberg step over
-all candidates of the corpus, separately for each encoding and length class, as the tests' power grows with length. Candidates that
-the step doesn't reject are spans of kind "random".
+Ordinary long words fail these tests. Two rules decide over all candidates of the corpus, separately for each encoding and length
+class, as the tests' power grows with length. The Benjamini-Hochberg step says which failures to believe. What it leaves is reported from
+the p-value on at which the false discoveries among the reports are few: random strings have even p-values, so those above
+RATE tell how many random ones are in all, and the surplus below is of ordinary text. What is reported are spans of kind "random".
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, slices, table, text_bytes, text_column
+from .common import fresh, in_small_batches, slices, table, text_bytes, text_column
 
 # The base patterns, as bytes (each class is ASCII only).
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -30,7 +31,7 @@ KINDS = ("assign", "access", "hex", "random")
 
 LEAST = 20
 ENCODINGS = (("hex", b"0123456789abcdef"), ("HEX", b"0123456789ABCDEF"), ("base32", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base36", b"0123456789abcdefghijklmnopqrstuvwxyz"), ("BASE36", b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("base64", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"))
-#: False-discovery rate of the rejections, and the classes of p-values on which they are decided: so many for each factor of 10, down to the least double.
+#: False-discovery rate of the rejections and of the reports, and the classes of p-values on which they are decided: so many for each factor of 10, down to the least double.
 RATE, TENTHS, DECADES = 0.05, 40, 324
 
 
@@ -140,7 +141,7 @@ def p_class(p: float) -> int:
 
 
 def thresholds(docs: DataFrame) -> dict[int, int]:
-    """For each stratum with rejections the p-value class up to which candidates are rejected, from the counts of all documents.
+    """For each stratum the p-value class up to which candidates aren't reported, from the counts of all documents.
 
     A class is rejected if the step holds for its largest p-value, so the last one rejected is at most 6 % below that of the step on all
     p-values. The driver gets at most one row for each encoding and length class, whatever the input's size.
@@ -160,8 +161,14 @@ def thresholds(docs: DataFrame) -> dict[int, int]:
 
     counts = in_small_batches(docs).select(text_column()).mapInArrow(count, "stratum int, p_class int, n long, p double").groupBy("stratum", "p_class").agg(F.sum("n").alias("n"), F.max("p").alias("p"))
     whole = Window.partitionBy("stratum")
-    upto = counts.select("stratum", "p_class", "p", F.sum("n").over(whole.orderBy("p_class")).alias("upto"), F.sum("n").over(whole).alias("total"))
-    return {r.stratum: r.last for r in upto.filter(F.col("p") <= RATE * F.col("upto") / F.col("total")).groupBy("stratum").agg(F.max("p_class").alias("last")).collect()}
+    upto = counts.select("stratum", "p_class", "p", "n", F.sum("n").over(whole.orderBy("p_class")).alias("upto"), F.sum("n").over(whole).alias("total"))
+    upto = upto.withColumn("random", F.sum(F.when(F.col("p_class") > p_class(RATE), F.col("n")).otherwise(0)).over(whole) / (1 - RATE))
+    above = F.col("total") - F.col("upto")
+    rejected = F.max(F.when(F.col("p") <= RATE * F.col("upto") / F.col("total"), F.col("p_class")))
+    few_false = F.min(F.when((above > 0) & (above - F.col("random") * (1 - F.col("p")) <= RATE * above), F.col("p_class")))
+    # where all may be reported, the second rule sets no bound; where no bound is good enough, nothing is reported
+    second = F.when(F.max(F.col("total") - F.col("random")) <= RATE * F.max("total"), -1).otherwise(F.coalesce(few_false, F.max("p_class")))
+    return {r.stratum: r.last for r in upto.groupBy("stratum").agg(F.greatest(F.coalesce(rejected, F.lit(-1)), second).alias("last")).collect()}
 
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
@@ -185,8 +192,9 @@ def _digest(part: pa.RecordBatch, limit: dict[int, int]) -> list[list[tuple[int,
 def scan(docs: DataFrame) -> DataFrame:
     """Secrets of each whole text: counts, the digest of the base spans and all spans as kind:start:end.
 
-    A null text is empty and has none; a null doc_id stays null; repeated rows give repeated rows. An empty table gives no
-    rows. Runs one small job for the corpus-wide thresholds first.
+    A null text is empty and has none; a null doc_id stays null; repeated rows give repeated rows and count as often as they are there. An empty
+    table gives no rows. Spans that begin together are listed by kind. Other columns are not read. Runs one small job for the corpus-wide
+    thresholds first.
     """
     import hashlib
 
@@ -205,34 +213,39 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """The same rows with each span (overlapping ones as one) replaced by a mark; other texts stay as they are, null included.
+    """The same rows with each span (overlapping ones as one) replaced by a mark; other texts stay as they are, null and empty ones included.
 
-    Only text changes, and n_chars with it where the table has that column.
+    Only text changes, and n_chars with it where the table has that column; other columns, whatever their names, aren't sent to Python. Repeated
+    rows stay repeated, and an empty table stays empty. Runs one small job first.
     """
     limit = thresholds(docs)
-    schema = docs.schema
-    place = schema.names.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            filled = batch.set_column(place, pa.field("text", pa.string()), batch.column(place).cast(pa.string()).fill_null(""))
-            texts = batch.column(place).to_pylist()
-            at = 0
-            for part in slices(filled):
-                for k, spans in enumerate(_digest(part, limit), at):
-                    merged: list[list[int]] = []
-                    for a, b, _ in spans:
-                        if merged and a < merged[-1][1]:
-                            merged[-1][1] = max(b, merged[-1][1])
-                        else:
-                            merged.append([a, b])
-                    for a, b in reversed(merged):
-                        texts[k] = texts[k][:a] + mark + texts[k][b:]
-                at += part.num_rows
-            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
-
-    out = docs.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
+    @F.arrow_udf("string")
+    def redacted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            out = []
+            for part in slices(pa.RecordBatch.from_arrays([column.fill_null("")], ["text"])):
+                texts = part.column("text")
+                for k, spans in enumerate(_digest(part, limit)):
+                    out.append(replaced(texts[k].as_py(), spans, mark) if spans else None)
+            # None where nothing was found: that text stays as it is
+            yield pa.array(out, pa.string())
+
+    name, *_ = fresh(docs, "redacted")
+    out = docs.withColumn(name, redacted(F.col("text"))).withColumn("text", F.coalesce(F.col(name), F.col("text"))).drop(name)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def replaced(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    merged: list[list[int]] = []
+    for a, b, _ in spans:
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    ends = [0, *(b for _, b in merged)]
+    starts = [*(a for a, _ in merged), len(text)]
+    return mark.join(text[a:b] for a, b in zip(ends, starts))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

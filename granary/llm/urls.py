@@ -3,7 +3,8 @@
 The cascade knows every key (host) of the corpus. Level 1 is a Bloom filter of the listed keys; level 2 one of the other
 keys that level 1 lets through; level 3 one of the listed keys that level 2 lets through; and so on until a level lets
 nothing through that it shouldn't. The first level that doesn't have a key says on which side the key is, and that is exact for all
-keys of the corpus. A lookup is arithmetic on constants; only the building of the levels groups rows.
+keys of the corpus. A lookup is arithmetic on constants; only the building of the levels groups rows. A level is cut into
+shards by a hash of the key, so that no constant is longer than MOST_BITS; a level of more than SHARDS shards takes several passes over the rows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ BLOCKED = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "sp
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BITS_PER_KEY, HASHES = 12, 5
-#: A level of the cascade may have so many bits (2 MiB); beyond, listed keys are found by a semi join instead.
-MOST_BITS = 1 << 24
+#: A shard of a level may have about so many bits (2 MiB), and a pass so many shards of all levels.
+MOST_BITS, SHARDS = 1 << 24, 16
 
 
 def host_of(url: Column) -> Column:
@@ -50,70 +51,93 @@ def places(key: Column, level: int, bits: int) -> list[Column]:
 
 
 class Level:
-    """One Bloom filter: an array of 64-bit words in a one-row DataFrame, at most MOST_BITS long."""
+    """One Bloom filter: for each shard an array of 64-bit words, as rows of a DataFrame."""
 
-    def __init__(self, keys: DataFrame, level: int, count: int):
+    def __init__(self, keys: DataFrame, level: int, count: int, shards: int):
         spark = keys.sparkSession
-        self.level, self.bits = level, -(-count * BITS_PER_KEY // 64) * 64
-        at = keys.select(F.explode(F.array(*places(F.col("key"), level, self.bits))).alias("at"))
-        words = at.groupBy(F.shiftright("at", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("word"))
-        every = spark.range(self.bits // 64).select(F.col("id").alias("place"), F.lit(0).cast("long").alias("word"))
-        full = every.unionByName(words).groupBy("place").agg(F.bit_or("word").alias("word"))
-        self.row = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("words"))
+        self.level, self.shards, self.bits = level, shards, -(-max(1, count // shards) * BITS_PER_KEY // 64) * 64
+        at = keys.select(shard_of(F.col("key"), shards).alias("shard"), F.explode(F.array(*places(F.col("key"), level, self.bits))).alias("at"))
+        words = at.groupBy("shard", F.shiftright("at", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("word"))
+        every = spark.range(shards).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.bits // 64 - 1).cast("long"))).alias("place"), F.lit(0).cast("long").alias("word"))
+        full = every.unionByName(words).groupBy("shard", "place").agg(F.bit_or("word").alias("word"))
+        self.rows = full.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("words"))
 
     def settle(self, path: str) -> Level:
-        self.row = shared_table(self.row, path)
+        self.rows = shared_table(self.rows, path)
         return self
 
-    def has(self, key: Column) -> Column:
-        words = self.row.scalar()
-        return reduce(lambda a, b: a & b, [F.getbit(F.element_at(words, (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(63)) == 1 for p in places(key, self.level, self.bits)])
+    def has(self, key: Column, shards: list[int]) -> Column:
+        """Whether it lets a key of one of these shards through."""
 
+        def test(shard: int) -> Column:
+            words = self.rows.filter(F.col("shard") == shard).select("words").scalar()
+            return reduce(lambda a, b: a & b, [F.getbit(F.element_at(words, (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(63)) == 1 for p in places(key, self.level, self.bits)])
 
-def cascade(universe: DataFrame, listed: Column) -> list[Level] | None:
-    """The levels for a universe of distinct keys (column key); None if one would pass MOST_BITS."""
-    work = shared_dir(universe.sparkSession)
-    keys = shared_table(universe.select("key", listed.alias("listed")), f"{work}/keys")
-    inside, outside = keys.filter("listed").select("key"), keys.filter("not listed").select("key")
-    levels: list[Level] = []
-    while count := inside.count():
-        if count * BITS_PER_KEY > MOST_BITS:
-            return None
-        level = Level(inside, len(levels), count).settle(f"{work}/level{len(levels)}")
-        passed = shared_table(outside.filter(level.has(F.col("key"))), f"{work}/passed{len(levels)}")
-        levels.append(level)
-        inside, outside = passed, inside
-    return levels
+        out = test(shards[-1])
+        for k in shards[:-1]:
+            out = F.when(shard_of(key, self.shards) == k, test(k)).otherwise(out)
+        return out
 
 
-def member(key: Column, levels: list[Level]) -> Column:
-    """Whether a key of the universe is listed: the first level without it decides."""
-    answer = F.lit(len(levels) % 2 == 1)
-    for k in reversed(range(len(levels))):
-        answer = F.when(~levels[k].has(key), F.lit(k % 2 == 1)).otherwise(answer)
-    return answer
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards)).cast("long")
+
+
+class Cascade:
+    """The levels for a universe of distinct keys (columns key and listed). Builds them when made."""
+
+    def __init__(self, universe: DataFrame):
+        work = shared_dir(universe.sparkSession)
+        keys = shared_table(universe.select("key", "listed"), f"{work}/keys")
+        inside, outside = keys.filter("listed").select("key"), keys.filter("not listed").select("key")
+        self.levels: list[Level] = []
+        self.shards = max(1, -(-inside.count() * BITS_PER_KEY // MOST_BITS))
+        while count := inside.count():
+            level = Level(inside, len(self.levels), count, self.shards).settle(f"{work}/level{len(self.levels)}")
+            passed = [outside.filter(shard_of(F.col("key"), self.shards).isin(some) & level.has(F.col("key"), some)) for some in self._passes(1)]
+            self.levels.append(level)
+            inside, outside = shared_table(reduce(DataFrame.unionByName, passed), f"{work}/passed{len(self.levels)}"), inside
+
+    def _passes(self, levels: int) -> list[list[int]]:
+        size = max(1, SHARDS // max(1, levels))
+        return [list(range(k, min(k + size, self.shards))) for k in range(0, self.shards, size)]
+
+    def _member(self, key: Column, shards: list[int]) -> Column:
+        answer = F.lit(len(self.levels) % 2 == 1)
+        for k in reversed(range(len(self.levels))):
+            answer = F.when(~self.levels[k].has(key, shards), F.lit(k % 2 == 1)).otherwise(answer)
+        return answer
+
+    def marked(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """rows with a column that says whether the key, one of the universe, is listed: the first level without it decides."""
+        passes = self._passes(len(self.levels))
+        if len(passes) == 1:
+            return rows.withColumn(name, self._member(F.col(key), passes[0]))
+        return reduce(DataFrame.unionByName, [rows.filter(shard_of(F.col(key), self.shards).isin(some)).withColumn(name, self._member(F.col(key), some)) for some in passes])
 
 
 def is_blocked(host: Column, names=BLOCKED) -> Column:
     return F.exists(F.split(host, "\\."), lambda label: label.isin(*names))
 
 
-def url_filter(pages: DataFrame, rules=RULES, names=BLOCKED) -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, names=BLOCKED, listed: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict of every url.
 
-    The longest fitting rule decides; where none fits, membership of the host in the cascade of listed hosts does. A null
-    url or one without "://" has an empty host and path, fits no rule and is allowed. Repeated rows give repeated rows.
+    The longest fitting rule decides; where none fits, membership of the host in the cascade of listed hosts does: those of a column host of
+    the table listed, of any size, or if there is none the hosts with one of the names as a label. A null url or one without "://" has an
+    empty host and path, fits no rule and is allowed, unless listed has an empty host. Repeated rows give repeated rows, an empty table none;
+    nulls and repeated rows in listed do nothing, and other columns are not read. Builds the cascade when called.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    universe = parts.select(F.col("host").alias("key")).distinct()
-    levels = cascade(universe, is_blocked(F.col("key"), names))
-    rule, action = best_rule(F.col("host"), F.col("path"), rules)
-    if levels is not None:
-        blocked = member(F.col("host"), levels)
+    hosts = parts.select(F.col("host").alias("key"))
+    if listed is None:
+        universe = hosts.distinct().withColumn("listed", is_blocked(F.col("key"), names))
     else:
-        listed = universe.filter(is_blocked(F.col("key"), names)).select(F.col("key").alias("host"), F.lit(True).alias("listed"))
-        parts, blocked = parts.join(listed, "host", "left"), F.coalesce(F.col("listed"), F.lit(False))
-    return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(blocked, "block").otherwise("allow")).alias("verdict"))
+        both = hosts.withColumn("listed", F.lit(False)).unionByName(listed.filter("host is not null").select(F.col("host").alias("key"), F.lit(True).alias("listed")))
+        universe = both.groupBy("key").agg(F.bool_or("listed").alias("listed"))
+    rule, action = best_rule(F.col("host"), F.col("path"), rules)
+    out = Cascade(universe).marked(parts, "host", "blocked")
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

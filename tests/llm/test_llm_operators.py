@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -161,6 +162,32 @@ def test_secret_randomness_among_many_keys(spark):
     assert [found[i] for i in range(1000, 1015)] == [0] * 15 and sum(found[i] for i in range(1000)) >= 990
 
 
+def test_secret_thresholds_by_brute_force(spark):
+    r = random.Random(16)
+    texts = []
+    for i in range(60):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randrange(20, 27))) if r.random() < 0.5 else "".join(r.choice("aeinost") for _ in range(22)) + "7" for _ in range(4)]
+        texts.append((i, " é ".join(words)))
+    tested = []  # (doc, start, end, stratum, p) of each candidate
+    for d, t in texts:
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", t):
+            if not any(a < m.end() and m.start() < b for a, b in [x.span() for x in re.finditer(r"[0-9a-f]{32,}|AKIA[A-Z0-9]{12,}", t)]) and (found := scans.battery(m[0].encode())):
+                tested.append((d, m.start(), m.end(), scans.stratum(found[0], m[0].encode()), found[1]))
+    expected = {d: [] for d, _ in texts}
+    for s in {x[3] for x in tested}:
+        own = sorted((x for x in tested if x[3] == s), key=lambda x: x[4])
+        ps = [x[4] for x in own]
+        rejected = max([p for k, p in enumerate(ps, 1) if p <= 0.05 * k / len(ps)], default=-1)
+        random_ones = sum(p > 0.05 for p in ps) / 0.95
+        good = [p for p in [0.0, *ps] if (n := sum(q > p for q in ps)) and 1 - random_ones * (1 - p) / n <= 0.05]
+        bound = max(rejected, min(good, default=2))
+        for d, a, b, _, p in own:
+            if p > bound:
+                expected[d].append(f"random:{a}:{b}")
+    got = {x.doc_id: x.spans for x in scans.scan(frame(spark, texts)).collect()}
+    assert got == {d: ",".join(sorted(v, key=lambda x: int(x.split(":")[1]))) for d, v in expected.items()} and 20 < sum(map(len, expected.values())) < len(tested)
+
+
 def test_redaction(spark):
     out = {x.doc_id: x for x in scans.redact(frame(spark, ODD)).collect()}
     assert out[12].text == "token: secret: abcdefghijk [secret] é [secret]" and out[12].spans == 1 and out[15].text is None
@@ -339,15 +366,28 @@ def test_adpcm_sample_by_sample():
             assert out[k] == value
 
 
-def test_url_cascade_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(urls, "BITS_PER_KEY", 2)  # many false positives, many levels
-    keys = spark.range(3000).select(F.concat(F.lit("h"), "id").alias("key"), "id")
-    levels = urls.cascade(keys, F.col("id") % 7 == 0)
-    assert len(levels) > 2
-    assert keys.filter(urls.member(F.col("key"), levels) != (F.col("id") % 7 == 0)).isEmpty()
+@pytest.mark.parametrize("most_bits, shards", [(1 << 24, 16), (120, 4)])
+def test_url_cascade_is_exact(spark, monkeypatch, most_bits, shards):
+    monkeypatch.setattr(urls, "BITS_PER_KEY", 3)  # many false positives, several levels
+    monkeypatch.setattr(urls, "MOST_BITS", most_bits)
+    monkeypatch.setattr(urls, "SHARDS", shards)
+    keys = spark.range(700).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
+    cascade = urls.Cascade(keys)
+    assert len(cascade.levels) > 1 and cascade.shards == (1 if most_bits > 120 else 3)
+    marked = cascade.marked(keys, "key", "found")
+    assert marked.count() == 700 and marked.filter("found != listed").isEmpty()
+
+
+def test_url_list_of_any_size_stays_a_cascade(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MOST_BITS", 1 << 20)
+    listed = spark.range(0, 300_000, 3).select(F.concat(F.lit("h"), "id", F.lit(".org")).alias("host")).unionByName(spark.createDataFrame([(None,), ("h0.org",)], "host string"))
+    pages = spark.range(0, 300_000, 50).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), "id", F.lit(".org/x")).alias("url"))
+    out = urls.url_filter(pages, listed=listed)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter((F.col("page_id") % 3 == 0) != (F.col("verdict") == "block")).isEmpty() and out.count() == 6000
 
 
-def test_url_rules(spark, monkeypatch):
+def test_url_rules(spark):
     cases = {
         "https://WWW.Example.COM/en/1?x": ("www.example.com", "/en/1", "www.example.com/en/", "allow"), "http://a.example.com/en/": ("a.example.com", "/en/", "example.com/en/", "block"),
         "http://example.com/de": ("example.com", "/de", "com/", "allow"), "http://x.net/es/#/a": ("x.net", "/es/", "net/es/", "block"), "http://spam-farm.x.net/de/": ("spam-farm.x.net", "/de/", None, "block"),
@@ -356,8 +396,6 @@ def test_url_rules(spark, monkeypatch):
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate([*cases, None])], "page_id long, url string, host int")
     expected = sorted([(i, *v) for i, v in enumerate([*cases.values(), ("", "", None, "allow")])], key=str)
     assert rows(urls.url_filter(pages)) == expected
-    monkeypatch.setattr(urls, "MOST_BITS", 1)
-    assert rows(urls.url_filter(pages), "page_id", "host", "path", "rule", "verdict") == expected
     assert urls.url_filter(pages.limit(0)).collect() == []
 
 
