@@ -172,7 +172,7 @@ def candidates(classes: DataFrame, work: str) -> DataFrame:
         return pa.table({"a": cls[moved], "b": cls[root[moved]]})
 
     tiles = F.ceil(F.col("n") / REGION_TILE)
-    parts = max(1, -(-regions.count() * 250 // GROUP_BYTES))
+    parts = max(4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-regions.count() * 250 // GROUP_BYTES))
     whole = F.col("n") <= REGION_TILE
     dealt = regions.join(classes.select("class", "signature"), "class").withColumn("tile", F.pmod(F.xxhash64("class"), tiles)).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
     part = F.when(whole, F.pmod(F.xxhash64("tree", "key"), F.lit(parts))).otherwise(F.xxhash64("tree", "key"))
