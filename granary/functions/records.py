@@ -1,15 +1,19 @@
 """Normalising one reported record: text, keys, codes, dates, numbers and units, all as column expressions.
 
-Each step takes the columns of the step before (clean text, then keys, then slugs), so that a plan computes each once.
+Each step takes the columns of the step before (clean text, then slugs and values), so that a plan computes each once.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What stands for "missing", units and their factors, commodity aliases.
 MISSING = ("", "na", "n/a", "nr", "null", "nil", "-", "--", "none")
@@ -43,28 +47,37 @@ def clean(text: Column) -> Column:
     return F.when(~text.rlike(_MISSING), F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
-def name_key(text: Column) -> Column:
-    """Lower-case words of letters, marks and digits of clean text in composed form (see compatible); null without any."""
-    return F.nullif(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")), F.lit(""))
+def name_key(text: str) -> str | None:
+    """Lower-case words of letters, marks and digits of a text in compatibility composition (NFKC); None without any."""
+    lower = unicodedata.normalize("NFKC", text).lower()
+    return " ".join("".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in lower).split()) or None
 
 
-def compatible(text: Column) -> Column:
-    """Unicode compatibility composition (NFKC), for which there is no built-in function."""
+def latin(key: str) -> str | None:
+    """The Latin letters and digits of a name key, words joined by _; None without any."""
+    return "_".join(re.findall("[A-Z0-9]+", key.upper())) or None
 
-    def compose(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    return F.pandas_udf(compose, "string")(text)
+def slug(key: str) -> str:
+    """latin, or a hash of the key."""
+    return latin(key) or "U" + hashlib.sha1(key.encode()).hexdigest()[:10].upper()
 
 
-def latin(key: Column) -> Column:
-    """The Latin letters and digits of a name key, words joined by _; null without any."""
-    return F.nullif(F.regexp_replace(F.regexp_replace(F.upper(key), "[^A-Z0-9]+", "_"), "^_+|_+$", ""), F.lit(""))
+def of_names(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
+    """f as a column function for names. Names repeat, so each different one of a batch is worked on once (there is no built-in NFKC)."""
 
+    @F.arrow_udf(StringType())
+    def run(column: pa.Array) -> pa.Array:
+        names = column.dictionary_encode()
+        return pa.array([f(x) for x in names.dictionary.to_pylist()], pa.string()).take(names.indices)
 
-def slug(key: Column) -> Column:
-    """latin, or a hash of the key."""
-    return F.coalesce(latin(key), F.concat(F.lit("U"), F.upper(F.substring(F.sha1(F.coalesce(key, F.lit(""))), 1, 10))))
+    return run
+
+
+#: The slug of a name without a key is that of an empty key.
+place_slug = of_names(lambda text: slug(name_key(text) or ""))
+#: The code of a commodity's name: that of its alias, or its own slug; null without a key.
+commodity_slug = of_names(lambda text: None if (key := name_key(text)) is None else CODE_OF_ALIAS.get(key) or slug(key))
 
 
 def code(*slugs: Column, most: int = 64) -> Column:

@@ -11,7 +11,10 @@ from granary.operators.market import SERIES, first_rows, genuine
 # Fixed values of the freight model: rupees a quintal and kilometre, distances.
 FREIGHT_BASE, FREIGHT_PER_KM = 80.0, 1.35
 SAME_KM, MISSING_KM, DEFAULT_KM = 25.0, 30.0, 140.0
-DISTANCES = {("nashik", "pune"): 212.0, ("ahmednagar", "pune"): 122.0, ("pune", "satara"): 110.0}
+DISTANCES = {
+    ("ahmednagar", "pune"): 122.0, ("nashik", "pune"): 212.0, ("ahmednagar", "nashik"): 158.0, ("pune", "solapur"): 250.0, ("kolhapur", "pune"): 235.0, ("aurangabad", "pune"): 230.0,
+    ("chhatrapati sambhajinagar", "pune"): 230.0, ("pune", "satara"): 110.0, ("jalgaon", "nashik"): 235.0, ("dhule", "nashik"): 160.0, ("ahmednagar", "solapur"): 225.0,
+}
 SPLIT = 0.6
 
 

@@ -29,12 +29,11 @@ def normalised(raw: DataFrame) -> DataFrame:
     """Raw text fields (TEXTS, with seq and is_sample_data) to typed ones with flags. Nothing missing is guessed."""
     c = {n: F.col(n) for n in TEXTS}
     out = raw.select("seq", F.coalesce("is_sample_data", F.lit(False)).alias("is_sample_data"), *[r.clean(F.col(n)).alias(n) for n in TEXTS])
-    keys = {f"_{n}": r.name_key(c[n]) for n in ("state", "district", "market", "commodity")}
+    slugs = {f"_{n}": r.place_slug(c[n]) for n in ("state", "district", "market")} | {"_commodity": r.commodity_slug(c["commodity"])}
     values = {f"_{n}": r.number(c[n]) for n in (*PRICES, "arrivals_quantity")}
-    out = out.withColumns(keys | values | {"_day": r.calendar_date(c["price_date"], F.coalesce("date_format", F.lit("AUTO"))), "_factor": r.price_factor(c["price_unit"]), "_weight": r.arrival_factor(c["arrival_unit"])})
-    out = out.withColumns({f"_{n}": r.slug(F.col(f"_{n}")) for n in ("state", "district", "market")} | {"_known": r.lookup(r.CODE_OF_ALIAS, F.col("_commodity")), "_own": r.slug(F.col("_commodity"))})
+    out = out.withColumns(slugs | values | {"_day": r.calendar_date(c["price_date"], F.coalesce("date_format", F.lit("AUTO"))), "_factor": r.price_factor(c["price_unit"]), "_weight": r.arrival_factor(c["arrival_unit"])})
     located = c["state"].isNotNull() & c["district"].isNotNull() & c["market"].isNotNull()
-    out = out.withColumns({"mandi_code": F.when(located, r.code(F.col("_state"), F.col("_district"), F.col("_market"))), "commodity_code": F.when(F.col("_commodity").isNotNull(), F.coalesce("_known", r.code(F.col("_own"))))})
+    out = out.withColumns({"mandi_code": F.when(located, r.code(F.col("_state"), F.col("_district"), F.col("_market"))), "commodity_code": F.when(F.col("_commodity").isNotNull(), r.code(F.col("_commodity")))})
     flag = lambda test, name: F.when(test, F.lit(name))
     flags = [
         flag(F.col("mandi_code").isNull(), "MISSING_LOCATION"), flag(F.col("commodity_code").isNull(), "MISSING_COMMODITY"),
@@ -83,7 +82,7 @@ def rejection_summary(checked: DataFrame) -> DataFrame:
 def deduplicated(records: DataFrame) -> DataFrame:
     """The last record (by seq) of each identity, how many there were, and how many earlier ones had other values."""
     key = [F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c in IDENTITY]
-    values = F.struct("modal_price", "min_price", "max_price", "arrivals_quantity")
+    values = F.struct("modal_price", "min_price", "max_price", "arrivals_quantity", *(c for c in ("price_unit", "arrival_unit") if c in records.columns))
     w = Window.partitionBy(*key)
     out = records.withColumn("_last", F.row_number().over(w.orderBy(F.col("seq").desc()))).withColumn("copies", F.count("*").over(w))
     out = out.withColumn("_kept", F.first(values).over(w.orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -98,7 +97,8 @@ def overlaps(records: DataFrame) -> DataFrame:
     """
     day = records.withColumn("rows", F.count("*").over(Window.partitionBy(*DAY, "source")))
     side = lambda s: day.select(*DAY, *[F.col(c).alias(f"{c}_{s}") for c in ("source", "variety", "grade", "modal_price", "rows")])
-    pairs = side("a").join(side("b"), [*DAY]).filter("source_a < source_b")
+    a, b = side("a"), side("b").select(*[F.col(c).alias(f"{c}_of_b") for c in DAY], "source_b", "variety_b", "grade_b", "modal_price_b", "rows_b")
+    pairs = a.join(b, reduce(lambda x, y: x & y, [F.col(c) == F.col(f"{c}_of_b") for c in DAY]) & (F.col("source_a") < F.col("source_b")))
     same = F.col("variety_a").eqNullSafe(F.col("variety_b")) & F.col("grade_a").eqNullSafe(F.col("grade_b"))
     loose = (F.col("variety_a").isNull() | F.col("variety_b").isNull()) & (F.col("rows_a") == 1) & (F.col("rows_b") == 1)
     verdict = F.when(same | loose, F.when(r.prices_differ(F.col("modal_price_a"), F.col("modal_price_b")), 2).otherwise(1)).otherwise(0)

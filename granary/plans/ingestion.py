@@ -15,7 +15,7 @@ NOW = "2001-09-01"
 
 
 def raw(spark, d) -> DataFrame:
-    """Observations as text: two date forms, three price units and three arrival units, and every so often a fault."""
+    """Observations as text: two date forms, three price units and three arrival units, aliases in other scripts and widths, and every so often a fault."""
     obs = p.observations(spark, d).withColumn("k", F.conv(F.substring("observation_id", 1, 6), 16, 10).cast("long")).withColumn("fault", F.col("k") % 97)
     k, fault = F.col("k"), F.col("fault")
     unit = F.element_at(F.array(*map(F.lit, ("Rs / Quintal", "INR/kg", "₹/tonne"))), (k % 3 + 1).cast("int"))
@@ -25,7 +25,7 @@ def raw(spark, d) -> DataFrame:
     return obs.select(
         F.col("observation_id").alias("seq"), F.when(fault == 1, F.lit(None)).when(fault == 2, "SCRAPER").otherwise(F.col("source")).alias("source"), F.when(fault == 3, ~F.col("is_sample")).otherwise(F.col("is_sample")).alias("is_sample_data"),
         F.col("observation_id").alias("source_record_key"), F.when(fault == 4, " - ").otherwise(F.col("state")).alias("state"), F.when(fault == 5, "N/A").otherwise(F.col("district")).alias("district"), F.concat(F.lit("  "), F.col("mandi"), F.lit(" (Main) ")).alias("market"),
-        F.when(fault == 6, "null").when(k % 11 == 0, "Kanda").when(k % 11 == 1, "कांदा").otherwise(F.col("commodity")).alias("commodity"), "variety", "grade",
+        F.when(fault == 6, "null").when(k % 11 == 0, "Kanda").when(k % 11 == 1, "कांदा").when(k % 11 == 2, "Ｏｎｉｏｎ").otherwise(F.col("commodity")).alias("commodity"), "variety", "grade",
         F.when(fault == 7, "31/02/2001").when(fault == 8, "").otherwise(day).alias("price_date"), F.lit("AUTO").alias("date_format"), F.when(fault == 9, "0").otherwise(price("min_price")).alias("min_price"),
         F.when(fault == 10, "abc").otherwise(price("max_price")).alias("max_price"), F.when(fault == 11, "-5").when(fault == 12, "NR").otherwise(price("modal_price")).alias("modal_price"), F.when(fault == 13, "Rs/bag").otherwise(unit).alias("price_unit"),
         F.when(fault == 14, "-3").otherwise(F.col("arrival_quantity").cast("int").cast("string")).alias("arrivals_quantity"), F.element_at(F.array(*map(F.lit, ("Tonnes", "quintal", "sacks"))), (k % 7 % 3 + 1).cast("int")).alias("arrival_unit"),
@@ -44,7 +44,7 @@ K = "CAST(('0x' || substr(observation_id, 1, 6)) AS BIGINT)"
 RAW_SQL = f"""keyed AS (SELECT *, {K} AS k, {K} % 97 AS fault, [1.0, 0.01, 10.0][CAST({K} % 3 + 1 AS INTEGER)] AS scale FROM obs),
 raw AS (
   SELECT observation_id AS seq, CASE WHEN fault = 1 THEN NULL WHEN fault = 2 THEN 'SCRAPER' ELSE source END AS source, CASE WHEN fault = 3 THEN NOT is_sample ELSE is_sample END AS is_sample_data, CASE WHEN fault = 4 THEN NULL ELSE state END AS state, CASE WHEN fault = 5 THEN NULL ELSE district END AS district, mandi || ' (Main)' AS market,
-         CASE WHEN fault = 6 THEN NULL WHEN k % 11 IN (0, 1) THEN 'ONION' ELSE regexp_replace(upper(commodity), '[^A-Z0-9]+', '_', 'g') END AS commodity_code, variety, grade, CASE WHEN fault IN (7, 8) THEN NULL ELSE reported_date END AS price_date,
+         CASE WHEN fault = 6 THEN NULL WHEN k % 11 IN (0, 1, 2) THEN 'ONION' ELSE regexp_replace(upper(commodity), '[^A-Z0-9]+', '_', 'g') END AS commodity_code, variety, grade, CASE WHEN fault IN (7, 8) THEN NULL ELSE reported_date END AS price_date,
          fault, k, [1.0, 100.0, 0.1][CAST(k % 3 + 1 AS INTEGER)] AS factor, CAST(printf('%.4f', min_price * scale) AS DOUBLE) AS low, CAST(printf('%.4f', max_price * scale) AS DOUBLE) AS high, CAST(printf('%.4f', modal_price * scale) AS DOUBLE) AS modal,
          CASE WHEN fault = 14 THEN -3 ELSE CAST(arrival_quantity AS INTEGER) END AS amount, [1.0, 0.1, NULL][CAST(k % 7 % 3 + 1 AS INTEGER)] AS weight FROM keyed),
 normal AS (

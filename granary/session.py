@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 SETTINGS = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",  # the JVM leaves longer methods uncompiled
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

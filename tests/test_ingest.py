@@ -1,3 +1,4 @@
+import hashlib
 from datetime import date
 
 import pytest
@@ -65,7 +66,10 @@ def test_names_in_other_scripts(spark):
     other = one(spark, commodity="मिरची").commodity_code
     assert other.startswith("U") and len(other) == 11 and one(spark, commodity=" मिरची ").commodity_code == other
     assert len(one(spark, commodity="long name " * 12).commodity_code) == 64
-    assert spark.createDataFrame([("ﬁve①",)], "t string").select(r.name_key(r.compatible(F.col("t"))).alias("x")).first().x == "five1"
+    assert r.name_key("ﬁve①") == "five1" and r.name_key(" - ") is None and r.latin("कांदा") is None
+    assert one(spark, commodity="Ｏｎｉｏｎ").commodity_code == "ONION" and one(spark, market="Ｐｕｎｅ（Ｍｏｓｈｉ）").mandi_code == "MAHARASHTRA__PUNE__PUNE_MOSHI"
+    assert one(spark, commodity="!!").commodity_code is None and one(spark, commodity=None).commodity_code is None
+    assert one(spark, market="!!").mandi_code == "MAHARASHTRA__PUNE__U" + hashlib.sha1(b"").hexdigest()[:10].upper()
 
 
 def records(spark, *rows):

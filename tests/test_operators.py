@@ -134,6 +134,7 @@ def test_hold_or_sell(spark):
 
 def test_distances_and_allocation(spark):
     km = lambda a, b: spark.range(1).select(decisions.distance_km(F.lit(a), F.lit(b)).alias("k")).first().k
+    assert (km("Kolhapur", "Pune"), km("solapur ", "Ahmednagar"), km("Chhatrapati Sambhajinagar", "pune"), km("Nashik", "Dhule")) == (235, 225, 230, 160)
     assert (km("Pune", "pune"), km("Pune", "Ahmednagar"), km("nashik", "Pune"), km("Pune", "Delhi"), km("Satara", "Pune"), km(None, "Pune")) == (25, 122, 212, 140, 110, 30)
     latest = spark.createDataFrame([(1, "Pune", "Pune", "ONION", 2000.0), (2, "Nashik", "Nashik", "ONION", 2200.0)], "mandi_id long, mandi string, district string, commodity string, price double")
     r = decisions.allocation(latest, F.lit("Pune"), 1000.0).first()
