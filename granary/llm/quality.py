@@ -77,7 +77,8 @@ def telling(rows: DataFrame) -> np.ndarray:
         at = np.flatnonzero(seen.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], ["word", "good", "bad"])
 
-    counts_ = in_small_batches(rows).select("text", F.col("toxic").cast("int")).mapInArrow(count, "word long, good long, bad long").groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    sums = in_small_batches(rows).select("text", F.col("toxic").cast("int")).mapInArrow(count, "word long, good long, bad long").groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    counts_ = shared_table(sums, f"{shared_dir(rows.sparkSession)}/words")
     whole = counts_.filter(F.col("word") == 1 << WORDS).first()
     out = np.zeros(1 << WORDS, bool)
     if not whole or not whole.good or not whole.bad:
@@ -105,7 +106,8 @@ class Classifiers:
             self.quality = Model([0, 1]).fit(x, np.array(few.column("quality").to_pylist()), len(self.idf))
         few = self._rows(self._sample(docs, labels, "toxic", TOXIC_SAMPLE), "toxic")
         if len(set(few.column("toxic").to_pylist())) == 2:
-            self.words = telling(docs.join(labels.filter("toxic in (0, 1)").select("doc_id", "toxic").distinct(), "doc_id"))
+            marks = labels.filter("toxic in (0, 1)").select("doc_id", "toxic").distinct()
+            self.words = telling(docs.join(F.broadcast(marks) if marks.count() <= MOST_BROADCAST else marks, "doc_id"))
             x = [self._telling(at) for part in groups(few) for at, _ in presence(part)]
             self.toxic = Model([0, 1], l1=TOXIC_L1).fit(x, np.array(few.column("toxic").to_pylist()), 1 << WORDS)
 
