@@ -3,6 +3,7 @@ import pytest
 from brute import components, contamination, secrets
 
 from granary.llm import common
+from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -46,3 +47,22 @@ def test_columns_and_counts(spark, stages):
     assert all(list(r[0].asDict()) == ["doc_id", "text", "lang", "source", "n_chars"] for r in stages[:5])
     assert len(stages[1]) >= 0.99 * len(stages[0]) and len(stages[5]) == len(stages[4])
     assert sorted((r.doc_id, r.ids_sha256) for r in pipeline.run(spark, SMALL).collect()) == sorted((r.doc_id, r.ids_sha256) for r in stages[5])
+
+
+NAMES = ["block", "bucket", "class", "label", "tile", "mate", "part", "pairs", "cluster", "print", "n", "h", "its_id", "its_print", "its_row", "bad_id", "bad_key", "text_key", "words", "redacted", "held_out", "a.b", "stays"]
+
+
+def test_stages_with_clashing_names_repeated_rows_and_nulls(spark):
+    docs = common.table(spark, SMALL, "documents").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], docs.schema)
+    docs = docs.unionByName(docs.limit(9)).unionByName(odd).cache()
+    wide = docs.withColumns({k: F.lit("x") for k in NAMES})
+    n = None
+    for name, stage in pipeline.STAGES:
+        got, plain = stage(spark, wide, SMALL), stage(spark, docs, SMALL)
+        if name != "tokens":
+            assert got.columns == wide.columns
+        assert sorted((str(r.doc_id), str(r[1])) for r in got.collect()) == sorted((str(r.doc_id), str(r[1])) for r in plain.collect())
+        n = stage(spark, docs.limit(0), SMALL).count()
+        assert n == 0
+    docs.unpersist()
