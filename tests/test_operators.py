@@ -201,3 +201,41 @@ def test_ridge_beats_the_last_value_on_a_steady_series(spark):
     assert len(out) == 36
     before = {START + timedelta(k + 1): v for k, v in enumerate(steady(180))}
     assert np.mean([abs(r.actual - r.predicted) for r in out]) < np.mean([abs(r.actual - before[r.reported_date]) for r in out])
+
+
+def test_every_step_of_a_walk_is_a_fit_of_its_own():
+    rng = np.random.default_rng(3)
+    x = np.column_stack([1000 + rng.normal(0, 30, 50).cumsum(), rng.normal(0, 1, 50), np.full(50, 7.0)])
+    y = np.log(1000 + rng.normal(0, 20, 50))
+    rows = np.arange(12, 50)
+    got = models.walk(x, y, rows, rows - 1)
+    for i, value in zip(rows, got):
+        w, mean, scale = models.ridge(x[: i - 1], y[: i - 1])
+        assert value == pytest.approx(w[0] + ((x[i] - mean) / scale) @ w[1:], abs=1e-8)
+
+
+def test_forecasts_are_of_the_chosen_model_for_all_horizons(spark):
+    values = steady(80)
+    series = prices(spark, values, arrivals=[1.0] * 80)
+    walk = models.walked(series).cache()
+    model = models.chosen(walk).first().model
+    assert model == "ridge"
+    out = {r.horizon: r for r in models.selected_forecasts(series).collect()}
+    assert sorted(out) == list(range(1, 8))
+    rows = models.feature_rows(series).toPandas()
+    columns = [*s.FEATURES, *s.CALENDAR]
+    for h, r in out.items():
+        one = rows[rows["horizon"] == h].sort_values("reported_date")
+        past, now = one[one["part"] != "latest"], one[one["part"] == "latest"]
+        w, mean, scale = models.ridge(past[columns].to_numpy(float), np.log(past["target"].to_numpy(float)))
+        assert r.predicted == pytest.approx(np.exp(w[0] + ((now[columns].to_numpy(float)[0] - mean) / scale) @ w[1:]), abs=0.01)
+        assert r.model == "ridge" and r.forecast_date == START + timedelta(79 + h) and r.last_price == values[-1] and r.lower <= r.predicted <= r.upper
+    assert models.selected_forecasts(series, str(START + timedelta(79 + 31))).count() == 0
+    assert models.walked(series.limit(0)).count() == 0
+
+
+def test_a_walk_sees_no_later_price(spark):
+    values = steady(60)
+    day = START + timedelta(40)
+    seen = lambda v: sorted((r.horizon, r.ridge) for r in models.walked(prices(spark, v, arrivals=[1.0] * 60)).filter(F.col("reported_date") == F.lit(day)).collect())
+    assert seen(values) == pytest.approx(seen(values[:40] + [v * 2 for v in values[40:]])) and len(seen(values)) == 7
