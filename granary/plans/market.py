@@ -21,6 +21,21 @@ lagged AS (
   WINDOW w AS (PARTITION BY source, mandi_id, commodity, variety, grade ORDER BY reported_date))"""
 TREND = """CASE WHEN {b} <> 0 THEN floor(({a} - {b}) / abs({b}) * 100 * 10 + 0.5) / 10 END AS trend_percent,
        CASE WHEN {b} IS NULL OR {b} = 0 THEN 'none' WHEN floor(({a} - {b}) / abs({b}) * 100 * 10 + 0.5) > 0 THEN 'up' WHEN floor(({a} - {b}) / abs({b}) * 100 * 10 + 0.5) < 0 THEN 'down' ELSE 'stable' END AS trend"""
+FAULT = "CAST(('0x' || substr(observation_id, 1, 6)) AS BIGINT) % 97"
+FAULTY = f"""faulty AS (
+  SELECT * REPLACE (CASE WHEN {FAULT} = 1 OR dayofyear(reported_date) % 50 = 0 THEN 0.0 WHEN {FAULT} = 2 THEN -5.0 WHEN {FAULT} = 3 THEN modal_price * 3 ELSE modal_price END AS modal_price, CASE WHEN {FAULT} = 4 THEN max_price + 1 ELSE min_price END AS min_price,
+    CASE WHEN {FAULT} = 5 THEN -3.0 ELSE arrival_quantity END AS arrival_quantity, CASE WHEN {FAULT} = 6 THEN CAST(reported_date + 14610 AS DATE) ELSE reported_date END AS reported_date, CASE WHEN {FAULT} = 7 THEN 'INR/bag' ELSE price_unit END AS price_unit) FROM obs)"""
+
+
+def faulty(spark, d):
+    """The observations, of which every so often one has a fault, and of every 50th day of a year no price is positive."""
+    fault = F.conv(F.substring("observation_id", 1, 6), 16, 10).cast("long") % 97
+    return p.observations(spark, d).withColumns({
+        "modal_price": F.when((fault == 1) | (F.dayofyear("reported_date") % 50 == 0), 0.0).when(fault == 2, -5.0).when(fault == 3, F.col("modal_price") * 3).otherwise(F.col("modal_price")), "min_price": F.when(fault == 4, F.col("max_price") + 1).otherwise(F.col("min_price")),
+        "arrival_quantity": F.when(fault == 5, -3.0).otherwise(F.col("arrival_quantity")), "reported_date": F.when(fault == 6, F.date_add("reported_date", 14610)).otherwise(F.col("reported_date")), "price_unit": F.when(fault == 7, "INR/bag").otherwise(F.col("price_unit")),
+    })
+
+
 ROW = ["observation_id", "mandi", "market_code", "commodity", "variety", "grade", "reported_date", "modal_price", "source"]
 ROW_SQL = ", ".join(ROW)
 
@@ -116,10 +131,10 @@ def commodity_reports_lag(spark, d):
     return m.with_previous_report(reports).drop("arrivals")
 
 
-@query(f"""SELECT count(*) AS records, count(*) FILTER (WHERE modal_price <= 0) AS modal_not_positive, count(*) FILTER (WHERE min_price > max_price) AS min_above_max, count(*) FILTER (WHERE modal_price < min_price OR modal_price > max_price) AS modal_outside,
-count(*) FILTER (WHERE arrival_quantity IS NULL) AS arrivals_missing, count(*) FILTER (WHERE arrival_quantity < 0) AS arrivals_negative, count(*) FILTER (WHERE reported_date > DATE '{TODAY}') AS future_dated, count(*) FILTER (WHERE price_unit <> 'INR/quintal') AS unit_unknown, count(*) FILTER (WHERE grade IS NULL) AS grade_missing FROM obs""")
+@query(f"""WITH {FAULTY} SELECT count(*) AS records, count(*) FILTER (WHERE modal_price <= 0) AS modal_not_positive, count(*) FILTER (WHERE min_price > max_price) AS min_above_max, count(*) FILTER (WHERE modal_price < min_price OR modal_price > max_price) AS modal_outside,
+count(*) FILTER (WHERE arrival_quantity IS NULL) AS arrivals_missing, count(*) FILTER (WHERE arrival_quantity < 0) AS arrivals_negative, count(*) FILTER (WHERE reported_date > DATE '{TODAY}') AS future_dated, count(*) FILTER (WHERE price_unit <> 'INR/quintal') AS unit_unknown, count(*) FILTER (WHERE grade IS NULL) AS grade_missing FROM faulty""")
 def integrity_audit(spark, d):
-    return q.integrity(p.observations(spark, d), TODAY)
+    return q.integrity(faulty(spark, d), TODAY)
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS field, count(*) - count({c}) AS missing, floor((count(*) - count({c})) * 100.0 / nullif(count(*), 0) * 100 + 0.5) / 100 AS percent FROM obs" for c in q.PROFILED))

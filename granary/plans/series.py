@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.numbers import rounded
 from granary.operators import series as s
-from granary.plans.market import RESOLVED
+from granary.plans.market import FAULTY, RESOLVED, faulty
 from granary.plans.registry import query
 from granary.sources import prices as p
 
@@ -66,9 +66,9 @@ def daily_series(spark, d):
     return daily(spark, d)
 
 
-@query(f"WITH {RESOLVED}, days AS (SELECT mandi_id, commodity, reported_date, count(*) FILTER (WHERE modal_price > 0) AS valid, count(*) AS n FROM resolved GROUP BY ALL) SELECT mandi_id, commodity, CAST(sum(CASE WHEN valid = 0 THEN n ELSE 0 END) AS BIGINT) AS dropped FROM days GROUP BY mandi_id, commodity")
+@query(f"WITH {FAULTY}, {RESOLVED.replace('FROM obs', 'FROM faulty')}, days AS (SELECT mandi_id, commodity, reported_date, count(*) FILTER (WHERE modal_price > 0) AS valid, count(*) AS n FROM resolved GROUP BY ALL) SELECT mandi_id, commodity, CAST(sum(CASE WHEN valid = 0 THEN n ELSE 0 END) AS BIGINT) AS dropped FROM days GROUP BY mandi_id, commodity")
 def dropped_days(spark, d):
-    return s.dropped_days(p.observations(spark, d))
+    return s.dropped_days(faulty(spark, d))
 
 
 @query(f"WITH {DAILY} SELECT mandi_id, commodity, count(*) AS days, min(reported_date) AS first_date, max(reported_date) AS last_date, bool_and(is_sample) AS all_samples FROM series GROUP BY mandi_id, commodity HAVING count(*) >= 21")

@@ -1,4 +1,4 @@
-"""Queries over questions: turns of conversations, each with a question from a fixed list put after its text."""
+"""Queries over what is said: all turns of the conversations as they are, and after each of them a question from a fixed list."""
 
 from __future__ import annotations
 
@@ -16,8 +16,10 @@ QUESTIONS = (
 
 
 def turns(spark, d):
+    """The turns, numbered by even numbers, and a question of the list after each, numbered by the odd ones."""
     k = (F.col("conv_id") * 7 + F.col("turn")) % len(QUESTIONS)
-    return p.table(spark, d, "conversations").select("conv_id", "turn", F.element_at(F.array(*map(F.lit, QUESTIONS)), (k + 1).cast("int")).alias("text"), F.col("text").alias("original"))
+    said = F.array(F.struct((F.col("turn") * 2).alias("turn"), F.coalesce("text", F.lit("")).alias("text")), F.struct((F.col("turn") * 2 + 1).alias("turn"), F.element_at(F.array(*map(F.lit, QUESTIONS)), (k + 1).cast("int")).alias("text")))
+    return p.table(spark, d, "conversations").select("conv_id", F.explode(said).alias("s")).select("conv_id", "s.*")
 
 
 def plain(words, stems=()) -> str:
@@ -37,7 +39,8 @@ def first(c: str, named) -> str:
 EDGE = "($|[^\\p{L}\\p{M}])"
 _DAYS = f"regexp_extract(text, '(?i)(?:^|[^\\p{{L}}\\p{{M}}])([1-7])\\s*(?:-\\s*)?(?:days?|दिन|दिवस)(?:$|[^\\p{{L}}\\p{{M}}])', 1)"
 TURNS = f"""
-turns AS (SELECT conv_id, turn, [{", ".join(f"'{x}'" for x in QUESTIONS)}][CAST((conv_id * 7 + turn) % {len(QUESTIONS)} + 1 AS INTEGER)] AS text FROM conversations),
+turns AS (SELECT conv_id, turn * 2 AS turn, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT conv_id, turn * 2 + 1, [{", ".join(f"'{x}'" for x in QUESTIONS)}][CAST((conv_id * 7 + turn) % {len(QUESTIONS)} + 1 AS INTEGER)] FROM conversations),
 own AS (SELECT *, {first("text", t.CROPS)} AS crop_here, {first("text", t.PLACES)} AS place_here FROM turns),
 heard AS (SELECT *, last_value(crop_here IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS crop, last_value(place_here IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place FROM own),
 understood AS (
@@ -58,9 +61,11 @@ def intent_counts(spark, d):
     return talks.understood(turns(spark, d)).groupBy("intent").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"))
 
 
-@query(f"WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents) SELECT crop, count(*) AS documents FROM (SELECT {first('text', t.CROPS)} AS crop FROM docs) GROUP BY crop", obs=False)
+@query(f"WITH {TURNS.split('own AS')[0]} said AS (SELECT coalesce(text, '') AS text, 'document' AS kind FROM documents UNION ALL SELECT text, 'turn' FROM turns) SELECT kind, crop, count(*) AS texts FROM (SELECT kind, {first('text', t.CROPS)} AS crop FROM said) GROUP BY kind, crop", obs=False)
 def crop_detection(spark, d):
-    return p.table(spark, d, "documents").select(t.crop(F.coalesce("text", F.lit(""))).alias("crop")).groupBy("crop").agg(F.count("*").alias("documents"))
+    """Crops that whole documents and turns name."""
+    said = p.table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("text"), F.lit("document").alias("kind")).unionByName(turns(spark, d).select("text", F.lit("turn").alias("kind")))
+    return said.groupBy("kind", t.crop(F.col("text")).alias("crop")).agg(F.count("*").alias("texts"))
 
 
 @query("""WITH n AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(translate(text, '०१२३४५६७८९', '0123456789'), '(\\d),(\\d{2,3})', '\\1\\2', 'g'), '\\d+(?:\\.\\d+)?') AS n FROM (SELECT conv_id, turn, text FROM turns))
@@ -89,15 +94,23 @@ def speech_text(spark, d):
     return turns(spark, d).select("conv_id", "turn", t.speech(F.col("text")).alias("spoken"))
 
 
-@query("""WITH runs AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x5e\\x60\\x7b-\\x7f]+') AS w FROM (SELECT conv_id * 1000 + turn AS doc_id, 'prices in ' || CASE WHEN turn % 3 = 0 THEN 'NATION_' || CAST(conv_id % 30 AS VARCHAR) WHEN turn % 3 = 1 THEN 'Asia now' ELSE 'nowhere' END AS text FROM conversations)),
-said AS (SELECT DISTINCT doc_id, unnest(w) AS alias FROM runs)
-SELECT doc_id AS text_id, alias, CASE WHEN alias <> 'asia' THEN n_name END AS market, r_name AS district FROM said JOIN nation ON lower(n_name) = alias JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT doc_id, alias, NULL, r_name FROM said JOIN region ON lower(r_name) = alias""", obs=False)
+PLACES_ASKED = """asked AS (SELECT conv_id * 1000 + turn * 2 AS text_id, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT conv_id * 1000 + turn * 2 + 1, 'prices in ' || CASE WHEN turn % 3 = 0 THEN 'NATION_' || CAST(conv_id % 30 AS VARCHAR) WHEN turn % 3 = 1 THEN 'Asia now' ELSE 'nowhere' END FROM conversations)"""
+
+
+@query(f"""WITH {PLACES_ASKED}, runs AS (SELECT text_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: x <> '') AS w FROM asked),
+names AS (SELECT lower(n_name) AS alias, n_name AS market, r_name AS district FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT lower(r_name), n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+known AS (SELECT alias, CASE WHEN count(DISTINCT market) = 1 THEN min(market) END AS market, min(district) AS district FROM names GROUP BY alias),
+words AS (SELECT text_id, w, unnest(generate_series(1, len(w))) AS i FROM runs WHERE len(w) > 0),
+said AS (SELECT DISTINCT text_id, alias FROM (SELECT text_id, unnest([array_to_string(w[i:least(i + k, len(w))], ' ') FOR k IN [0, 1, 2, 3] IF i + k <= len(w)]) AS alias FROM words)),
+hits AS (SELECT text_id, said.alias AS alias, market, district FROM said JOIN known ON said.alias = known.alias)
+SELECT text_id, alias, market, district FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY length(alias) DESC, alias DESC) AS k FROM hits) WHERE k = 1""", obs=False)
 def place_detection(spark, d):
-    """Aliases are the markets' names, and the regions' for all their markets."""
+    """Places that all turns, and a planted sentence after each, name. Aliases are the markets' names, and the regions' for all their markets."""
     k = F.col("turn") % 3
-    text = F.concat(F.lit("prices in "), F.when(k == 0, F.concat(F.lit("NATION_"), (F.col("conv_id") % 30).cast("string"))).when(k == 1, "Asia now").otherwise("nowhere"))
-    asked = p.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), text.alias("text"))
+    planted = F.concat(F.lit("prices in "), F.when(k == 0, F.concat(F.lit("NATION_"), (F.col("conv_id") % 30).cast("string"))).when(k == 1, "Asia now").otherwise("nowhere"))
+    number = F.col("conv_id") * 1000 + F.col("turn") * 2
+    asked = p.table(spark, d, "conversations").select(F.explode(F.array(F.struct(number.alias("text_id"), F.col("text")), F.struct((number + 1).alias("text_id"), planted.alias("text")))).alias("s")).select("s.*")
     places = p.table(spark, d, "nation").join(p.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     aliases = places.select(F.col("n_name").alias("alias"), F.col("n_name").alias("market"), F.col("r_name").alias("district")).unionByName(places.select(F.col("r_name").alias("alias"), F.col("n_name").alias("market"), F.col("r_name").alias("district")))
     return talks.named_places(asked, aliases)

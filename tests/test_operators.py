@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import texts as t
 from granary.functions.numbers import percent_change, rounded
-from granary.operators import decisions, market, models, risk, talks
+from granary.operators import decisions, market, models, risk, serving, talks
 from granary.operators import series as s
 
 START = date(2026, 1, 5)
@@ -237,5 +237,34 @@ def test_forecasts_are_of_the_chosen_model_for_all_horizons(spark):
 def test_a_walk_sees_no_later_price(spark):
     values = steady(60)
     day = START + timedelta(40)
-    seen = lambda v: sorted((r.horizon, r.ridge) for r in models.walked(prices(spark, v, arrivals=[1.0] * 60)).filter(F.col("reported_date") == F.lit(day)).collect())
+    seen = lambda v: [x for _, x in sorted((r.horizon, r.ridge) for r in models.walked(prices(spark, v, arrivals=[1.0] * 60)).filter(F.col("reported_date") == F.lit(day)).collect())]
     assert seen(values) == pytest.approx(seen(values[:40] + [v * 2 for v in values[40:]])) and len(seen(values)) == 7
+
+
+def test_series_too_short_to_walk_or_choose(spark):
+    for n, forecasts in ((0, 0), (1, 0), (14, 0), (24, 1), (25, 2)):  # a horizon needs 10 targets before the latest day, and the first 14 days are no rows
+        assert models.walked(prices(spark, steady(60)[:n], arrivals=[1.0] * n)).filter("part = 'latest'").count() == forecasts
+
+
+def test_conflicts_only_on_touched_days_and_only_once(spark):
+    rows = [("a", 5, "A", 100.0, None), ("b", 5, "B", 100.4, None), ("c", 5, "C", 101.0, None), ("d", 6, "A", 100.0, "x"), ("e", 6, "B", 200.0, "x"), ("f", 6, "B", 201.0, "y"), ("g", 6, "A", 90.0, None)]
+    obs = spark.createDataFrame([(i, 1, "ONION", date(2026, 1, day), source, price, variety, None) for i, day, source, price, variety in rows], "observation_id string, mandi_id long, commodity string, reported_date date, source string, modal_price double, variety string, grade string")
+    pairs = lambda log: sorted((r.observation_id_a, r.observation_id_b) for r in log.collect())
+    every = serving.conflicts(obs, obs)
+    assert pairs(every) == [("a", "c"), ("b", "c"), ("d", "e")]
+    assert pairs(serving.conflicts(obs, obs.filter("observation_id = 'f'"))) == [("d", "e")]
+    assert pairs(serving.conflicts(obs, obs, every.filter("price_b < 150"))) == [("d", "e")]
+    assert serving.conflicts(obs.limit(0), obs).count() == 0
+
+
+def test_pages_lookups_guards_and_windows(spark):
+    rows = spark.createDataFrame([(k, f" Name{k % 3}") for k in range(7)], "id long, name string")
+    assert [(r.id, r.total) for r in serving.page(rows, F.desc("id"), limit=3, offset=5).collect()] == [(1, 7), (0, 7)]
+    asked = spark.createDataFrame([("NAME1 ",), ("4",), ("x",), (None,)], "asked string")
+    assert sorted((r.asked, r.id) for r in serving.lookup(rows, asked, "id", "id", "name").collect()) == [("4", 4), ("NAME1 ", 1)]
+    batch = spark.createDataFrame([("A", "1"), ("A", None), (None, "1"), ("B", "1")], "source string, source_record_key string")
+    assert sorted(str(tuple(r)) for r in serving.guarded(batch, batch.union(batch).filter("source = 'A'")).filter("action = 'skipped'").collect()) == ["('A', '1', 'skipped')"]
+    log = spark.createDataFrame([("A", "SUCCESS", date(2026, 1, 1)), ("B", "SUCCESS", date(2025, 1, 1)), ("C", "FAILED", date(2026, 1, 9)), ("D", "SUCCESS", date(2026, 1, 10))], "source string, status string, synced_on date")
+    assert {r.source: r.days for r in serving.incremental_window(log, "2026-01-10").collect()} == {"A": 10, "B": 30, "C": 30, "D": 3}
+    known = spark.createDataFrame([("K", "old")], "code string, name string")
+    assert [tuple(r) for r in serving.new_members(known, spark.createDataFrame([("K", "new"), ("N", "b"), ("N", "a"), (None, "c")], "code string, name string"), "code", "name").collect()] == [("N", "a")]
