@@ -68,7 +68,7 @@ def seasonal_index(series: DataFrame) -> DataFrame:
 
 
 def with_features(series: DataFrame) -> DataFrame:
-    """Lags, rolling mean, deviation and slope, change over 7 reports, and calendar of the row's own day; null where the past is too short."""
+    """Lags, rolling mean, deviation and slope, change over 7 reports, change of arrivals, and calendar of the row's own day; null where the past is too short."""
     w = by_day()
     past = lambda n: w.rowsBetween(-n, -1)
     full = lambda n, x: F.when(F.count("price").over(past(n)) == n, x.over(past(n)))
@@ -84,10 +84,25 @@ def with_features(series: DataFrame) -> DataFrame:
     out = out.withColumn("change_7", F.when(base != 0, (F.col("lag_1") - base) / base)).withColumn("deviation", F.col("lag_1") - F.col("mean_14"))
     earlier = F.last("arrivals", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -2))
     last = F.lag("arrivals", 1).over(w)
-    out = out.withColumn("arrival_change", F.when(last.isNotNull(), F.coalesce(F.when(earlier != 0, (last - earlier) / earlier), F.lit(0.0))))
+    out = out.withColumn("arrival_change", F.when(last.isNotNull(), F.coalesce(last - earlier, F.lit(0.0))))
     return with_calendar(out, F.col("reported_date"))
 
 
+#: Share of a series' days that must have arrivals for them to be features.
+LEAST_COVERAGE = 0.8
+
+
+def arrival_features(series: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:
+    """Arrivals 1 and 7 reports before, the mean of the 7 before and the change from the report before the last that had any, for series whose coverage
+    is at least least. Rows that lack one of them are left out; a day without arrivals among the 7 leaves no mean."""
+    w = by_day()
+    seven = w.rowsBetween(-7, -1)
+    coverage = F.count("arrivals").over(Window.partitionBy(*SERIES)) / F.count("*").over(Window.partitionBy(*SERIES))
+    out = with_features(series).withColumn("coverage", coverage).withColumn("arrival_lag_1", F.lag("arrivals", 1).over(w)).withColumn("arrival_lag_7", F.lag("arrivals", 7).over(w))
+    out = out.withColumn("arrival_mean_7", F.when(F.count("arrivals").over(seven) == 7, F.avg("arrivals").over(seven))).filter(F.col("coverage") >= least)
+    return out.select(*DAY, "coverage", "arrival_lag_1", "arrival_lag_7", "arrival_mean_7", "arrival_change").dropna()
+
+
 def with_calendar(df: DataFrame, day: Column) -> DataFrame:
     days = F.dayofyear(F.make_date(F.year(day), F.lit(12), F.lit(31)))
     turn = lambda x, n: (x / n) * 2 * 3.141592653589793

@@ -124,11 +124,19 @@ def calendar_features(spark, d):
 
 
 @query(f"""WITH {DAILY}, f AS (SELECT mandi_id, commodity, reported_date, lag(arrivals) OVER ({W}) AS last, last_value(arrivals IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS earlier FROM series)
-SELECT mandi_id, commodity, reported_date, {R("CASE WHEN last IS NOT NULL THEN coalesce(CASE WHEN earlier <> 0 THEN (last - earlier) / earlier END, 0.0) END", 4)} AS arrival_change FROM f""")
+SELECT mandi_id, commodity, reported_date, {R("CASE WHEN last IS NOT NULL THEN coalesce(last - earlier, 0.0) END", 4)} AS arrival_change FROM f""")
 def arrival_change(spark, d):
     return s.with_features(daily(spark, d)).select(*s.DAY, rounded(F.col("arrival_change"), 4).alias("arrival_change"))
 
 
+@query(f"""WITH {DAILY}, f AS (SELECT mandi_id, commodity, reported_date, count(arrivals) OVER ({PART}) / count(*) OVER ({PART}) AS coverage, lag(arrivals, 1) OVER ({W}) AS a1, lag(arrivals, 7) OVER ({W}) AS a7,
+  CASE WHEN count(arrivals) OVER ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) = 7 THEN avg(arrivals) OVER ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) END AS m7, last_value(arrivals IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS earlier FROM series)
+SELECT mandi_id, commodity, reported_date, {R("coverage", 4)} AS coverage, a1 AS arrival_lag_1, a7 AS arrival_lag_7, {R("m7", 4)} AS arrival_mean_7, {R("coalesce(a1 - earlier, 0.0)", 4)} AS arrival_change FROM f WHERE coverage >= 0.8 AND a1 IS NOT NULL AND a7 IS NOT NULL AND m7 IS NOT NULL""")
+def arrival_features(spark, d):
+    out = s.arrival_features(daily(spark, d))
+    return out.select(*s.DAY, "arrival_lag_1", "arrival_lag_7", *[rounded(F.col(c), 4).alias(c) for c in ("coverage", "arrival_mean_7", "arrival_change")])
+
+
 @query(f"""WITH {DAILY}, f AS (SELECT mandi_id, commodity, reported_date, row_number() OVER ({W}) AS place, lag(price, 1) OVER ({W}) AS lag_1, lag(price, 8) OVER ({W}) AS l8, lag(price, 14) OVER ({W}) AS lag_14, {rolling("avg(price)", 14)} AS mean_14, lead(price, 2) OVER ({W}) AS target, lead(reported_date, 2) OVER ({W}) AS target_date FROM series)
 SELECT mandi_id, commodity, reported_date, place, lag_1, lag_14, {R("mean_14", 3)} AS mean_14, target, target_date FROM f WHERE place > 14 AND lag_14 IS NOT NULL AND mean_14 IS NOT NULL AND target IS NOT NULL AND l8 <> 0""")
 def training_matrix(spark, d):
