@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import code_points, in_small_batches, slices, table, text_bytes, text_column
+from .common import code_points, giving_back, in_small_batches, slices, table, text_bytes, text_column
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
@@ -28,7 +28,9 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 #: Pre-tokens that an encoder remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Bytes of text that are encoded at once: their pre-tokens and ids are Python objects.
+PART_BYTES = 1 << 20
 
 
 def classes() -> np.ndarray:
@@ -248,10 +250,10 @@ def byte_bpe(docs: DataFrame, ranks: str | None = None, keep: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, budget=PART_BYTES):
                 yield encoded(part, enc, keep)
 
-    return in_small_batches(docs).select("doc_id", text_column()).mapInArrow(run, schema)
+    return in_small_batches(docs).select("doc_id", text_column()).mapInArrow(giving_back(run), schema)
 
 
 def encoded(part: pa.RecordBatch, enc: Encoder, keep: bool) -> pa.RecordBatch:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -98,6 +99,38 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the system: a Python worker outlives its task, and what it keeps counts to its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with memory given back when the task's rows end."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def giving_back_each(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """run, with memory given back after each group."""
+
+    def wrapped(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def text_column() -> Column:
     return F.coalesce(F.col("text"), F.lit("")).alias("text")
 

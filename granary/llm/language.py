@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, giving_back, table
 from .linear import Model, document_frequencies, features, gram_counts, groups, idf, sample, sparse
 
 #: Training rows for each language, about; and of all languages together, but LEAST_SAMPLE of each.
@@ -79,7 +79,7 @@ def identify(docs: DataFrame) -> DataFrame:
             names, scores = model.predict(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(giving_back(run), SCHEMA)
 
 
 def in_known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -92,9 +92,12 @@ def in_known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in texts:
-            names, scores = model.predict(pa.RecordBatch.from_arrays([column.fill_null("")], ["text"]))
-            yield pa.array((np.array(names, object) != UNKNOWN) & (scores >= least), pa.bool_())
+        try:
+            for column in texts:
+                names, scores = model.predict(pa.RecordBatch.from_arrays([column.fill_null("")], ["text"]))
+                yield pa.array((np.array(names, object) != UNKNOWN) & (scores >= least), pa.bool_())
+        finally:
+            give_back()
 
     return docs.filter(known(F.col("text")))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, in_small_batches, slices, text_bytes
+from .common import code_points, giving_back, in_small_batches, slices, text_bytes
 
 #: log2 of the number of hashed features.
 WIDTH = 13
@@ -66,7 +66,7 @@ def document_frequencies(docs: DataFrame, counts=gram_counts, width: int = WIDTH
         at = np.append(np.flatnonzero(seen), -1)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(seen[at[:-1]], n))], ["feature", "n"])
 
-    rows = in_small_batches(docs).select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = in_small_batches(docs).select("text").mapInArrow(giving_back(count), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     df, total = np.zeros(1 << width), 0
     for r in rows:
         if r.feature < 0:

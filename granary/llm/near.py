@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, MOST_BROADCAST, Fingerprints, every_column, fresh, in_small_batches, mix, shared_dir, shared_table, slices, table, text_bytes, text_column, without, words_of
+from .common import BYTE_VALUES, MOST_BROADCAST, Fingerprints, every_column, fresh, giving_back, giving_back_each, in_small_batches, mix, shared_dir, shared_table, slices, table, text_bytes, text_column, without, words_of
 
 TREES, ROWS, DEPTH = 24, 4, 3
 #: The share of minima that a candidate pair must agree in: for pairs at the threshold it is below that by chance once in 10**9.
@@ -97,7 +97,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 signature = pa.array([x.tobytes() for x in s.signatures()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("print"), pa.array(s.sizes), pa.array(s.keys(), mask=none), signature], ["doc_id", "print", "n_shingles", "class", "signature"])
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("long"), text_column(), print_of().alias("print")).mapInArrow(run, SKETCH)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), text_column(), print_of().alias("print")).mapInArrow(giving_back(run), SKETCH)
 
 
 def forest(classes: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def forest(classes: DataFrame) -> DataFrame:
                 key = sum(s[:, t * ROWS + k] << (16 * k) for k in range(DEPTH))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), t, np.int32)), pa.array(key), batch.column("class")], ["tree", "key", "class"])
 
-    return classes.select("class", "signature").mapInArrow(run, "tree int, key long, class long")
+    return classes.select("class", "signature").mapInArrow(giving_back(run), "tree int, key long, class long")
 
 
 def agreements(many: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -177,7 +177,7 @@ def candidates(classes: DataFrame, work: str) -> DataFrame:
     dealt = regions.join(classes.select("class", "signature"), "class").withColumn("tile", F.pmod(F.xxhash64("class"), tiles)).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
     part = F.when(whole, F.pmod(F.xxhash64("tree", "key"), F.lit(parts))).otherwise(F.xxhash64("tree", "key"))
     x, y = (F.when(whole, -1).otherwise(f("tile", "mate")) for f in (F.least, F.greatest))
-    return contracted(dealt.select("tree", "key", "class", "signature", part.alias("part"), x.alias("x"), y.alias("y")).groupBy("part", "x", "y").applyInArrow(connect, "a long, b long"))
+    return contracted(dealt.select("tree", "key", "class", "signature", part.alias("part"), x.alias("x"), y.alias("y")).groupBy("part", "x", "y").applyInArrow(giving_back_each(connect), "a long, b long"))
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def links(members: DataFrame, size: int, percent: int) -> DataFrame:
             b.append(root)
         return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
 
-    return contracted(members.groupBy("part", "x", "y").applyInArrow(verify, "a long, b long"))
+    return contracted(members.groupBy("part", "x", "y").applyInArrow(giving_back_each(verify), "a long, b long"))
 
 
 def exact_edges(docs: DataFrame, inside: DataFrame, size: int, percent: int, work: str) -> DataFrame:

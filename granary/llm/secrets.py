@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, in_small_batches, slices, table, text_bytes, text_column
+from .common import fresh, give_back, giving_back, in_small_batches, slices, table, text_bytes, text_column
 
 # The base patterns, as bytes (each class is ASCII only).
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -159,7 +159,7 @@ def thresholds(docs: DataFrame) -> dict[int, int]:
             columns = [pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array([n for n, _ in seen.values()], pa.int64()), pa.array([p for _, p in seen.values()], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["stratum", "p_class", "n", "p"])
 
-    counts = in_small_batches(docs).select(text_column()).mapInArrow(count, "stratum int, p_class int, n long, p double").groupBy("stratum", "p_class").agg(F.sum("n").alias("n"), F.max("p").alias("p"))
+    counts = in_small_batches(docs).select(text_column()).mapInArrow(giving_back(count), "stratum int, p_class int, n long, p double").groupBy("stratum", "p_class").agg(F.sum("n").alias("n"), F.max("p").alias("p"))
     whole = Window.partitionBy("stratum")
     upto = counts.select("stratum", "p_class", "p", "n", F.sum("n").over(whole.orderBy("p_class")).alias("upto"), F.sum("n").over(whole).alias("total"))
     upto = upto.withColumn("random", F.sum(F.when(F.col("p_class") > p_class(RATE), F.col("n")).otherwise(0)).over(whole) / (1 - RATE))
@@ -209,7 +209,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 base = pa.array([hashlib.sha256(join([y for y in x if y[2] < 3]).encode()).hexdigest() for x in found])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts[:3], base, pa.array([join(x) for x in found], pa.string()), counts[3]], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", text_column()).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", text_column()).mapInArrow(giving_back(run), SCHEMA)
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
@@ -222,14 +222,17 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     @F.arrow_udf("string")
     def redacted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            out = []
-            for part in slices(pa.RecordBatch.from_arrays([column.fill_null("")], ["text"])):
-                texts = part.column("text")
-                for k, spans in enumerate(_digest(part, limit)):
-                    out.append(replaced(texts[k].as_py(), spans, mark) if spans else None)
-            # None where nothing was found: that text stays as it is
-            yield pa.array(out, pa.string())
+        try:
+            for column in columns:
+                out = []
+                for part in slices(pa.RecordBatch.from_arrays([column.fill_null("")], ["text"])):
+                    texts = part.column("text")
+                    for k, spans in enumerate(_digest(part, limit)):
+                        out.append(replaced(texts[k].as_py(), spans, mark) if spans else None)
+                # None where nothing was found: that text stays as it is
+                yield pa.array(out, pa.string())
+        finally:
+            give_back()
 
     name, *_ = fresh(docs, "redacted")
     out = docs.withColumn(name, redacted(F.col("text"))).withColumn("text", F.coalesce(F.col(name), F.col("text"))).drop(name)
