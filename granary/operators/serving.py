@@ -89,3 +89,59 @@ def incremental_window(log: DataFrame, today: str) -> DataFrame:
     last = F.max(F.when(F.col("status") == "SUCCESS", F.col("synced_on")))
     start = F.greatest(F.least(F.coalesce(F.col("last_success"), F.date_sub(now, MOST_DAYS - 1)), F.date_sub(now, READ_AGAIN - 1)), F.date_sub(now, MOST_DAYS - 1))
     return log.groupBy("source").agg(last.alias("last_success")).select("source", "last_success", start.alias("from"), now.alias("to"), (F.datediff(now, start) + 1).alias("days"))
+
+
+def inbox(triggers: DataFrame, read: DataFrame, n: int = 5) -> DataFrame:
+    """Each user's newest n triggers (user, alert_id, reported_date and more), with the numbers of all and of those unread. read: alert_id that have been seen.
+
+    The counts are grouped for themselves and joined, so that of a user with many triggers no task passes on more than n. Triggers without a user are one user's.
+    """
+    seen = read.select("alert_id").distinct().withColumn("is_read", F.lit(True))
+    rows = triggers.join(seen, "alert_id", "left").withColumn("is_read", F.coalesce("is_read", F.lit(False)))
+    counts = rows.groupBy(F.col("user").alias("_user")).agg(F.count("*").alias("total"), F.count_if(~F.col("is_read")).alias("unread"))
+    newest = first_rows(rows, ("user",), F.col("reported_date").desc(), F.col("alert_id").desc(), n=n)
+    return newest.join(counts, F.col("user").eqNullSafe(F.col("_user"))).drop("_user")
+
+
+def prices_in_area(obs: DataFrame, area: str, n: int = 5) -> DataFrame:
+    """For each area and commodity the newest report of up to n markets: the primary one is the newest, of one day that of the least market.
+
+    Samples count only where an area has nothing else of the commodity; sample_only says so.
+    """
+    keys = (area, "commodity")
+    usable = obs.filter(F.col("price_unit").isNotNull() & (F.col("modal_price") > 0))
+    one = first_rows(usable, (*keys, "mandi_id", "is_sample"), F.col("reported_date").desc(), F.col("observation_id").desc())
+    one = one.withColumn("sample_only", F.min("is_sample").over(Window.partitionBy(*keys))).filter("is_sample = sample_only")
+    out = one.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("reported_date").desc(), "mandi_id"))).filter(F.col("place") <= n)
+    return out.withColumn("role", F.when(F.col("place") == 1, "primary").otherwise("alternative"))
+
+
+def answers(understood: DataFrame, names: DataFrame, prices: DataFrame) -> DataFrame:
+    """What turns that ask for a price are told. names: crop and commodity; prices: one row of commodity, modal_price, reported_date and mandi each.
+
+    status: NO_COMMODITY if none was named, NO_DATA without a price, else ANSWERED, with the day and market as the source of the answer.
+    """
+    asked = understood.filter("intent = 'LATEST_PRICE'").join(names, "crop", "left").join(prices.select("commodity", "modal_price", "reported_date", "mandi"), "commodity", "left")
+    price = F.col("modal_price")
+    status = F.when(F.col("crop").isNull(), "NO_COMMODITY").when(price.isNull(), "NO_DATA").otherwise("ANSWERED")
+    text = F.when(price.isNotNull(), F.format_string("The newest price of %s is ₹%.2f per quintal.", "crop", price))
+    return asked.select("conv_id", "turn", "crop", status.alias("status"), text.alias("answer"), "modal_price", "reported_date", "mandi")
+
+
+def respelled(asked: DataFrame, variants: DataFrame) -> DataFrame:
+    """asked with the name that a spelling variant stands for (the least, if it stands for several); other texts stay. variants: variant and name."""
+    known = variants.groupBy(F.lower(F.trim("variant")).alias("_variant")).agg(F.min("name").alias("_name"))
+    return asked.join(known, F.lower(F.trim("asked")) == F.col("_variant"), "left").select("asked", F.coalesce("_name", "asked").alias("name"))
+
+
+def series_found(obs: DataFrame) -> DataFrame:
+    """Series with a whole identity, each with its number of different days."""
+    keys = ("commodity", "mandi_id", "variety")
+    return obs.dropna(subset=list(keys)).groupBy(*keys).agg(F.count_distinct("reported_date").alias("days"))
+
+
+def counters(obs: DataFrame, log: DataFrame) -> DataFrame:
+    """One row of counts over reports and runs."""
+    runs = lambda what: log.agg(what).scalar()
+    out = obs.agg(F.count("*").alias("records"), F.count_if(~F.col("is_sample")).alias("genuine"), F.count_distinct("mandi_id").alias("markets"), F.count_distinct("commodity").alias("commodities"), F.max("reported_date").alias("last_date"))
+    return out.withColumn("runs", runs(F.count("*"))).withColumn("failed_runs", runs(F.count_if(F.col("status") == "FAILED"))).withColumn("last_success", runs(F.max(F.when(F.col("status") == "SUCCESS", F.col("synced_on")))))

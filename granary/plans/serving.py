@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from granary.functions import texts as t
+from granary.operators import decisions as dec
 from granary.operators import market as m
 from granary.operators import series as s
 from granary.operators import serving as v
+from granary.operators import talks
+from granary.plans.analytics import TRIGGERS
 from granary.plans.market import LATEST, ROW, ROW_SQL
 from granary.plans.registry import query
 from granary.plans.series import FORECASTS, daily
+from granary.plans.texts import TURNS, turns
 from granary.sources import prices as p
 from granary.sources.prices import SYNC_SQL, TODAY
 
@@ -114,3 +119,58 @@ SELECT source, last_success, "from", DATE '1995-03-20' AS "to", CAST(DATE '1995-
 def incremental_window(spark, d):
     """What is to be read on 20 March 1995, of runs up to the first of that month."""
     return v.incremental_window(p.sync_log(spark, d).filter("synced_on <= DATE'1995-03-01'"), "1995-03-20")
+
+
+@query(f"""WITH {TRIGGERS}, mine AS (SELECT *, alert_id % 40 AS "user", alert_id % 3 = 0 AS is_read FROM hits),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY reported_date DESC, alert_id DESC) AS place, count(*) OVER (PARTITION BY "user") AS total, count(*) FILTER (WHERE NOT is_read) OVER (PARTITION BY "user") AS unread FROM mine)
+SELECT "user", alert_id, observation_id, modal_price, reported_date, is_read, total, unread FROM ranked WHERE place <= 5""")
+def alert_inbox(spark, d):
+    """A user has the alerts whose numbers have the same remainder by 40; those with a number divisible by 3 have been read."""
+    rules = p.alert_rules(spark, d)
+    hits = dec.alert_triggers(p.observations(spark, d), rules, TODAY).withColumn("user", F.col("alert_id") % 40)
+    return v.inbox(hits, rules.filter("alert_id % 3 = 0")).select("user", "alert_id", "observation_id", "modal_price", "reported_date", "is_read", "total", "unread")
+
+
+@query("""WITH one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY state, commodity, mandi_id, is_sample ORDER BY reported_date DESC, observation_id DESC) AS k FROM obs WHERE modal_price > 0) WHERE k = 1),
+kind AS (SELECT *, bool_and(is_sample) OVER (PARTITION BY state, commodity) AS sample_only FROM one),
+placed AS (SELECT *, row_number() OVER (PARTITION BY state, commodity ORDER BY reported_date DESC, mandi_id) AS place FROM kind WHERE is_sample = sample_only)
+SELECT state, commodity, mandi, modal_price, reported_date, source, sample_only, CASE WHEN place = 1 THEN 'primary' ELSE 'alternative' END AS role FROM placed WHERE place <= 5""")
+def prices_in_area(spark, d):
+    return v.prices_in_area(p.observations(spark, d), "state").select("state", "commodity", "mandi", "modal_price", "reported_date", "source", "sample_only", "role")
+
+
+CROP_NAMES = [(name, f"Brand#{11 + k // 5 * 10 + k % 5}") for k, (name, *_) in enumerate(t.CROPS)]
+
+
+@query(f"""WITH {TURNS}, names(crop, commodity) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in CROP_NAMES)}),
+newest_of_all AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY commodity ORDER BY reported_date DESC, observation_id DESC) AS k FROM obs WHERE NOT is_sample AND modal_price > 0) WHERE k = 1)
+SELECT conv_id, turn, u.crop AS crop, CASE WHEN u.crop IS NULL THEN 'NO_COMMODITY' WHEN modal_price IS NULL THEN 'NO_DATA' ELSE 'ANSWERED' END AS status,
+  CASE WHEN modal_price IS NOT NULL THEN 'The newest price of ' || u.crop || ' is ₹' || printf('%.2f', modal_price) || ' per quintal.' END AS answer, modal_price, reported_date, mandi
+FROM understood u LEFT JOIN names ON names.crop = u.crop LEFT JOIN newest_of_all n ON n.commodity = names.commodity WHERE intent = 'LATEST_PRICE'""")
+def grounded_answers(spark, d):
+    """Answers to all turns that ask for a price; crops stand for brands, in the order of both."""
+    prices = m.latest(m.genuine(p.observations(spark, d), "usable"), ("commodity",))
+    return v.answers(talks.understood(turns(spark, d)), spark.createDataFrame(CROP_NAMES, "crop string, commodity string"), prices)
+
+
+@query("""SELECT asked, s_suppkey FROM (SELECT DISTINCT ' Market of ' || n_name AS asked, min(s_suppkey) OVER (PARTITION BY n_name) AS s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+UNION ALL SELECT s_name, s_suppkey FROM supplier""", obs=False)
+def variant_lookup(spark, d):
+    """Markets by a spelling variant of their names, and by their codes, which have none."""
+    markets = p.markets(spark, d)
+    variant = F.concat(F.lit("MARKET OF "), F.col("mandi"))
+    asked = markets.select(F.concat(F.lit(" Market of "), F.col("mandi")).alias("asked")).distinct().unionByName(markets.select(F.col("market_code").alias("asked")))
+    names = v.respelled(asked, markets.select(variant.alias("variant"), F.col("mandi").alias("name")))
+    found = v.lookup(markets, names.select(F.col("name").alias("asked")).distinct(), "s_suppkey", "market_code", "mandi")
+    return names.join(found.withColumnRenamed("asked", "name"), "name").select("asked", "s_suppkey")
+
+
+@query("SELECT commodity, mandi_id, variety, count(DISTINCT reported_date) AS days FROM obs WHERE commodity IS NOT NULL AND mandi_id IS NOT NULL AND variety IS NOT NULL GROUP BY commodity, mandi_id, variety")
+def series_found(spark, d):
+    return v.series_found(p.observations(spark, d))
+
+
+@query(f"""WITH {SYNC_SQL} SELECT count(*) AS records, count(*) FILTER (WHERE NOT is_sample) AS genuine, count(DISTINCT mandi_id) AS markets, count(DISTINCT commodity) AS commodities, max(reported_date) AS last_date,
+(SELECT count(*) FROM runs) AS runs, (SELECT count(*) FROM runs WHERE status = 'FAILED') AS failed_runs, (SELECT max(synced_on) FROM runs WHERE status = 'SUCCESS') AS last_success FROM obs""")
+def pipeline_counters(spark, d):
+    return v.counters(p.observations(spark, d), p.sync_log(spark, d))

@@ -268,3 +268,33 @@ def test_pages_lookups_guards_and_windows(spark):
     assert {r.source: r.days for r in serving.incremental_window(log, "2026-01-10").collect()} == {"A": 10, "B": 30, "C": 30, "D": 3}
     known = spark.createDataFrame([("K", "old")], "code string, name string")
     assert [tuple(r) for r in serving.new_members(known, spark.createDataFrame([("K", "new"), ("N", "b"), ("N", "a"), (None, "c")], "code string, name string"), "code", "name").collect()] == [("N", "a")]
+
+
+def test_inbox_counts_all_and_lists_the_newest(spark):
+    rows = [(1, k, f"2001-01-{k:02d}") for k in range(1, 8)] + [(2, 20, "2001-01-01"), (None, 21, "2001-01-01")]
+    triggers = spark.createDataFrame(rows, "user long, alert_id long, reported_date string")
+    read = spark.createDataFrame([(7,), (7,), (1,), (None,)], "alert_id long")
+    out = {(r.user, r.alert_id): (r.is_read, r.total, r.unread) for r in serving.inbox(triggers, read, 3).collect()}
+    assert out == {(1, 7): (True, 7, 5), (1, 6): (False, 7, 5), (1, 5): (False, 7, 5), (2, 20): (False, 1, 1), (None, 21): (False, 1, 1)}
+    assert serving.inbox(triggers.limit(0), read).count() == 0
+
+
+def test_samples_count_only_where_nothing_else_is(spark):
+    rows = [("S", "a", 1, True, 5.0, "2001-01-03"), ("S", "a", 2, False, 6.0, "2001-01-01"), ("S", "a", 3, False, 7.0, "2001-01-01"), ("T", "a", 4, True, 8.0, "2001-01-01"), ("T", "a", 5, False, 0.0, "2001-01-09")]
+    obs = spark.createDataFrame(rows, "state string, commodity string, mandi_id long, is_sample boolean, modal_price double, reported_date string").selectExpr("*", "'INR/quintal' AS price_unit", "CAST(mandi_id AS STRING) AS observation_id")
+    out = [(r.state, r.mandi_id, r.role, r.sample_only) for r in serving.prices_in_area(obs, "state").orderBy("state", "place").collect()]
+    assert out == [("S", 2, "primary", False), ("S", 3, "alternative", False), ("T", 4, "primary", True)]
+
+
+def test_answers_say_what_is_missing(spark):
+    said = spark.createDataFrame([(1, 1, "Onion", "LATEST_PRICE"), (1, 2, None, "LATEST_PRICE"), (1, 3, "Wheat", "LATEST_PRICE"), (1, 4, "Onion", "FORECAST")], "conv_id int, turn int, crop string, intent string")
+    names = spark.createDataFrame([("Onion", "c1"), ("Wheat", "c2")], "crop string, commodity string")
+    prices = spark.createDataFrame([("c1", 1400.5, "2001-01-01", "N")], "commodity string, modal_price double, reported_date string, mandi string")
+    out = [(r.turn, r.status, r.answer) for r in serving.answers(said, names, prices).orderBy("turn").collect()]
+    assert out == [(1, "ANSWERED", "The newest price of Onion is ₹1400.50 per quintal."), (2, "NO_COMMODITY", None), (3, "NO_DATA", None)]
+
+
+def test_spelling_variants(spark):
+    variants = spark.createDataFrame([(" Nasik", "Nashik"), ("NASIK ", "Other"), (None, "x")], "variant string, name string")
+    asked = spark.createDataFrame([("nasik",), ("Pune",), (None,)], "asked string")
+    assert {r.asked: r.name for r in serving.respelled(asked, variants).collect()} == {"nasik": "Nashik", "Pune": "Pune", None: None}
