@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and the SQL for those that SQL can express."""
 
-from . import bpe, decontaminate, language, media, near, quality, rlz, secrets, suffixes, urls
+from . import bpe, decontaminate, divergence, language, media, near, periods, quality, rlz, secrets, suffixes, urls, vectors
 
 QUERIES = {
     "op1_rlz_dedup": rlz.op1_rlz_dedup,
@@ -13,5 +13,15 @@ QUERIES = {
     "op8_telephony_audio": media.op8_telephony_audio,
     "op9_url_filter": urls.op9_url_filter,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_vector_links": vectors.op11_vector_links,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_periodic_runs": periods.op13_periodic_runs,
+}
+ORACLE: dict[str, str] = {
+    "op1_rlz_dedup": rlz.OP1_SQL,
+    "op3_decontaminate": decontaminate.OP3_SQL,
+    "op5_near_duplicates": near.OP5_SQL,
+    "op9_url_filter": urls.OP9_SQL,
+    "op11_vector_links": vectors.OP11_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
-ORACLE: dict[str, str] = {"op1_rlz_dedup": rlz.OP1_SQL, "op5_near_duplicates": near.OP5_SQL, "op3_decontaminate": decontaminate.OP3_SQL, "op9_url_filter": urls.OP9_SQL}
