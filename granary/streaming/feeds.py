@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from granary.functions.numbers import rounded
 
@@ -13,9 +18,17 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def reports(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """market (a user), commodity (an event type), price and time of a folder or file of events."""
+    """market (a user), commodity (an event type), price, time and whether it is a sample, of a folder or file of events."""
     raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    return raw.select(F.col("event_id").alias("report_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("market"), F.col("event_type").alias("commodity"), F.col("value").alias("price"))
+    number = F.get_json_object("props", "$.k").cast("int")
+    return raw.select(
+        F.col("event_id").alias("report_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("user_id").alias("market"),
+        F.col("event_type").alias("commodity"),
+        F.col("value").alias("price"),
+        F.coalesce(number % 10 == 0, F.lit(False)).alias("is_sample"),
+    )
 
 
 def market_days(feed: DataFrame) -> DataFrame:
@@ -53,40 +66,133 @@ def whole_result(out: DataFrame, folder: str) -> DataFrame:
 class Upserts:
     """A foreachBatch sink that keeps the newest price of each key and logs what it replaced.
 
-    The state is a Parquet table for each batch, so a batch that is run again gives the same state.
+    The state lies in buckets by key. A batch reads and writes only the buckets that it has keys of, as a new version of each; a manifest for
+    each batch, written last, names every bucket's version. A batch that is run again starts from the manifest before it, so
+    it gives the same state; versions that neither the last nor the last but one manifest names are removed.
     """
 
-    def __init__(self, folder: str, keys: tuple[str, ...]):
-        self.folder, self.keys, self.number = folder, keys, None
+    VALUES = ("ts", "report_id", "price")
+
+    def __init__(self, folder: str, keys: tuple[str, ...], buckets: int = 64):
+        self.folder, self.keys, self.buckets, self.number = folder, keys, buckets, None
+
+    def _path(self, spark: SparkSession, name: str):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def manifest(self, spark: SparkSession, number: int) -> dict[int, int]:
+        """The version of each bucket after a batch: as many entries as there are buckets."""
+        path, fs = self._path(spark, f"manifest/{number}")
+        if number < 0 or not fs.exists(path):
+            return {}
+        return {int(k): v for k, v in json.loads(spark.read.text(f"{self.folder}/manifest/{number}").first()[0]).items()}
+
+    def _read(self, spark: SparkSession, versions: dict[int, int], schema: str) -> DataFrame:
+        paths = [f"{self.folder}/state/version={v}/bucket={b}" for b, v in sorted(versions.items())]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.groupBy(*self.keys).agg(F.max(F.struct("ts", "report_id", "price")).alias("n")).select(*self.keys, "n.*")
-        if number == 0:
-            newest.write.mode("overwrite").parquet(f"{self.folder}/state0")
-        else:
-            old = spark.read.parquet(f"{self.folder}/state{number - 1}").select(*self.keys, *[F.col(c).alias(f"old_{c}") for c in ("ts", "report_id", "price")])
-            both = newest.join(old, [*self.keys], "full_outer")
-            later = F.col("old_ts").isNull() | (F.struct("ts", "report_id") > F.struct("old_ts", "old_report_id"))
-            pick = lambda c: F.when(later & F.col("ts").isNotNull(), F.col(c)).otherwise(F.col(f"old_{c}")).alias(c)
-            both.select(*self.keys, *[pick(c) for c in ("ts", "report_id", "price")]).write.mode("overwrite").parquet(f"{self.folder}/state{number}")
-            both.filter(later & F.col("ts").isNotNull() & F.col("old_ts").isNotNull()).select(*self.keys, F.col("old_price").alias("previous_price"), "price", "ts").write.mode("overwrite").parquet(f"{self.folder}/revisions/batch={number}")
-        self.number = number
+        spark, known = batch.sparkSession, self.manifest(batch.sparkSession, number - 1)
+        schema = ", ".join(f"{c} {batch.schema[c].dataType.simpleString()}" for c in (*self.keys, *self.VALUES))
+        newest = batch.groupBy(*self.keys).agg(F.max(F.struct(*self.VALUES)).alias("n")).select(*self.keys, "n.*")
+        touched = [r[0] for r in newest.select(self._bucket().alias("bucket")).distinct().collect()]  # as many as there are buckets at most
+        old = self._read(spark, {b: known[b] for b in touched if b in known}, schema)
+        old = old.select(*self.keys, *[F.col(c).alias(f"old_{c}") for c in self.VALUES])
+        both = newest.join(old, [*self.keys], "full_outer").persist()
+        later = F.col("ts").isNotNull() & (F.col("old_ts").isNull() | (F.struct("ts", "report_id") > F.struct("old_ts", "old_report_id")))
+        pick = lambda c: F.when(later, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c)
+        state = both.select(*self.keys, *map(pick, self.VALUES)).withColumn("bucket", self._bucket())
+        state.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/state/version={number}")
+        revised = both.filter(later & F.col("old_ts").isNotNull()).select(*self.keys, F.col("old_price").alias("previous_price"), "price", "ts")
+        revised.write.mode("overwrite").parquet(f"{self.folder}/revisions/batch={number}")
+        both.unpersist()
+        new = known | dict.fromkeys(touched, number)
+        spark.createDataFrame([(json.dumps(new),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifest/{number}")
+        for b, v in self.manifest(spark, number - 2).items():
+            if v not in (known.get(b), new.get(b)):
+                path, fs = self._path(spark, f"state/version={v}/bucket={b}")
+                fs.delete(path, True)
+        self.number, self.schema = number, schema
 
     def state(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/state{self.number}")
+        return self._read(spark, self.manifest(spark, self.number), self.schema)
 
+    def revisions(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/revisions").drop("batch")
 
-class Triggers:
-    """A foreachBatch sink: rules that the newest report of a batch fulfils, once for each rule and report. rules: alert_id, market, commodity, target, condition."""
 
-    def __init__(self, folder: str, rules: DataFrame):
-        self.folder, self.rules = folder, rules
+#: A report is judged so long after its time, so that what is late by LATE at most is known then.
+WAIT = 3 * 24 * 3600 * 1_000_000
+PENDING = "us long, report_id long, price double"
+JUDGED = f"market long, commodity string, {PENDING}"
 
-    def __call__(self, batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy("market", "commodity").agg(F.max(F.struct("ts", "report_id", "price")).alias("n")).select("market", "commodity", "n.*")
-        hit = F.when(F.col("condition") == "gte", F.col("price") >= F.col("target")).otherwise(F.col("price") <= F.col("target"))
-        newest.join(self.rules, ["market", "commodity"]).filter(hit).select("alert_id", "report_id", "price", "ts").write.mode("overwrite").parquet(f"{self.folder}/triggers/batch={number}")
 
-    def found(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/triggers").dropDuplicates(["alert_id", "report_id"])
+class Settling(StatefulProcessor):
+    """Keeps the reports of a series that aren't judged yet. A timer in event time judges each: it goes on if no newer one came within WAIT."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", PENDING)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for some in rows:
+            self.pending.appendList(list(zip(some["us"].tolist(), some["report_id"].tolist(), some["price"].tolist())))
+            for due in {self.due(us) for us in some["us"].tolist()}:
+                self.handle.registerTimer(due)
+        yield pd.DataFrame()
+
+    @staticmethod
+    def due(us: int) -> int:
+        """In milliseconds, rounded up."""
+        return -(-(us + WAIT) // 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        reports = sorted(self.pending.get())
+        left = [r for r in reports if self.due(r[0]) > now]
+        done = [r for r, later in zip(reports, [*reports[1:], None]) if self.due(r[0]) <= now and (later is None or later[0] > r[0] + WAIT)]
+        if left:
+            self.pending.put(left)
+        else:
+            self.pending.clear()
+        yield pd.DataFrame([(*key, *r) for r in done], columns=["market", "commodity", "us", "report_id", "price"]) if done else pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def triggered(judged: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules whose condition a judged report fulfils while it is fresh: the end of its day is at most freshness_hours before it was judged."""
+    price, day_end = F.col("price"), F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MILLISECOND")
+    hit = F.when(F.col("condition") == "gte", price >= F.col("target")).otherwise(price <= F.col("target"))
+    fresh = day_end + F.make_dt_interval(hours=F.col("freshness_hours")) >= F.col("judged")
+    return judged.join(rules, ["market", "commodity"]).filter(hit & fresh).select("alert_id", "report_id", "price", "ts", "judged")
+
+
+def alerts(feed: DataFrame, rules: DataFrame, folder: str, end: Column) -> DataFrame:
+    """Each rule with each report that it fires on, once. rules: alert_id, market, commodity, target, condition and freshness_hours.
+
+    Genuine reports (no samples, a positive price) are judged WAIT after their time, in event time, and those that are left when the feed
+    ends, then (end). A report fires only if no newer one of its series came meanwhile, so neither the order of arrival nor the size of
+    batches matters as long as nothing is later than LATE. A series that is silent holds no state once its last report is judged.
+    """
+    spark = feed.sparkSession
+    genuine = feed.filter(~F.col("is_sample") & (F.col("price") > 0)).withWatermark("ts", LATE).withColumn("us", F.unix_micros("ts"))
+    series = genuine.select("market", "commodity", "ts", "us", "report_id", "price").groupBy("market", "commodity")
+    settled = series.transformWithStateInPandas(Settling(), JUDGED, "Append", "EventTime")
+    timed = lambda df: df.select("market", "commodity", "report_id", "price", F.timestamp_micros("us").alias("ts"), F.timestamp_micros(F.col("us") + WAIT).alias("judged"))
+    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        run(triggered(timed(settled), rules), folder, "append")
+    finally:
+        spark.conf.set(key, before)
+    left = spark.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", "pending").load().select("key.*", "list_element.*")
+    later = F.lead("us").over(Window.partitionBy("market", "commodity").orderBy("us", "report_id"))
+    left = timed(left.withColumn("later", later).filter(F.col("later").isNull() | (F.col("later") > F.col("us") + WAIT)))
+    fired = spark.read.schema("alert_id long, report_id long, price double, ts timestamp, judged timestamp").parquet(f"{folder}/out")
+    return fired.unionByName(triggered(left.withColumn("judged", F.least("judged", end)), rules))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import texts as t
 from granary.functions.numbers import percent_change, rounded
-from granary.operators import decisions, market, models, risk, serving, talks
+from granary.operators import boosting, decisions, market, models, risk, serving, store, talks
 from granary.operators import series as s
 
 START = date(2026, 1, 5)
@@ -217,9 +217,10 @@ def test_every_step_of_a_walk_is_a_fit_of_its_own():
 def test_forecasts_are_of_the_chosen_model_for_all_horizons(spark):
     values = steady(80)
     series = prices(spark, values, arrivals=[1.0] * 80)
-    walk = models.walked(series).cache()
+    assert models.chosen(models.walked(series)).first().model == "ridge"  # without boosted trees
+    walk = models.walked(series, boosted=("validation", "latest")).cache()
     model = models.chosen(walk).first().model
-    assert model == "ridge"
+    latest = {r.horizon: r for r in walk.filter("part = 'latest'").collect()}
     out = {r.horizon: r for r in models.selected_forecasts(series).collect()}
     assert sorted(out) == list(range(1, 8))
     rows = models.feature_rows(series).toPandas()
@@ -228,8 +229,8 @@ def test_forecasts_are_of_the_chosen_model_for_all_horizons(spark):
         one = rows[rows["horizon"] == h].sort_values("reported_date")
         past, now = one[one["part"] != "latest"], one[one["part"] == "latest"]
         w, mean, scale = models.ridge(past[columns].to_numpy(float), np.log(past["target"].to_numpy(float)))
-        assert r.predicted == pytest.approx(np.exp(w[0] + ((now[columns].to_numpy(float)[0] - mean) / scale) @ w[1:]), abs=0.01)
-        assert r.model == "ridge" and r.forecast_date == START + timedelta(79 + h) and r.last_price == values[-1] and r.lower <= r.predicted <= r.upper
+        assert latest[h].ridge == pytest.approx(np.exp(w[0] + ((now[columns].to_numpy(float)[0] - mean) / scale) @ w[1:]), abs=0.01)
+        assert r.model == model and r.predicted == pytest.approx(latest[h][model], abs=0.01) and r.forecast_date == START + timedelta(79 + h) and r.last_price == values[-1] and r.lower <= r.predicted <= r.upper
     assert models.selected_forecasts(series, str(START + timedelta(79 + 31))).count() == 0
     assert models.walked(series.limit(0)).count() == 0
 
@@ -298,3 +299,76 @@ def test_spelling_variants(spark):
     variants = spark.createDataFrame([(" Nasik", "Nashik"), ("NASIK ", "Other"), (None, "x")], "variant string, name string")
     asked = spark.createDataFrame([("nasik",), ("Pune",), (None,)], "asked string")
     assert {r.asked: r.name for r in serving.respelled(asked, variants).collect()} == {"nasik": "Nashik", "Pune": "Pune", None: None}
+
+
+def plain_boosting(x, y, trees=boosting.TREES):
+    """One model, node by node; x are bins. Predictions of its own rows."""
+    out = np.full(len(y), y.mean())
+
+    def grow(rows, rest, depth):
+        best, cut = boosting.LEAST_GAIN, None
+        score = lambda r: rest[r].sum() ** 2 / (len(r) + boosting.L2)
+        for f in range(x.shape[1]):
+            for b in range(boosting.BINS):
+                left, right = rows[x[rows, f] <= b], rows[x[rows, f] > b]
+                if min(len(left), len(right)) >= boosting.LEAST_LEAF and score(left) + score(right) - score(rows) > best + 1e-9:
+                    best, cut = score(left) + score(right) - score(rows), (left, right)
+        if depth == 0 or cut is None:
+            return {int(r): boosting.RATE * rest[rows].sum() / (len(rows) + boosting.L2) for r in rows}
+        return grow(cut[0], rest, depth - 1) | grow(cut[1], rest, depth - 1)
+
+    for _ in range(trees):
+        added = grow(np.arange(len(y)), y - out, boosting.DEPTH)
+        out = out + np.array([added[k] for k in range(len(y))])
+    return out
+
+
+def test_boosting_of_many_models_is_that_of_each():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (60, 12, 35):
+        x = rng.normal(size=(n, 3))
+        sets.append((boosting.codes(x, boosting.edges(x)), np.where(x[:, 0] > 0, 1.0, 0.0) + 0.3 * x[:, 1] + rng.normal(0, 0.05, n)))
+    model = np.repeat(np.arange(3), [len(y) for _, y in sets])
+    code = np.concatenate([c for c, _ in sets])
+    grown = boosting.fit(model, code, np.concatenate([y for _, y in sets]), 3, trees=12)
+    got = grown.predict(model, code)
+    assert got == pytest.approx(np.concatenate([plain_boosting(c, y, 12) for c, y in sets]), abs=1e-5)
+
+
+def test_boosting_walks_over_known_rows_only():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 4))
+    y = x[:, 0] + rng.normal(0, 0.1, 50)
+    code, rows = boosting.codes(x, boosting.edges(x[:30])), np.arange(30, 50, 3)
+    got = boosting.walk([(code, y, rows, rows - 2)])[0]
+    changed = y.copy()
+    changed[40:] += 100
+    again = boosting.walk([(code, changed, rows, rows - 2)])[0]
+    assert got[rows - 2 <= 40] == pytest.approx(again[rows - 2 <= 40]) and abs(again[-1] - got[-1]) > 1
+    assert np.sqrt(np.mean((got - y[rows]) ** 2)) < 0.6 * y.std()
+
+
+def test_stored_models_score_as_they_were_fitted(spark, tmp_path):
+    series = prices(spark, steady(80), arrivals=[1.0] * 80)
+    path = str(tmp_path / "models")
+    store.save(store.trained(series, (1, 3)), path, "v1")
+    store.save(store.trained(series, (1,)), path, "v2")
+    store.save(store.trained(series, (1, 3)), path, "v1")  # the same version again
+    models_ = store.load(spark, path, "v1")
+    assert [(r.version, r.model, r.models) for r in store.versions(store.load(spark, path)).orderBy("version", "model").collect()] == [("v1", "gbm", 2), ("v1", "ridge", 2), ("v2", "gbm", 1), ("v2", "ridge", 1)]
+    ask = store.latest_rows(series, (1, 3))
+    first = {(r.model, r.horizon): r.predicted for r in store.scored(models_, ask).collect()}
+    assert first == {(r.model, r.horizon): r.predicted for r in store.scored(models_, ask).collect()} and len(first) == 4
+    walk = {r.horizon: r for r in models.walked(series, (1, 3), ("latest",)).filter("part = 'latest'").collect()}
+    for (model, h), value in first.items():
+        assert value == pytest.approx(walk[h][model], rel=1e-6)
+
+
+def test_boosted_trees_are_a_candidate(spark):
+    """A price that jumps by weekday in a way that no line follows."""
+    values = [2000.0 + (500 if (k * 5) % 7 in (1, 2, 4) else 0) + 3 * np.sin(k) for k in range(160)]
+    out = models.selected_forecasts(prices(spark, values, arrivals=[1.0] * 160)).collect()
+    assert {r.model for r in out} == {"gbm"} and len(out) == 7
+    later = {START + timedelta(k): 2000.0 + (500 if (k * 5) % 7 in (1, 2, 4) else 0) for k in range(160, 170)}
+    assert all(abs(r.predicted - later[r.forecast_date]) < 120 for r in out)
