@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.functions import texts as t
+from granary.functions.speech import speech
 from granary.operators import talks
 from granary.plans.registry import query
 from granary.sources import prices as p
@@ -91,7 +92,7 @@ query("SELECT observation_id, CAST(('0x' || substr(observation_id, 1, 4)) AS BIG
 
 @query()
 def speech_text(spark, d):
-    return turns(spark, d).select("conv_id", "turn", t.speech(F.col("text")).alias("spoken"))
+    return turns(spark, d).select("conv_id", "turn", speech(F.col("text")).alias("spoken"))
 
 
 PLACES_ASKED = """asked AS (SELECT conv_id * 1000 + turn * 2 AS text_id, coalesce(text, '') AS text FROM conversations

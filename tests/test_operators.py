@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import texts as t
 from granary.functions.numbers import percent_change, rounded
+from granary.functions.speech import speech
 from granary.operators import boosting, decisions, market, models, risk, serving, store, talks
 from granary.operators import series as s
 
@@ -177,10 +178,22 @@ def test_numbers(spark):
     assert x.n[0] == 1400 and x.n[-1] == 3.5 and x.u == [1800.0]
 
 
+SPOKEN = [
+    ("en", "₹1,400/quintal", "1400 rupees per quintal"), ("en", "₹1,000 - ₹1,600", "1000 to 1600 rupees"), ("en", "2026-10-08: **+3.5%** <b>up</b>", "8 October 2026: plus 3.5 percent up"), ("en", None, ""), ("en", "  *** ", ""),
+    ("en", "wait 7,8 days", "wait 7,8 days"), ("en", "Bags of 10,20 and 1,400", "Bags of 10,20 and 1400"), ("en", "INR 1,20,000 in all", "120000 rupees in all"), ("en", "Rs. 2,450 per quintal", "2450 rupees per quintal"),
+    ("en", "in INR per quintal", "in rupees per quintal"), ("en", "INR/quintal", "rupees per quintal"), ("en", "It was ₹1,400, an old price.", "It was 1400 rupees, an old price."), ("en", "up +2% , down (-1 %) or 3-4", "up plus 2 percent, down (minus 1 percent) or 3-4"),
+    ("en", "**Wheat** • at https://example.org today 🙂", "Wheat at today"), ("en", "1,2345 and 12,34,567.50", "1,2345 and 1234567.50"), ("en", "2026-13-01", "2026-13-01"),
+    ("hi", "₹1,400/क्विंटल, दिनांक 2026-10-08, +5%", "1400 रुपये प्रति क्विंटल, दिनांक 8 अक्टूबर 2026, प्लस 5 प्रतिशत"), ("mr", "₹1,000 - ₹1,600, 2026-10-08", "1000 ते 1600 रुपये, 8 ऑक्टोबर 2026"),
+]
+
+
 def test_speech(spark):
-    say = lambda x: spark.createDataFrame([(x,)], "t string").select(t.speech(F.col("t")).alias("s")).first().s
-    assert say("₹1,400/quintal") == "1400 rupees per quintal" and say("₹1,000 - ₹1,600") == "1000 to 1600 rupees"
-    assert say("2026-10-08: **+3.5%** <b>up</b>") == "8 October 2026: plus 3.5 percent up" and say(None) == ""
+    rows = spark.createDataFrame([(k, x) for k, (_, x, _) in enumerate(SPOKEN)], "k int, t string")
+    for language in ("en", "hi", "mr"):
+        out = {r.k: r.s for r in rows.select("k", speech(F.col("t"), language).alias("s")).collect()}
+        assert [(x, out[k]) for k, (lang, x, _) in enumerate(SPOKEN) if lang == language] == [(x, y) for lang, x, y in SPOKEN if lang == language]
+    long = spark.createDataFrame([("word " * 400,)], "t string").select(speech(F.col("t")).alias("s")).first().s
+    assert len(long) <= 1000 and long.endswith("word…")
 
 
 def test_ridge_is_the_closed_form():
