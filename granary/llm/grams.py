@@ -16,10 +16,11 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import shared_dir, shared_table, text_column
 
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 4 << 20
@@ -46,16 +47,29 @@ def unpack(data: bytes) -> np.ndarray:
     return (np.cumsum(x, dtype=np.uint64) if data[0] else x).view(np.int64)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty) and salt: a number that equal rows differ in, the same in every job, whatever task reads a row.
+
+    It is a hash of the row's file and place in it. Rows that aren't read from Parquet files as they are (a frame made in memory, a join)
+    are first written to the shared folder.
+    """
+    text = [F.col("doc_id").cast("long"), text_column()]
+    try:
+        return docs.select(*text, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("salt"))
+    except AnalysisException:
+        return identified(shared_table(docs.select(*text), f"{shared_dir(docs.sparkSession)}/rows"))
+
+
 def blocks(docs: DataFrame, block_bytes: int | None = None) -> tuple[DataFrame, int]:
     """doc_id, text (null as empty) and block; and the corpus's bytes of text.
 
-    A row's block is a hash of its id, text and input partition: blocks are even whatever the ids are, and equal rows meet in one block
-    only if one task reads them.
+    A row's block is a hash of its id, text and place in the input: blocks are even whatever the ids are, equal rows are dealt to all of
+    them, and a job that is planned anew, with other partitions, gives each block the same rows.
     """
-    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first().size or 0
+    rows = identified(docs)
+    size = rows.agg(F.sum(F.octet_length("text")).alias("size")).first().size or 0
     count = max(1, -(-size // (block_bytes or BLOCK_BYTES)))
-    rows = docs.select(F.col("doc_id").cast("long"), text_column(), F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(count)).alias("block"))
-    return rows, size
+    return rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", "salt"), F.lit(count)).alias("block")), size
 
 
 def in_order(group: pa.Table) -> pa.Table:

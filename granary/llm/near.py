@@ -277,24 +277,31 @@ def links(members: DataFrame, size: int, percent: int) -> DataFrame:
     return contracted(members.groupBy("part", "x", "y").applyInArrow(giving_back_each(verify), "a long, b long"))
 
 
+#: A row that has a class: that of the least id and print, and how many rows are equal to it.
+FIRST = ("first_id", "first_print", "copies")
+
+
 def exact_edges(docs: DataFrame, inside: DataFrame, size: int, percent: int, work: str) -> DataFrame:
-    """Edges that span the links of each cluster. inside: class, first_id (a document that has it), cluster, tiles and n_shingles."""
+    """Edges that span the links of each cluster. inside: class, cluster, tiles, n_shingles and a row that has the class: first_id, first_print and how many rows are equal to it (copies)."""
     total = inside.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.max("tiles").alias("tiles")).first()
     parts = max(1, -(-6 * (total.s or 0) // GROUP_BYTES))
-    text = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text")
+    text = docs.select(F.col("doc_id").cast("long").alias("first_id"), print_of().alias("first_print"), "text")
     tile, whole, zero = F.pmod(F.xxhash64("class"), F.col("tiles")), F.col("tiles") == 1, F.lit(0).cast("long")
 
     def told(members: DataFrame, name: str) -> DataFrame:
-        """members: class, first_id, cluster, part, and the pairs (x, y) of tiles that each takes part in."""
+        """members: class, first_id, first_print, copies, cluster, part, and the pairs (x, y) of tiles that each takes part in."""
         keys = shared_table(members, f"{work}/{name}-members")
-        joined = text.join(F.broadcast(keys) if total.n <= MOST_BROADCAST else keys.hint("shuffle_hash"), "first_id")
+        joined = text.join(F.broadcast(keys) if total.n <= MOST_BROADCAST else keys.hint("shuffle_hash"), ["first_id", "first_print"])
+        # of equal rows each task passes on one
+        once = joined.filter("copies > 1").groupBy("class").agg(*[F.first(c).alias(c) for c in joined.columns if c != "class"])
+        joined = joined.filter("copies = 1").unionByName(once)
         dealt = joined.select("class", "cluster", "part", "text", F.explode("pairs").alias("pair")).select("class", "cluster", "part", "text", "pair.x", "pair.y")
         return shared_table(links(dealt, size, percent), f"{work}/{name}")
 
     pair = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
     every = lambda n: F.sequence(zero, n - 1)
-    first = F.when(whole, F.array(pair(F.lit(-1), F.lit(-1)))).when(tile == 0, F.transform(every(F.col("tiles")), lambda t: pair(zero, t))).otherwise(F.array(pair(zero, tile), pair(tile, tile)))
-    edges = told(inside.select("class", "first_id", "cluster", F.when(whole, F.pmod(F.xxhash64("cluster"), F.lit(parts))).otherwise(F.col("cluster")).alias("part"), first.alias("pairs")), "first")
+    first = F.when(whole, F.array(pair(F.lit(-1), F.lit(-1)))).when(tile == 0, F.transform(every(F.col("tiles")), lambda t: pair(zero, t))).otherwise(F.array(pair(zero, tile)))  # there a tile is compared with itself, too
+    edges = told(inside.select("class", *FIRST, "cluster", F.when(whole, F.pmod(F.xxhash64("cluster"), F.lit(parts))).otherwise(F.col("cluster")).alias("part"), first.alias("pairs")), "first")
     if not total.n or total.tiles == 1:
         return edges
     label = components(edges, f"{work}/first-components").withColumnRenamed("node", "class")
@@ -307,17 +314,20 @@ def exact_edges(docs: DataFrame, inside: DataFrame, size: int, percent: int, wor
     own = F.transform(every(F.col("rests")), lambda r: pair(r, tile))
     others = F.transform(every(F.col("tiles")), lambda t: pair(F.pmod(F.xxhash64("class", F.lit(1)), F.col("rests")), t))
     pairs = F.when(F.col("label") == F.col("most"), own).otherwise(F.array_union(own, others))
-    return edges.unionByName(told(large.select("class", "first_id", "cluster", F.col("cluster").alias("part"), pairs.alias("pairs")), "second"))
+    return edges.unionByName(told(large.select("class", *FIRST, "cluster", F.col("cluster").alias("part"), pairs.alias("pairs")), "second"))
 
 
 def linked(docs: DataFrame, size: int, percent: int, work: str) -> tuple[DataFrame, DataFrame]:
     """The rows' sketches; and for each class the label of its component and the least doc_id in it."""
     sketch = shared_table(sketches(docs, size), f"{work}/sketch")
-    classes = shared_table(sketch.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), f"{work}/classes")
+    rows = sketch.filter("class is not null").groupBy("class", "doc_id", "print").agg(F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "print", "copies")))
+    classes = rows.groupBy("class").agg(first.alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = shared_table(classes.select("class", *[F.col(f"first.{c}").alias(n) for c, n in zip(("doc_id", "print", "copies"), FIRST)], "n_shingles", "signature"), f"{work}/classes")
     clusters = components(candidates(classes, work), f"{work}/clusters")
-    inside = classes.select("class", "first_id", "n_shingles").join(clusters.withColumnRenamed("node", "class"), "class").filter("first_id is not null")
+    inside = classes.select("class", *FIRST, "n_shingles").join(clusters.withColumnRenamed("node", "class"), "class").filter("first_id is not null")
     sizes = inside.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE_CLASSES), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).alias("tiles"))
-    inside = shared_table(inside.join(sizes, "label").select("class", "first_id", F.col("label").alias("cluster"), "tiles", "n_shingles"), f"{work}/members")
+    inside = shared_table(inside.join(sizes, "label").select("class", *FIRST, F.col("label").alias("cluster"), "tiles", "n_shingles"), f"{work}/members")
     found = components(exact_edges(docs, inside, size, percent, work), f"{work}/components")
     named = classes.select("class", "first_id").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))

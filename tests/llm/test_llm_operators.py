@@ -425,3 +425,36 @@ def test_empty_tables(spark):
 
 def test_ascii_lower():
     assert lowered("ÀK A") == "Àk a"
+
+
+def test_blocks_do_not_depend_on_partitions(spark, monkeypatch, tmp_path):
+    """The second phase of op1 and op2 is planned with another parallelism than the first."""
+    monkeypatch.setattr(grams, "BLOCK_BYTES", 60_000)
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 60_000)
+    docs = common.table(spark, SMALL, "documents")
+    docs.repartition(12).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    key, pack = "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes"
+    try:
+        spark.conf.set(pack, "1")
+        made = [factored(read), suffixes.without_repeats(read)]
+        spark.conf.set(key, "1")
+        spark.conf.set(pack, str(64 << 20))
+        assert rows(made[0]) == sorted(rlz(small(spark)), key=str)
+        assert rows(made[1]) == sorted(repeats(small(spark)), key=str)
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset(pack)
+
+
+def test_a_hot_id_with_many_near_copies(spark, monkeypatch):
+    """A third of the rows has one id: pairs of near copies, and equal rows; the rows sent to the link step stay in proportion."""
+    pairs = [prose(100 + k, 60) for k in range(60)]
+    hot = [(7, x + end) for x in pairs for end in (" a", " b")] + [(7, pairs[0] + " a")] * 30
+    data = hot + [(1000 + k, prose(500 + k, 40)) for k in range(200)]
+    counts = []
+    whole = near.links
+    monkeypatch.setattr(near, "links", lambda members, *a: (counts.append(members.count()), whole(members, *a))[1])
+    out = near.near_duplicates(frame(spark, data), 4).collect()
+    assert len(out) == len(data) and {r.component_id for r in out if r.doc_id == 7} == {7}
+    assert sum(counts) <= 2 * len(hot)
