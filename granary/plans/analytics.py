@@ -163,7 +163,7 @@ pairs AS (SELECT DISTINCT c.c_custkey AS "user", m.mandi_id AS mandi_id, 'Brand#
   UNION SELECT alert_id, mandi_id, commodity FROM alerts)
 SELECT "user", p.mandi_id AS mandi_id, p.commodity AS commodity, modal_price, reported_date, source FROM pairs p LEFT JOIN newest n ON n.mandi_id = p.mandi_id AND n.commodity = p.commodity""")
 def farmer_dashboard(spark, d):
-    """Of the users whose number ends in 0, who are those with favourites: two commodities and two markets each."""
+    """Every customer is a user with favourites, two commodities and two markets, and with an alert."""
     users = p.table(spark, d, "customer").select(F.col("c_custkey").alias("user"), "c_nationkey")
     crops = users.select("user", F.explode(F.array(*[F.concat(F.lit("Brand#"), (F.col("user") % 20 + k).cast("string")) for k in (1, 2)])).alias("commodity"))
     places = users.select("user", F.explode(F.array(F.col("c_nationkey").cast("long"), (F.col("c_nationkey").cast("long") + 1) % 25)).alias("mandi_id"))

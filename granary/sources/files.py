@@ -50,7 +50,9 @@ def wide_report(spark: SparkSession, path: str) -> DataFrame:
 
     Only the header comes to the driver.
     """
-    head = next(r.value for r in spark.read.text(path).filter(F.col("value").startswith("Commodity Group")).limit(1).collect())
+    head = next((r.value for r in spark.read.text(path).filter(F.col("value").startswith("Commodity Group")).limit(1).collect()), None)
+    if head is None:
+        raise ValueError(f"{path} has no line that begins with Commodity Group")
     names = [f"c{k}" for k in range(len(_fields(head)))]
     rows = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path)
     rows = rows.filter(F.col("c1").isNotNull() & (F.col("c1") != "Commodity"))
