@@ -41,6 +41,26 @@ def plan_totals(rows: DataFrame, key: str = "commodity") -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("markets"), total("value_now").alias("total_now"), F.when(whole, total("value_then")).alias("total_then"), whole.alias("complete"))
 
 
+def scenarios(asked: DataFrame, latest: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """Each request's plan: over its allocations if it has any, else over the one market that it names.
+
+    asked: ask_id, commodity, mandi_id, quantity, days, and allocations, an array of (mandi_id, quantity, days). latest: series and price;
+    forecasts: series, horizon, predicted. A part without a price or a forecast for its days has no value, and a plan with such a part no total.
+    Status: NO_MARKET_DATA, NO_FORECAST or AVAILABLE. All requests are answered by one join with each table.
+    """
+    multi = F.coalesce(F.array_size("allocations") > 0, F.lit(False))
+    single = F.array(F.struct(F.col("mandi_id"), F.col("quantity"), F.col("days")))
+    parts = asked.select("ask_id", "commodity", F.when(multi, "plan").otherwise("single").alias("mode"), F.explode(F.when(multi, F.col("allocations")).otherwise(single)).alias("a")).select("ask_id", "commodity", "mode", "a.*")
+    out = parts.join(latest.select(*SERIES, F.col("price").alias("price_now")), [*SERIES], "left")
+    out = out.join(forecasts.select(*SERIES, F.col("horizon").alias("days"), "predicted"), [*SERIES, "days"], "left")
+    then = F.when(F.col("price_now").isNotNull(), F.when(F.col("days") == 0, F.col("price_now")).otherwise(F.col("predicted")))
+    out = out.withColumn("now", rounded(F.col("price_now") * F.col("quantity"))).withColumn("then", rounded(then * F.col("quantity")))
+    total = lambda c: F.when(F.count(c) == F.count("*"), F.sum(F.floor(F.col(c) * 100 + 0.5)) / 100.0)
+    by = out.groupBy("ask_id", "mode").agg(F.count("*").alias("markets"), total("now").alias("value_now"), total("then").alias("value_then"))
+    status = F.when(F.col("value_now").isNull(), "NO_MARKET_DATA").when(F.col("value_then").isNull(), "NO_FORECAST").otherwise("AVAILABLE")
+    return by.select("*", rounded(F.col("value_then") - F.col("value_now")).alias("difference"), percent_change(F.col("value_now"), F.col("value_then")).alias("difference_percent"), status.alias("status"))
+
+
 def distance_km(a: Column, b: Column) -> Column:
     """By the sorted pair of names in lower case; fixed values for the same, a missing and an unlisted place."""
     a, b = F.lower(F.trim(a)), F.lower(F.trim(b))

@@ -22,46 +22,90 @@ def level(known: Column, high: Column, moderate: Column) -> Column:
     return F.when(~known, "UNKNOWN").when(high, "HIGH").when(moderate, "MODERATE").otherwise("LOW")
 
 
+def _drops(now: Column) -> list[Column]:
+    """Aggregates over a series' forecasts, given its price now."""
+    good = (F.col("predicted") > 0) & (now > 0)
+    drop, worst = (F.when(good, rounded((now - x) / now * 100)) for x in (F.col("predicted"), F.coalesce("lower", "predicted")))
+    floor = lambda x: F.when(F.max(x).isNotNull(), F.greatest(F.max(x), F.lit(0.0)))
+    return [floor(drop).alias("max_drop"), floor(worst).alias("worst_drop"), F.max(F.when(drop > 0, F.struct(drop.alias("drop"), -F.col("horizon")))).alias("at")]
+
+
+def _decline() -> Column:
+    over = lambda k: (F.col("max_drop") >= DROP[k][0]) | (F.col("worst_drop") >= DROP[k][1])
+    return level(F.col("max_drop").isNotNull(), over("high"), over("moderate"))
+
+
 def price_decline(latest: DataFrame, forecasts: DataFrame) -> DataFrame:
     """The largest projected drop over the horizons (0 at least; the first horizon of equal ones) and the worst case by the lower bounds."""
-    good = forecasts.filter(F.col("predicted") > 0).join(latest.select(*SERIES, F.col("price").alias("now")), [*SERIES])
-    drop, worst = (rounded((F.col("now") - x) / F.col("now") * 100) for x in (F.col("predicted"), F.coalesce("lower", "predicted")))
-    by = good.filter("now > 0").withColumn("drop", drop).withColumn("worst", worst).groupBy(*SERIES).agg(
-        F.greatest(F.max("drop"), F.lit(0.0)).alias("max_drop"), F.greatest(F.max("worst"), F.lit(0.0)).alias("worst_drop"), F.max(F.when(F.col("drop") > 0, F.struct("drop", -F.col("horizon")))).alias("at")
-    )
-    out = latest.select(*SERIES, "price").join(by, [*SERIES], "left")
-    high = (F.col("max_drop") >= DROP["high"][0]) | (F.col("worst_drop") >= DROP["high"][1])
-    moderate = (F.col("max_drop") >= DROP["moderate"][0]) | (F.col("worst_drop") >= DROP["moderate"][1])
-    return out.select(*SERIES, "max_drop", "worst_drop", (-F.col("at.col2")).alias("worst_horizon"), level(F.col("max_drop").isNotNull(), high, moderate).alias("decline"))
+    told = latest.select(*SERIES, F.col("price").alias("_now")).join(forecasts, [*SERIES], "left").groupBy(*SERIES).agg(*_drops(F.col("_now")))
+    return told.select(*SERIES, "max_drop", "worst_drop", (-F.col("at.col2")).alias("worst_horizon"), _decline().alias("decline"))
 
 
-def volatility(series: DataFrame) -> DataFrame:
-    """Variation of prices, the largest daily swing and the deviation of daily returns, in percent; unknown below LEAST_PRICES days."""
+def _with_returns(series: DataFrame) -> DataFrame:
     before = F.lag("price").over(by_day())
-    out = series.withColumn("return", F.when(before != 0, (F.col("price") - before) / before * 100))
-    by = out.groupBy(*SERIES).agg(F.count("*").alias("days"), rounded(F.stddev_samp("price") / F.avg("price") * 100).alias("variation"), rounded(F.max(F.abs("return"))).alias("max_swing"), rounded(F.stddev_samp("return")).alias("return_deviation"))
+    return series.withColumn("return", F.when(before != 0, (F.col("price") - before) / before * 100))
+
+
+def _spread() -> list[Column]:
+    deviation = F.stddev_samp("price") / F.avg("price") * 100
+    return [F.count("*").alias("days"), rounded(deviation).alias("variation"), rounded(F.max(F.abs("return"))).alias("max_swing"), rounded(F.stddev_samp("return")).alias("return_deviation")]
+
+
+def _volatility() -> Column:
     any_of = lambda k: (F.col("max_swing") >= VOLATILITY[k][0]) | (F.col("variation") >= VOLATILITY[k][1]) | (F.col("return_deviation") >= VOLATILITY[k][2])
-    return by.select(*SERIES, "days", "variation", "max_swing", "return_deviation", level(F.col("days") >= LEAST_PRICES, any_of("high"), any_of("moderate")).alias("volatility"))
+    return level(F.col("days") >= LEAST_PRICES, any_of("high"), any_of("moderate"))
+
+
+def volatility(series: DataFrame) -> DataFrame:
+    """Variation of prices, the largest daily swing and the deviation of daily returns, in percent; unknown below LEAST_PRICES days."""
+    by = _with_returns(series).groupBy(*SERIES).agg(*_spread())
+    return by.select(*SERIES, "days", "variation", "max_swing", "return_deviation", _volatility().alias("volatility"))
+
+
+def _arrived() -> list[Column]:
+    some = F.col("arrivals") > 0
+    return [F.count_if(some).alias("reports"), F.max(F.when(some, F.struct("reported_date", "arrivals")))["arrivals"].alias("last"), F.sum(F.when(some, F.col("arrivals"))).alias("total")]
+
+
+def _ratio() -> Column:
+    return F.when(F.col("reports") >= LEAST_ARRIVALS, rounded(F.col("last") / ((F.col("total") - F.col("last")) / (F.col("reports") - 1))))
+
+
+def _surge(ratio: Column) -> Column:
+    return level(ratio.isNotNull(), ratio >= SURGE["high"], ratio >= SURGE["moderate"])
 
 
 def arrival_surge(series: DataFrame) -> DataFrame:
-    """The latest arrivals against the mean of the earlier ones; unknown below LEAST_ARRIVALS days with arrivals."""
-    some = series.filter(F.col("arrivals") > 0).groupBy(*SERIES).agg(F.count("*").alias("reports"), F.max_by("arrivals", "reported_date").alias("last"), F.sum("arrivals").alias("total"))
-    ratio = F.when(F.col("reports") >= LEAST_ARRIVALS, rounded(F.col("last") / ((F.col("total") - F.col("last")) / (F.col("reports") - 1))))
-    return some.withColumn("ratio", ratio).select(*SERIES, "reports", "ratio", level(F.col("ratio").isNotNull(), F.col("ratio") >= SURGE["high"], F.col("ratio") >= SURGE["moderate"]).alias("surge"))
+    """The latest arrivals against the mean of the earlier ones; unknown below LEAST_ARRIVALS days with arrivals. Series without arrivals have no row."""
+    some = series.groupBy(*SERIES).agg(*_arrived()).filter("reports > 0")
+    return some.withColumn("ratio", _ratio()).select(*SERIES, "reports", "ratio", _surge(F.col("ratio")).alias("surge"))
 
 
-def uncertainty(forecasts: DataFrame) -> DataFrame:
-    good = forecasts.filter("predicted is not null and lower is not null and upper is not null")
+def _bands() -> list[Column]:
+    """Aggregates over a series' forecasts that have both bounds."""
+    good = F.col("predicted").isNotNull() & F.col("lower").isNotNull() & F.col("upper").isNotNull()
     width = (F.col("upper") - F.col("lower")) / F.when(F.col("predicted") != 0, F.col("predicted")).otherwise(1.0) * 100
-    by = good.groupBy(*SERIES).agg(rounded(exact_mean(width), 1).alias("width"), rounded(exact_mean(F.col("confidence")), 1).alias("mean_confidence"))
+    return [F.count_if(good).alias("bounded"), rounded(exact_mean(F.when(good, width)), 1).alias("width"), rounded(exact_mean(F.when(good, F.col("confidence"))), 1).alias("mean_confidence")]
+
+
+def _uncertainty() -> Column:
     wide = lambda k: (F.col("width") >= WIDTH[k][0]) | F.coalesce(F.col("mean_confidence") < WIDTH[k][1], F.lit(False))
-    return by.select(*SERIES, "width", "mean_confidence", level(F.col("width").isNotNull(), wide("high"), wide("moderate")).alias("uncertainty"))
+    return level(F.col("width").isNotNull(), wide("high"), wide("moderate"))
+
+
+def uncertainty(forecasts: DataFrame) -> DataFrame:
+    """Mean width of the bounds in percent and mean confidence. Series without bounds have no row."""
+    by = forecasts.groupBy(*SERIES).agg(*_bands()).filter("bounded > 0")
+    return by.select(*SERIES, "width", "mean_confidence", _uncertainty().alias("uncertainty"))
+
+
+def _fresh(age: Column) -> Column:
+    return level(age.isNotNull(), age > AGE["moderate"], age > AGE["low"])
 
 
 def freshness(latest: DataFrame, today: str) -> DataFrame:
     age = stale_days(F.col("reported_date"), today)
-    return latest.select(*SERIES, age.alias("age"), level(age.isNotNull(), age > AGE["moderate"], age > AGE["low"]).alias("freshness"))
+    return latest.select(*SERIES, age.alias("age"), _fresh(age).alias("freshness"))
 
 
 FACTORS = ("decline", "volatility", "surge", "uncertainty", "freshness")
@@ -90,11 +134,15 @@ def last_rows(series: DataFrame) -> DataFrame:
 
 
 def profile(series: DataFrame, forecasts: DataFrame, today: str) -> DataFrame:
-    latest = last_rows(series)
-    out = latest.select(*SERIES)
-    for part in (price_decline(latest, forecasts), volatility(series), arrival_surge(series), uncertainty(forecasts), freshness(latest, today)):
-        out = out.join(part, [*SERIES], "left")
-    return overall(out)
+    """All five factors and the level of each series: one grouping of its days, one join with its forecasts, one grouping of those.
+
+    All of it is by series, so rows are dealt once on each side.
+    """
+    facts = _with_returns(series).groupBy(*SERIES).agg(F.max_by("price", "reported_date").alias("_now"), F.max("reported_date").alias("_day"), *_spread(), *_arrived())
+    facts = facts.select(*SERIES, F.struct("_now", _volatility().alias("volatility"), _surge(_ratio()).alias("surge"), _fresh(stale_days(F.col("_day"), today)).alias("freshness")).alias("f"))
+    told = facts.join(forecasts.select(*SERIES, "horizon", "predicted", "lower", "upper", "confidence"), [*SERIES], "left")
+    out = told.groupBy(*SERIES).agg(F.first("f").alias("f"), *_drops(F.col("f._now")), *_bands())
+    return overall(out.select(*SERIES, _decline().alias("decline"), "f.volatility", "f.surge", _uncertainty().alias("uncertainty"), "f.freshness"))
 
 
 def summary(profiles: DataFrame) -> DataFrame:

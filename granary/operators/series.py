@@ -92,15 +92,30 @@ def with_features(series: DataFrame) -> DataFrame:
 LEAST_COVERAGE = 0.8
 
 
-def arrival_features(series: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:
-    """Arrivals 1 and 7 reports before, the mean of the 7 before and the change from the report before the last that had any, for series whose coverage
-    is at least least. Rows that lack one of them are left out; a day without arrivals among the 7 leaves no mean."""
-    w = by_day()
+ARRIVALS = ("arrival_lag_1", "arrival_lag_7", "arrival_mean_7", "arrival_change")
+
+
+def with_arrivals(rows: DataFrame) -> DataFrame:
+    """Feature rows with the share of their series' days that have arrivals (coverage), arrivals 1 and 7 reports before and the mean of the 7 before; a
+    day without arrivals among the 7 leaves no mean."""
+    w, whole = by_day(), Window.partitionBy(*SERIES)
     seven = w.rowsBetween(-7, -1)
-    coverage = F.count("arrivals").over(Window.partitionBy(*SERIES)) / F.count("*").over(Window.partitionBy(*SERIES))
-    out = with_features(series).withColumn("coverage", coverage).withColumn("arrival_lag_1", F.lag("arrivals", 1).over(w)).withColumn("arrival_lag_7", F.lag("arrivals", 7).over(w))
-    out = out.withColumn("arrival_mean_7", F.when(F.count("arrivals").over(seven) == 7, F.avg("arrivals").over(seven))).filter(F.col("coverage") >= least)
-    return out.select(*DAY, "coverage", "arrival_lag_1", "arrival_lag_7", "arrival_mean_7", "arrival_change").dropna()
+    return rows.withColumns({
+        "coverage": F.count("arrivals").over(whole) / F.count("price").over(whole), "arrival_lag_1": F.lag("arrivals", 1).over(w), "arrival_lag_7": F.lag("arrivals", 7).over(w),
+        "arrival_mean_7": F.when(F.count("arrivals").over(seven) == 7, F.avg("arrivals").over(seven)),
+    })
+
+
+def gated(rows: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:
+    """Rows with has_arrivals: whether their series' coverage is at least least. Such rows need all arrival features, or are left out; others have none."""
+    passed = F.col("coverage") >= least
+    whole = F.array_size(F.array_compact(F.array(*ARRIVALS))) == len(ARRIVALS)
+    return rows.withColumn("has_arrivals", passed).filter(~passed | whole).withColumns({c: F.when(passed, F.col(c)) for c in ARRIVALS})
+
+
+def arrival_features(series: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:
+    """Arrival features and the change from the report before the last that had any, of the series that the gate lets through."""
+    return gated(with_arrivals(with_features(series)), least).filter("has_arrivals").select(*DAY, "coverage", *ARRIVALS)
 
 
 def with_calendar(df: DataFrame, day: Column) -> DataFrame:
@@ -116,12 +131,16 @@ FEATURES = (*[f"lag_{k}" for k in LAGS], "mean_7", "mean_14", "std_7", "slope_7"
 CALENDAR = ("weekday_sin", "weekday_cos", "month_sin", "month_cos", "year_sin", "year_cos")
 
 
-def training_matrix(series: DataFrame, horizon: int) -> DataFrame:
-    """Feature rows with the price horizon - 1 reports later as target, without rows that lack any; the calendar is that of the target's day."""
+def training_matrix(series: DataFrame, horizon: int, arrivals: bool = False) -> DataFrame:
+    """Feature rows with the price horizon - 1 reports later as target, without rows that lack any; the calendar is that of the target's day.
+
+    With arrivals, series whose coverage is enough have the arrival features as well.
+    """
     w = by_day()
     rows = with_features(series).withColumn("target", F.lead("price", horizon - 1).over(w)).withColumn("target_date", F.lead("reported_date", horizon - 1).over(w))
-    rows = with_calendar(rows, F.col("target_date")).withColumn("horizon", F.lit(horizon))
-    return rows.filter(F.col("place") > HISTORY).dropna(subset=[*FEATURES, "target"])
+    rows = with_calendar(with_arrivals(rows) if arrivals else rows, F.col("target_date")).withColumn("horizon", F.lit(horizon))
+    rows = rows.filter(F.col("place") > HISTORY).dropna(subset=[*FEATURES, "target"])
+    return gated(rows) if arrivals else rows
 
 
 def chronological_split(series: DataFrame) -> DataFrame:
@@ -132,14 +151,19 @@ def chronological_split(series: DataFrame) -> DataFrame:
     return out.withColumn("part", F.when(F.col("place") <= a, "train").when(F.col("place") <= b, "validation").otherwise("test"))
 
 
-def baselines(series: DataFrame, horizons=HORIZONS) -> DataFrame:
-    """For each day as the last known one before it, and each horizon: the actual price, the last value and the mean of 7 before."""
+def days_ahead(series: DataFrame, horizons=HORIZONS, *also: str) -> DataFrame:
+    """Each day as the last known one before it, and each horizon: the actual price, the last value and the mean of 7 before, where they are known."""
     w = by_day()
     mean = F.when(F.count("price").over(w.rowsBetween(-7, -1)) == 7, F.avg("price").over(w.rowsBetween(-7, -1)))
     out = chronological_split(series).withColumn("last_value", F.lag("price", 1).over(w)).withColumn("mean_7", rounded(mean, 4)).withColumn("before", F.lag("price", 1).over(w))
     ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead("price", h - 1).over(w).alias("actual")) for h in horizons])
-    out = out.withColumn("ahead", ahead).select(*SERIES, "reported_date", "part", "last_value", "mean_7", "before", F.explode("ahead").alias("a"))
-    return out.select(*SERIES, "reported_date", "part", "a.horizon", "a.actual", "last_value", "mean_7", "before").dropna(subset=["actual", "last_value", "mean_7"])
+    out = out.withColumn("ahead", ahead).select(*SERIES, "reported_date", "part", "last_value", "mean_7", "before", *also, F.explode("ahead").alias("a"))
+    return out.select(*SERIES, "reported_date", "part", "a.horizon", "a.actual", "last_value", "mean_7", "before", *also)
+
+
+def baselines(series: DataFrame, horizons=HORIZONS) -> DataFrame:
+    """For each day as the last known one before it, and each horizon: the actual price, the last value and the mean of 7 before."""
+    return days_ahead(series, horizons).dropna(subset=["actual", "last_value", "mean_7"])
 
 
 MICRO = 1e6
@@ -162,14 +186,22 @@ def metrics(rows: DataFrame, predicted: str, keys: tuple[str, ...] = ("horizon",
     )
 
 
+def band(n: Column, q: Column) -> tuple[Column, Column, Column]:
+    """offset, low and high of n log residuals with quantiles q: about their median, or of the fallback width with too few of them."""
+    enough = n >= LEAST_RESIDUALS
+    return F.when(enough, q[1]).otherwise(0.0), F.when(enough, q[0] - q[1]).otherwise(-FALLBACK), F.when(enough, q[2] - q[1]).otherwise(FALLBACK)
+
+
+def quantiles(residual: Column) -> Column:
+    return F.percentile(residual, F.array(F.lit(LOW), F.lit(0.5), F.lit(HIGH)))
+
+
 def intervals(rows: DataFrame, predicted: str, keys: tuple[str, ...] = (*SERIES, "horizon")) -> DataFrame:
     """low and high: quantiles of the log residuals less their median (offset); the fallback width with too few residuals."""
     r = F.ln(F.col("actual") / F.col(predicted))
     good = rows.filter((F.col("actual") > 0) & (F.col(predicted) > 0)).withColumn("r", r)
-    out = good.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("r", F.array(F.lit(LOW), F.lit(0.5), F.lit(HIGH))).alias("q"))
-    enough = F.col("n") >= LEAST_RESIDUALS
-    pick = lambda k, other: F.when(enough, F.col("q")[k] - F.col("q")[1]).otherwise(other)
-    return out.select(*keys, "n", F.when(enough, F.col("q")[1]).otherwise(0.0).alias("offset"), pick(0, -FALLBACK).alias("low"), pick(2, FALLBACK).alias("high"))
+    out = good.groupBy(*keys).agg(F.count("*").alias("n"), quantiles(F.col("r")).alias("q"))
+    return out.select(*keys, "n", *[c.alias(name) for c, name in zip(band(F.col("n"), F.col("q")), ("offset", "low", "high"))])
 
 
 def confidence(width: Column, n: Column, horizon: Column, most: float = 90.0) -> Column:
@@ -177,19 +209,22 @@ def confidence(width: Column, n: Column, horizon: Column, most: float = 90.0) ->
     return F.least(100.0 / (1 + width) * F.least(F.lit(1.0), n / 30.0) * F.greatest(1 - 0.06 * (horizon - 1), F.lit(0.4)), F.lit(most))
 
 
-def forecasts(series: DataFrame, predicted: str = "mean_7") -> DataFrame:
-    """For each series and horizon the mean of its last 7 days, with bounds from the residuals that the same rule had on the validation days."""
-    past = baselines(series)
-    bands = intervals(past.filter("part = 'validation'"), predicted)
-    w = Window.partitionBy(*SERIES).orderBy(F.col("reported_date").desc())
-    last = series.withColumn("_k", F.row_number().over(w)).filter("_k <= 7").groupBy(*SERIES).agg(
-        F.count("*").alias("days"), rounded(F.sum(F.floor(F.col("price") * 10000 + 0.5)) / F.count("*") / 10000.0, 4).alias("predicted"), F.max("reported_date").alias("last_date"), F.max_by("price", "reported_date").alias("last_price"), F.bool_or("is_sample").alias("is_sample")
-    ).filter("days = 7")
-    out = last.join(bands, [*SERIES])
-    width = F.exp("high") - F.exp("low")
+def forecasts(series: DataFrame) -> DataFrame:
+    """For each series and horizon the mean of its last 7 days, with bounds from the residuals that the same rule had on the validation days.
+
+    One pass: every day carries the mean of the 7 that end with it, and the last day's is the forecast. All windows and the grouping are by series.
+    """
+    seven = by_day().rowsBetween(-6, 0)
+    mean = rounded(F.sum(F.floor(F.col("price") * 10000 + 0.5)).over(seven) / F.count("*").over(seven) / 10000.0, 4)
+    now = F.struct("reported_date", "price", F.count("*").over(seven).alias("days"), mean.alias("predicted"), F.max("is_sample").over(seven).alias("is_sample"))
+    actual, past = F.col("actual"), F.col("mean_7")
+    residual = F.when((F.col("part") == "validation") & F.col("last_value").isNotNull() & (actual > 0) & (past > 0), F.ln(actual / past))
+    out = days_ahead(series.withColumn("now", now), HORIZONS, "now").groupBy(*SERIES, "horizon").agg(F.count(residual).alias("n"), quantiles(residual).alias("q"), F.max("now").alias("now"))
+    _, low, high = band(F.col("n"), F.col("q"))
+    out = out.filter("n > 0 AND now.days = 7").select(*SERIES, "horizon", "n", "now.*", low.alias("low"), high.alias("high"))
     return out.select(
-        *SERIES, "horizon", "last_date", "last_price", F.expr("date_add(last_date, horizon)").alias("forecast_date"), "predicted", rounded(F.col("predicted") * F.exp("low")).alias("lower"), rounded(F.col("predicted") * F.exp("high")).alias("upper"),
-        rounded(confidence(width, F.col("n"), F.col("horizon")), 2).alias("confidence"), "is_sample",
+        *SERIES, "horizon", F.col("reported_date").alias("last_date"), F.col("price").alias("last_price"), F.expr("date_add(reported_date, horizon)").alias("forecast_date"), "predicted",
+        rounded(F.col("predicted") * F.exp("low")).alias("lower"), rounded(F.col("predicted") * F.exp("high")).alias("upper"), rounded(confidence(F.exp("high") - F.exp("low"), F.col("n"), F.col("horizon")), 2).alias("confidence"), "is_sample",
     )
 
 

@@ -143,6 +143,16 @@ def training_matrix(spark, d):
     return s.training_matrix(daily(spark, d), 3).select(*s.DAY, "place", "lag_1", "lag_14", rounded(F.col("mean_14"), 3).alias("mean_14"), "target", "target_date")
 
 
+@query(f"""WITH {DAILY}, f AS (SELECT mandi_id, commodity, reported_date, row_number() OVER ({W}) AS place, count(arrivals) OVER ({PART}) / count(*) OVER ({PART}) >= 0.8 AS has_arrivals, lag(price, 1) OVER ({W}) AS lag_1, lag(price, 8) OVER ({W}) AS l8, lag(price, 14) OVER ({W}) AS lag_14,
+  lead(price, 6) OVER ({W}) AS target, lead(reported_date, 6) OVER ({W}) AS target_date, lag(arrivals, 1) OVER ({W}) AS a1, lag(arrivals, 7) OVER ({W}) AS a7, {rolling("avg(arrivals)", 7).replace("count(price)", "count(arrivals)")} AS m7, last_value(arrivals IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS earlier FROM series)
+SELECT mandi_id, commodity, reported_date, has_arrivals, lag_1, target, target_date, CASE WHEN has_arrivals THEN a1 END AS arrival_lag_1, CASE WHEN has_arrivals THEN a7 END AS arrival_lag_7, CASE WHEN has_arrivals THEN {R("m7", 4)} END AS arrival_mean_7, CASE WHEN has_arrivals THEN {R("coalesce(a1 - earlier, 0.0)", 4)} END AS arrival_change
+FROM f WHERE place > 14 AND lag_14 IS NOT NULL AND target IS NOT NULL AND l8 <> 0 AND (NOT has_arrivals OR (a1 IS NOT NULL AND a7 IS NOT NULL AND m7 IS NOT NULL))""")
+def arrival_matrix(spark, d):
+    """The matrix of horizon 7 with the arrival features of the series that the gate lets through."""
+    out = s.training_matrix(daily(spark, d), 7, arrivals=True)
+    return out.select(*s.DAY, "has_arrivals", "lag_1", "target", "target_date", "arrival_lag_1", "arrival_lag_7", *[rounded(F.col(c), 4).alias(c) for c in ("arrival_mean_7", "arrival_change")])
+
+
 @query(f"WITH {BASE} SELECT mandi_id, commodity, part, count(*) AS days, min(reported_date) AS first_date, max(reported_date) AS last_date FROM split GROUP BY mandi_id, commodity, part")
 def chrono_split(spark, d):
     return s.chronological_split(daily(spark, d)).groupBy(*s.SERIES, "part").agg(F.count("*").alias("days"), F.min("reported_date").alias("first_date"), F.max("reported_date").alias("last_date"))
