@@ -18,10 +18,13 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, day: str | None = None) -> None:
-    """Columns in their order, arrays joined by |, nulls empty; with a date column, in folders by year and month. The commit is atomic by task and job."""
+    """Columns in their order, arrays joined by |, nulls empty; with a date column, in folders by year and month. The commit is atomic by task and job.
+
+    Rows are brought together by month first, so that a folder has few files; months that are large are split over tasks again.
+    """
     out = _flat(df)
     if day:
-        out = out.withColumn("year", F.year(F.to_date(day))).withColumn("month", F.lpad(F.month(F.to_date(day)).cast("string"), 2, "0"))
+        out = out.withColumn("year", F.year(F.to_date(day))).withColumn("month", F.lpad(F.month(F.to_date(day)).cast("string"), 2, "0")).hint("rebalance", "year", "month")
     writer = out.write.mode("overwrite").option("header", True).option("compression", "gzip").option("emptyValue", "").option("nullValue", "")
     (writer.partitionBy("year", "month") if day else writer).csv(path)
 
