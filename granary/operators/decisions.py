@@ -90,6 +90,31 @@ def allocation(latest: DataFrame, farmer_district: Column, quantity_kg: float) -
     return out.withColumn("single_value", single).withColumn("split_value", split).withColumn("split_loss", rounded(single - split))
 
 
+
+def allocation_plans(latest: DataFrame, farmer_district: Column, quantity_kg: int) -> DataFrame:
+    """Both plans of each commodity, a row for each market of a plan: all to the market of the best net price (plan single), or 60 and 40 percent to the best two (plan split).
+
+    latest: mandi_id, mandi, district, commodity, price. A commodity with one market has only plan single. Sums are whole rupees, rounded for each market;
+    delta is what a plan brings beyond plan single. Ties go to the lower market number; rows without a positive price are no markets.
+    """
+    cost = freight(distance_km(farmer_district, F.col("district")))
+    rows = latest.filter(F.col("price") > 0).withColumn("cost", cost).withColumn("net_price", F.greatest(rounded(F.col("price") - F.col("cost")), F.lit(0.0)))
+    best = Window.partitionBy("commodity").orderBy(F.col("net_price").desc(), "mandi_id")
+    two = rows.withColumn("place", F.row_number().over(best)).filter("place <= 2")
+    first_kg = int(quantity_kg * SPLIT + 0.5)
+    part = lambda plan, share, kg: F.struct(F.lit(plan).alias("plan"), F.lit(share).alias("share_percent"), F.lit(kg).cast("long").alias("kg"))
+    share = round(SPLIT * 100)
+    of_first = F.array(part("single", 100, quantity_kg), part("split", share, first_kg))
+    parts = two.withColumn("p", F.explode(F.when(F.col("place") == 1, of_first).otherwise(F.array(part("split", 100 - share, quantity_kg - first_kg)))))
+    parts = parts.select("commodity", "p.plan", "place", "mandi", "p.share_percent", "p.kg", "price", "cost", "net_price")
+    whole = lambda c: F.floor(F.col("kg") / 100.0 * F.col(c) + 0.5).cast("long")
+    parts = parts.select("*", whole("price").alias("gross"), whole("cost").alias("freight"), whole("net_price").alias("net"))
+    plan, crop = Window.partitionBy("commodity", "plan"), Window.partitionBy("commodity")
+    parts = parts.withColumn("plan_net", F.sum("net").over(plan)).withColumn("plan_freight", F.sum("freight").over(plan)).withColumn("markets", F.max("place").over(crop))
+    single = F.max(F.when(F.col("plan") == "single", F.col("net"))).over(crop)
+    return parts.withColumn("delta", F.col("plan_net") - single).filter("plan = 'single' or markets > 1").drop("cost", "markets")
+
+
 def movements(obs: DataFrame) -> DataFrame:
     """Between the last two reporting days of each (market, commodity, variety): change of price and arrivals in percent."""
     keys = (*SERIES, "variety")

@@ -105,3 +105,44 @@ def freshness_summary(obs: DataFrame, today: str) -> DataFrame:
 
 def rows_per_source_of_day(obs: DataFrame) -> DataFrame:
     return obs.withColumn("rows_in_source", F.count("*").over(Window.partitionBy(*DAY, "source")))
+
+
+def sync_states(runs: DataFrame) -> DataFrame:
+    """For each source its last run, how that ended, and its last success."""
+    newest = F.struct("synced_on", "run_id")
+    return runs.groupBy("source").agg(F.max_by("run_id", newest).alias("last_run"), F.max_by("status", newest).alias("last_status"), F.max(F.when(F.col("status") == "SUCCESS", F.col("synced_on"))).alias("last_success"))
+
+
+def sources_with_states(registry: DataFrame, runs: DataFrame, today: str, fresh_days: int = 3) -> DataFrame:
+    """Every registered source with its state; due if its last success is older than fresh_days, or there is none."""
+    from granary.operators.market import stale_days
+
+    age = stale_days(F.col("last_success"), today)
+    out = registry.select("source", "precedence", "is_sample").join(sync_states(runs), "source", "left")
+    return out.withColumn("stale_days", age).withColumn("due", age.isNull() | (age > fresh_days))
+
+
+def refresh_summary(runs: DataFrame, most: int = 5) -> DataFrame:
+    """One row: how many batches there were and how they ended, the last one, and the last ones that failed, wholly or in part."""
+    newest, failed = F.struct("synced_on", "run_id"), F.col("status").isin("FAILED", "PARTIAL_SUCCESS")
+    last = runs.filter(failed).orderBy(F.desc("synced_on"), F.desc("run_id")).limit(most)
+    last = last.agg(F.transform(F.reverse(F.array_sort(F.collect_list(newest))), lambda x: x["run_id"]).alias("runs")).scalar()
+    out = runs.agg(
+        F.count("*").alias("batches"), F.coalesce(F.sum("records_fetched"), F.lit(0)).alias("fetched"), F.count_if(F.col("status") == "SUCCESS").alias("successful"), F.count_if(failed).alias("failed"),
+        F.max(F.when(F.col("status") == "SUCCESS", F.col("synced_on"))).alias("last_success"), F.max_by("run_id", newest).alias("last_run"), F.max_by("status", newest).alias("last_status"), F.max_by("source", newest).alias("last_source"),
+    )
+    return out.withColumn("last_failed", last)
+
+
+def described(obs: DataFrame) -> DataFrame:
+    """Number, extremes, mean and percentiles of prices and of their spread (highest less lowest, in percent of the price), for each commodity.
+
+    Spreads are taken in steps of 0.0001, so that the number of different values, which a percentile holds, is bounded.
+    """
+    spread = rounded((F.col("max_price") - F.col("min_price")) / F.col("modal_price") * 100, 4)
+    measures = F.array(*[F.struct(F.lit(n).alias("measure"), x.alias("x")) for n, x in (("price", F.col("modal_price")), ("spread_percent", spread))])
+    rows = obs.filter("modal_price > 0").select("commodity", F.explode(measures).alias("m")).select("commodity", "m.*").filter("x is not null")
+    p = F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    out = rows.groupBy("commodity", "measure").agg(F.count("*").alias("n"), F.min("x").alias("lowest"), p.alias("p"), F.max("x").alias("highest"), (F.sum(F.floor(F.col("x") * 10000 + 0.5)) / F.count("*") / 10000.0).alias("mean"))
+    digit = lambda c: rounded(c, 1)
+    return out.select("commodity", "measure", "n", *[digit(F.col(c)).alias(c) for c in ("lowest", "mean", "highest")], *[digit(F.col("p")[k]).alias(c) for k, c in enumerate(("p5", "median", "p95"))])

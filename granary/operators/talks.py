@@ -21,6 +21,28 @@ def understood(turns: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", "crop", "place", t.horizon(F.col("text")).alias("horizon"), t.intent(F.col("text"), F.col("crop_here"), F.col("place_here"), context).alias("intent"))
 
 
+#: Intents that are answered out of data, for which a profile fills in what wasn't said, and how many earlier turns count.
+DATA_INTENTS = ("LATEST_PRICE", "PRICE_HISTORY", "FORECAST", "FORECAST_UNCERTAINTY", "SELL_TIMING", "RISK_EXPLANATION")
+REMEMBERED = 4
+
+
+def remembered(turns: DataFrame, profiles: DataFrame, most: int = REMEMBERED) -> DataFrame:
+    """The user's turns as understood, where crop and place come from the turn, else the newest of the user's last turns that names one, else the profile, if data is asked for.
+
+    turns: conv_id, turn, role, text; profiles: conv_id (one row each), profile_crop, profile_place. assumed says what came from the profile. What the assistant said never counts.
+    """
+    own = turns.filter("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    own = own.withColumn("crop_here", t.crop(F.col("text"))).withColumn("place_here", t.place(F.col("text")))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-most, 0)
+    own = own.withColumn("said_crop", F.last("crop_here", ignorenulls=True).over(before)).withColumn("said_place", F.last("place_here", ignorenulls=True).over(before))
+    context = F.col("said_crop").isNotNull() | F.col("said_place").isNotNull()
+    own = own.withColumn("intent", t.intent(F.col("text"), F.col("crop_here"), F.col("place_here"), context)).join(profiles, "conv_id", "left")
+    asks = F.col("intent").isin(*DATA_INTENTS)
+    named = {n: F.coalesce(f"said_{n}", F.when(asks, F.col(f"profile_{n}"))) for n in ("crop", "place")}
+    taken = [F.when(asks & F.col(f"said_{n}").isNull() & F.col(f"profile_{n}").isNotNull(), F.lit(f"{n}_from_profile")) for n in named]
+    return own.select("conv_id", "turn", "intent", *[x.alias(n) for n, x in named.items()], F.concat_ws(",", *taken).alias("assumed"))
+
+
 def named_places(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """For each text the longest alias that it mentions as a whole; market if it belongs to one, else its district. aliases: alias, market, district.
 

@@ -16,11 +16,11 @@ QUESTIONS = (
 )
 
 
-def turns(spark, d):
-    """The turns, numbered by even numbers, and a question of the list after each, numbered by the odd ones."""
+def turns(spark, d, *more):
+    """The turns, numbered by even numbers, and a question of the list after each, numbered by the odd ones. more: role, whose questions are the user's."""
     k = (F.col("conv_id") * 7 + F.col("turn")) % len(QUESTIONS)
-    said = F.array(F.struct((F.col("turn") * 2).alias("turn"), F.coalesce("text", F.lit("")).alias("text")), F.struct((F.col("turn") * 2 + 1).alias("turn"), F.element_at(F.array(*map(F.lit, QUESTIONS)), (k + 1).cast("int")).alias("text")))
-    return p.table(spark, d, "conversations").select("conv_id", F.explode(said).alias("s")).select("conv_id", "s.*")
+    said = F.array(F.struct((F.col("turn") * 2).alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")), F.struct((F.col("turn") * 2 + 1).alias("turn"), F.lit("user").alias("role"), F.element_at(F.array(*map(F.lit, QUESTIONS)), (k + 1).cast("int")).alias("text")))
+    return p.table(spark, d, "conversations").select("conv_id", F.explode(said).alias("s")).select("conv_id", "s.turn", "s.text", *[f"s.{n}" for n in more])
 
 
 def plain(words, stems=()) -> str:
@@ -57,6 +57,24 @@ def entity_carry_forward(spark, d):
     return talks.understood(turns(spark, d))
 
 
+#: A conversation's profile is that of the customer of its number: a crop unless it is divisible by 3, a place unless by 4.
+CROP_NAMES, PLACE_NAMES = ([n for n, _, _ in named] for named in (t.CROPS, t.PLACES))
+LISTED = lambda names, k: f"[{', '.join(repr(n) for n in names)}][CAST({k} % {len(names)} + 1 AS INTEGER)]"
+SAID = TURNS.replace("FROM conversations\n", "FROM conversations WHERE role = 'user'\n").replace("ROWS BETWEEN UNBOUNDED PRECEDING", f"ROWS BETWEEN {talks.REMEMBERED} PRECEDING")
+ASKS = f"intent IN {talks.DATA_INTENTS}"
+
+
+@query(f"""WITH {SAID}, profiles AS (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN {LISTED(CROP_NAMES, "c_custkey")} END AS profile_crop, CASE WHEN c_custkey % 4 <> 0 THEN {LISTED(PLACE_NAMES, "c_custkey")} END AS profile_place FROM customer)
+SELECT conv_id, turn, intent, coalesce(crop, CASE WHEN {ASKS} THEN profile_crop END) AS crop, coalesce(place, CASE WHEN {ASKS} THEN profile_place END) AS place,
+  concat_ws(',', CASE WHEN {ASKS} AND crop IS NULL AND profile_crop IS NOT NULL THEN 'crop_from_profile' END, CASE WHEN {ASKS} AND place IS NULL AND profile_place IS NOT NULL THEN 'place_from_profile' END) AS assumed
+FROM understood LEFT JOIN profiles ON c_custkey = conv_id""", obs=False)
+def profiled_entities(spark, d):
+    key = F.col("c_custkey")
+    pick = lambda names, k: F.when(key % k != 0, F.element_at(F.array(*map(F.lit, names)), (key % len(names) + 1).cast("int")))
+    profiles = p.table(spark, d, "customer").select(key.alias("conv_id"), pick(CROP_NAMES, 3).alias("profile_crop"), pick(PLACE_NAMES, 4).alias("profile_place"))
+    return talks.remembered(turns(spark, d, "role"), profiles)
+
+
 @query(f"WITH {TURNS} SELECT intent, count(*) AS turns, count(DISTINCT conv_id) AS conversations FROM understood GROUP BY intent", obs=False)
 def intent_counts(spark, d):
     return talks.understood(turns(spark, d)).groupBy("intent").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"))

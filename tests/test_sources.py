@@ -4,6 +4,7 @@ from datetime import date
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -27,11 +28,18 @@ def test_wide_report(spark, tmp_path):
 
 
 class Api(BaseHTTPRequestHandler):
+    down: set = set()
+
     def do_GET(self):
         q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+        if q["arrival_date"] in self.down:  # fails once a day
+            self.down.discard(q["arrival_date"])
+            self.send_response(503)
+            self.end_headers()
+            return
         total = {"01/09/2026": 5, "02/09/2026": 0, "03/09/2026": 4}[q["arrival_date"]]
-        rows = [{"State": q["state"], "market": f"m{k}", "Modal_x0020_Price": str(k), "arrival_date": q["arrival_date"]} for k in range(total)]
-        body = json.dumps({"records": rows[int(q["offset"]) :][: int(q["limit"])]}).encode()
+        rows = [{"State": q["state"], "market": f" m{k} ", "Modal_x0020_Price": str(k), "Min Price": 7, "arrival_date": q["arrival_date"]} for k in range(total)]
+        body = json.dumps({"total": str(total), "records": rows[int(q["offset"]) :][: int(q["limit"])]}).encode()
         self.send_response(200)
         self.end_headers()
         self.wfile.write(body)
@@ -40,15 +48,39 @@ class Api(BaseHTTPRequestHandler):
         pass
 
 
-def test_web_source(spark):
+@pytest.fixture
+def api(spark):
     server = HTTPServer(("127.0.0.1", 0), Api)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     spark.dataSource.register(files.DailyReports)
-    df = spark.read.format("daily_reports").options(url=f"http://127.0.0.1:{server.server_port}/", page="2", **{"from": "2026-09-01", "to": "2026-09-03", "filter.state": "Goa"}).load()
-    rows = df.collect()
+    yield {"url": f"http://127.0.0.1:{server.server_port}/", "page": "2", "pause": "0.01", "from": "2026-09-01", "to": "2026-09-03", "filter.state": "Goa"}
     server.shutdown()
-    assert len(rows) == 9 and {r.state for r in rows} == {"Goa"} and sorted(r.modal_price for r in rows) == ["0", "0", "1", "1", "2", "2", "3", "3", "4"]
+
+
+def test_web_source(spark, api):
+    Api.down = {"01/09/2026", "03/09/2026"}
+    df = spark.read.format("daily_reports").options(**api).load()
+    rows = df.collect()
+    assert not Api.down  # both were asked again
+    assert len(rows) == 9 and {r.state for r in rows} == {"Goa"} and {r.min_price for r in rows} == {"7"} and sorted(r.modal_price for r in rows) == ["0", "0", "1", "1", "2", "2", "3", "3", "4"]
     assert df.rdd.getNumPartitions() == 3
+    raw = files.raw_records(df.filter("market = ' m4 '")).first()
+    assert (raw.source_record_key, raw.price_date, raw.price_unit, raw.price_unit_assumed, raw.arrivals_quantity) == ("Goa||m4||||01/09/2026", "01/09/2026", "INR/quintal", True, None)
+
+
+@pytest.mark.parametrize("most, days", [(7, {"03/09/2026": 4, "01/09/2026": 3}), (4, {"03/09/2026": 4}), (3, {"03/09/2026": 3}), (99, {"03/09/2026": 4, "01/09/2026": 5})])
+def test_web_source_stops_after_the_newest_records(spark, api, most, days):
+    rows = spark.read.format("daily_reports").options(max_records=str(most), **api).load().groupBy("arrival_date").count().collect()
+    assert {r.arrival_date: r["count"] for r in rows} == days
+    planned = files.planned_days({**api, "max_records": str(most)})
+    assert [d.day.day for d in planned] == [3, 2, 1]
+    assert [d.day.day for d in planned if d.partial] == {7: [1], 3: [3]}.get(most, [])
+    assert [d.day.day for d in planned if d.skipped] == ([2, 1] if most < 5 else [])
+
+
+def test_web_source_gives_up(spark, api):
+    with pytest.raises(Exception, match="404|Not Found|refused"):
+        files._answer({**api, "url": "http://127.0.0.1:9/", "retries": "1"}, "01/09/2026", 0, 1)
 
 
 def write_events(spark, path, rows):
