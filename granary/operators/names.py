@@ -15,19 +15,22 @@ def grams(text: Column, size: int = GRAM) -> Column:
 
 
 def contained(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """Pairs (key, field, asked) where the index's text contains the asked one. index: key, field and text; asked: asked and text, not empty.
+    """For each asked text the least key of the index's texts that contain it (asked, key). index: key and text, each text once; asked: asked and text, not empty.
 
-    Each asked text is joined on the rarest of its own grams (as long as it, if it is short), and what that finds is checked. No pair
-    of texts without a gram in common is made.
+    A text of up to GRAM characters is a gram itself, whose least key is counted along with it. A longer one is joined on the rarest of its own
+    grams, and what that finds is checked. No pair of texts without a gram in common is made. Grams are many times the rows that they are
+    cut from, which their estimated size doesn't show, so they are joined by sorting and never broadcast.
     """
-    sized = index.select("key", "field", F.col("text").alias("whole"), F.explode(F.array(*[F.lit(k) for k in range(1, GRAM + 1)])).alias("size"))
+    sized = index.select("key", F.col("text").alias("whole"), F.explode(F.array(*[F.lit(k) for k in range(1, GRAM + 1)])).alias("size"))
     every = [F.when(F.col("size") == k, grams(F.col("whole"), k)) for k in range(1, GRAM + 1)]
-    known = sized.select("key", "field", "whole", F.explode(F.coalesce(*every)).alias("gram"))
-    frequency = known.groupBy("gram").agg(F.count("*").alias("n"))
+    known = sized.select("key", "whole", F.explode(F.coalesce(*every)).alias("gram"))
+    counted = known.groupBy("gram").agg(F.count("*").alias("n"), F.min("key").alias("least")).hint("merge")
     cut = F.coalesce(*[F.when(F.least(F.length("text"), F.lit(GRAM)) == k, grams(F.col("text"), k)) for k in range(1, GRAM + 1)])
-    wanted = asked.filter(F.length("text") > 0).select("asked", "text", F.explode(cut).alias("gram")).join(frequency, "gram", "left")
-    rarest = wanted.groupBy("asked", "text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("asked", "text", F.col("g.gram").alias("gram"))
-    return rarest.join(known, "gram").filter(F.contains("whole", "text")).select("key", "field", "asked")
+    wanted = asked.filter(F.length("text") > 0).select("asked", "text", F.explode(cut).alias("gram")).join(counted, "gram", "left")
+    rarest = wanted.groupBy("asked", "text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "least")).alias("g")).select("asked", "text", "g.*").filter("n > 0")
+    short = rarest.filter(F.length("text") <= GRAM).select("asked", F.col("least").alias("key"))
+    longer = rarest.filter(F.length("text") > GRAM).select("asked", "text", "gram").join(known.hint("merge"), "gram").filter(F.contains("whole", "text"))
+    return short.unionByName(longer.groupBy("asked").agg(F.min("key").alias("key")))
 
 
 def fuzzy_lookup(rows: DataFrame, asked: DataFrame, key: str, exact: tuple[str, ...] = (), part: tuple[str, ...] = (), script: tuple[str, ...] = (), exact_first: bool = True) -> DataFrame:
@@ -39,17 +42,17 @@ def fuzzy_lookup(rows: DataFrame, asked: DataFrame, key: str, exact: tuple[str,
     """
     texts = asked.filter(F.length(F.trim("asked")) > 0).select("asked", F.trim("asked").alias("text")).distinct()
     lower = texts.select("asked", F.lower("text").alias("text"))
-    names = lambda columns, change: F.explode(F.array(*[F.struct(F.lit(c).alias("field"), change(F.col(c)).alias("text")) for c in columns]))
-    entries = lambda columns, change: rows.select(F.col(key).alias("key"), names(columns, change).alias("x")).select("key", "x.*").filter("text is not null")
+    names = lambda columns, change: F.explode(F.array(*[change(F.col(c)) for c in columns]))
+    # Of the rows that spell a text alike only the least key can count, so each different text is looked at once.
+    entries = lambda columns, change: rows.select(F.col(key).alias("key"), names(columns, change).alias("text")).filter("text is not null").groupBy("text").agg(F.min("key").alias("key"))
     spelt = entries((key, *exact), lambda c: F.lower(c.cast("string")))
-    found = spelt.join(lower, "text").select("key", "asked", F.lit(0).alias("rank"))
+    found = spelt.hint("merge").join(lower, "text").select("key", "asked", F.lit(0).alias("rank"))
     if part:
         found = found.unionByName(contained(entries(part, lambda c: F.lower(c)), lower).select("key", "asked", F.lit(1).alias("rank")))
     if script:
         found = found.unionByName(contained(entries(script, lambda c: c), texts).select("key", "asked", F.lit(2).alias("rank")))
-    each = found.groupBy("asked", "key").agg(F.min("rank").alias("rank"))
     order = F.struct((F.col("rank") > 0).alias("later"), "key", "rank") if exact_first else F.struct("key", "rank")
-    best = each.groupBy("asked").agg(F.min(order).alias("b"))
+    best = found.groupBy("asked").agg(F.min(order).alias("b"))
     how = F.element_at(F.array(*map(F.lit, ("exact", "part", "script"))), F.col("b.rank") + 1)
     return best.select("asked", F.col("b.key").alias(key), how.alias("how"))
 

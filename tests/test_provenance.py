@@ -145,3 +145,12 @@ def test_windows_without_rows_are_complete_too(spark, tmp_path):
     out = past.run(reports(spark).limit(0), planned, "day").collect()
     assert [(r.records, r.status) for r in out] == [(0, "complete")] * 2 and past.pending(planned).count() == 0
     assert past.rows().count() == 0 and timedelta(4) == out[0]["to"] - out[0]["from"]
+
+
+def test_a_fuzzy_lookup_looks_once_at_names_that_repeat(spark):
+    """Grams are many times the rows that they are cut from: none is broadcast, and equal names don't multiply what is found."""
+    rows = spark.range(3000).select(F.col("id"), F.lit("Brand").alias("code"), F.concat(F.lit("hot bolt "), (F.col("id") % 3).cast("string")).alias("name"))
+    asked = spark.createDataFrame([("brand",), ("bolt",), ("t 2",), ("1",), (" olt 1",), ("none",)], "asked string")
+    out = names.fuzzy_lookup(rows, asked, "id", ("code",), ("name",))
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.asked: (r.id, r.how) for r in out.collect()} == {"brand": (0, "exact"), "bolt": (0, "part"), "t 2": (2, "part"), "1": (1, "exact"), " olt 1": (1, "part")}
