@@ -43,15 +43,22 @@ def remembered(turns: DataFrame, profiles: DataFrame, most: int = REMEMBERED) ->
     return own.select("conv_id", "turn", "intent", *[x.alias(n) for n, x in named.items()], F.concat_ws(",", *taken).alias("assumed"))
 
 
+#: An alias table of more rows isn't sent to every task.
+MOST_BROADCAST = 100_000
+
+
 def named_places(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """For each text the longest alias that it mentions as a whole; market if it belongs to one, else its district. aliases: alias, market, district.
 
-    Texts are cut into runs of one to four words and joined on equality, so the alias table may have any size.
+    Texts are cut into runs of one to four words and joined on equality, so the alias table may have any size: it is brought to a row for each
+    alias and broadcast, or joined by sorting where it has more than MOST_BROADCAST. The runs, which are many times the texts, are never broadcast.
     """
+    known = aliases.groupBy(F.lower("alias").alias("alias")).agg(F.count_distinct("market").alias("markets"), F.min("market").alias("market"), F.min("district").alias("district"))
+    small = known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}\p{N}_]+", " "), " "), lambda w: w != "")
     w = F.col("words")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))))
     said = texts.select("text_id", words.alias("words")).filter(F.size("words") > 0).select("text_id", F.explode(F.array_distinct(runs)).alias("alias"))
-    hits = said.join(aliases.withColumn("alias", F.lower("alias")), "alias").groupBy("text_id", "alias").agg(F.count_distinct("market").alias("markets"), F.min("market").alias("market"), F.min("district").alias("district"))
+    hits = said.join(F.broadcast(known) if small else known.hint("merge"), "alias")
     best = hits.groupBy("text_id").agg(F.max(F.struct(F.length("alias").alias("size"), "alias", "markets", "market", "district")).alias("b"))
     return best.select("text_id", "b.alias", F.when(F.col("b.markets") == 1, F.col("b.market")).alias("market"), "b.district")

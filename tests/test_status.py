@@ -59,3 +59,17 @@ def test_what_a_market_pays_now(spark):
     )
     (r,) = market.current_prices(obs).collect()
     assert [x.observation_id for x in r.current_prices] == ["o0", "o1", "o4"]
+
+
+def test_places_are_found_by_the_alias_table_however_small_the_texts_are(spark, monkeypatch):
+    """Runs of words are many times the texts: the side that is broadcast is that of the aliases, or none."""
+    aliases = spark.createDataFrame([("Nashik", "Nashik", "West"), ("West", "Nashik", "West"), ("WEST", "Pune", "West"), *[(f"place {k}", f"P{k}", "East") for k in range(300)]], "alias string, market string, district string")
+    texts = spark.range(12).select(F.col("id").alias("text_id"), F.concat(F.lit("from nashik to place "), (F.col("id") % 4).cast("string"), F.lit(" in the west")).alias("text"))
+    for most, broadcast in ((talks.MOST_BROADCAST, True), (10, False)):
+        monkeypatch.setattr(talks, "MOST_BROADCAST", most)
+        out = talks.named_places(texts, aliases)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == broadcast
+        assert {r.text_id: (r.alias, r.market, r.district) for r in out.collect()} == {k: (f"place {k % 4}", f"P{k % 4}", "East") for k in range(12)}
+    west = spark.createDataFrame([(1, "go west")], "text_id long, text string")
+    assert [tuple(r) for r in talks.named_places(west, aliases).collect()] == [(1, "west", None, "West")]
