@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from granary.functions.numbers import rounded
 
@@ -126,42 +123,8 @@ class Upserts:
 
 #: A report is judged so long after its time, so that what is late by LATE at most is known then.
 WAIT = 3 * 24 * 3600 * 1_000_000
-PENDING = "us long, report_id long, price double"
-JUDGED = f"market long, commodity string, {PENDING}"
-
-
-class Settling(StatefulProcessor):
-    """Keeps the reports of a series that aren't judged yet. A timer in event time judges each: it goes on if no newer one came within WAIT."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getListState("pending", PENDING)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for some in rows:
-            self.pending.appendList(list(zip(some["us"].tolist(), some["report_id"].tolist(), some["price"].tolist())))
-            for due in {self.due(us) for us in some["us"].tolist()}:
-                self.handle.registerTimer(due)
-        yield pd.DataFrame()
-
-    @staticmethod
-    def due(us: int) -> int:
-        """In milliseconds, rounded up."""
-        return -(-(us + WAIT) // 1000)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        reports = sorted(self.pending.get())
-        left = [r for r in reports if self.due(r[0]) > now]
-        done = [r for r, later in zip(reports, [*reports[1:], None]) if self.due(r[0]) <= now and (later is None or later[0] > r[0] + WAIT)]
-        if left:
-            self.pending.put(left)
-        else:
-            self.pending.clear()
-        yield pd.DataFrame([(*key, *r) for r in done], columns=["market", "commodity", "us", "report_id", "price"]) if done else pd.DataFrame()
-
-    def close(self) -> None:
-        pass
+#: Reports of a series that are at most WAIT apart are one session (one whose start is another's end is joined to it), so nothing follows its last report within WAIT.
+APART = f"{WAIT} microseconds"
 
 
 def triggered(judged: DataFrame, rules: DataFrame) -> DataFrame:
@@ -177,22 +140,15 @@ def alerts(feed: DataFrame, rules: DataFrame, folder: str, end: Column) -> DataF
 
     Genuine reports (no samples, a positive price) are judged WAIT after their time, in event time, and those that are left when the feed
     ends, then (end). A report fires only if no newer one of its series came meanwhile, so neither the order of arrival nor the size of
-    batches matters as long as nothing is later than LATE. A series that is silent holds no state once its last report is judged.
+    batches matters as long as nothing is later than LATE. These are the last reports of sessions, of which the state holds a row each. A series
+    that is silent holds no state once its last report is judged.
     """
     spark = feed.sparkSession
-    genuine = feed.filter(~F.col("is_sample") & (F.col("price") > 0)).withWatermark("ts", LATE).withColumn("us", F.unix_micros("ts"))
-    series = genuine.select("market", "commodity", "ts", "us", "report_id", "price").groupBy("market", "commodity")
-    settled = series.transformWithStateInPandas(Settling(), JUDGED, "Append", "EventTime")
+    genuine = feed.filter(~F.col("is_sample") & (F.col("price") > 0)).withWatermark("ts", LATE)
+    last = F.max(F.struct(F.unix_micros("ts").alias("us"), "report_id", "price")).alias("last")
+    settled = genuine.groupBy(F.session_window("ts", APART), "market", "commodity").agg(last).select("market", "commodity", "last.*")
     timed = lambda df: df.select("market", "commodity", "report_id", "price", F.timestamp_micros("us").alias("ts"), F.timestamp_micros(F.col("us") + WAIT).alias("judged"))
-    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key)
-    spark.conf.set(key, provider)
-    try:
-        run(triggered(timed(settled), rules), folder, "append")
-    finally:
-        spark.conf.set(key, before)
-    left = spark.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", "pending").load().select("key.*", "list_element.*")
-    later = F.lead("us").over(Window.partitionBy("market", "commodity").orderBy("us", "report_id"))
-    left = timed(left.withColumn("later", later).filter(F.col("later").isNull() | (F.col("later") > F.col("us") + WAIT)))
+    run(triggered(timed(settled), rules), folder, "append")
+    left = timed(spark.read.format("statestore").load(f"{folder}/checkpoint").select("value.market", "value.commodity", "value.max.*"))
     fired = spark.read.schema("alert_id long, report_id long, price double, ts timestamp, judged timestamp").parquet(f"{folder}/out")
     return fired.unionByName(triggered(left.withColumn("judged", F.least("judged", end)), rules))

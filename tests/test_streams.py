@@ -74,3 +74,18 @@ def test_an_upsert_writes_what_its_batch_touches(spark, tmp_path):
     kept = {p.parts[-3] for p in files_of(tmp_path / "state") if p.parts[-2] == next(q.parts[-2] for q in files_of(tmp_path / "state") if "version=3" in str(q))}
     assert kept == {"version=2", "version=3"}  # the last version and the one before it
     assert {r.market: r.price for r in sink.state(spark).collect()}[7] == 5.0
+
+
+def test_alerts_wait_to_the_microsecond_and_without_python(spark, tmp_path, monkeypatch):
+    """A report that comes three days later, to the microsecond, silences the one before it; one microsecond more and both fire."""
+    wait, step = timedelta(days=3), timedelta(microseconds=1)
+    rows = [(1, START, 0, 5.0, False), (2, START + wait, 0, 6.0, False), (3, START, 1, 5.0, False), (4, START + wait + step, 1, 6.0, False), (5, START, 2, 5.0, False), (6, START, 2, 6.0, False), (7, START + timedelta(days=30), 3, 1.0, False)]
+    rules = [(10 + m, m, "click", 0.0, "gte", 1000) for m in range(4)]
+    assert expected(rows, rules) == [(10, 2), (11, 3), (11, 4), (12, 6), (13, 7)]
+    plans, run = [], feeds.run
+    monkeypatch.setattr(feeds, "run", lambda out, *more: (plans.append(out._jdf.queryExecution().analyzed().toString()), run(out, *more)))
+    for name, batches in (("one", [rows]), ("two", [rows[:4], rows[4:]])):
+        written(spark, tmp_path / name, batches)
+        found = feeds.alerts(feeds.reports(spark, str(tmp_path / name / "*"), 1), spark.createDataFrame(rules, RULES), str(tmp_path / f"{name}-out"), F.lit(rows[-1][1]).cast("timestamp"))
+        assert sorted((x.alert_id, x.report_id) for x in found.collect()) == expected(rows, rules)
+    assert plans and not any("Python" in plan or "Pandas" in plan for plan in plans)
