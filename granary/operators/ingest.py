@@ -90,19 +90,29 @@ def deduplicated(records: DataFrame) -> DataFrame:
     return out.filter("_last = 1").drop("_last", "_kept")
 
 
+def _source_pairs(days: DataFrame, told) -> DataFrame:
+    """For each market-day and pair of the sources in its sides (an array of structs, one for each source) the verdict v and the number of pairs, as told says."""
+    a, b = F.col("a"), F.col("b")
+    pairs = days.select(*DAY, "sides", F.explode("sides").alias("a")).select(*DAY, "a", F.explode("sides").alias("b")).filter(a["source"] < b["source"])
+    v, n = told(a, b)
+    return pairs.select(*DAY, a["source"].alias("source_a"), b["source"].alias("source_b"), v.alias("v"), n.cast("long").alias("pairs"))
+
+
 def overlaps(records: DataFrame) -> DataFrame:
     """For each market-day and pair of sources: CONFLICT if comparable rows differ in price, MATCH if comparable rows only agree, else GRANULARITY_MISMATCH.
 
     Rows compare if variety and grade are equal (nulls too), or if one side has no variety and each source has one row.
     """
-    day = records.withColumn("rows", F.count("*").over(Window.partitionBy(*DAY, "source")))
-    side = lambda s: day.select(*DAY, *[F.col(c).alias(f"{c}_{s}") for c in ("source", "variety", "grade", "modal_price", "rows")])
-    a, b = side("a"), side("b").select(*[F.col(c).alias(f"{c}_of_b") for c in DAY], "source_b", "variety_b", "grade_b", "modal_price_b", "rows_b")
-    pairs = a.join(b, reduce(lambda x, y: x & y, [F.col(c) == F.col(f"{c}_of_b") for c in DAY]) & (F.col("source_a") < F.col("source_b")))
-    same = F.col("variety_a").eqNullSafe(F.col("variety_b")) & F.col("grade_a").eqNullSafe(F.col("grade_b"))
-    loose = (F.col("variety_a").isNull() | F.col("variety_b").isNull()) & (F.col("rows_a") == 1) & (F.col("rows_b") == 1)
-    verdict = F.when(same | loose, F.when(r.prices_differ(F.col("modal_price_a"), F.col("modal_price_b")), 2).otherwise(1)).otherwise(0)
-    out = pairs.groupBy(*DAY, "source_a", "source_b").agg(F.max(verdict).alias("v"), F.count("*").alias("pairs"))
+    each = records.dropna(subset=[*DAY, "source"]).groupBy(*DAY, "variety", "grade", "source").agg(F.count("*").alias("rows"), F.min("modal_price").alias("low"), F.max("modal_price").alias("high"))
+    # Of rows that compare, the difference is greatest between the least price of a source and the greatest of another: no pair of rows is made.
+    differ = lambda a, b: r.prices_differ(a["low"], b["high"]) | r.prices_differ(a["high"], b["low"])
+    verdict = lambda a, b: F.when(F.coalesce(differ(a, b), F.lit(False)), 2).otherwise(1)
+    side = F.struct("source", "rows", "low", "high")
+    same = _source_pairs(each.groupBy(*DAY, "variety", "grade").agg(F.collect_list(side).alias("sides")), lambda a, b: (verdict(a, b), F.lit(0)))
+    whole = each.groupBy(*DAY, "source").agg(F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or(F.col("variety").isNull()).alias("open"))
+    loose = lambda a, b: (a["open"] | b["open"]) & (a["rows"] == 1) & (b["rows"] == 1)
+    every = _source_pairs(whole.groupBy(*DAY).agg(F.collect_list(F.struct("source", "rows", "low", "high", "open")).alias("sides")), lambda a, b: (F.when(loose(a, b), verdict(a, b)).otherwise(0), a["rows"] * b["rows"]))
+    out = every.unionByName(same).groupBy(*DAY, "source_a", "source_b").agg(F.max("v").alias("v"), F.sum("pairs").alias("pairs"))
     return out.select(*DAY, "source_a", "source_b", "pairs", F.when(F.col("v") == 2, "CROSS_SOURCE_CONFLICT").when(F.col("v") == 1, "CROSS_SOURCE_MATCH").otherwise("GRANULARITY_MISMATCH").alias("class"))
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from datetime import date
 
 import pytest
@@ -130,3 +131,26 @@ def test_windows(spark):
     assert [(str(x["from"]), str(x["to"])) for x in w.orderBy("from").collect()] == [("2026-01-01", "2026-01-07"), ("2026-01-08", "2026-01-14"), ("2026-01-15", "2026-01-20")]
     done = w.limit(1).withColumn("status", F.lit("complete")).unionByName(w.filter("day(`from`) = 8").withColumn("status", F.lit("failed")))
     assert i.pending(w, done).count() == 2
+
+
+def test_overlaps_of_many_rows_make_no_pairs(spark):
+    """Each verdict and count as over all pairs, without a join of rows with rows."""
+    rng = random.Random(3)
+    rows = [{"source": rng.choice(["CEDA", "DATA_GOV_IN", "OTHER", None]), "mandi_code": f"M{k % 7}" if k % 40 else None, "variety": rng.choice(["Red", None]), "grade": rng.choice(["FAQ", "B", None]), "modal_price": rng.choice([1400.0, 1405.0, 1410.0, -2.0, 0.4, None])} for k in range(60)]
+    rows += [{"source": s, "mandi_code": f"N{k}", "variety": v, "modal_price": p} for k, (v, p) in enumerate([(None, 1400.0), (None, 1500.0), ("Red", None)]) for s, v, p in (("A", "Red", 1400.0), ("B", v, p))]
+    found = i.overlaps(records(spark, *rows))
+    expected, base = {}, {"variety": "Red", "grade": "FAQ"}
+    rows = [base | x for x in rows]
+    n = lambda x: sum(y["mandi_code"] == x["mandi_code"] and y["source"] == x["source"] for y in rows)
+    for x in rows:
+        for y in rows:
+            if x["mandi_code"] and x["mandi_code"] == y["mandi_code"] and x["source"] and y["source"] and x["source"] < y["source"]:
+                same = (x["variety"], x["grade"]) == (y["variety"], y["grade"]) or (None in (x["variety"], y["variety"]) and n(x) == n(y) == 1)
+                p, q = x["modal_price"], y["modal_price"]
+                v = 0 if not same else 2 if p is not None and q is not None and abs(p - q) / max(min(p, q), 1.0) > 0.005 else 1
+                key = (x["mandi_code"], x["source"], y["source"])
+                old = expected.get(key, (0, 0))
+                expected[key] = (max(old[0], v), old[1] + 1)
+    names = {2: "CROSS_SOURCE_CONFLICT", 1: "CROSS_SOURCE_MATCH", 0: "GRANULARITY_MISMATCH"}
+    assert {(x.mandi_code, x.source_a, x.source_b): (x["class"], x.pairs) for x in found.collect()} == {k: (names[v], c) for k, (v, c) in expected.items()}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
