@@ -81,13 +81,14 @@ def rejection_summary(checked: DataFrame) -> DataFrame:
 
 def deduplicated(records: DataFrame) -> DataFrame:
     """The last record (by seq) of each identity, how many there were, and how many earlier ones had other values."""
-    key = [F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c in IDENTITY]
+    key = {f"_key_{c}": F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c in IDENTITY}
     values = F.struct("modal_price", "min_price", "max_price", "arrivals_quantity", *(c for c in ("price_unit", "arrival_unit") if c in records.columns))
-    w = Window.partitionBy(*key)
-    out = records.withColumn("_last", F.row_number().over(w.orderBy(F.col("seq").desc()))).withColumn("copies", F.count("*").over(w))
-    out = out.withColumn("_kept", F.first(values).over(w.orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    out = out.withColumn("conflicts", F.count_if(~values.eqNullSafe(F.col("_kept"))).over(w))
-    return out.filter("_last = 1").drop("_last", "_kept")
+    # The keys are columns, and stay so: windows over expressions have a shuffle of all records each.
+    whole = Window.partitionBy(*key)
+    last = whole.orderBy(F.col("seq").desc())
+    out = records.withColumns(key).withColumns({"_last": F.row_number().over(last), "_kept": F.first(values).over(last)})
+    out = out.withColumns({"copies": F.count("*").over(whole), "conflicts": F.count_if(~values.eqNullSafe(F.col("_kept"))).over(whole)})
+    return out.filter("_last = 1").drop("_last", "_kept", *key)
 
 
 def _source_pairs(days: DataFrame, told) -> DataFrame:

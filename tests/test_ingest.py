@@ -87,6 +87,12 @@ def test_repeats_within_a_source(spark):
     assert i.deduplicated(records(spark, {}, {"variety": "White"}, {"grade": None})).count() == 3
 
 
+def test_repeats_take_one_shuffle(spark):
+    found = i.deduplicated(records(spark, {}, {"modal_price": 1550.0}, {"source": "data_gov_in", "modal_price": 1550.0, "variety": "RED"}, {"source": None}, {"source": ""}))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((x.seq, x.source, x.copies, x.conflicts) for x in found.collect()) == [(2, "data_gov_in", 3, 1), (4, "", 2, 0)]
+
+
 @pytest.mark.parametrize(
     "rows, expected",
     [
