@@ -27,7 +27,7 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # The code points with the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
-#: Pre-tokens that an encoder remembers before it starts anew.
+#: Pre-tokens that an encoder remembers, in two generations; those of a slice may come on top of each.
 REMEMBERED = 100_000
 #: Bytes of text that are encoded at once: their pre-tokens and ids are Python objects.
 PART_BYTES = 1 << 20
@@ -105,6 +105,11 @@ class RankQueue:
         self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
         self.top |= 1 << (rank >> 12)
 
+    def fill(self, rank: int, positions: list[int]) -> None:
+        """push, for some positions of a rank."""
+        self.push(rank, positions[0])
+        self.buckets[rank] += positions[1:]
+
     def pop(self) -> tuple[int, list[int]]:
         a = (self.top & -self.top).bit_length() - 1
         x = self.mid[a]
@@ -131,9 +136,11 @@ class Encoder:
                 left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = rank
-        self.bytes = [self.ranks[bytes([i])] for i in range(256)]
+        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)])
+        self.byte_pairs = np.array([[self.pairs.get(a << 32 | b, -1) for b in self.byte_ids.tolist()] for a in self.byte_ids.tolist()])
         self.queue = RankQueue(max(self.tokens) + 1)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         every = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
         self.decoded = pa.array(every, pa.large_binary())
         self.written = pa.array([b"%d " % i for i in range(len(every))], pa.large_binary())
@@ -144,25 +151,22 @@ class Encoder:
         In each pre-token the pair of least rank merges first, the leftmost of equal ones. If a merge makes a pair of lower
         rank in its pre-token, what that pre-token has left at this rank waits until the lower one is done.
         """
-        get, queue, push = self.pairs.get, self.queue, self.queue.push
-        ids = [self.bytes[x] for x in b"".join(pieces)]
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        piece_of, heads, at = [0] * n, [], 0
-        for k, piece in enumerate(pieces):
-            heads.append(at)
-            piece_of[at : at + len(piece)] = [k] * len(piece)
-            before[at] = -1
-            at += len(piece)
-            after[at - 1] = n
-        pair = [-1] * n
-        for i in range(n):
-            j = after[i]
-            if j < n:
-                r = get(ids[i] << 32 | ids[j])
-                if r is not None:
-                    pair[i] = r
-                    push(r, i)
+        get, queue, push, bucket = self.pairs.get, self.queue, self.queue.push, self.queue.buckets.get
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        n, sizes = len(raw), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        heads = ends - sizes
+        link, back, first = np.arange(1, n + 1), np.arange(-1, n - 1), np.full(n, -1, np.int64)
+        first[:-1] = self.byte_pairs[raw[:-1], raw[1:]]
+        link[ends - 1], back[heads], first[ends - 1] = n, -1, -1
+        ids, after, before, pair = (x.tolist() for x in (self.byte_ids[raw], link, back, first))
+        piece_of, heads = np.repeat(np.arange(len(pieces)), sizes).tolist(), heads.tolist()
+        # Pairs of bytes, which are most of all pairs, are dealt to their buckets together.
+        at = np.flatnonzero(first >= 0)
+        at = at[np.argsort(first[at], kind="stable")]
+        ranks, starts = np.unique(first[at], return_index=True)
+        for rank, places in zip(ranks.tolist(), np.split(at, starts[1:])):
+            queue.fill(rank, places.tolist())
         while queue.top:
             rank, places = queue.pop()
             places.sort()
@@ -182,7 +186,11 @@ class Encoder:
                     r = get(rank << 32 | ids[j], -1)
                     pair[i] = r
                     if r >= 0:
-                        push(r, i)
+                        have = bucket(r)
+                        if have is None:
+                            push(r, i)
+                        else:
+                            have.append(i)
                         if r < rank:
                             waits.add(piece_of[i])
                 else:
@@ -192,7 +200,11 @@ class Encoder:
                     r = get(ids[j] << 32 | rank, -1)
                     pair[j] = r
                     if r >= 0:
-                        push(r, j)
+                        have = bucket(r)
+                        if have is None:
+                            push(r, j)
+                        else:
+                            have.append(j)
                         if r < rank:
                             waits.add(piece_of[i])
         out = []
@@ -205,14 +217,19 @@ class Encoder:
         return out
 
     def entries(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of each pre-token as 32-bit numbers."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        """The ids of each pre-token as 32-bit numbers.
+
+        Those of the generation before are taken over when they are met again, so that frequent pre-tokens are never encoded anew.
+        """
+        if len(self.known) > REMEMBERED // 3:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         new = [x for x in pieces if x not in known]
-        whole = [x for x in new if x in self.ranks]
-        other = [x for x in new if x not in self.ranks]
-        found = {x: struct.pack("<i", self.ranks[x]) for x in whole}
+        found = {x: older[x] for x in new if x in older}
+        if older:
+            new = [x for x in new if x not in found]
+        found.update((x, struct.pack("<i", self.ranks[x])) for x in new if x in self.ranks)
+        other = [x for x in new if x not in found]
         if other:
             found.update((x, struct.pack(f"<{len(ids)}i", *ids)) for x, ids in zip(other, self.encode(other)))
         out = [known.get(x) or found[x] for x in pieces]

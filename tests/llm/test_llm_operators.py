@@ -458,3 +458,15 @@ def test_a_hot_id_with_many_near_copies(spark, monkeypatch):
     out = near.near_duplicates(frame(spark, data), 4).collect()
     assert len(out) == len(data) and {r.component_id for r in out if r.doc_id == 7} == {7}
     assert sum(counts) <= 2 * len(hot)
+
+
+def test_frequent_pretokens_are_encoded_once(monkeypatch):
+    from granary.llm import bpe
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 30)
+    enc, asked = bpe.Encoder(bpe.default_ranks()), []
+    encode = enc.encode
+    monkeypatch.setattr(enc, "encode", lambda pieces: asked.extend(pieces) or encode(pieces))
+    frequent = b" zqxjv"
+    got = [enc.entries([frequent, *[b" w%dq%dz" % (k, j) for j in range(9)]])[0] for k in range(40)]
+    assert asked.count(frequent) == 1 and len(set(got)) == 1 and len(enc.known) + len(enc.older) < 60
