@@ -98,7 +98,7 @@ def calendar_date(text: Column, form: Column) -> Column:
 
 def number(text: Column) -> Column:
     """The value of clean text without thousands separators; null if it isn't a number."""
-    plain = F.regexp_replace(text, ",", "")
+    plain = F.replace(text, F.lit(","), F.lit(""))
     return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
 
 

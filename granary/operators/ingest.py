@@ -28,10 +28,13 @@ PRICES = ("min_price", "max_price", "modal_price")
 def normalised(raw: DataFrame) -> DataFrame:
     """Raw text fields (TEXTS, with seq and is_sample_data) to typed ones with flags. Nothing missing is guessed."""
     c = {n: F.col(n) for n in TEXTS}
-    out = raw.select("seq", F.coalesce("is_sample_data", F.lit(False)).alias("is_sample_data"), *[r.clean(F.col(n)).alias(n) for n in TEXTS])
+    # One function over all texts, and one over all numbers: written out for each, they make methods that the JVM leaves uncompiled.
+    cleaned = F.transform(F.array(*[F.col(n).cast("string") for n in TEXTS]), r.clean)
+    out = raw.select("seq", F.coalesce("is_sample_data", F.lit(False)).alias("is_sample_data"), cleaned.alias("_texts")).select("seq", "is_sample_data", *[F.col("_texts")[k].alias(n) for k, n in enumerate(TEXTS)])
     slugs = {f"_{n}": r.place_slug(c[n]) for n in ("state", "district", "market")} | {"_commodity": r.commodity_slug(c["commodity"])}
-    values = {f"_{n}": r.number(c[n]) for n in (*PRICES, "arrivals_quantity")}
-    out = out.withColumns(slugs | values | {"_day": r.calendar_date(c["price_date"], F.coalesce("date_format", F.lit("AUTO"))), "_factor": r.price_factor(c["price_unit"]), "_weight": r.arrival_factor(c["arrival_unit"])})
+    numbers = (*PRICES, "arrivals_quantity")
+    out = out.withColumns(slugs | {"_numbers": F.transform(F.array(*[c[n] for n in numbers]), r.number), "_day": r.calendar_date(c["price_date"], F.coalesce("date_format", F.lit("AUTO"))), "_factor": r.price_factor(c["price_unit"]), "_weight": r.arrival_factor(c["arrival_unit"])})
+    out = out.withColumns({f"_{n}": F.col("_numbers")[k] for k, n in enumerate(numbers)})
     located = c["state"].isNotNull() & c["district"].isNotNull() & c["market"].isNotNull()
     out = out.withColumns({"mandi_code": F.when(located, r.code(F.col("_state"), F.col("_district"), F.col("_market"))), "commodity_code": F.when(F.col("_commodity").isNotNull(), r.code(F.col("_commodity")))})
     flag = lambda test, name: F.when(test, F.lit(name))

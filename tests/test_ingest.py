@@ -160,3 +160,16 @@ def test_overlaps_of_many_rows_make_no_pairs(spark):
     names = {2: "CROSS_SOURCE_CONFLICT", 1: "CROSS_SOURCE_MATCH", 0: "GRANULARITY_MISMATCH"}
     assert {(x.mandi_code, x.source_a, x.source_b): (x["class"], x.pairs) for x in found.collect()} == {k: (names[v], c) for k, (v, c) in expected.items()}
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_normalising_makes_no_method_that_the_jvm_leaves_uncompiled(spark):
+    raw = spark.range(1).select(F.col("id").alias("seq"), (F.col("id") > 0).alias("is_sample_data"), *[F.col("id").cast("string").alias(c) for c in i.TEXTS])
+    hashed = i.normalised(raw).select("seq", r.content_hash())
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    made = debug.codegenStringSeq(hashed._jdf.queryExecution().executedPlan())
+    assert max(made.apply(k)._3().maxMethodCodeSize() for k in range(made.size())) < 8000
+
+
+def test_numbers_of_several_forms(spark):
+    said = spark.createDataFrame([("1,234.5",), ("12,34,567",), ("-3",), ("1e3",), (".5",), ("NaN",), ("1d",), (",",), (None,)], "x string")
+    assert [v.x for v in said.select(r.number(F.col("x")).alias("x")).collect()] == [1234.5, 1234567.0, -3.0, 1000.0, 0.5, None, None, None, None]
