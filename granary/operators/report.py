@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.market import DAY
@@ -11,43 +11,46 @@ from granary.operators.quality import PROFILED
 IDENTITY = ("source", *DAY, "variety", "grade")
 #: Sections with a row for each value of a column.
 BY_VALUE = {"sources": "source", "records_by_year": "year", "coverage_by_state": "state", "coverage_by_district": "district", "coverage_by_commodity": "commodity"}
-SETS = [[], *[[c] for c in BY_VALUE.values()], [*DAY], [*IDENTITY]]
-COLUMNS = list(dict.fromkeys(c for s in SETS for c in s))
-
-
-def level(names: list[str]) -> Column:
-    """The grouping id of a grouping set: a bit for each column, the first one highest, set where the set lacks it."""
-    return F.lit(sum(1 << (len(COLUMNS) - 1 - k) for k, c in enumerate(COLUMNS) if c not in names))
 
 
 def sections(obs: DataFrame, today: str) -> DataFrame:
     """section, key, metric and value (whole numbers; dates as days since 1970) of all sections.
 
-    One aggregate over grouping sets counts by nothing, by each value, by market-day and by identity; each of its rows then gives the metrics
-    that its level has, and these are added up. So the observations are read, and joined, once.
+    The observations are read, joined and dealt by market-day once. In the order of a day's identities a row is an identity's first one, its second
+    one or a later one, so that repeats are sums as well. Counts are taken by all values together, which are few, and out of these by nothing and by
+    each value: no row is multiplied.
     """
-    p = F.col("modal_price")
-    groups = obs.withColumn("year", F.year("reported_date")).groupingSets([[F.col(c) for c in s] for s in SETS], *map(F.col, COLUMNS)).agg(
-        F.grouping_id(*COLUMNS).alias("gid"), F.count("*").alias("records"), F.count_if(~F.col("is_sample")).alias("genuine"), F.count_if(F.col("quality_status") == "FLAGGED").alias("flagged"),
-        F.min(F.unix_date("reported_date")).alias("first"), F.max(F.unix_date("reported_date")).alias("last"), F.array_size(F.collect_set("source")).alias("n_sources"),
-        F.count_if(p <= 0).alias("modal_not_positive"), F.count_if(F.col("min_price") > F.col("max_price")).alias("min_above_max"), F.count_if((p < F.col("min_price")) | (p > F.col("max_price"))).alias("modal_outside"),
-        F.count_if(F.col("arrival_quantity") < 0).alias("arrivals_negative"), F.count_if(F.col("reported_date") > F.to_date(F.lit(today))).alias("future_dated"), F.count_if(F.col("price_unit") != "INR/quintal").alias("unit_unknown"),
-        *[F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in PROFILED],
-    )
+    p, sums = F.col("modal_price"), {}
+    sums |= {"records": F.count("*"), "genuine": F.count_if(~F.col("is_sample")), "flagged": F.count_if(F.col("quality_status") == "FLAGGED")}
+    sums |= {
+        "modal_not_positive": F.count_if(p <= 0), "min_above_max": F.count_if(F.col("min_price") > F.col("max_price")), "modal_outside": F.count_if((p < F.col("min_price")) | (p > F.col("max_price"))),
+        "arrivals_negative": F.count_if(F.col("arrival_quantity") < 0), "future_dated": F.count_if(F.col("reported_date") > F.to_date(F.lit(today))), "unit_unknown": F.count_if(F.col("price_unit") != "INR/quintal"),
+    }
+    sums |= {f"no_{c}": F.count_if(F.col(c).isNull()) for c in PROFILED}
+    values = list(BY_VALUE.values())
+    whole = Window.partitionBy(*DAY)
+    place = whole.orderBy(*[c for c in IDENTITY if c not in DAY])
+    rows = obs.withColumns({"year": F.year("reported_date"), "_k": F.row_number().over(place), "_first": F.rank().over(place), "_both": F.min("source").over(whole) < F.max("source").over(whole)})
+    first, day = F.col("_k") == F.col("_first"), F.col("_k") == 1
+    sums |= {"market_days": F.count_if(day), "overlapping": F.count_if(day & F.col("_both")), "rows_of_several": F.count_if("_both")}
+    sums |= {"identities": F.count_if(first), "groups": F.count_if(F.col("_k") == F.col("_first") + 1), "duplicate_rows": F.count_if(~first)}
+    cells = rows.groupBy(*values).agg(F.min(F.unix_date("reported_date")).alias("first"), F.max(F.unix_date("reported_date")).alias("last"), *[x.alias(n) for n, x in sums.items()])
+    groups = cells.groupingSets([[], *[[F.col(c)] for c in values]], *map(F.col, values)).agg(F.grouping_id(*values).alias("gid"), F.min("first").alias("first"), F.max("last").alias("last"), *[F.sum(n).alias(n) for n in sums])
     metric = lambda section, key, name, value: F.struct(
         F.lit(section).alias("section"), F.coalesce(key.cast("string"), F.lit("(none)")).alias("key"), F.lit(name).alias("metric"), value.cast("long").alias("value")
     )
-    whole, c, all_ = F.lit("all"), F.col, F.lit("all")
-    total = [metric("coverage", whole, n, c(n)) for n in ("records", "genuine", "flagged", "first", "last")]
+    c, all_ = F.col, F.lit("all")
+    total = [metric("coverage", all_, n, c(n)) for n in ("records", "genuine", "flagged", "first", "last")]
     total += [metric("invalid_records", all_, n, c(n)) for n in ("modal_not_positive", "min_above_max", "modal_outside", "arrivals_negative", "future_dated", "unit_unknown")]
     total += [metric("missing_values", F.lit(n), "missing", c(f"no_{n}")) for n in PROFILED]
-    many, both = c("records") > 1, c("n_sources") > 1
-    days = [metric("cross_source_overlaps", whole, "market_days", F.lit(1)), metric("cross_source_overlaps", whole, "overlapping", both.cast("int")), metric("cross_source_overlaps", whole, "records", F.when(both, c("records")).otherwise(0))]
-    same = [metric("duplicates", whole, "identities", F.lit(1)), metric("duplicates", whole, "groups", many.cast("int")), metric("duplicates", whole, "duplicate_rows", c("records") - 1)]
-    told = F.when(c("gid") == level([]), F.array(*total)).when(c("gid") == level([*DAY]), F.array(*days)).when(c("gid") == level([*IDENTITY]), F.array(*same))
-    for section, column in BY_VALUE.items():
-        told = told.when(c("gid") == level([column]), F.array(*[metric(section, c(column), n, c(n)) for n in ("records", "genuine", "flagged")]))
-    return groups.select(F.explode(told).alias("m")).select("m.*").groupBy("section", "key", "metric").agg(F.sum("value").alias("value"))
+    total += [metric("cross_source_overlaps", all_, n, c(x)) for n, x in (("market_days", "market_days"), ("overlapping", "overlapping"), ("records", "rows_of_several"))]
+    total += [metric("duplicates", all_, n, c(n)) for n in ("identities", "groups", "duplicate_rows")]
+    # the grouping id has a bit for each column, the first one highest, set where the set lacks it
+    every = 2 ** len(values) - 1
+    told = F.when(c("gid") == every, F.array(*total))
+    for k, (section, column) in enumerate(BY_VALUE.items()):
+        told = told.when(c("gid") == every - 2 ** (len(values) - 1 - k), F.array(*[metric(section, c(column), n, c(n)) for n in ("records", "genuine", "flagged")]))
+    return groups.select(F.explode(told).alias("m")).select("m.*")
 
 
 def refresh(runs: DataFrame) -> DataFrame:

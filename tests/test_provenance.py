@@ -154,3 +154,15 @@ def test_a_fuzzy_lookup_looks_once_at_names_that_repeat(spark):
     out = names.fuzzy_lookup(rows, asked, "id", ("code",), ("name",))
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.asked: (r.id, r.how) for r in out.collect()} == {"brand": (0, "exact"), "bolt": (0, "part"), "t 2": (2, "part"), "1": (1, "exact"), " olt 1": (1, "part")}
+
+
+def test_repeats_of_a_day_and_no_row_multiplied(spark):
+    rows = [("A", 1, "x", "v"), ("A", 1, "x", "v"), ("A", 1, "x", "v"), ("B", 1, "x", None), ("B", 1, "x", None), (None, 2, "x", "v"), ("A", 2, "x", "v"), (None, 3, "x", "v")]
+    named = spark.createDataFrame(rows, "source string, mandi_id long, commodity string, variety string")
+    obs = plans.p.observations(spark, SMALL).limit(8).select(*[F.lit(None).cast(t).alias(c) for c, t in plans.p.observations(spark, SMALL).dtypes if c not in (*named.columns, "reported_date")]).limit(1)
+    obs = named.crossJoin(obs).withColumn("reported_date", F.to_date(F.lit("2001-01-01")))
+    found = {(r.section, r.metric): r.value for r in report.sections(obs, plans.TODAY).filter("key = 'all'").collect()}
+    assert [found["duplicates", m] for m in ("identities", "groups", "duplicate_rows")] == [5, 2, 3]
+    assert [found["cross_source_overlaps", m] for m in ("market_days", "overlapping", "records")] == [3, 1, 5]
+    plan = report.sections(plans.p.observations(spark, SMALL), plans.TODAY)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
