@@ -57,7 +57,7 @@ FROM last LEFT JOIN lagged ON last.source = lagged.source AND last.mandi_id = la
   AND last.grade IS NOT DISTINCT FROM lagged.grade AND last.reported_date = lagged.reported_date""".replace("mandi, commodity, last", "mandi, last.commodity AS commodity, last"))
 def latest_day_with_trend(spark, d):
     obs = p.observations(spark, d)
-    out = m.with_trend(m.with_previous(m.latest_day(m.resolved(obs)), obs))
+    out = m.with_trend(m.with_previous(m.latest_resolved(obs), obs))
     return out.select("observation_id", "mandi", "commodity", "variety", "grade", "reported_date", "modal_price", "source", "previous_price", "previous_date", "trend_percent", "trend")
 
 

@@ -385,3 +385,12 @@ def test_boosted_trees_are_a_candidate(spark):
     assert {r.model for r in out} == {"gbm"} and len(out) == 7
     later = {START + timedelta(k): 2000.0 + (500 if (k * 5) % 7 in (1, 2, 4) else 0) for k in range(160, 170)}
     assert all(abs(r.predicted - later[r.forecast_date]) < 120 for r in out)
+
+
+def test_the_last_day_is_taken_before_sources_are_ranked(spark):
+    rows = [(1, "x", "2001-01-01", "A", 40), (1, "x", "2001-01-02", "B", 30), (1, "x", "2001-01-02", "B", 30), (1, "x", "2001-01-02", "C", 10), (2, "x", "2001-01-01", "C", 10), (2, "x", "2001-01-01", "A", 40)]
+    obs = spark.createDataFrame(rows, "mandi_id long, commodity string, reported_date string, source string, precedence int").withColumn("reported_date", F.to_date("reported_date"))
+    out = market.latest_resolved(obs)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r.mandi_id, str(r.reported_date), r.source, r.rows_of_day) for r in out.collect()) == [(1, "2001-01-02", "B", 3), (1, "2001-01-02", "B", 3), (2, "2001-01-01", "A", 2)]
+    assert sorted(map(str, out.collect())) == sorted(map(str, market.latest_day(market.resolved(obs)).collect()))
