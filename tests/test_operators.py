@@ -349,6 +349,21 @@ def test_boosting_of_many_models_is_that_of_each():
     assert got == pytest.approx(np.concatenate([plain_boosting(c, y, 12) for c, y in sets]), abs=1e-5)
 
 
+def test_models_of_the_same_rows_are_grown_together_as_by_fits_of_their_own(monkeypatch):
+    rng = np.random.default_rng(17)
+    groups = []
+    for n in (60, 90, 400):
+        x = np.column_stack([rng.normal(0, 1, (n, 3)), np.sin(np.arange(n) % 7), np.full(n, 2.0)])  # few bins of the last two have rows
+        rows = np.append(np.arange(n // 5, n, 4), n - 1)
+        groups.append((boosting.codes(x, boosting.edges(x[: n // 2])), 7 + x[:, 0] * (x[:, 1] > 0) + rng.normal(0, 0.1, n), rows, rows - np.minimum(rows, 3)))
+    alone = [[boosting.fit(np.zeros(k, int), code[:k], y[:k], 1, 9).predict(np.zeros(1, int), code[i : i + 1])[0] for i, k in zip(rows, known)] for code, y, rows, known in groups]
+    real, fitted = boosting.fit, []
+    monkeypatch.setattr(boosting, "fit", lambda model, *rest: fitted.append(len(model)) or real(model, *rest))
+    for got, expected in zip(boosting.walk(groups, 9), alone):
+        assert got == pytest.approx(expected, abs=1e-12)
+    assert sum(fitted) < 0.3 * sum(known.sum() for *_, known in groups)  # the early models, which few others are like
+
+
 def test_boosting_walks_over_known_rows_only():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(50, 4))
