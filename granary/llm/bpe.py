@@ -29,6 +29,8 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 
 #: Pre-tokens that an encoder remembers, in two generations; those of a slice may come on top of each.
 REMEMBERED = 100_000
+#: Positions of a rank from which on they are merged together.
+LEAST_TOGETHER = 80
 #: Bytes of text that are encoded at once: their pre-tokens and ids are Python objects.
 PART_BYTES = 1 << 20
 
@@ -125,6 +127,24 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
+class Partners:
+    """By id, which other ids merge with it on one side, in order, and to what."""
+
+    def __init__(self, mine: np.ndarray, other: np.ndarray, ranks: np.ndarray, ids: int):
+        order = np.lexsort((other, mine))
+        self.other, self.rank = other[order], ranks[order]
+        self.starts = np.searchsorted(mine[order], np.arange(ids + 1)).tolist()
+
+    def ranks(self, mine: int, others: np.ndarray) -> np.ndarray | None:
+        """The ranks of the merges with others, -1 for those that don't merge; none if mine merges with nothing."""
+        a, b = self.starts[mine : mine + 2]
+        if a == b:
+            return None
+        have = self.other[a:b]
+        k = np.minimum(np.searchsorted(have, others), b - a - 1)
+        return np.where(have[k] == others, self.rank[a:b][k], -1)
+
+
 class Encoder:
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -138,6 +158,8 @@ class Encoder:
                     self.pairs[left << 32 | right] = rank
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)])
         self.byte_pairs = np.array([[self.pairs.get(a << 32 | b, -1) for b in self.byte_ids.tolist()] for a in self.byte_ids.tolist()])
+        pairs, ranks = (np.fromiter(x, np.int64, len(self.pairs)) for x in (self.pairs.keys(), self.pairs.values()))
+        self.rights, self.lefts = (Partners(a, b, ranks, max(self.tokens) + 1) for a, b in ((pairs >> 32, pairs & 0xFFFFFFFF), (pairs & 0xFFFFFFFF, pairs >> 32)))
         self.queue = RankQueue(max(self.tokens) + 1)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -145,30 +167,67 @@ class Encoder:
         self.decoded = pa.array(every, pa.large_binary())
         self.written = pa.array([b"%d " % i for i in range(len(every))], pa.large_binary())
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each pre-token, all of them in one linked list and one queue.
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pre-tokens, one after another, and where those of each end: all of them in one linked list and one queue.
 
         In each pre-token the pair of least rank merges first, the leftmost of equal ones. If a merge makes a pair of lower
-        rank in its pre-token, what that pre-token has left at this rank waits until the lower one is done.
+        rank in its pre-token, what that pre-token has left at this rank waits until the lower one is done. Pre-tokens that have
+        one pair of a rank merge it together, as they don't touch each other.
         """
         get, queue, push, bucket = self.pairs.get, self.queue, self.queue.push, self.queue.buckets.get
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         n, sizes = len(raw), np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(sizes)
         heads = ends - sizes
-        link, back, first = np.arange(1, n + 1), np.arange(-1, n - 1), np.full(n, -1, np.int64)
+        ids, link, back, first = self.byte_ids[raw].astype(np.int64), np.arange(1, n + 1), np.arange(-1, n - 1), np.full(n, -1, np.int64)
         first[:-1] = self.byte_pairs[raw[:-1], raw[1:]]
         link[ends - 1], back[heads], first[ends - 1] = n, -1, -1
-        ids, after, before, pair = (x.tolist() for x in (self.byte_ids[raw], link, back, first))
-        piece_of, heads = np.repeat(np.arange(len(pieces)), sizes).tolist(), heads.tolist()
+        owner, alive = np.repeat(np.arange(len(pieces)), sizes), np.ones(n, bool)
+        id_at, after, before, pair, piece_of, lives = map(memoryview, (ids, link, back, first, owner, alive))
         # Pairs of bytes, which are most of all pairs, are dealt to their buckets together.
         at = np.flatnonzero(first >= 0)
         at = at[np.argsort(first[at], kind="stable")]
         ranks, starts = np.unique(first[at], return_index=True)
         for rank, places in zip(ranks.tolist(), np.split(at, starts[1:])):
             queue.fill(rank, places.tolist())
+
+        def paired(at: np.ndarray, found: np.ndarray | None) -> None:
+            """Set the pairs at some positions, and queue those that merge."""
+            if found is None:
+                first[at] = -1
+                return
+            first[at] = found
+            good = found >= 0
+            for r, i in zip(found[good].tolist(), at[good].tolist()):
+                have = bucket(r)
+                if have is None:
+                    push(r, i)
+                else:
+                    have.append(i)
+
         while queue.top:
             rank, places = queue.pop()
+            if len(places) >= LEAST_TOGETHER:
+                at = np.array(places)
+                at = at[first[at] == rank]
+                at.sort()
+                whose = owner[at]
+                alone = np.ones(len(at), bool)
+                alone[1:] = whose[1:] != whose[:-1]
+                alone[:-1] &= alone[1:]
+                places, at = at[~alone].tolist(), at[alone]
+                ids[at] = rank
+                gone = link[at]
+                first[gone], alive[gone] = -1, False
+                link[at] = follow = link[gone]
+                first[at] = -1
+                some = follow < n
+                i, j = at[some], follow[some]
+                back[j] = i
+                paired(i, self.rights.ranks(rank, ids[j]))
+                j = back[at]
+                j = j[j >= 0]
+                paired(j, self.lefts.ranks(rank, ids[j]))
             places.sort()
             waits: set[int] = set()
             for i in places:
@@ -177,13 +236,14 @@ class Encoder:
                 if waits and piece_of[i] in waits:
                     push(rank, i)
                     continue
-                ids[i] = rank
+                id_at[i] = rank
                 gone = after[i]
                 pair[gone] = -1
+                lives[gone] = False
                 j = after[i] = after[gone]
                 if j < n:
                     before[j] = i
-                    r = get(rank << 32 | ids[j], -1)
+                    r = get(rank << 32 | id_at[j], -1)
                     pair[i] = r
                     if r >= 0:
                         have = bucket(r)
@@ -197,7 +257,7 @@ class Encoder:
                     pair[i] = -1
                 j = before[i]
                 if j >= 0:
-                    r = get(ids[j] << 32 | rank, -1)
+                    r = get(id_at[j] << 32 | rank, -1)
                     pair[j] = r
                     if r >= 0:
                         have = bucket(r)
@@ -207,14 +267,7 @@ class Encoder:
                             have.append(j)
                         if r < rank:
                             waits.add(piece_of[i])
-        out = []
-        for i in heads:
-            found = []
-            while i < n:
-                found.append(ids[i])
-                i = after[i]
-            out.append(found)
-        return out
+        return ids[alive], np.cumsum(np.bincount(owner[alive], minlength=len(pieces)))
 
     def entries(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each pre-token as 32-bit numbers.
@@ -231,7 +284,9 @@ class Encoder:
         found.update((x, struct.pack("<i", self.ranks[x])) for x in new if x in self.ranks)
         other = [x for x in new if x not in found]
         if other:
-            found.update((x, struct.pack(f"<{len(ids)}i", *ids)) for x, ids in zip(other, self.encode(other)))
+            ids, ends = self.encode(other)
+            data, ends = ids.astype("<i4").tobytes(), (4 * ends).tolist()
+            found.update((x, data[a:b]) for x, a, b in zip(other, [0, *ends], ends))
         out = [known.get(x) or found[x] for x in pieces]
         known.update((k, v) for k, v in found.items() if len(k) <= 256)
         return out

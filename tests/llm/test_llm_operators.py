@@ -470,3 +470,29 @@ def test_frequent_pretokens_are_encoded_once(monkeypatch):
     frequent = b" zqxjv"
     got = [enc.entries([frequent, *[b" w%dq%dz" % (k, j) for j in range(9)]])[0] for k in range(40)]
     assert asked.count(frequent) == 1 and len(set(got)) == 1 and len(enc.known) + len(enc.older) < 60
+
+
+def test_pairs_of_a_rank_are_merged_together(monkeypatch):
+    class Asked(dict):
+        times = 0
+
+        def get(self, *key):
+            Asked.times += 1
+            return super().get(*key)
+
+    enc = bpe.Encoder(bpe.default_ranks())
+    rng = np.random.default_rng(4)
+    pieces = [bytes(rng.choice(list(b"aabehinrst"), rng.integers(2, 12)).tolist()) for _ in range(3000)] + [b"a" * 41, b"abab" * 30, b" " * 70, bytes(range(256))]
+    plain = []
+    for x in pieces:
+        parts = [enc.ranks[bytes([c])] for c in x]
+        while (least := min(((enc.pairs.get(a << 32 | b, 1 << 30), k) for k, (a, b) in enumerate(zip(parts, parts[1:]))), default=(1 << 30, 0))) < (1 << 30, 0):
+            parts[least[1] : least[1] + 2] = [least[0]]
+        plain.append(parts)
+    enc.pairs = Asked(enc.pairs)
+    for least in (2, bpe.LEAST_TOGETHER, 1 << 30):
+        monkeypatch.setattr(bpe, "LEAST_TOGETHER", least)
+        Asked.times = 0
+        ids, ends = enc.encode(pieces)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == plain
+        assert least == 1 << 30 or Asked.times < sum(map(len, pieces)) / 4
