@@ -67,15 +67,17 @@ class History:
         """
         number = (self.entries().agg(F.max("run")).first()[0] or 0) + 1
         todo = self.pending(planned)
+        todo = self.spark.createDataFrame(todo.collect(), todo.schema)  # so that what is there is read and checked once
         days = F.broadcast(todo.select(F.col("from").alias("window"), F.explode(F.sequence("from", "to")).alias("_day")))
-        tagged = rows.select(*self.columns).join(days, F.col(day) == F.col("_day")).drop("_day")
+        tag = lambda windows: self._between(rows.select(*self.columns), windows, day).join(days, F.col(day) == F.col("_day")).drop("_day")
+        tagged = tag(todo)
         counts = tagged.groupBy(F.col("window").alias("from")).agg(F.count("*").alias("n"))
         before = F.sum("n").over(Window.orderBy("from").rowsBetween(Window.unboundedPreceding, -1))
         ordered = todo.join(counts, "from", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("before", F.coalesce(before, F.lit(0)))
         plan = f"{self.folder}/plan/run={number}"
         (ordered if most_rows is None else ordered.filter(F.col("before") < most_rows)).write.mode("overwrite").parquet(plan)
         chosen = self.spark.read.parquet(plan)
-        some = tagged.join(F.broadcast(chosen.filter("n > 0").select(F.col("from").alias("window"))), "window", "left_semi")
+        some = tag(chosen).join(F.broadcast(chosen.filter("n > 0").select(F.col("from").alias("window"))), "window", "left_semi")
         self._clear(chosen.filter("n = 0"))
         out = some.select(*self.columns, "window").hint("rebalance", "window").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         out.partitionBy("window").parquet(f"{self.folder}/data")
@@ -86,6 +88,12 @@ class History:
         made.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/run={number}")
         return self.spark.read.schema(ENTRY).parquet(f"{self.folder}/manifest/run={number}")
 
+    @staticmethod
+    def _between(rows: DataFrame, windows: DataFrame, day: str) -> DataFrame:
+        """Rows from the first to the last day of some windows: a plain filter, which goes below what rows are joined of, unlike the windows' days."""
+        a, b = windows.agg(F.min("from"), F.max("to")).first()
+        return rows.filter(F.col(day).between(F.lit(a), F.lit(b)))
+
     def _clear(self, windows: DataFrame) -> None:
         """Windows without rows keep none of an earlier run."""
         for r in windows.select(F.col("from").cast("string").alias("w")).collect():  # as many as the calendar allows

@@ -32,6 +32,22 @@ def test_a_history_stops_and_goes_on(spark, tmp_path):
     assert sorted(r.id for r in past.rows().collect()) == sorted(r.id for r in reports(spark).collect())
 
 
+def test_a_second_run_makes_no_rows_that_the_first_has_committed(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def price(x: int) -> float:
+        made.add(1)
+        return float(x)
+
+    rows = reports(spark).withColumn("price", F.udf(price, "double")("id")).select(*reports(spark).columns)
+    planned, past = ingest.windows("2026-01-01", "2026-02-19", 10, spark), history.History(spark, str(tmp_path), KEPT)
+    half = reports(spark).count() // 2
+    first = sum(r.records for r in past.run(rows, planned, "day", half).collect())
+    second = sum(r.records for r in past.run(rows, planned, "day").collect())
+    assert first > 0 and second > 0 and first + second == reports(spark).count() == past.rows().count()
+    assert made.value == first + second
+
+
 def test_cut_or_changed_windows_are_pending_again(spark, tmp_path):
     planned, past = ingest.windows("2026-01-01", "2026-02-19", 10, spark), history.History(spark, str(tmp_path), KEPT)
     past.run(reports(spark), planned, "day")
