@@ -248,6 +248,16 @@ def test_forecasts_are_of_the_chosen_model_for_all_horizons(spark):
     assert models.walked(series.limit(0)).count() == 0
 
 
+def test_models_are_chosen_by_every_validation_day(spark):
+    """Of 80 days 16 are validation days, and trees that are a candidate for a choice are grown for each, as ridge is."""
+    walk = models.walked(prices(spark, steady(80), arrivals=[1.0] * 80), (1, 7), ("validation", "latest"))
+    told = walk.groupBy("horizon", "part").agg(F.count("*").alias("days"), F.count(F.nanvl("gbm", F.lit(None).cast("double"))).alias("boosted")).collect()
+    assert {(r.horizon, r.part): (r.days, r.boosted) for r in told if r.part != "train" and r.part != "test"} == {(h, part): (n, n) for h in (1, 7) for part, n in (("validation", 16), ("latest", 1))}
+    assert not any(r.boosted for r in told if r.part in ("train", "test"))
+    test = models.boosted_forecast(prices(spark, steady(80), arrivals=[1.0] * 80), (1,)).collect()
+    assert len(test) == 6  # every third of 16 test days
+
+
 def test_a_walk_sees_no_later_price(spark):
     values = steady(60)
     day = START + timedelta(40)
