@@ -82,16 +82,24 @@ def rejection_summary(checked: DataFrame) -> DataFrame:
     return checked.select(F.explode_outer("errors").alias("code")).groupBy("code").agg(F.count("*").alias("records")).filter("code is not null")
 
 
+def fingerprints(*columns: Column) -> list[Column]:
+    """128 bits of some values, as two columns; nulls differ from all else. Equal values have equal ones, and others don't, but for a chance of 3e-39 a pair."""
+    told = [x for c in columns for x in (c.isNull(), c)]
+    return [F.xxhash64(F.lit(k), *told) for k in (0, 1)]
+
+
 def deduplicated(records: DataFrame) -> DataFrame:
     """The last record (by seq) of each identity, how many there were, and how many earlier ones had other values."""
-    key = {f"_key_{c}": F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c in IDENTITY}
-    values = F.struct("modal_price", "min_price", "max_price", "arrivals_quantity", *(c for c in ("price_unit", "arrival_unit") if c in records.columns))
-    # The keys are columns, and stay so: windows over expressions have a shuffle of all records each.
+    # Fingerprints of identity and values are a fraction of their width, and a caller that wants few columns has only these shuffled. They are
+    # columns, and stay so: windows over expressions have a shuffle of all records each.
+    key = dict(zip(("_key_a", "_key_b"), fingerprints(*[F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c in IDENTITY])))
+    values = fingerprints(*[F.col(c) for c in ("modal_price", "min_price", "max_price", "arrivals_quantity", "price_unit", "arrival_unit") if c in records.columns])
+    out = records.withColumns(key | {"_values": F.struct(*[v.alias(n) for n, v in zip("ab", values)])})
     whole = Window.partitionBy(*key)
     last = whole.orderBy(F.col("seq").desc())
-    out = records.withColumns(key).withColumns({"_last": F.row_number().over(last), "_kept": F.first(values).over(last)})
-    out = out.withColumns({"copies": F.count("*").over(whole), "conflicts": F.count_if(~values.eqNullSafe(F.col("_kept"))).over(whole)})
-    return out.filter("_last = 1").drop("_last", "_kept", *key)
+    out = out.withColumns({"_last": F.row_number().over(last), "_kept": F.first("_values").over(last)})
+    out = out.withColumns({"copies": F.count("*").over(whole), "conflicts": F.count_if(F.col("_values") != F.col("_kept")).over(whole)})
+    return out.filter("_last = 1").drop("_last", "_kept", "_values", *key)
 
 
 def _source_pairs(days: DataFrame, told) -> DataFrame:

@@ -93,6 +93,17 @@ def test_repeats_take_one_shuffle(spark):
     assert sorted((x.seq, x.source, x.copies, x.conflicts) for x in found.collect()) == [(2, "data_gov_in", 3, 1), (4, "", 2, 0)]
 
 
+def test_repeats_are_known_by_fingerprints(spark):
+    """Neither the identity nor the values are shuffled for a caller that doesn't want them; a null in one value isn't a null in another."""
+    found = i.deduplicated(records(spark, {}, {"min_price": 5.0}, {"max_price": 5.0}, {"max_price": 5.0, "modal_price": 0.0}, {"max_price": 5.0, "modal_price": -0.0}, {"source": None, "variety": "DATA_GOV_IN"})).select("seq", "copies", "conflicts")
+    plan, shuffled = found._jdf.queryExecution().optimizedPlan(), None
+    while plan.children().nonEmpty():
+        plan, above = plan.children().head(), plan.nodeName()
+        shuffled = plan.output().size() if above == "Window" else shuffled  # below the last window
+    assert shuffled == 4  # seq, and fingerprints of identity (two columns) and values
+    assert sorted((x.seq, x.copies, x.conflicts) for x in found.collect()) == [(4, 5, 3), (5, 1, 0)]
+
+
 @pytest.mark.parametrize(
     "rows, expected",
     [

@@ -1,3 +1,4 @@
+import os
 import shutil
 from datetime import date, timedelta
 from pathlib import Path
@@ -182,3 +183,17 @@ def test_repeats_of_a_day_and_no_row_multiplied(spark):
     assert [found["cross_source_overlaps", m] for m in ("market_days", "overlapping", "records")] == [3, 1, 5]
     plan = report.sections(plans.p.observations(spark, SMALL), plans.TODAY)._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
+def test_lines_are_shuffled_as_they_are_read(spark):
+    """Where the parts are too many to be broadcast, there is one shuffle of the lines, of columns of theirs: the suppliers' size is seen by Catalyst."""
+    folder, limit = "/root/testdata/sf0.01", "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(os.path.getsize(f"{folder}/supplier.parquet") + 1))
+    try:
+        assert os.path.getsize(f"{folder}/part.parquet") > 3 * os.path.getsize(f"{folder}/supplier.parquet")  # so that the columns of it that count are too large
+        plan = plans.p.observations(spark, folder).select("observation_id", "state", "variety", "modal_price")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, before)
+    assert plan.count("Exchange hashpartitioning(") == 2 and "Exchange hashpartitioning(l_partkey" in plan
+    assert "md5(" not in plan[plan.index("Exchange hashpartitioning(l_partkey") :]
