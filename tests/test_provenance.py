@@ -145,6 +145,21 @@ def test_trace_names_every_difference(spark):
     assert {r.verdict for r in marked.collect()} == {"SYNTHETIC_FIXTURE"}
 
 
+def test_traced_records_are_packed(spark):
+    """Odd characters, nulls beside empty texts, zeros of either sign and numbers of other kinds; what is shuffled for names and verdicts has neither records nor errors in it."""
+    raw = plans.raw(spark, SMALL).filter("state is not null").limit(6).withColumns({"variety": F.lit("a\u001fb\u001bN\u001b0"), "grade": F.lit("\u001b1"), "arrivals_quantity": F.lit("0"), "arrival_unit": F.lit("t"), "min_price": F.lit("1e-3")}).cache()
+    stored = ingest.normalised(raw)
+    same = trace.traced(stored.withColumns({"arrivals_quantity": F.lit("-0.0"), "price_date": F.date_format("price_date", "yyyy-MM-dd")}), raw, plans.NOW)
+    assert {len(r.differences) for r in same.collect()} == {0}
+    odd = trace.traced(stored.withColumns({"variety": F.lit("a\u001fb"), "grade": F.lit(None).cast("string"), "arrival_unit": F.lit("")}), raw, plans.NOW)
+    expected = {("variety", "a\u001fb", "a\u001fb\u001bN\u001b0"), ("grade", None, "\u001b1"), ("arrival_unit", "", "tonne")}
+    assert [{tuple(x) for x in r.differences} for r in odd.collect()] == [expected] * 6
+    plan = odd.select("seq", "verdict", F.transform("differences", lambda x: x["field"]).alias("fields"))._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    assert [[x.output().apply(k).dataType().simpleString() for k in range(x.output().size())] for x in (plan.left(), plan.right())] == [["string", "string", "boolean"]] * 2
+
+
 def test_the_report_reads_the_observations_once(spark):
     out = report.sections(plans.p.observations(spark, SMALL), plans.TODAY)
     plan = out._jdf.queryExecution().executedPlan().toString()
