@@ -21,14 +21,18 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.array_join(c, "|").alias(c) if kind.startswith("array") else F.col(c).cast("string").alias(c) for c, kind in df.dtypes])
 
 
+def _by_month(df: DataFrame, day: str) -> DataFrame:
+    """As text, with year and month, brought together by these; what is shuffled are the columns as they are, as numbers take less room than text."""
+    dealt = df.withColumns({"year": F.year(F.to_date(day)), "month": F.month(F.to_date(day))}).hint("rebalance", "year", "month")
+    return _flat(dealt).withColumn("month", F.lpad("month", 2, "0"))
+
+
 def write_csv(df: DataFrame, path: str, day: str | None = None) -> None:
     """Columns in their order, arrays joined by |, nulls empty; with a date column, in folders by year and month. The commit is atomic by task and job.
 
     Rows are brought together by month first, so that a folder has few files; months that are large are split over tasks again.
     """
-    out = _flat(df)
-    if day:
-        out = out.withColumn("year", F.year(F.to_date(day))).withColumn("month", F.lpad(F.month(F.to_date(day)).cast("string"), 2, "0")).hint("rebalance", "year", "month")
+    out = _by_month(df, day) if day else _flat(df)
     writer = out.write.mode("overwrite").option("header", True).option("compression", "gzip").option("emptyValue", "").option("nullValue", "")
     (writer.partitionBy("year", "month") if day else writer).csv(path)
 

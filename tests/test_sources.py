@@ -21,6 +21,16 @@ def test_csv_roundtrip(spark, tmp_path):
     assert files.digest(back).first() == files.digest(back.orderBy(F.desc("day"))).first() != files.digest(back.limit(1)).first()
 
 
+def test_rows_of_an_export_are_shuffled_before_they_are_text(spark):
+    df = spark.createDataFrame([("a", 1.5, date(2026, 2, 1), ["x", "y"]), (None, None, None, None)], "a string, n double, day date, flags array<string>")
+    out = files._by_month(df, "day")
+    assert out.columns == ["a", "n", "day", "flags", "year", "month"] and {tuple(r) for r in out.collect()} == {("a", "1.5", "2026-02-01", "x|y", "2026", "02"), (None,) * 6}
+    plan = out._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "RebalancePartitions":
+        plan = plan.children().head()
+    assert [plan.output().apply(k).dataType().simpleString() for k in range(6)] == ["string", "double", "date", "array<string>", "int", "int"]
+
+
 def test_wide_report(spark, tmp_path):
     (tmp_path / "r.csv").write_text('Daily report\n,,,sub,header,x,y\nCommodity Group,Commodity,MSP (Rs./Quintal),"Price on 06 Oct, 2026","Price on 05 Oct, 2026","Arrival on 06 Oct, 2026","Arrival on 05 Oct, 2026"\nCereals,"Paddy, Common","2,300",100,-,0,NA\nPulses,Gram,,,"1,250.5",null,3\n')
     out = {(r.commodity, r.report_date): (r.msp, r.price, r.arrivals) for r in files.wide_report(spark, str(tmp_path / "r.csv")).collect()}
