@@ -30,10 +30,14 @@ def normalised(raw: DataFrame) -> DataFrame:
     c = {n: F.col(n) for n in TEXTS}
     # One function over all texts, and one over all numbers: written out for each, they make methods that the JVM leaves uncompiled.
     cleaned = F.transform(F.array(*[F.col(n).cast("string") for n in TEXTS]), r.clean)
-    out = raw.select("seq", F.coalesce("is_sample_data", F.lit(False)).alias("is_sample_data"), cleaned.alias("_texts")).select("seq", "is_sample_data", *[F.col("_texts")[k].alias(n) for k, n in enumerate(TEXTS)])
-    slugs = {f"_{n}": r.place_slug(c[n]) for n in ("state", "district", "market")} | {"_commodity": r.commodity_slug(c["commodity"])}
+    out = raw.select("seq", F.coalesce("is_sample_data", F.lit(False)).alias("is_sample_data"), cleaned.alias("_texts"))
+    t = {n: F.col("_texts")[k] for k, n in enumerate(TEXTS)}
     numbers = (*PRICES, "arrivals_quantity")
-    out = out.withColumns(slugs | {"_numbers": F.transform(F.array(*[c[n] for n in numbers]), r.number), "_day": r.calendar_date(c["price_date"], F.coalesce("date_format", F.lit("AUTO"))), "_factor": r.price_factor(c["price_unit"]), "_weight": r.arrival_factor(c["arrival_unit"])})
+    values = {"_numbers": F.transform(F.array(*[t[n] for n in numbers]), r.number), "_day": r.calendar_date(t["price_date"], F.coalesce(t["date_format"], F.lit("AUTO"))), "_factor": r.price_factor(t["price_unit"]), "_weight": r.arrival_factor(t["arrival_unit"])}
+    # A table of one row, for what comes out of it is computed once: a filter of the records would be pushed below a plain projection, and clean all
+    # texts again for each of its columns. The outer form isn't filtered, either.
+    out = out.select("seq", "is_sample_data", F.inline_outer(F.array(F.struct(*[x.alias(n) for n, x in (t | values).items()]))))
+    out = out.withColumns({f"_{n}": r.place_slug(c[n]) for n in ("state", "district", "market")} | {"_commodity": r.commodity_slug(c["commodity"])})
     out = out.withColumns({f"_{n}": F.col("_numbers")[k] for k, n in enumerate(numbers)})
     located = c["state"].isNotNull() & c["district"].isNotNull() & c["market"].isNotNull()
     out = out.withColumns({"mandi_code": F.when(located, r.code(F.col("_state"), F.col("_district"), F.col("_market"))), "commodity_code": F.when(F.col("_commodity").isNotNull(), r.code(F.col("_commodity")))})

@@ -73,6 +73,17 @@ def test_names_in_other_scripts(spark):
     assert one(spark, market="!!").mandi_code == "MAHARASHTRA__PUNE__U" + hashlib.sha1(b"").hexdigest()[:10].upper()
 
 
+def test_a_filter_of_records_cleans_no_text_again(spark):
+    """Texts and numbers are cleaned by one function each, in one place of the plan, whatever is asked of what comes out."""
+    raw = spark.createDataFrame([tuple((ROW | {"seq": k} | changes).values()) for k, changes in enumerate(({}, {"modal_price": "NR"}, {"price_date": "x"}, {"state": "-"}, {"source": None}))], RAW)
+    out = i.normalised(raw).filter("modal_price is not null").dropna(subset=["mandi_code", "price_date", "source"])
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("transform(") == 2
+    assert [x.seq for x in out.collect()] == [0]
+
+
 def records(spark, *rows):
     base = {"seq": 1, "source": "DATA_GOV_IN", "mandi_code": "M", "commodity_code": "ONION", "price_date": date(2026, 9, 1), "variety": "Red", "grade": "FAQ", "modal_price": 1400.0, "min_price": None, "max_price": None, "arrivals_quantity": None}
     schema = "seq long, source string, mandi_code string, commodity_code string, price_date date, variety string, grade string, modal_price double, min_price double, max_price double, arrivals_quantity double"
