@@ -5,6 +5,7 @@ Each step takes the columns of the step before (clean text, then slugs and value
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
@@ -42,13 +43,19 @@ def lookup(values: dict, key: Column) -> Column:
 _MISSING = r"(?i)^\s*(?:" + "|".join(x.replace("/", "\\/") for x in MISSING if x) + r")?\s*$"
 
 
+#: White space that isn't a space alone. Few texts have any, and finding none is cheaper than replacing each space by itself.
+_UNTIDY = r"\s\s|[^\S ]"
+
+
 def clean(text: Column) -> Column:
     """White space collapsed; null for what stands for missing."""
-    return F.when(~text.rlike(_MISSING), F.trim(F.regexp_replace(text, r"\s+", " ")))
+    return F.when(~text.rlike(_MISSING), F.trim(F.when(text.rlike(_UNTIDY), F.regexp_replace(text, r"\s+", " ")).otherwise(text)))
 
 
 def name_key(text: str) -> str | None:
     """Lower-case words of letters, marks and digits of a text in compatibility composition (NFKC); None without any."""
+    if text.isascii():
+        return " ".join(re.findall("[a-z0-9]+", text.lower())) or None
     lower = unicodedata.normalize("NFKC", text).lower()
     return " ".join("".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in lower).split()) or None
 
@@ -64,7 +71,7 @@ def slug(key: str) -> str:
 
 
 def of_names(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
-    """f as a column function for names. Names repeat, so each different one of a batch is worked on once (there is no built-in NFKC)."""
+    """f as a column function for names. Names repeat, so each different one of a batch is given to f once (there is no built-in NFKC)."""
 
     @F.arrow_udf(StringType())
     def run(column: pa.Array) -> pa.Array:
@@ -74,10 +81,19 @@ def of_names(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
     return run
 
 
-#: The slug of a name without a key is that of an empty key.
-place_slug = of_names(lambda text: slug(name_key(text) or ""))
-#: The code of a commodity's name: that of its alias, or its own slug; null without a key.
-commodity_slug = of_names(lambda text: None if (key := name_key(text)) is None else CODE_OF_ALIAS.get(key) or slug(key))
+@functools.lru_cache(1 << 16)
+def place_code(text: str) -> str:
+    """The slug of a name; without a key, that of an empty key."""
+    return slug(name_key(text) or "")
+
+
+@functools.lru_cache(1 << 16)
+def commodity_code(text: str) -> str | None:
+    """The code of a commodity's name: that of its alias, or its own slug; None without a key."""
+    return None if (key := name_key(text)) is None else CODE_OF_ALIAS.get(key) or slug(key)
+
+
+place_slug, commodity_slug = of_names(place_code), of_names(commodity_code)
 
 
 def code(*slugs: Column, most: int = 64) -> Column:
@@ -93,7 +109,7 @@ def calendar_date(text: Column, form: Column) -> Column:
     """Of clean text, year first (ISO, a time part ignored) or day first (DMY), or whichever it looks like (AUTO); null unless a real day. Never month first."""
     iso, dmy = F.regexp_replace(text, ISO, "$1-$2-$3"), F.regexp_replace(text, DMY, "$3-$2-$1")
     plain = F.when(text.rlike(ISO) & (form != "DMY"), iso).when(text.rlike(DMY) & (form != "ISO"), dmy)
-    return F.try_to_date(plain, "yyyy-M-d")
+    return plain.try_cast("date")  # which takes months and days of one digit, and is cheaper than a pattern
 
 
 def number(text: Column) -> Column:

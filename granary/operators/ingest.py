@@ -25,13 +25,21 @@ TEXTS = ("source", "source_record_key", "state", "district", "market", "commodit
 PRICES = ("min_price", "max_price", "modal_price")
 
 
-def normalised(raw: DataFrame) -> DataFrame:
-    """Raw text fields (TEXTS, with seq and is_sample_data) to typed ones with flags. Nothing missing is guessed."""
+#: The texts that a column of a normalised record is made of, where these aren't the one of its name.
+MADE_OF = {
+    "mandi_code": ("state", "district", "market"), "commodity_code": ("commodity",), "price_date": ("price_date", "date_format"), **{n: (n, "price_unit") for n in PRICES},
+    "arrivals_quantity": ("arrivals_quantity", "arrival_unit"), "arrival_unit": ("arrivals_quantity", "arrival_unit"), "quality_flags": TEXTS,
+}
+
+
+def normalised(raw: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """Raw text fields (TEXTS, with seq and is_sample_data) to typed ones with flags, or the wanted ones of these. Nothing missing is guessed."""
+    needed = [n for n in TEXTS if wanted is None or any(n in MADE_OF.get(w, (w,)) for w in wanted)]
     c = {n: F.col(n) for n in TEXTS}
     # One function over all texts, and one over all numbers: written out for each, they make methods that the JVM leaves uncompiled.
-    cleaned = F.transform(F.array(*[F.col(n).cast("string") for n in TEXTS]), r.clean)
+    cleaned = F.transform(F.array(*[F.col(n).cast("string") for n in needed]), r.clean)
     out = raw.select("seq", F.coalesce("is_sample_data", F.lit(False)).alias("is_sample_data"), cleaned.alias("_texts"))
-    t = {n: F.col("_texts")[k] for k, n in enumerate(TEXTS)}
+    t = {n: F.col("_texts")[needed.index(n)] if n in needed else F.lit(None).cast("string") for n in TEXTS}
     numbers = (*PRICES, "arrivals_quantity")
     values = {"_numbers": F.transform(F.array(*[t[n] for n in numbers]), r.number), "_day": r.calendar_date(t["price_date"], F.coalesce(t["date_format"], F.lit("AUTO"))), "_factor": r.price_factor(t["price_unit"]), "_weight": r.arrival_factor(t["arrival_unit"])}
     # A table of one row, for what comes out of it is computed once: a filter of the records would be pushed below a plain projection, and clean all
@@ -53,10 +61,11 @@ def normalised(raw: DataFrame) -> DataFrame:
     amount = F.col("_arrivals_quantity")
     flags += [flag(amount.isNull() & c["arrivals_quantity"].isNotNull(), "UNPARSEABLE_ARRIVALS"), flag(amount.isNotNull() & F.col("_weight").isNull(), "UNKNOWN_ARRIVAL_UNIT")]
     price = lambda n: rounded((F.col(f"_{n}") if n == "modal_price" else F.nullif(F.col(f"_{n}"), F.lit(0.0))) * F.col("_factor"))
-    return out.select(
+    out = out.select(
         "seq", "is_sample_data", "source", "source_record_key", "variety", "grade", "state", "district", "market", "mandi_code", "commodity_code", F.col("_day").alias("price_date"), *[price(n).alias(n) for n in PRICES],
         F.when(F.col("_factor").isNotNull(), F.lit("INR/quintal")).alias("price_unit"), rounded(amount * F.col("_weight")).alias("arrivals_quantity"), F.when(amount.isNotNull() & F.col("_weight").isNotNull(), F.lit("tonne")).alias("arrival_unit"), some(*flags).alias("quality_flags"),
     )
+    return out if wanted is None else out.select(*wanted)
 
 
 def rejections(now: str) -> Column:

@@ -32,8 +32,8 @@ def raw(spark, d) -> DataFrame:
     )
 
 
-def normal(spark, d) -> DataFrame:
-    return i.normalised(raw(spark, d))
+def normal(spark, d, *wanted: str) -> DataFrame:
+    return i.normalised(raw(spark, d), wanted or None)
 
 
 def checked(spark, d) -> DataFrame:
@@ -57,7 +57,7 @@ codes AS (SELECT *, regexp_replace(code0, '_+$', '') AS mandi_code FROM normal)"
 
 @query(f"WITH {RAW_SQL} SELECT seq, mandi_code, commodity_code, price_date, min_price, max_price, modal_price, price_unit, arrivals_quantity, arrival_unit FROM codes")
 def normalised_records(spark, d):
-    return normal(spark, d).select("seq", "mandi_code", "commodity_code", "price_date", "min_price", "max_price", "modal_price", "price_unit", "arrivals_quantity", "arrival_unit")
+    return normal(spark, d, "seq", "mandi_code", "commodity_code", "price_date", "min_price", "max_price", "modal_price", "price_unit", "arrivals_quantity", "arrival_unit")
 
 
 CODES = f"""CASE WHEN source IS NULL THEN 'MISSING_SOURCE' END, CASE WHEN source = 'SCRAPER' THEN 'UNKNOWN_SOURCE' END, CASE WHEN source IN ('DATA_GOV_IN', 'CEDA') AND is_sample_data THEN 'SAMPLE_FLAG_ON_GENUINE_SOURCE' END, CASE WHEN source = 'MOCK_PROVIDER' AND NOT is_sample_data THEN 'SAMPLE_SOURCE_NOT_FLAGGED' END,
@@ -84,7 +84,7 @@ kept AS (SELECT * FROM ranked WHERE last = 1)"""
 SELECT k.seq AS seq, k.copies AS copies, (SELECT count(*) FROM codes c WHERE c.source IS NOT DISTINCT FROM k.source AND c.mandi_code IS NOT DISTINCT FROM k.mandi_code AND c.commodity_code IS NOT DISTINCT FROM k.commodity_code AND c.price_date IS NOT DISTINCT FROM k.price_date AND c.variety IS NOT DISTINCT FROM k.variety AND c.grade IS NOT DISTINCT FROM k.grade
   AND NOT (c.modal_price IS NOT DISTINCT FROM k.modal_price AND c.min_price IS NOT DISTINCT FROM k.min_price AND c.max_price IS NOT DISTINCT FROM k.max_price AND c.arrivals_quantity IS NOT DISTINCT FROM k.arrivals_quantity)) AS conflicts FROM kept k""")
 def dedupe_within_source(spark, d):
-    return i.deduplicated(normal(spark, d)).select("seq", "copies", "conflicts")
+    return i.deduplicated(normal(spark, d, "seq", *i.IDENTITY, *i.VALUES, "price_unit", "arrival_unit")).select("seq", "copies", "conflicts")
 
 
 @query(f"""WITH {RAW_SQL}, v AS (SELECT *, count(*) OVER (PARTITION BY mandi_code, commodity_code, price_date, source) AS n FROM codes WHERE modal_price IS NOT NULL),
@@ -94,7 +94,7 @@ pairs AS (
   FROM v a JOIN v b ON a.mandi_code = b.mandi_code AND a.commodity_code = b.commodity_code AND a.price_date = b.price_date AND a.source < b.source)
 SELECT mandi_code, commodity_code, price_date, source_a, source_b, count(*) AS pairs, CASE max(v) WHEN 2 THEN 'CROSS_SOURCE_CONFLICT' WHEN 1 THEN 'CROSS_SOURCE_MATCH' ELSE 'GRANULARITY_MISMATCH' END AS class FROM pairs GROUP BY mandi_code, commodity_code, price_date, source_a, source_b""")
 def overlap_classes(spark, d):
-    return i.overlaps(normal(spark, d).filter("modal_price is not null"))
+    return i.overlaps(normal(spark, d, *i.DAY, "source", "variety", "grade", "modal_price").filter("modal_price is not null"))
 
 
 NUM = lambda c: f"coalesce('#' || CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END, 'N')"

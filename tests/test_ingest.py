@@ -84,6 +84,29 @@ def test_a_filter_of_records_cleans_no_text_again(spark):
     assert [x.seq for x in out.collect()] == [0]
 
 
+def test_wanted_columns_of_records_clean_no_other_text(spark):
+    raw = spark.createDataFrame([tuple((ROW | {"seq": k} | changes).values()) for k, changes in enumerate(({}, {"min_price": "5", "arrivals_quantity": "3", "arrival_unit": "qtl"}, {"state": " Na "}, {"price_unit": None}))], RAW)
+    whole = i.normalised(raw)
+    for wanted in (("seq", *i.IDENTITY, *i.VALUES), (*i.DAY, "modal_price"), ("arrival_unit", "seq"), ("quality_flags", "is_sample_data"), tuple(whole.columns)):
+        assert sorted(map(repr, i.normalised(raw, wanted).collect())) == sorted(map(repr, whole.select(*wanted).collect()))
+    plan = i.normalised(raw, (*i.DAY, "modal_price"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "modal_price" in plan and "arrivals_quantity" not in plan.split("LogicalRDD")[0].split("LocalRelation")[0].split("transform(")[-1]
+
+
+@pytest.mark.parametrize("text, expected", [(" a\tb  c ", "a b c"), ("  ", None), ("", None), ("\n-\r", None), ("NULL", None), (" n/A ", None), ("na na", "na na"), ("none\u2028", None), ("null \u2028", None), ("nullify", "nullify"), ("\u2028", None), (None, None)])
+def test_clean_text(spark, text, expected):
+    assert value(spark, r.clean(F.lit(text).cast("string"))) == expected
+    old = F.when(~F.lit(text).rlike(r._MISSING), F.trim(F.regexp_replace(F.lit(text), r"\s+", " ")))
+    assert value(spark, old) == expected
+
+
+@pytest.mark.parametrize("text, expected", [("2026-2-5", date(2026, 2, 5)), ("2026-02-05T10:00", date(2026, 2, 5)), ("5/2/2026", date(2026, 2, 5)), ("31-02-2026", None), ("29/02/2024", date(2024, 2, 29)), ("2026-13-01", None), ("2026-00-10", None), ("0001-01-01", date(1, 1, 1))])
+def test_days_are_real(spark, text, expected):
+    found = F.lit(text)
+    assert value(spark, r.calendar_date(found, F.lit("AUTO"))) == expected
+    assert value(spark, F.try_to_date(F.regexp_replace(F.regexp_replace(found, r.ISO, "$1-$2-$3"), r.DMY, "$3-$2-$1"), "yyyy-M-d")) == expected  # as by a pattern
+
+
 def records(spark, *rows):
     base = {"seq": 1, "source": "DATA_GOV_IN", "mandi_code": "M", "commodity_code": "ONION", "price_date": date(2026, 9, 1), "variety": "Red", "grade": "FAQ", "modal_price": 1400.0, "min_price": None, "max_price": None, "arrivals_quantity": None}
     schema = "seq long, source string, mandi_code string, commodity_code string, price_date date, variety string, grade string, modal_price double, min_price double, max_price double, arrivals_quantity double"
